@@ -1,22 +1,22 @@
-"""Value normalisation and equality as Column builders, decided from the column types when the plan is built."""
+"""Value normalisation and equality as SQL expressions, decided from the column types when the plan is built."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOLERANCE = 1e-9
+from tallymark.functions.text import concat
+
+TOLERANCE = "1e-9D"
 
 # Every character that counts as a Unicode blank: the set a full text strip removes.
 _BLANK_RANGES = [
     (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
     (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
-]
-BLANKS = "".join(chr(code) for first, last in _BLANK_RANGES for code in range(first, last + 1))
+]
+_BLANKS = "'" + "".join(f"\\u{code:04X}" for first, last in _BLANK_RANGES for code in range(first, last + 1)) + "'"
 
 INTEGER, NUMBER, DATE, TIMESTAMP, TEXT = "integer", "number", "date", "timestamp", "text"
-_NUMERIC = (INTEGER, NUMBER)
+_NUMERIC = {INTEGER, NUMBER}
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -34,51 +34,64 @@ def kind_of(dtype: T.DataType) -> str:
     return TEXT
 
 
-def strip(column: Column) -> Column:
+def strip(value: str) -> str:
     """Remove all leading and trailing Unicode blanks (``trim`` alone removes only U+0020)."""
-    return F.btrim(column, F.lit(BLANKS))
+    return f"btrim({value}, {_BLANKS})"
 
 
-def without_nan(column: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column)
-    return column
+def without_nan(value: str, dtype: T.DataType) -> str:
+    return f"if(isnan({value}), null, {value})" if isinstance(dtype, (T.FloatType, T.DoubleType)) else value
 
 
-def as_text(column: Column, dtype: T.DataType) -> Column:
+def as_text(value: str, dtype: T.DataType) -> str:
     """Display text of a value; a timestamp shows six fractional digits or none."""
+    if isinstance(dtype, T.StringType):
+        return value
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(column, "SSSSSS") == "000000"
-        return F.when(whole, F.date_format(column, "yyyy-MM-dd HH:mm:ss")).otherwise(
-            F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        )
+        whole, full = "'yyyy-MM-dd HH:mm:ss'", "'yyyy-MM-dd HH:mm:ss.SSSSSS'"
+        is_whole = f"date_format({value}, 'SSSSSS') = '000000'"
+        return f"if({is_whole}, date_format({value}, {whole}), date_format({value}, {full}))"
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(column)
-    return column.cast("string")
+        return f"to_json({value})"
+    return f"cast({value} as string)"
+
 
+def shown(value: str, dtype: T.DataType) -> str:
+    """Display text in which a missing value is visible."""
+    return f"coalesce({as_text(value, dtype)}, 'None')"
 
-def normalised(column: Column, dtype: T.DataType) -> Column:
+
+def normalised(value: str, dtype: T.DataType) -> str:
     """The comparable form of a value: double for numbers, text for dates, stripped text (empty = NULL) otherwise."""
     kind = kind_of(dtype)
     if kind in _NUMERIC:
-        return without_nan(column, dtype).cast("double")
+        return f"cast({without_nan(value, dtype)} as double)"
     if kind in (DATE, TIMESTAMP):
-        return as_text(column, dtype)
-    return F.nullif(strip(as_text(column, dtype)), F.lit(""))
+        return as_text(value, dtype)
+    return f"nullif({strip(as_text(value, dtype))}, '')"
 
 
 def _same_native_type(left: T.DataType, right: T.DataType) -> bool:
     return kind_of(left) in (DATE, TIMESTAMP) and type(left) is type(right)
 
 
+def _integer_type(*dtypes: T.DataType) -> str:
+    return "decimal(38,0)" if any(isinstance(d, T.DecimalType) for d in dtypes) else "bigint"
+
+
+def _as_integer(value: str, dtype: T.DataType, other: T.DataType) -> str:
+    wanted = _integer_type(dtype, other)
+    return value if dtype.simpleString() == wanted else f"cast({value} as {wanted})"
+
+
 def values_equal(
-    left: Column,
+    left: str,
     left_type: T.DataType,
-    right: Column,
+    right: str,
     right_type: T.DataType,
     case_insensitive: bool = False,
     exact_decimals: bool = False,
-) -> Column:
+) -> str:
     """True where both values are NULL or equal; never NULL itself.
 
     Integers are compared exactly. Other numbers are equal within an absolute tolerance after a cast to double;
@@ -86,29 +99,24 @@ def values_equal(
     """
     kinds = {kind_of(left_type), kind_of(right_type)}
     if kinds == {INTEGER}:
-        wide = _integer_type(left_type, right_type)
-        return left.cast(wide).eqNullSafe(right.cast(wide))
+        return f"{_as_integer(left, left_type, right_type)} <=> {_as_integer(right, right_type, left_type)}"
     if exact_decimals and isinstance(left_type, T.DecimalType) and isinstance(right_type, T.DecimalType):
-        return left.eqNullSafe(right)
+        return f"{left} <=> {right}"
     if _same_native_type(left_type, right_type):
-        return left.eqNullSafe(right)
+        return f"{left} <=> {right}"
 
     a, b = normalised(left, left_type), normalised(right, right_type)
-    both_null = a.isNull() & b.isNull()
-    if kinds <= set(_NUMERIC):
-        return both_null | F.coalesce(F.abs(a - b) < TOLERANCE, F.lit(False))
-    if kinds & set(_NUMERIC):
+    both_null = f"({a} is null and {b} is null)"
+    if kinds <= _NUMERIC:
+        return f"({both_null} or coalesce(abs({a} - {b}) < {TOLERANCE}, false))"
+    if kinds & _NUMERIC:
         return both_null
     if case_insensitive:
-        return F.lower(a).eqNullSafe(F.lower(b))
-    return a.eqNullSafe(b)
-
-
-def _integer_type(*dtypes: T.DataType) -> T.DataType:
-    return T.DecimalType(38, 0) if any(isinstance(d, T.DecimalType) for d in dtypes) else T.LongType()
+        return f"lower({a}) <=> lower({b})"
+    return f"{a} <=> {b}"
 
 
-def key_column(column: Column, dtype: T.DataType, other: T.DataType | None = None) -> Column:
+def key_value(value: str, dtype: T.DataType, other: T.DataType | None = None) -> str:
     """Normalised key: exact, case-sensitive, without tolerance, and of one type on both sides.
 
     Integer keys stay integers, so two different 64-bit ids never fall together. When one side is numeric and the
@@ -117,12 +125,12 @@ def key_column(column: Column, dtype: T.DataType, other: T.DataType | None = Non
     other = dtype if other is None else other
     kinds = {kind_of(dtype), kind_of(other)}
     if kinds == {INTEGER}:
-        return column.cast(_integer_type(dtype, other))
-    if kinds <= set(_NUMERIC):
-        return normalised(column, dtype)
+        return _as_integer(value, dtype, other)
+    if kinds <= _NUMERIC:
+        return normalised(value, dtype)
     if _same_native_type(dtype, other):
-        return column
-    if kinds & set(_NUMERIC):
-        tag = "number:" if kind_of(dtype) in _NUMERIC else "text:"
-        return F.concat(F.lit(tag), normalised(column, dtype).cast("string"))
-    return normalised(column, dtype)
+        return value
+    if kinds & _NUMERIC:
+        tag = "'number:'" if kind_of(dtype) in _NUMERIC else "'text:'"
+        return concat(tag, f"cast({normalised(value, dtype)} as string)")
+    return normalised(value, dtype)

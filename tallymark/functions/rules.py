@@ -1,18 +1,17 @@
-"""Data-quality rules: each name maps to a builder ``(column, type, value) -> boolean Column``, true where broken."""
+"""Data-quality rules: each name maps to a builder ``(value, type, setting) -> SQL condition``, true where broken."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.normalize import as_text, strip, without_nan
+from tallymark.functions.text import lit, quoted
 from tallymark.spec import RuleSpec
 
-RuleBuilder = Callable[[Column, T.DataType, Any], Column]
+RuleBuilder = Callable[[str, T.DataType, Any], str]
 
 _RULES: dict[str, RuleBuilder] = {}
 
@@ -26,34 +25,40 @@ def rule_names() -> list[str]:
     return list(_RULES)
 
 
-def _not_null(column: Column, dtype: T.DataType, value: Any) -> Column:
-    return without_nan(column, dtype).isNull()
+def _not_null(value: str, dtype: T.DataType, setting: Any) -> str:
+    return f"{without_nan(value, dtype)} is null"
 
 
-def _no_whitespace(column: Column, dtype: T.DataType, value: Any) -> Column:
-    text = as_text(column, dtype)
-    return text != strip(text)
+def _text(value: str, dtype: T.DataType) -> str:
+    return as_text(without_nan(value, dtype), dtype)
 
 
-def _length_equals(column: Column, dtype: T.DataType, value: Any) -> Column:
-    return F.char_length(as_text(without_nan(column, dtype), dtype)) != int(value)
+def _no_whitespace(value: str, dtype: T.DataType, setting: Any) -> str:
+    text = _text(value, dtype)
+    return f"{text} != {strip(text)}"
 
 
-def _in_set(column: Column, dtype: T.DataType, value: Any) -> Column:
-    return ~as_text(without_nan(column, dtype), dtype).isin([str(v) for v in value])
+def _length_equals(value: str, dtype: T.DataType, setting: Any) -> str:
+    return f"char_length({_text(value, dtype)}) != {int(setting)}"
 
 
-def _min_value(column: Column, dtype: T.DataType, value: Any) -> Column:
-    limit = float(value)
+def _in_set(value: str, dtype: T.DataType, setting: Any) -> str:
+    allowed = ", ".join(lit(str(v)) for v in setting)
+    return f"{_text(value, dtype)} not in ({allowed})" if allowed else f"{value} is not null"
+
+
+def _min_value(value: str, dtype: T.DataType, setting: Any) -> str:
+    limit = f"{float(setting)!r}D"
     if isinstance(dtype, T.NumericType):
-        return without_nan(column, dtype).cast("double") < limit
+        return f"cast({without_nan(value, dtype)} as double) < {limit}"
     # Text that is not a number cannot satisfy a numeric limit.
-    return column.isNotNull() & F.coalesce(column.try_cast("double") < limit, F.lit(True))
+    return f"{value} is not null and coalesce(try_cast({value} as double) < {limit}, true)"
 
 
-def _regex(column: Column, dtype: T.DataType, value: Any) -> Column:
+def _regex(value: str, dtype: T.DataType, setting: Any) -> str:
     # Anchored at the start only; a plain rlike would search anywhere.
-    return ~as_text(without_nan(column, dtype), dtype).rlike(rf"\A(?:{value})")
+    pattern = rf"\A(?:{setting})"
+    return f"not ({_text(value, dtype)} rlike {lit(pattern)})"
 
 
 register_rule("not_null", _not_null)
@@ -64,10 +69,9 @@ register_rule("min_value", _min_value)
 register_rule("regex", _regex)
 
 
-def broken(rule: RuleSpec, schema: T.StructType, column: Column | None = None) -> Column:
-    """Boolean Column that is true where ``rule`` is broken and false otherwise (NULL passes all but not_null)."""
+def broken(rule: RuleSpec, schema: T.StructType) -> str:
+    """Condition that is true where ``rule`` is broken and false otherwise (NULL passes all but not_null)."""
     if rule.rule not in _RULES:
         raise ValueError(f"Unknown transformation rule '{rule.rule}'")
-    value = F.col(f"`{rule.column}`") if column is None else column
-    verdict = _RULES[rule.rule](value, schema[rule.column].dataType, rule.value)
-    return F.coalesce(verdict, F.lit(False))
+    condition = _RULES[rule.rule](quoted(rule.column), schema[rule.column].dataType, rule.value)
+    return f"coalesce({condition}, false)"

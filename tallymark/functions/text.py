@@ -1,52 +1,75 @@
-"""Small text builders shared by messages and reports."""
+"""SQL text builders.
 
-from __future__ import annotations
-
-from collections.abc import Iterable, Sequence
+Plans are assembled as SQL expressions: one long expression is one call into the JVM, where the same expression put
+together from Column objects takes dozens, which for wide tables costs more than running the check.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from __future__ import annotations
 
-from tallymark.functions.normalize import as_text, kind_of, TEXT
+from collections.abc import Iterable, Mapping
 
 
 def quoted(name: str) -> str:
-    """A column name as Spark SQL identifier."""
+    """A column name as SQL identifier."""
     return "`" + name.replace("`", "``") + "`"
 
 
-def col(name: str) -> Column:
-    return F.col(quoted(name))
+def field(row: str, name: str) -> str:
+    """A field of a struct column."""
+    return f"{row}.{quoted(name)}"
+
+
+def lit(text: str) -> str:
+    """A string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def aliased(columns: Mapping[str, str]) -> list[str]:
+    """``{name: expression}`` as select list."""
+    return [f"{expression} as {quoted(name)}" for name, expression in columns.items()]
+
+
+def names(columns: Iterable[str]) -> list[str]:
+    return [quoted(c) for c in columns]
+
+
+def listed(columns: Iterable[str]) -> str:
+    return ", ".join(quoted(c) for c in columns)
+
+
+def concat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
 
 
-def joined(separator: str, parts: Iterable[Column]) -> Column:
+def joined(separator: str, parts: Iterable[str]) -> str:
     """Join the parts that are not NULL."""
-    return F.concat_ws(separator, *parts)
+    return f"concat_ws({', '.join([lit(separator), *parts])})"
 
 
-def shown(column: Column, dtype: T.DataType) -> Column:
-    """Display text in which a missing value is visible."""
-    return F.coalesce(as_text(column, dtype), F.lit("None"))
+def case(choices: Iterable[tuple[str, str]], default: str = "null") -> str:
+    """The value of the first condition that holds."""
+    branches = " ".join(f"when {condition} then {value}" for condition, value in choices)
+    return f"case {branches} else {default} end" if branches else default
 
 
-def key_text(keys: Sequence[str], schema: T.StructType, row: str) -> Column:
-    """``k1=v1, k2=v2`` of a row struct."""
-    return joined(", ", [F.concat(F.lit(f"{k}="), shown(F.col(row)[k], schema[k].dataType)) for k in keys])
+def all_of(conditions: Iterable[str]) -> str:
+    return " and ".join(f"({c})" for c in conditions) or "true"
 
 
-def row_text(keys: Sequence[str], schema: T.StructType, row: str) -> Column:
-    """``k=v | a=v | ...`` of a row struct, key columns first, text values in quotes."""
-    ordered = [*keys, *[name for name in schema.names if name not in keys]]
+def any_of(conditions: Iterable[str]) -> str:
+    return " or ".join(f"({c})" for c in conditions) or "false"
 
-    def cell(name: str) -> Column:
-        value, dtype = F.col(row)[name], schema[name].dataType
-        text = as_text(value, dtype)
-        if kind_of(dtype) == TEXT:
-            text = F.concat(F.lit("'"), text, F.lit("'"))
-        return F.concat(F.lit(f"{name}="), F.coalesce(text, F.lit("None")))
 
-    return joined(" | ", [cell(name) for name in ordered])
+def filled(template: str, **numbers: str) -> str:
+    """Text with ``{name}`` placeholders for numeric expressions."""
+    parts: list[str] = []
+    rest = template
+    while "{" in rest:
+        before, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        parts += [lit(before), f"cast({numbers[name]} as string)"]
+    return concat(*parts, lit(rest))
 
 
 def python_list(values: Iterable[str]) -> str:

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property, reduce
-from operator import add, and_, or_
+from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tallymark.functions.normalize import as_text, values_equal
-from tallymark.functions.text import quoted
+from tallymark.functions.text import aliased, all_of, any_of, case, field, lit, quoted
 from tallymark.operators.duplicates import duplicate_rows
 from tallymark.operators.pairing import key_names, pair_by_key
 from tallymark.session import HOT_KEY_ROWS
@@ -38,56 +36,53 @@ class Comparison:
     ) -> None:
         self.source, self.target = source, target
         self.keys = list(keys)
-        self.columns = source.columns
-        self.compare_columns = [c for c in compare_columns if c in source.columns and c in target.columns]
+        self.columns = source.schema.names
+        self.target_columns = target.schema.names
+        self.compare_columns = [c for c in compare_columns if c in self.columns and c in self.target_columns]
         self.case_insensitive = case_insensitive
         self.exact_decimals = exact_decimals
         self.hot_rows = hot_rows
         self._persisted: DataFrame | None = None
 
-    def _differs(self, column: str) -> Column:
-        return ~values_equal(
-            F.col("source_row")[column],
+    def _differs(self, column: str) -> str:
+        equal = values_equal(
+            field("source_row", column),
             self.source.schema[column].dataType,
-            F.col("target_row")[column],
+            field("target_row", column),
             self.target.schema[column].dataType,
             self.case_insensitive,
             self.exact_decimals,
         )
+        return f"state = '{BOTH}' and not ({equal})"
 
     @cached_property
     def paired(self) -> DataFrame:
         """Every key of either side: its copies, its first rows, its state, whether the key is duplicated."""
-        state = (
-            F.when(F.col("n_target") == 0, SOURCE_ONLY).when(F.col("n_source") == 0, TARGET_ONLY).otherwise(BOTH)
-        )
-        has_key = reduce(and_, [F.col(quoted(name)).isNotNull() for name in key_names(self.keys)])
-        repeated = has_key & ((F.col("n_source") > 1) | (F.col("n_target") > 1))
-        return (
-            pair_by_key(self.source, self.target, self.keys, self.compare_columns)
-            .withColumn("state", state)
-            .withColumn("is_duplicate", repeated)
+        state = case([("n_target = 0", lit(SOURCE_ONLY)), ("n_source = 0", lit(TARGET_ONLY))], lit(BOTH))
+        has_key = all_of(f"{quoted(name)} is not null" for name in key_names(self.keys))
+        return pair_by_key(self.source, self.target, self.keys, self.compare_columns).selectExpr(
+            "*", f"{state} as state", f"({has_key}) and (n_source > 1 or n_target > 1) as is_duplicate"
         )
 
+    @cached_property
+    def _issues(self) -> DataFrame:
+        tests = {c: self._differs(c) for c in self.compare_columns}
+        found = self.paired.where(any_of([f"state != '{BOTH}'", "is_duplicate", *tests.values()]))
+        count = " + ".join(f"if({t}, 1L, 0L)" for t in tests.values()) or "0L"
+        named = ", ".join(f"if({t}, {lit(c)}, null)" for c, t in tests.items()) or "cast(null as string)"
+        return found.selectExpr("*", f"{count} as n_diffs", f"array_compact(array({named})) as diff_columns")
+
     @property
     def issues(self) -> DataFrame:
         """The keys with at least one problem, with the number and the list of differing columns.
 
         Matching keys are dropped by plain boolean tests inside code generation; the list is built for the others.
         """
-        if self._persisted is not None:
-            return self._persisted
-        is_both = F.col("state") == BOTH
-        tests = [is_both & self._differs(c) for c in self.compare_columns]
-        found = self.paired.where(reduce(or_, tests, ~is_both | F.col("is_duplicate")))
-        count = reduce(add, [F.when(t, F.lit(1)).otherwise(F.lit(0)) for t in tests], F.lit(0))
-        named = [F.when(t, F.lit(c)) for t, c in zip(tests, self.compare_columns)]
-        names = F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")
-        return found.select("*", count.cast("bigint").alias("n_diffs"), names.alias("diff_columns"))
+        return self._issues if self._persisted is None else self._persisted
 
     def persist(self) -> Comparison:
         if self._persisted is None:
-            self._persisted = self.issues.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted = self._issues.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def unpersist(self) -> None:
@@ -95,73 +90,69 @@ class Comparison:
             self._persisted.unpersist()
             self._persisted = None
 
-    def key_order(self) -> list[Column]:
-        """Keys rendered as text, the order of all detail lists."""
-        return [F.col(quoted(name)).cast("string").asc_nulls_first() for name in key_names(self.keys)]
-
     def keyed_states(self) -> DataFrame:
         """Normalised key, copies on each side, and whether the key is on both sides or on one."""
-        renamed = [F.col(quoted(name)).alias(k) for name, k in zip(key_names(self.keys), self.keys)]
-        return self.paired.select(*renamed, "n_source", "n_target", "state")
+        renamed = {k: quoted(name) for name, k in zip(key_names(self.keys), self.keys)}
+        return self.paired.selectExpr(*aliased(renamed), "n_source", "n_target", "state")
+
+    def _cell(self, row: str, frame: DataFrame) -> str:
+        """Text of the value named by ``column``."""
+        return case(
+            [(f"column = {lit(c)}", as_text(field(row, c), frame.schema[c].dataType)) for c in self.compare_columns]
+        )
 
     def diffs(self) -> DataFrame:
         """One row for each differing cell: key columns, column, source and target value as text."""
-
-        def value(row: str, schema) -> Column:
-            chosen = F.lit(None).cast("string")
-            for c in self.compare_columns:
-                text = as_text(F.col(row)[c], schema[c].dataType)
-                chosen = F.when(F.col("column") == c, text).otherwise(chosen)
-            return chosen
-
-        cells = self.issues.where(F.col("n_diffs") > 0).withColumn("column", F.explode("diff_columns"))
-        return cells.select(
-            *[F.col("source_row")[k].alias(k) for k in self.keys],
+        cells = self.issues.where("n_diffs > 0").selectExpr(
+            "source_row", "target_row", "explode(diff_columns) as column"
+        )
+        return cells.selectExpr(
+            *aliased({k: field("source_row", k) for k in self.keys}),
             "column",
-            value("source_row", self.source.schema).alias("source_value"),
-            value("target_row", self.target.schema).alias("target_value"),
+            f"{self._cell('source_row', self.source)} as source_value",
+            f"{self._cell('target_row', self.target)} as target_value",
         )
 
-    def _row(self, side: str) -> Column:
-        frame = self.source if side == "source" else self.target
-        return F.struct(*[F.col(f"{side}_row")[c].alias(c) for c in frame.columns])
-
     def diff_pairs(self) -> DataFrame:
         """One row for each differing record: the differing columns and both full rows."""
-        return self.issues.where(F.col("n_diffs") > 0).select(
-            "diff_columns", self._row("source").alias("source_row"), self._row("target").alias("target_row")
+
+        def row(side: str, columns: Sequence[str]) -> str:
+            parts = ", ".join(f"{lit(c)}, {field(f'{side}_row', c)}" for c in columns)
+            return f"named_struct({parts}) as {side}_row"
+
+        return self.issues.where("n_diffs > 0").selectExpr(
+            "diff_columns", row("source", self.columns), row("target", self.target_columns)
         )
 
     def missing_in_target(self) -> DataFrame:
         """Full source rows (one for each key) without a target row."""
-        rows = self.issues.where(F.col("state") == SOURCE_ONLY)
-        return rows.select(*[F.col("source_row")[c].alias(c) for c in self.source.columns])
+        rows = self.issues.where(f"state = '{SOURCE_ONLY}'")
+        return rows.selectExpr(*aliased({c: field("source_row", c) for c in self.columns}))
 
     def missing_in_source(self) -> DataFrame:
         """Full target rows (one for each key) without a source row."""
-        rows = self.issues.where(F.col("state") == TARGET_ONLY)
-        return rows.select(*[F.col("target_row")[c].alias(c) for c in self.target.columns])
+        rows = self.issues.where(f"state = '{TARGET_ONLY}'")
+        return rows.selectExpr(*aliased({c: field("target_row", c) for c in self.target_columns}))
+
+    def duplicates_on(self, side: str) -> DataFrame:
+        rows, other = (self.source, self.target) if side == "source" else (self.target, self.source)
+        return duplicate_rows(rows, self.keys, other, self.hot_rows).selectExpr("*", f"'{side}' as _side")
 
     def duplicates(self) -> DataFrame:
         """All rows of all duplicated keys on either side, with ``_side`` and ``_copies``."""
-        sides = []
-        for side, rows, other in (("source", self.source, self.target), ("target", self.target, self.source)):
-            found = duplicate_rows(rows, self.keys, other, self.hot_rows)
-            sides.append(found.withColumn("_side", F.lit(side)))
-        return sides[0].unionByName(sides[1], allowMissingColumns=True)
+        return self.duplicates_on("source").unionByName(self.duplicates_on("target"), allowMissingColumns=True)
 
     def summary(self) -> DataFrame:
         """One row: differing cells and records, missing rows both ways, duplicate rows, and the verdict."""
-        copies = sum(F.when(F.col(n) > 1, F.col(n)).otherwise(F.lit(0)) for n in ("n_source", "n_target"))
-        counts = self.issues.agg(
-            F.coalesce(F.sum("n_diffs"), F.lit(0)).alias("diffs"),
-            F.count_if(F.col("n_diffs") > 0).alias("differing_rows"),
-            F.count_if(F.col("state") == SOURCE_ONLY).alias("missing_in_target"),
-            F.count_if(F.col("state") == TARGET_ONLY).alias("missing_in_source"),
-            F.coalesce(F.sum(F.when(F.col("is_duplicate"), copies)), F.lit(0)).alias("duplicates"),
+        copies = "if(n_source > 1, n_source, 0L) + if(n_target > 1, n_target, 0L)"
+        counts = self.issues.selectExpr(
+            "coalesce(sum(n_diffs), 0) as diffs",
+            "count_if(n_diffs > 0) as differing_rows",
+            f"count_if(state = '{SOURCE_ONLY}') as missing_in_target",
+            f"count_if(state = '{TARGET_ONLY}') as missing_in_source",
+            f"coalesce(sum(if(is_duplicate, {copies}, 0L)), 0) as duplicates",
         )
-        problems = F.col("diffs") + F.col("missing_in_target") + F.col("missing_in_source") + F.col("duplicates")
-        return counts.withColumn("is_match", problems == 0)
+        return counts.selectExpr("*", "diffs + missing_in_target + missing_in_source + duplicates = 0 as is_match")
 
 
 def compare(

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tallymark.functions.text import col, joined
+from tallymark.functions.text import aliased, case, concat, joined, lit, quoted
 
 NEGATIVE = "NEGATIVE: "
 
@@ -25,23 +24,25 @@ class Defect:
 
 
 def inject_defects(rows: DataFrame, defects: Sequence[Defect]) -> DataFrame:
-    """Apply the defects to a table of any size; ``_note`` tells what was done to a row (NULL: nothing)."""
+    """Apply the defects to a table of any size; ``_note`` tells what was done to a row (NULL: nothing).
+
+    When several defects of one column hold for a row, the last one decides the value.
+    """
     changed = {}
-    for name in rows.columns:
-        value = col(name)
-        for d in defects:
-            if d.column == name:
-                value = F.when(F.expr(d.predicate), F.expr(d.expression).cast(rows.schema[name].dataType)).otherwise(value)
-        changed[name] = value.alias(name)
-    negative = [F.when(F.expr(d.predicate), F.lit(d.note)) for d in defects if d.negative]
-    harmless = [F.when(F.expr(d.predicate), F.lit(d.note)) for d in defects if not d.negative]
-    bad = joined("; ", negative) if negative else F.lit("")
-    text = F.concat(F.when(bad != "", F.lit(NEGATIVE)).otherwise(F.lit("")), joined("; ", [*negative, *harmless]))
-    return rows.select(*changed.values(), F.nullif(text, F.lit("")).alias("_note"))
+    for f in rows.schema.fields:
+        choices = [
+            (d.predicate, f"cast({d.expression} as {f.dataType.simpleString()})")
+            for d in reversed(defects)
+            if d.column == f.name
+        ]
+        changed[f.name] = case(choices, quoted(f.name))
+    negative = [case([(d.predicate, lit(d.note))]) for d in defects if d.negative]
+    harmless = [case([(d.predicate, lit(d.note))]) for d in defects if not d.negative]
+    mark = f"if({joined('; ', negative)} != '', {lit(NEGATIVE)}, '')"
+    note = f"nullif({concat(mark, joined('; ', [*negative, *harmless]))}, '')"
+    return rows.selectExpr(*aliased({**changed, "_note": note}))
 
 
 def negative_count(rows: DataFrame) -> DataFrame:
     """One row: all rows and those tagged negative."""
-    return rows.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("_note").startswith(NEGATIVE.strip())).alias("negative")
-    )
+    return rows.selectExpr("count(1) as total", f"count_if(startswith(_note, {lit(NEGATIVE.strip())})) as negative")

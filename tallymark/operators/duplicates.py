@@ -6,17 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tallymark.functions.text import col
-from tallymark.operators.hotkeys import key_counts, renamed, same_key
-from tallymark.operators.pairing import key_names, with_normalised_keys
+from tallymark.functions.text import all_of, listed, names, quoted
+from tallymark.operators.hotkeys import hot_keys, key_counts
+from tallymark.operators.pairing import key_names, normalised_keys
 from tallymark.session import HOT_KEY_ROWS
 
 
 def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key groups with more than one row, with their count. Raw keys; NULL keys form a group, as in SQL."""
-    return key_counts(rows, keys, "cnt").where(F.col("cnt") > 1)
+    return key_counts(rows, keys, "cnt").where("cnt > 1")
 
 
 def duplicate_rows(
@@ -27,48 +26,40 @@ def duplicate_rows(
     Rows of hot keys are taken in a map-side join with the short list of those keys and are never shuffled; the
     remaining duplicated keys hold at most ``hot_rows`` rows each and go through an ordinary join.
     """
-    keyed = with_normalised_keys(rows, keys, other)
-    names = key_names(keys)
-    keyed = keyed.where(" and ".join(f"`{n}` is not null" for n in names))
-    repeated, pairs = renamed(key_counts(keyed, names, "_copies").where(F.col("_copies") > 1), names, "dup")
-    hot = F.broadcast(repeated.where(F.col("_copies") > hot_rows))
-    cold = repeated.where(F.col("_copies") <= hot_rows)
+    normal = key_names(keys)
+    keyed = rows.selectExpr("*", *normalised_keys(rows, keys, other))
+    keyed = keyed.where(all_of(f"{quoted(n)} is not null" for n in normal))
+    repeated = key_counts(keyed, normal, "_copies").where("_copies > 1")
+    hot = F.broadcast(repeated.where(f"_copies > {hot_rows}"))
+    cold = repeated.where(f"_copies <= {hot_rows}")
 
-    output = [*[keyed[c] for c in rows.columns], F.col("_copies")]
-    from_hot = keyed.join(hot, [keyed[a] == hot[b] for a, b in pairs]).select(*output)
-    rest = keyed.join(hot, [keyed[a] == hot[b] for a, b in pairs], "left_anti")
-    from_cold = rest.join(cold, [rest[a] == cold[b] for a, b in pairs]).select(*output)
+    output = [*names(rows.schema.names), "_copies"]
+    from_hot = keyed.join(hot, normal).select(*output)
+    from_cold = keyed.join(hot, normal, "left_anti").join(cold, normal).select(*output)
     return from_hot.unionByName(from_cold)
 
 
 def mark_first(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (), hot_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:
-    """Add ``_first``: true on exactly one row of each key, the first in the order of the given (or all) columns.
+    """Add ``_first``: true on exactly one row of each key, the first in the order of the given and all columns.
 
     Ordinary keys are ranked in one window. A hot key is ranked in two steps: first inside the rows that came from
     the same input partition, then among those local winners, of which there is one for each partition; every other
     row keeps a window group of its own partition, so no task receives the whole key.
     """
-    ordered = [col(c).asc_nulls_first() for c in [*order, *[c for c in rows.columns if c not in order]]]
-    key_columns = [col(k) for k in keys]
-    hot, pairs = renamed(key_counts(rows, keys, "_rows").where(F.col("_rows") > hot_rows), keys, "_hot_")
-    hot = F.broadcast(hot.drop("_rows"))
+    columns = rows.schema.names
+    by, sort = listed(keys), listed(dict.fromkeys([*order, *columns]))
+    hot = F.broadcast(hot_keys(rows, keys, hot_rows)).alias("h")
+    at_hot = F.expr(all_of(f"r.{quoted(k)} <=> h.{quoted(k)}" for k in keys))
 
-    cold_rows = rows.join(hot, same_key(rows, hot, pairs), "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*key_columns).orderBy(*ordered))
-    cold_rows = cold_rows.withColumn("_first", rank == 1)
+    cold = rows.alias("r").join(hot, at_hot, "left_anti")
+    cold = cold.selectExpr("*", f"row_number() over (partition by {by} order by {sort}) = 1 as _first")
 
-    hot_rows_only = rows.join(hot, same_key(rows, hot, pairs), "left_semi").withColumn(
-        "_part", F.spark_partition_id()
+    parts = rows.alias("r").join(hot, at_hot, "left_semi").selectExpr("*", "spark_partition_id() as _part")
+    local = parts.selectExpr("*", f"row_number() over (partition by {by}, _part order by {sort}) = 1 as _local")
+    grouped = local.selectExpr("*", "if(_local, -1, _part) as _group")
+    ranked = grouped.selectExpr(
+        "*", f"_local and row_number() over (partition by {by}, _group order by {sort}, _part) = 1 as _first"
     )
-    local = F.row_number().over(Window.partitionBy(*key_columns, "_part").orderBy(*ordered))
-    winners = F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_part"))
-    among = F.row_number().over(Window.partitionBy(*key_columns, "_group").orderBy(*ordered, F.col("_part")))
-    hot_marked = (
-        hot_rows_only.withColumn("_local", local)
-        .withColumn("_group", winners)
-        .withColumn("_first", (F.col("_local") == 1) & (among == 1))
-        .drop("_local", "_group", "_part")
-    )
-    return cold_rows.unionByName(hot_marked)
+    return cold.unionByName(ranked.select(*names(columns), "_first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import col
+from tallymark.functions.text import quoted
 
 
 def foreign_key_counts(
@@ -17,24 +17,22 @@ def foreign_key_counts(
     missing default value concentrates rows, and no side is broadcast. ``null_aware`` follows SQL ``NOT IN``: one
     NULL in the referenced column means that no orphan is reported.
     """
-    used = fact.select(col(column).alias("key"), F.lit(1).alias("uses"), F.lit(0).alias("defines"))
-    known = dimension.select(col(ref_column).alias("key"), F.lit(0).alias("uses"), F.lit(1).alias("defines"))
+    used = fact.selectExpr(f"{quoted(column)} as key", "1L as uses", "0 as defines")
+    known = dimension.selectExpr(f"{quoted(ref_column)} as key", "0L as uses", "1 as defines")
     per_key = (
         used.unionByName(known)
         .groupBy("key")
-        .agg(F.sum("uses").alias("uses"), F.max("defines").alias("defined"))
+        .agg(F.expr("sum(uses) as uses"), F.expr("max(defines) as defined"))
     )
-    no_key = F.col("key").isNull()
-    orphans = F.coalesce(F.sum(F.when(~no_key & (F.col("defined") == 0), F.col("uses"))), F.lit(0))
+    orphans = "coalesce(sum(if(key is not null and defined = 0, uses, 0L)), 0L)"
     if null_aware:
-        hidden = F.count_if(no_key & (F.col("defined") == 1)) > 0
-        orphans = F.when(hidden, F.lit(0)).otherwise(orphans)
-    nulls = F.coalesce(F.sum(F.when(no_key, F.col("uses"))), F.lit(0))
-    return per_key.agg(orphans.cast("bigint").alias("orphans"), nulls.cast("bigint").alias("nulls"))
+        orphans = f"if(count_if(key is null and defined = 1) > 0, 0L, {orphans})"
+    return per_key.selectExpr(f"{orphans} as orphans", "coalesce(sum(if(key is null, uses, 0L)), 0L) as nulls")
 
 
 def orphan_rows(fact: DataFrame, column: str, dimension: DataFrame, ref_column: str) -> DataFrame:
     """Distinct orphan keys with the number of fact rows that use them."""
-    used = fact.where(col(column).isNotNull()).groupBy(col(column)).agg(F.count(F.lit(1)).alias("n_rows"))
-    known = dimension.select(col(ref_column).alias("_known")).distinct()
-    return used.join(known, used[column] == known["_known"], "left_anti")
+    key = quoted(column)
+    used = fact.where(f"{key} is not null").groupBy(key).agg(F.expr("count(1) as n_rows"))
+    known = dimension.selectExpr(f"{quoted(ref_column)} as _known").distinct()
+    return used.join(known, F.expr(f"{key} = _known"), "left_anti")

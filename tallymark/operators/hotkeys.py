@@ -1,4 +1,4 @@
-"""Splitting keys that hold very many rows from all the others.
+"""Counting keys, and splitting those with very many rows from all the others.
 
 Keys with more than ``hot_rows`` rows are found by a count with map-side combine. There can be at most
 rows / hot_rows of them, so broadcasting that list is safe at any table size (see ``session.HOT_KEY_ROWS``).
@@ -7,26 +7,17 @@ rows / hot_rows of them, so broadcasting that list is safe at any table size (se
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import col
+from tallymark.functions.text import names
 
 
 def key_counts(rows: DataFrame, keys: Sequence[str], count_name: str) -> DataFrame:
-    return rows.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(count_name))
+    return rows.groupBy(*names(keys)).agg(F.count(F.lit(1)).alias(count_name))
 
 
-def same_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Null-safe equality on all key pairs; Spark still plans it as an equi-join."""
-    tests = [left[a].eqNullSafe(right[b]) for a, b in pairs]
-    return reduce(lambda x, y: x & y, tests)
-
-
-def renamed(keyed: DataFrame, keys: Sequence[str], prefix: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Prefix the key columns so that a join with the original rows is unambiguous."""
-    pairs = [(k, f"{prefix}{k}") for k in keys]
-    rest = [col(c) for c in keyed.columns if c not in keys]
-    return keyed.select(*[col(k).alias(new) for k, new in pairs], *rest), pairs
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows, nothing else."""
+    return key_counts(rows, keys, "_rows").where(f"_rows > {hot_rows}").select(*names(keys))

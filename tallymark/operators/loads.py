@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.normalize import strip, values_equal
 from tallymark.functions.rules import broken
-from tallymark.functions.text import col, joined, quoted
+from tallymark.functions.text import aliased, all_of, case, field, joined, listed, lit, names, quoted
 from tallymark.operators.duplicates import mark_first
 from tallymark.operators.lookup import lookup
 from tallymark.operators.numbering import number_rows
@@ -29,18 +27,17 @@ DUPLICATE_KEY = "Duplicate business key"
 
 def load_direct(source: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Source to PreStaging: an exact copy."""
-    return source.select(*[col(c) for c in columns or source.columns])
+    return source.select(*names(columns or source.schema.names))
 
 
 def cleanse(rows: DataFrame, lower_case_columns: Sequence[str] = ()) -> DataFrame:
     """Trim all text and standardise its case: upper, except for the given columns (e-mail addresses)."""
-    built = []
+    built = {}
     for f in rows.schema.fields:
-        value = col(f.name)
+        built[f.name] = quoted(f.name)
         if isinstance(f.dataType, T.StringType):
-            value = (F.lower if f.name in lower_case_columns else F.upper)(strip(value))
-        built.append(value.alias(f.name))
-    return rows.select(*built)
+            built[f.name] = f"{'lower' if f.name in lower_case_columns else 'upper'}({strip(quoted(f.name))})"
+    return rows.selectExpr(*aliased(built))
 
 
 def load_staging(rows: DataFrame, table: TableSpec, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
@@ -49,52 +46,47 @@ def load_staging(rows: DataFrame, table: TableSpec, hot_rows: int = HOT_KEY_ROWS
     Of several rows with one key, the first row that breaks no rule is accepted.
     """
     clean = cleanse(rows, table.lower_case_columns)
-    reasons = [F.when(col(c).isNull(), F.lit(f"{c} is missing")) for c in table.not_null_columns]
-    reasons += [F.when(broken(r, clean.schema), F.lit(r.text)) for r in table.transformations]
-    judged = clean.withColumn("_bad", joined("; ", reasons) if reasons else F.lit(""))
-    judged = judged.withColumn("_is_bad", F.col("_bad") != "")
+    problems = [(f"{quoted(c)} is null", f"{c} is missing") for c in table.not_null_columns]
+    problems += [(broken(r, clean.schema), r.text) for r in table.transformations]
+    reasons = [case([(condition, lit(text))]) for condition, text in problems]
+    judged = clean.selectExpr("*", f"{joined('; ', reasons)} as _bad").selectExpr("*", "_bad != '' as _is_bad")
     marked = mark_first(judged, table.key, ["_is_bad"], hot_rows)
-    bad = F.when(F.col("_bad") != "", F.col("_bad"))
-    reason = joined("; ", [bad, F.when(~F.col("_first"), F.lit(DUPLICATE_KEY))])
-    return marked.select(
-        *[col(c) for c in clean.columns],
-        F.when(reason == "", 1).otherwise(0).alias(VALID),
-        F.nullif(reason, F.lit("")).alias(REASON),
+    reason = joined("; ", ["nullif(_bad, '')", f"if(_first, null, {lit(DUPLICATE_KEY)})"])
+    return marked.selectExpr(
+        *names(clean.schema.names), f"if({reason} = '', 1, 0) as {VALID}", f"nullif({reason}, '') as {REASON}"
     )
 
 
 def _largest(dimension: DataFrame, column: str) -> int:
-    return dimension.agg(F.max(col(column))).first()[0] or 0
+    return dimension.selectExpr(f"max({quoted(column)}) as n").first()["n"] or 0
 
 
-def _key_order(keys: Sequence[str]) -> list[Column]:
-    return [col(k).asc_nulls_first() for k in keys]
+def _from_row(side: str, columns: Sequence[str]) -> dict[str, str]:
+    return {c: field(f"{side}_row", c) for c in columns}
 
 
 def load_scd1(
     current: DataFrame | None, incoming: DataFrame, keys: Sequence[str], surrogate_key: str
 ) -> DataFrame:
     """Type-1 dimension: the latest value overwrites, one row for each key; new keys get new surrogate keys."""
-    columns = incoming.columns
+    columns = incoming.schema.names
+    output = names([surrogate_key, *columns])
     if current is None:
-        firsts = _first_versions(incoming, keys)
-        return number_rows(firsts, _key_order(keys), surrogate_key).select(surrogate_key, *map(col, columns))
+        return number_rows(_first_versions(incoming, keys), keys, surrogate_key).select(*output)
     pairs = pair_by_key(current, incoming, keys, columns)
-    latest = [
-        F.when(F.col("n_target") > 0, F.col("target_row")[c]).otherwise(F.col("source_row")[c]).alias(c)
-        for c in columns
-    ]
-    known = pairs.where(F.col("n_source") > 0).select(F.col("source_row")[surrogate_key].alias(surrogate_key), *latest)
-    fresh = pairs.where(F.col("n_source") == 0).select(*[F.col("target_row")[c].alias(c) for c in columns])
-    numbered = number_rows(fresh, _key_order(keys), surrogate_key, _largest(current, surrogate_key))
+    latest = {
+        c: f"if(n_target > 0, {field('target_row', c)}, {field('source_row', c)})" for c in columns
+    }
+    known = pairs.where("n_source > 0").selectExpr(*aliased({**_from_row("source", [surrogate_key]), **latest}))
+    fresh = pairs.where("n_source = 0").selectExpr(*aliased(_from_row("target", columns)))
+    numbered = number_rows(fresh, keys, surrogate_key, _largest(current, surrogate_key))
     return known.unionByName(numbered)
 
 
 def _first_versions(incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row for each key."""
-    first = incoming.groupBy(*[col(k).alias(f"__{k}") for k in keys]).agg(
-        F.min(F.struct(*[col(c) for c in incoming.columns])).alias("row")
-    )
+    by = [F.expr(f"{quoted(k)} as {quoted('__' + k)}") for k in keys]
+    first = incoming.groupBy(*by).agg(F.expr(f"min(struct({listed(incoming.schema.names)})) as row"))
     return first.select("row.*")
 
 
@@ -105,40 +97,35 @@ def load_scd2(
 
     Only the current versions take part in the join. A key that is absent from the incoming rows stays current.
     """
-    columns = incoming.columns
+    columns = incoming.schema.names
     output = [surrogate_key, *columns, CURRENT, EFFECTIVE, EXPIRY]
-    valid_from = F.lit(effective).cast("timestamp")
-    never = F.lit(None).cast("timestamp")
+    valid_from = f"timestamp'{effective.isoformat(sep=' ')}'"
 
     def new_versions(rows: DataFrame, start: int) -> DataFrame:
-        numbered = number_rows(rows, _key_order(keys), surrogate_key, start)
-        versions = {CURRENT: F.lit(1), EFFECTIVE: valid_from, EXPIRY: never}
-        return numbered.withColumns(versions).select(*map(col, output))
+        version = {CURRENT: "1", EFFECTIVE: valid_from, EXPIRY: "cast(null as timestamp)"}
+        numbered = number_rows(rows, keys, surrogate_key, start)
+        return numbered.selectExpr("*", *aliased(version)).select(*names(output))
 
     if current is None:
         return new_versions(_first_versions(incoming, keys), 0)
 
-    history = current.where(~F.col(CURRENT).eqNullSafe(1)).select(*map(col, output))
-    active = current.where(F.col(CURRENT) == 1)
-    pairs = pair_by_key(active, incoming, keys, columns)
-    compared = [c for c in columns if c not in keys]
-    differs = [
-        ~values_equal(
-            F.col("source_row")[c], active.schema[c].dataType, F.col("target_row")[c], incoming.schema[c].dataType
+    history = current.where(f"not ({CURRENT} <=> 1)").select(*names(output))
+    active = current.where(f"{CURRENT} = 1")
+    same = [
+        values_equal(
+            field("source_row", c), active.schema[c].dataType, field("target_row", c), incoming.schema[c].dataType
         )
-        for c in compared
+        for c in columns
+        if c not in keys
     ]
-    changed = (F.col("n_source") > 0) & (F.col("n_target") > 0) & reduce(or_, differs, F.lit(False))
-    pairs = pairs.withColumn("changed", changed)
-
-    old = pairs.where(F.col("n_source") > 0)
-    kept = {c: F.col("source_row")[c] for c in output}
-    kept[CURRENT] = F.when(F.col("changed"), 0).otherwise(kept[CURRENT])
-    kept[EXPIRY] = F.when(F.col("changed"), valid_from).otherwise(kept[EXPIRY])
-    previous = old.select(*[value.alias(c) for c, value in kept.items()])
-
-    fresh = pairs.where(F.col("changed") | (F.col("n_source") == 0))
-    fresh = fresh.select(*[F.col("target_row")[c].alias(c) for c in columns])
+    changed = f"n_source > 0 and n_target > 0 and not ({all_of(same)})"
+    pairs = pair_by_key(active, incoming, keys, columns).selectExpr("*", f"{changed} as changed")
+
+    kept = _from_row("source", output)
+    kept[CURRENT] = f"if(changed, 0, {kept[CURRENT]})"
+    kept[EXPIRY] = f"if(changed, {valid_from}, {kept[EXPIRY]})"
+    previous = pairs.where("n_source > 0").selectExpr(*aliased(kept))
+    fresh = pairs.where("changed or n_source = 0").selectExpr(*aliased(_from_row("target", columns)))
     versions = new_versions(fresh, _largest(current, surrogate_key))
     return history.unionByName(previous).unionByName(versions)
 
@@ -222,8 +209,8 @@ def _load_warehouse_table(
             )
             for spec in table.lookups
         }
-        kept = dict.fromkeys([*table.expected_columns, *[s.key for s in table.lookups if s.key in rows.columns]])
-        return load_fact(rows.select(*[F.col(quoted(c)) for c in kept]), table.lookups, dimensions)
+        kept = dict.fromkeys([*table.expected_columns, *[s.key for s in table.lookups if s.key in rows.schema.names]])
+        return load_fact(rows.select(*names(kept)), table.lookups, dimensions)
     current = previous.table(layer.target_db, table.target_table) if previous else None
     if table.dim_type == "Type2":
         return load_scd2(current, rows, table.key, table.surrogate_key, effective)

@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import col
-from tallymark.operators.hotkeys import key_counts
+from tallymark.functions.text import names, quoted
+from tallymark.operators.hotkeys import hot_keys
 from tallymark.session import HOT_KEY_ROWS
 
 
@@ -28,22 +28,23 @@ def lookup(
     so that they do not meet in one task. Spark itself turns that join into a broadcast one when the
     reference is small enough.
     """
-    reference = reference.select(col(ref_key).alias("_ref"), *[col(c).alias(f"_v_{new}") for new, c in take.items()])
-    present = rows.where(col(key).isNotNull())
-    hot_keys = key_counts(present, [key], "_rows").where(F.col("_rows") > hot_rows).select(col(key).alias("_hot"))
-    hot_reference = reference.join(F.broadcast(hot_keys), F.col("_ref") == F.col("_hot"), "left_semi")
-    hot = hot_keys.join(F.broadcast(hot_reference), F.col("_hot") == F.col("_ref"), "left").select(
-        "_hot", *[F.col(f"_v_{new}").alias(f"_h_{new}") for new in take]
-    )
-    served = rows.join(F.broadcast(hot), rows[key] == hot["_hot"], "left")
-    open_key = F.when(F.col("_hot").isNull(), col(key))
-    salt = F.when(open_key.isNull(), F.spark_partition_id() + 1).otherwise(F.lit(0))
-    salted = served.withColumn("_open", open_key).withColumn("_salt", salt)
-    reference = reference.withColumn("_ref_salt", F.lit(0))
-    found = salted.join(
-        reference, (salted["_open"] == reference["_ref"]) & (salted["_salt"] == reference["_ref_salt"]), "left"
+    k = quoted(key)
+    values = [f"{quoted(c)} as {quoted(f'_v_{new}')}" for new, c in take.items()]
+    reference = reference.selectExpr(f"{quoted(ref_key)} as _ref", *values)
+
+    hot = hot_keys(rows.where(f"{k} is not null"), [key], hot_rows).selectExpr(f"{k} as _hot")
+    hot_reference = reference.join(F.broadcast(hot), F.expr("_ref = _hot"), "left_semi")
+    hot_values = [f"{quoted(f'_v_{new}')} as {quoted(f'_h_{new}')}" for new in take]
+    hot = hot.join(F.broadcast(hot_reference), F.expr("_hot = _ref"), "left").selectExpr("_hot", *hot_values)
+
+    served = rows.join(F.broadcast(hot), F.expr(f"{k} = _hot"), "left")
+    salted = served.selectExpr(
+        "*",
+        f"if(_hot is null, {k}, null) as _open",
+        f"if(_hot is null and {k} is not null, 0, spark_partition_id() + 1) as _salt",
     )
-    return found.select(
-        *[salted[c] for c in rows.columns],
-        *[F.coalesce(F.col(f"_h_{new}"), F.col(f"_v_{new}")).alias(new) for new in take],
+    found = salted.join(reference.selectExpr("*", "0 as _ref_salt"), F.expr("_open = _ref and _salt = _ref_salt"), "left")
+    return found.selectExpr(
+        *names(rows.schema.names),
+        *[f"coalesce({quoted(f'_h_{new}')}, {quoted(f'_v_{new}')}) as {quoted(new)}" for new in take],
     )

@@ -4,32 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tallymark.functions.text import names, quoted
 from tallymark.session import checkpointed
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
-def number_rows(rows: DataFrame, order: Sequence[Column], name: str, start: int = 0) -> DataFrame:
-    """Add ``start + 1, start + 2, ...`` in the given order.
+def number_rows(rows: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """Add ``start + 1, start + 2, ...`` in the order of the given columns.
 
     A distributed sort gives each row its place inside its partition; the partition sizes, one row for each
     partition, are summed up and added. The sorted rows are checkpointed, so that sizes and rows belong to the same
     partitioning even when a task is repeated.
     """
-    placed = checkpointed(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("_place"), _PART_BITS)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sized = checkpointed(rows.orderBy(*names(order)).selectExpr("*", "monotonically_increasing_id() as __place"))
+    placed = sized.selectExpr("*", f"shiftright(__place, {_PART_BITS}) as __part")
     offsets = (
-        placed.groupBy(part.alias("_part"))
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    )
-    place = F.col("_place").bitwiseAND(F.lit((1 << _PART_BITS) - 1))
-    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return numbered.select(
-        *[F.col(f"`{c}`") for c in rows.columns], (place + F.col("_before") + F.lit(start + 1)).alias(name)
+        placed.groupBy("__part")
+        .count()
+        .selectExpr(
+            "__part",
+            "coalesce(sum(count) over (order by __part rows between unbounded preceding and 1 preceding), 0) as __before",
+        )
     )
+    number = f"(__place & {(1 << _PART_BITS) - 1}L) + __before + {start + 1} as {quoted(name)}"
+    return placed.join(F.broadcast(offsets), "__part").selectExpr(*names(rows.schema.names), number)

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.normalize import key_column
-from tallymark.functions.text import col
+from tallymark.functions.normalize import key_value
+from tallymark.functions.text import listed, names, quoted
 
 KEY_PREFIX = "__key_"
 
@@ -17,17 +17,12 @@ def key_names(keys: Sequence[str]) -> list[str]:
     return [f"{KEY_PREFIX}{k}" for k in keys]
 
 
-def with_normalised_keys(rows: DataFrame, keys: Sequence[str], other: DataFrame | None = None) -> DataFrame:
-    other_schema = (other or rows).schema
-    built = [
-        key_column(col(k), rows.schema[k].dataType, other_schema[k].dataType).alias(f"{KEY_PREFIX}{k}") for k in keys
+def normalised_keys(rows: DataFrame, keys: Sequence[str], other: DataFrame | None = None) -> list[str]:
+    """Select list of the normalised keys, of one type for both tables."""
+    mine, theirs = rows.schema, (rows if other is None else other).schema
+    return [
+        f"{key_value(quoted(k), mine[k].dataType, theirs[k].dataType)} as {quoted(KEY_PREFIX + k)}" for k in keys
     ]
-    return rows.select("*", *built)
-
-
-def first_row_order(columns: Sequence[str], first: Sequence[str]) -> list[str]:
-    """Order in which columns decide which row of a key comes first: the compared ones, then the rest."""
-    return list(dict.fromkeys([*[c for c in first if c in columns], *columns]))
 
 
 def pair_by_key(
@@ -41,17 +36,15 @@ def pair_by_key(
     A NULL key is a group of its own, as in a null-safe full outer join.
     """
     tagged = []
-    for name, rows, other in (("source", source, target), ("target", target, source)):
-        built = [
-            key_column(col(k), rows.schema[k].dataType, other.schema[k].dataType).alias(f"{KEY_PREFIX}{k}")
-            for k in keys
-        ]
-        ordered = first_row_order(rows.columns, [*order_columns, *keys])
-        tagged.append(rows.select(*built, F.struct(*[col(c) for c in ordered]).alias(f"{name}_row")))
+    for side, rows, other in (("source", source, target), ("target", target, source)):
+        present = rows.schema.names
+        ordered = dict.fromkeys([*[c for c in order_columns if c in present], *keys, *present])
+        row = f"struct({listed(ordered)}) as {side}_row"
+        tagged.append(rows.selectExpr(*normalised_keys(rows, keys, other), row))
     both = tagged[0].unionByName(tagged[1], allowMissingColumns=True)
-    return both.groupBy(*key_names(keys)).agg(
-        F.count("source_row").alias("n_source"),
-        F.count("target_row").alias("n_target"),
-        F.min("source_row").alias("source_row"),
-        F.min("target_row").alias("target_row"),
+    return both.groupBy(*names(key_names(keys))).agg(
+        F.expr("count(source_row) as n_source"),
+        F.expr("count(target_row) as n_target"),
+        F.expr("min(source_row) as source_row"),
+        F.expr("min(target_row) as target_row"),
     )

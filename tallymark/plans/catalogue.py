@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark import fixed_values as fixed
+from tallymark.functions.text import lit, names
 from tallymark.plans import checks
+from tallymark.sources.literal import literal_rows
 from tallymark.spec import LayerSpec, PipelineSpec, TableSpec
 
 BASE_CHECKS = (checks.METADATA, checks.COUNT, checks.DUPLICATE, checks.NULL, checks.CONSTRAINT)
@@ -62,14 +64,14 @@ def check_catalogue(spark: SparkSession, pipeline: PipelineSpec) -> DataFrame:
     rows = []
     for layer in pipeline.layers.values():
         for table in layer.tables.values():
-            names = {
+            lists = {
                 "keys": ", ".join(table.key),
                 "not_null": ", ".join(table.not_null_columns),
                 "compare": ", ".join(table.compare_columns),
                 "rules": ", ".join(r.column for r in table.transformations),
             }
             filled = {
-                **names,
+                **lists,
                 "source": table.source_table,
                 "target": table.target_table,
                 "rules": "; ".join(f"{r.column} ({r.description})" for r in table.transformations),
@@ -82,7 +84,7 @@ def check_catalogue(spark: SparkSession, pipeline: PipelineSpec) -> DataFrame:
                         f"TC_{code}_{table.name[:3].upper()}_{number:03d}",
                         layer.name,
                         table.name,
-                        names[columns],
+                        lists[columns],
                         kind,
                         description.format(**filled),
                         fixed.PRECONDITION,
@@ -93,23 +95,24 @@ def check_catalogue(spark: SparkSession, pipeline: PipelineSpec) -> DataFrame:
                         list(tags_of(layer, table, check)),
                     )
                 )
-    strings = ", ".join(f"`{c}` string" for c in fixed.CATALOGUE_COLUMNS)
-    return spark.createDataFrame(rows, f"{strings}, tags array<string>")
+    types = {**dict.fromkeys(fixed.CATALOGUE_COLUMNS, "string"), "tags": "array<string>"}
+    return literal_rows(spark, types, rows)
 
 
 def select_by_tags(catalogue: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Mark each case RUN when it carries any of the wanted tags, SKIP (with the reason) otherwise."""
-    chosen = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in wanted]))
-    reason = fixed.SKIPPED_BY_SELECTION.format(only=" or ".join(wanted))
-    return catalogue.withColumn("action", F.when(chosen, "RUN").otherwise("SKIP")).withColumn(
-        "reason", F.when(~chosen, F.lit(reason))
+    chosen = f"arrays_overlap(tags, array({', '.join(lit(t) for t in wanted)}))"
+    reason = lit(fixed.SKIPPED_BY_SELECTION.format(only=" or ".join(wanted)))
+    return catalogue.selectExpr(
+        "*", f"if({chosen}, 'RUN', 'SKIP') as action", f"if({chosen}, null, {reason}) as reason"
     )
 
 
 def first_cases(catalogue: DataFrame) -> DataFrame:
     """One case for each (layer, table, validation): the one with the smallest id."""
-    others = [c for c in catalogue.columns if c != "TestCaseID"]
+    columns = catalogue.schema.names
+    ordered = ", ".join(names(["TestCaseID", *[c for c in columns if c != "TestCaseID"]]))
     first = catalogue.groupBy("Layer", "Table", "Suggested Validation").agg(
-        F.min(F.struct("TestCaseID", *[F.col(f"`{c}`") for c in others])).alias("first")
+        F.expr(f"min(struct({ordered})) as first")
     )
-    return first.select("first.*").select(*[F.col(f"`{c}`") for c in catalogue.columns])
+    return first.select("first.*").select(*names(columns))

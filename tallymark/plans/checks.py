@@ -7,15 +7,14 @@ up through a union and turned into result rows, so nothing is collected and no t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tallymark.functions.rules import broken
-from tallymark.functions.text import col, joined, python_list
+from tallymark.functions.text import all_of, case, concat, filled, joined, lit, names, python_list, quoted
 from tallymark.operators.compare import Comparison, compare
 from tallymark.operators.duplicates import duplicate_keys
 from tallymark.operators.foreign_keys import foreign_key_counts
@@ -37,14 +36,21 @@ COLUMN_VALUES = "ColumnValues_Check"
 COMPARISONS = (DIRECT_MOVE, INTEGRITY, COLUMN_VALUES)
 CATEGORIES = {TRANSFORMATION: "transformation", FOREIGN_KEY: "foreign_key", COLUMN_VALUES: "value_check"}
 
-RESULT_COLUMNS = [
-    "timestamp", "layer", "table", "validation", "category", "status", "message", "source_value", "target_value",
-    "metrics", "duration",
-]
-RESULT_SCHEMA = (
-    "timestamp timestamp, layer string, `table` string, validation string, category string, status string, "
-    "message string, source_value string, target_value string, metrics map<string,bigint>, duration double"
-)
+RESULT_TYPES = {
+    "timestamp": "timestamp",
+    "layer": "string",
+    "table": "string",
+    "validation": "string",
+    "category": "string",
+    "status": "string",
+    "message": "string",
+    "source_value": "string",
+    "target_value": "string",
+    "metrics": "map<string,bigint>",
+    "duration": "double",
+    "seq": "int",
+}
+RESULT_SCHEMA = ", ".join(f"{quoted(c)} {t}" for c, t in RESULT_TYPES.items())
 
 
 @dataclass
@@ -85,14 +91,21 @@ class CheckContext:
             )
         return self._comparisons[check]
 
+    def comparisons(self) -> list[str]:
+        """The checks that have compared the table so far."""
+        return list(self._comparisons)
+
 
 class Measures:
-    """Collects the measures of the requested checks and runs each kind of them once."""
+    """Collects the measures of the requested checks and runs each kind of them once.
+
+    A measure is asked for by name and answered with the column that will hold it.
+    """
 
     def __init__(self, ctx: CheckContext) -> None:
         self.ctx = ctx
         self._names: dict[str, str] = {}
-        self._target: dict[str, Column] = {}  # row-level conditions under the target filter
+        self._target: dict[str, str] = {}  # row-level conditions under the target filter
         self._target_total: str | None = None
         self._frames: list[DataFrame] = []
 
@@ -100,41 +113,41 @@ class Measures:
         known = measure in self._names
         return self._names.setdefault(measure, f"m{len(self._names)}"), known
 
-    def source_count(self) -> Column:
+    def source_count(self) -> str:
         name, known = self._slot("source")
         if not known:
-            self._frames.append(self.ctx.side("source", counting=True).agg(F.count(F.lit(1)).alias(name)))
-        return F.col(name)
+            self._frames.append(self.ctx.side("source", counting=True).selectExpr(f"count(1) as {name}"))
+        return name
 
-    def target_count(self) -> Column:
+    def target_count(self) -> str:
         self._target_total, _ = self._slot("target")
-        return F.col(self._target_total)
+        return self._target_total
 
-    def target_rows(self, measure: str, condition: Column) -> Column:
+    def target_rows(self, measure: str, condition: str) -> str:
         name, _ = self._slot(measure)
         self._target[name] = condition
-        return F.col(name)
+        return name
 
-    def nulls(self, column: str) -> Column:
-        return self.target_rows(f"null:{column}", col(column).isNull())
+    def nulls(self, column: str) -> str:
+        return self.target_rows(f"null:{column}", f"{quoted(column)} is null")
 
-    def duplicate_groups(self) -> Column:
+    def duplicate_groups(self) -> str:
         name, known = self._slot("duplicate_groups")
         if not known:
             keys = self.ctx.table.key
             groups = duplicate_keys(self.ctx.side("target", keys), keys)
-            self._frames.append(groups.agg(F.count(F.lit(1)).alias(name)))
-        return F.col(name)
+            self._frames.append(groups.selectExpr(f"count(1) as {name}"))
+        return name
 
-    def comparison(self, check: str) -> dict[str, Column]:
+    def comparison(self, check: str) -> dict[str, str]:
         parts = ("diffs", "missing_in_target", "missing_in_source", "duplicates")
         slots = {part: self._slot(f"{check}:{part}") for part in parts}
         if not slots["diffs"][1]:
             summary = self.ctx.comparison(check).summary()
-            self._frames.append(summary.select(*[F.col(p).alias(name) for p, (name, _) in slots.items()]))
-        return {part: F.col(name) for part, (name, _) in slots.items()}
+            self._frames.append(summary.selectExpr(*[f"{part} as {name}" for part, (name, _) in slots.items()]))
+        return {part: name for part, (name, _) in slots.items()}
 
-    def foreign_key(self, index: int) -> tuple[Column, Column]:
+    def foreign_key(self, index: int) -> tuple[str, str]:
         spec, layer = self.ctx.table.foreign_keys[index], self.ctx.layer
         (orphans, known), (nulls, _) = self._slot(f"orphans:{index}"), self._slot(f"fk_nulls:{index}")
         if not known:
@@ -145,22 +158,23 @@ class Measures:
                 spec.ref_column,
                 spec.null_aware,
             )
-            self._frames.append(counts.select(F.col("orphans").alias(orphans), F.col("nulls").alias(nulls)))
-        return F.col(orphans), F.col(nulls)
+            self._frames.append(counts.selectExpr(f"orphans as {orphans}", f"nulls as {nulls}"))
+        return orphans, nulls
 
     def _target_frame(self) -> DataFrame | None:
         if not self._target and self._target_total is None:
             return None
         filters, table = self.ctx.layer.filters(self.ctx.table), self.ctx.table
         same = self._target_total is None or filters.target == filters.count_target
-        where = filters.target if same else None
-        rows = self.ctx.store.read_table(self.ctx.layer.target_db, table.target_table, where=where)
-        accepted = F.lit(True) if same or not filters.target else F.expr(filters.target)
-        total_filter = F.lit(True) if same or not filters.count_target else F.expr(filters.count_target)
-        measures = [F.count_if(accepted & condition).alias(name) for name, condition in self._target.items()]
+        rows = self.ctx.store.read_table(
+            self.ctx.layer.target_db, table.target_table, where=filters.target if same else None
+        )
+        accepted = "true" if same or not filters.target else filters.target
+        counted = "true" if same or not filters.count_target else filters.count_target
+        measures = [f"count_if({all_of([accepted, condition])}) as {name}" for name, condition in self._target.items()]
         if self._target_total is not None:
-            measures.append(F.count_if(total_filter).alias(self._target_total))
-        return rows.agg(*measures)
+            measures.append(f"count_if({counted}) as {self._target_total}")
+        return rows.selectExpr(*measures)
 
     def one_row(self) -> DataFrame:
         target = self._target_frame()
@@ -170,14 +184,16 @@ class Measures:
         if len(frames) == 1:
             return frames[0]
         both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        return both.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in self._names.values()])
+        return both.selectExpr(*[f"coalesce(sum({n}), 0L) as {n}" for n in self._names.values()])
 
 
 @dataclass(frozen=True)
 class Outcome:
-    passed: Column
-    message: Column
-    metrics: dict[str, Column] = field(default_factory=dict)
+    """Condition, message and metrics of a check, as SQL expressions over the measures."""
+
+    passed: str
+    message: str
+    metrics: dict[str, str] = field(default_factory=dict)
 
 
 CheckBuilder = Callable[[CheckContext, Measures], Outcome]
@@ -185,27 +201,21 @@ _CHECKS: dict[str, CheckBuilder] = {}
 
 
 def register_check(name: str, builder: CheckBuilder) -> None:
-    """Add a check of your own: it names its measures and returns pass flag, message and metrics as Columns."""
+    """Add a check of your own: it asks for measures and returns pass condition, message and metrics."""
     _CHECKS[name] = builder
 
 
-def _choose(passed: Column, good: str | Column, bad: Column) -> Column:
-    return F.when(passed, F.lit(good) if isinstance(good, str) else good).otherwise(bad)
+def _choose(passed: str, good: str, bad: str) -> str:
+    return f"if({passed}, {lit(good)}, {bad})"
 
 
-def _no_problem(counts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [c == 0 for c in counts], F.lit(True))
+def _no_problem(counts: Iterable[str]) -> str:
+    return all_of(f"{n} = 0" for n in counts)
 
 
-def _text(template: str, **values: Column) -> Column:
-    """``{name}`` placeholders filled with number columns."""
-    parts: list[Column] = []
-    rest = template
-    while "{" in rest:
-        before, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        parts += [F.lit(before), values[name].cast("string")]
-    return F.concat(*parts, F.lit(rest))
+def _problem(count: str, template: str) -> str:
+    """The text when the count is not zero, otherwise NULL."""
+    return case([(f"{count} > 0", filled(template, n=count))])
 
 
 def _metadata(ctx: CheckContext, m: Measures) -> Outcome:
@@ -220,34 +230,35 @@ def _metadata(ctx: CheckContext, m: Measures) -> Outcome:
     else:
         message = f"missing in source={python_list(absent_source)}, missing in target={python_list(absent_target)}"
     sizes = {"missing_source_columns": len(absent_source), "missing_target_columns": len(absent_target)}
-    return Outcome(F.lit(passed), F.lit(message), {k: F.lit(v) for k, v in sizes.items()})
+    return Outcome(str(passed).lower(), lit(message), {k: str(v) for k, v in sizes.items()})
 
 
 def _count(ctx: CheckContext, m: Measures) -> Outcome:
-    source, target = m.source_count(), m.target_count()
-    message = _text("source={s}, target={t}, diff={d}", s=source, t=target, d=source - target)
-    return Outcome(source == target, message, {"source": source, "target": target})
+    s, t = m.source_count(), m.target_count()
+    message = filled("source={s}, target={t}, diff={d}", s=s, t=t, d=f"{s} - {t}")
+    return Outcome(f"{s} = {t}", message, {"source": s, "target": t})
 
 
 def _duplicate(ctx: CheckContext, m: Measures) -> Outcome:
     groups = m.duplicate_groups()
-    found = _text(f"{{n}} duplicate key group(s) on {python_list(ctx.table.key)}", n=groups)
-    return Outcome(groups == 0, _choose(groups == 0, "no duplicate keys", found), {"duplicate_groups": groups})
+    passed = f"{groups} = 0"
+    found = filled(f"{{n}} duplicate key group(s) on {python_list(ctx.table.key)}", n=groups)
+    return Outcome(passed, _choose(passed, "no duplicate keys", found), {"duplicate_groups": groups})
 
 
 def _null(ctx: CheckContext, m: Measures) -> Outcome:
     counts = {c: m.nulls(c) for c in ctx.table.not_null_columns}
-    passed = _no_problem(list(counts.values()))
-    found = joined(", ", [F.when(n > 0, _text(f"{c}={{n}}", n=n)) for c, n in counts.items()])
-    message = _choose(passed, "no nulls in required columns", F.concat(F.lit("nulls found -> "), found))
+    passed = _no_problem(counts.values())
+    found = joined(", ", [_problem(n, f"{c}={{n}}") for c, n in counts.items()])
+    message = _choose(passed, "no nulls in required columns", concat(lit("nulls found -> "), found))
     return Outcome(passed, message, counts)
 
 
 def _constraint(ctx: CheckContext, m: Measures) -> Outcome:
     nulls, groups = {k: m.nulls(k) for k in ctx.table.key}, m.duplicate_groups()
     passed = _no_problem([*nulls.values(), groups])
-    problems = [F.when(n > 0, _text(f"{k} has {{n}} null(s)", n=n)) for k, n in nulls.items()]
-    problems.append(F.when(groups > 0, _text("{n} duplicate key group(s)", n=groups)))
+    problems = [_problem(n, f"{k} has {{n}} null(s)") for k, n in nulls.items()]
+    problems.append(_problem(groups, "{n} duplicate key group(s)"))
     message = _choose(passed, "key constraints OK (unique + not null)", joined("; ", problems))
     return Outcome(passed, message, {**nulls, "duplicate_groups": groups})
 
@@ -259,7 +270,7 @@ def _exact_match(check: str) -> CheckBuilder:
             "diffs={diffs}, missing_in_target={missing_in_target}, "
             "missing_in_source={missing_in_source}, duplicates={duplicates}"
         )
-        return Outcome(_no_problem(list(parts.values())), _text(template, **parts), parts)
+        return Outcome(_no_problem(parts.values()), filled(template, **parts), parts)
 
     return build
 
@@ -272,40 +283,35 @@ def _integrity(ctx: CheckContext, m: Measures) -> Outcome:
         "diffs={diffs}, orphan_target={missing_in_source}, duplicates={duplicates}, "
         "missing_in_target={missing_in_target}" + (" (tolerated)" if tolerated else "")
     )
-    return Outcome(_no_problem(judged), _text(template, **parts), parts)
+    return Outcome(_no_problem(judged), filled(template, **parts), parts)
 
 
 def _transformation(ctx: CheckContext, m: Measures) -> Outcome:
     rules = ctx.table.transformations
     if not rules:
-        return Outcome(F.lit(True), F.lit("no transformation rules configured"))
+        return Outcome("true", lit("no transformation rules configured"))
     schema = ctx.store.table(ctx.layer.target_db, ctx.table.target_table).schema
     counts = [m.target_rows(f"rule:{i}", broken(r, schema)) for i, r in enumerate(rules)]
     passed = _no_problem(counts)
-    found = [F.when(n > 0, _text(f"{r.column}[{r.rule}]={{n}}", n=n)) for r, n in zip(rules, counts)]
+    found = [_problem(n, f"{r.column}[{r.rule}]={{n}}") for r, n in zip(rules, counts)]
     listed = "; ".join(f"{r.column}:{r.rule}" for r in rules)
-    message = _choose(
-        passed, f"all rules passed ({listed})", F.concat(F.lit("rule breaks -> "), joined(", ", found))
-    )
-    return Outcome(passed, message, {f"{i + 1}:{r.column}[{r.rule}]": n for i, (r, n) in enumerate(zip(rules, counts))})
+    message = _choose(passed, f"all rules passed ({listed})", concat(lit("rule breaks -> "), joined(", ", found)))
+    metrics = {f"{i}:{r.column}[{r.rule}]": n for i, (r, n) in enumerate(zip(rules, counts), start=1)}
+    return Outcome(passed, message, metrics)
 
 
 def _foreign_key(ctx: CheckContext, m: Measures) -> Outcome:
-    keys = ctx.table.foreign_keys
-    problems, judged, metrics = [], [], {}
-    for i, fk in enumerate(keys):
+    problems, metrics = [], {}
+    for i, fk in enumerate(ctx.table.foreign_keys):
         orphans, nulls = m.foreign_key(i)
-        problems.append(F.when(orphans > 0, _text(f"{fk.column}: {{n}} orphan(s) not in {fk.ref_table}", n=orphans)))
-        judged.append(orphans)
+        problems.append(_problem(orphans, f"{fk.column}: {{n}} orphan(s) not in {fk.ref_table}"))
         metrics[f"{fk.column}:orphans"] = orphans
         if not fk.allow_null:
-            problems.append(F.when(nulls > 0, _text(f"{fk.column}: {{n}} null(s)", n=nulls)))
-            judged.append(nulls)
+            problems.append(_problem(nulls, f"{fk.column}: {{n}} null(s)"))
             metrics[f"{fk.column}:nulls"] = nulls
-    passed = _no_problem(judged)
-    good = f"all foreign keys valid ({', '.join(fk.column for fk in keys)})"
-    message = _choose(passed, good, F.concat(F.lit("FK problems -> "), joined("; ", problems)))
-    return Outcome(passed, message, metrics)
+    passed = _no_problem(metrics.values())
+    good = f"all foreign keys valid ({', '.join(fk.column for fk in ctx.table.foreign_keys)})"
+    return Outcome(passed, _choose(passed, good, concat(lit("FK problems -> "), joined("; ", problems))), metrics)
 
 
 register_check(METADATA, _metadata)
@@ -320,31 +326,31 @@ register_check(FOREIGN_KEY, _foreign_key)
 register_check(COLUMN_VALUES, _exact_match(COLUMN_VALUES))
 
 
-def check_results(ctx: CheckContext, checks: Sequence[str]) -> DataFrame:
-    """Result rows of the given checks of one table, in order, from one plan."""
+def check_results(ctx: CheckContext, checks: Sequence[str], seqs: Iterable[int] | None = None) -> DataFrame:
+    """Result rows of the given checks of one table from one plan; ``seq`` numbers them (0, 1, ... by default)."""
     measures = Measures(ctx)
     rows = []
-    for name in checks:
+    for seq, name in zip(range(len(checks)) if seqs is None else seqs, checks):
         if name not in _CHECKS:
             raise ValueError(f"Unknown check '{name}'. Known checks: {list(_CHECKS)}")
         outcome = _CHECKS[name](ctx, measures)
-        entries = [part for key, n in outcome.metrics.items() for part in (F.lit(key), n.cast("bigint"))]
-        metrics = F.create_map(*entries) if entries else F.lit(None)
+        metrics = ", ".join(f"{lit(key)}, cast({n} as bigint)" for key, n in outcome.metrics.items())
         built = {
-            "layer": F.lit(ctx.layer.name),
-            "table": F.lit(ctx.table.name),
-            "validation": F.lit(name),
-            "category": F.lit(CATEGORIES.get(name, "basic")),
-            "status": F.when(outcome.passed, "PASS").otherwise("FAIL"),
+            "layer": lit(ctx.layer.name),
+            "table": lit(ctx.table.name),
+            "validation": lit(name),
+            "category": lit(CATEGORIES.get(name, "basic")),
+            "status": f"if({outcome.passed}, 'PASS', 'FAIL')",
             "message": outcome.message,
-            "source_value": F.lit(None).cast("string"),
-            "target_value": F.lit(None).cast("string"),
-            "metrics": metrics.cast("map<string,bigint>"),
-            "duration": F.lit(None).cast("double"),
+            "source_value": "cast(null as string)",
+            "target_value": "cast(null as string)",
+            "metrics": f"map({metrics})" if metrics else "cast(null as map<string,bigint>)",
+            "duration": "cast(null as double)",
+            "seq": str(seq),
         }
-        rows.append(F.struct(*[value.alias(c) for c, value in built.items()]))
-    inlined = measures.one_row().select(F.inline(F.array(*rows)))
-    return inlined.select(F.current_timestamp().alias("timestamp"), *[col(c) for c in RESULT_COLUMNS[1:]])
+        rows.append(f"named_struct({', '.join(f'{lit(c)}, {value}' for c, value in built.items())})")
+    inlined = measures.one_row().selectExpr(f"inline(array({', '.join(rows)}))")
+    return inlined.selectExpr("current_timestamp() as timestamp", *names(list(RESULT_TYPES)[1:]))
 
 
 def check(ctx: CheckContext, name: str) -> DataFrame:

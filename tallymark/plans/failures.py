@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
 from tallymark import fixed_values as fixed
 from tallymark.functions.normalize import as_text
-from tallymark.functions.text import col, quoted
-from tallymark.operators.compare import Comparison
-from tallymark.operators.pairing import key_names, with_normalised_keys
+from tallymark.functions.text import aliased, field, lit, names, quoted
+from tallymark.operators.compare import SOURCE_ONLY, TARGET_ONLY, Comparison
+from tallymark.operators.pairing import key_names, normalised_keys
 from tallymark.plans.suite import SuiteRun
 
 # failure types in the order of the report
@@ -21,66 +18,56 @@ _DIFF, _MISSING_TARGET, _MISSING_SOURCE, _DUPLICATE = range(4)
 _PLACES = ("Source", "Target")
 
 
-def _cells(columns: Sequence[str], schema: T.StructType, row: str | None = None) -> list[Column]:
-    """Table columns as text, from a row struct or from the frame itself."""
-    return [
-        as_text(F.col(row)[c] if row else col(c), schema[c].dataType).alias(c) for c in columns if c in schema.names
-    ]
-
-
-def key_texts(comparison: Comparison) -> Column:
-    texts = [F.coalesce(F.col(quoted(n)).cast("string"), F.lit("None")) for n in key_names(comparison.keys)]
-    return F.array(*texts).alias("_key")
+def key_texts(comparison: Comparison) -> str:
+    """Normalised key as array of texts, the order of all detail lists."""
+    texts = [f"coalesce(cast({quoted(n)} as string), 'None')" for n in key_names(comparison.keys)]
+    return f"array({', '.join(texts)})"
 
 
 def comparison_records(comparison: Comparison, layer_name: str, layer_number: int = 0) -> DataFrame:
     """All failure records of one comparison, uncapped.
 
     A differing record gives two rows, source and target, with the differing columns in ``highlight``; missing and
-    duplicated rows are highlighted as a whole. Columns are those of the source table.
+    duplicated rows are highlighted as a whole. Columns are those of the source table, shown as text.
     """
-    columns = comparison.columns
-    label = F.lit(fixed.LAYER_LABELS.get(layer_name, layer_name))
-    issues = comparison.issues
     schemas = {"Source": comparison.source.schema, "Target": comparison.target.schema}
-
-    def record(kind: int, ftype: str, place: str, cells: list[Column], highlight: Column) -> list[Column]:
-        return [
-            label.alias("layer"),
-            F.lit(ftype).alias("failure_type"),
-            F.lit(place).alias("row_destination"),
-            *cells,
-            highlight.alias("highlight"),
-            F.lit(layer_number).alias("_layer"),
-            F.lit(kind).alias("_kind"),
-        ]
-
-    def whole(schema: T.StructType) -> Column:
-        return F.array(*[F.lit(c) for c in schema.names])
-
-    keys = key_texts(comparison)
-    parts = []
-    for place in _PLACES:
-        cells = _cells(columns, schemas[place], f"{place.lower()}_row")
-        parts.append(
-            issues.where(F.col("n_diffs") > 0).select(*record(_DIFF, "DF", place, cells, F.col("diff_columns")), keys)
-        )
+    label = lit(fixed.LAYER_LABELS.get(layer_name, layer_name))
+    issues, keys = comparison.issues, key_texts(comparison)
+
+    def record(rows: DataFrame, kind: int, ftype: str, place: str, row: str | None, highlight: str) -> DataFrame:
+        schema = schemas[place]
+        cells = {
+            c: as_text(field(row, c) if row else quoted(c), schema[c].dataType)
+            for c in comparison.columns
+            if c in schema.names
+        }
+        built = {
+            "layer": label,
+            "failure_type": lit(ftype),
+            "row_destination": lit(place),
+            **cells,
+            "highlight": highlight,
+            "_layer": str(layer_number),
+            "_kind": str(kind),
+            "_key": keys,
+        }
+        return rows.selectExpr(*aliased(built))
+
+    def whole(place: str) -> str:
+        return f"array({', '.join(lit(c) for c in schemas[place].names)})"
+
+    differing = issues.where("n_diffs > 0")
+    parts = [record(differing, _DIFF, "DF", place, f"{place.lower()}_row", "diff_columns") for place in _PLACES]
     for kind, state, place, ftype in (
-        (_MISSING_TARGET, "source_only", "Source", "Missing in Target"),
-        (_MISSING_SOURCE, "target_only", "Target", "Missing in Source"),
+        (_MISSING_TARGET, SOURCE_ONLY, "Source", "Missing in Target"),
+        (_MISSING_SOURCE, TARGET_ONLY, "Target", "Missing in Source"),
     ):
-        cells = _cells(columns, schemas[place], f"{place.lower()}_row")
-        parts.append(
-            issues.where(F.col("state") == state).select(*record(kind, ftype, place, cells, whole(schemas[place])), keys)
-        )
-    duplicates = comparison.duplicates()
+        rows = issues.where(f"state = '{state}'")
+        parts.append(record(rows, kind, ftype, place, f"{place.lower()}_row", whole(place)))
     for place in _PLACES:
-        rows = duplicates.where(F.col("_side") == place.lower())
-        keyed = with_normalised_keys(rows, comparison.keys)
-        cells = _cells(columns, schemas[place])
-        parts.append(
-            keyed.select(*record(_DUPLICATE, f"Duplicate in {place}", place, cells, whole(schemas[place])), keys)
-        )
+        rows = comparison.duplicates_on(place.lower())
+        rows = rows.selectExpr("*", *normalised_keys(rows, comparison.keys))
+        parts.append(record(rows, _DUPLICATE, f"Duplicate in {place}", place, None, whole(place)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -100,7 +87,7 @@ def failure_records(run: SuiteRun, table: str, max_rows: int | None = None) -> D
     if not parts:
         raise ValueError(f"no comparison ran for table '{table}'")
     records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    order = ["_layer", "_kind", "_key", "row_destination", *[quoted(c) for c in columns]]
+    order = ["_layer", "_kind", "_key", "row_destination", *names(columns)]
     limit = run.pipeline.max_detail_rows if max_rows is None else max_rows
     top = records.orderBy(*order).limit(limit)
-    return top.select("layer", "failure_type", "row_destination", *[col(c) for c in columns], "highlight")
+    return top.select("layer", "failure_type", "row_destination", *names(columns), "highlight")

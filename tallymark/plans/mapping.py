@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark import fixed_values as fixed
+from tallymark.functions.text import aliased, case, lit
+from tallymark.sources.literal import literal_rows
 from tallymark.sources.metadata import column_metadata, column_profile, fallback_metadata
 from tallymark.sources.tables import TableStore
 from tallymark.spec import ConstraintSpec, LayerSpec, PipelineSpec, TableSpec
@@ -33,44 +36,47 @@ def declared_labels(spark: SparkSession, pipeline: PipelineSpec, table_name: str
     labels += [(k, "Business Key") for k in table.key if k not in keyed]
     labels += [(c, "NOT NULL") for c in table.not_null_columns]
     rows = [(column, i, label) for i, (column, label) in enumerate(labels)]
-    return spark.createDataFrame(rows, "label_column string, position int, label string")
+    return literal_rows(spark, {"label_column": "string", "position": "int", "label": "string"}, rows)
 
 
 def constraint_text(labels: DataFrame) -> DataFrame:
     """One row for each column: its labels in order, each once, joined by commas."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "label")))
+    ordered = "transform(array_sort(collect_list(struct(position, label))), x -> x.label)"
     return labels.groupBy("label_column").agg(
-        F.concat_ws(", ", F.array_distinct(F.transform(ordered, lambda x: x["label"]))).alias("constraints")
+        F.expr(f"concat_ws(', ', array_distinct({ordered})) as constraints")
     )
 
 
-def _rule(layer: LayerSpec, table: TableSpec) -> Column:
+def _one_of(names: Iterable[str]) -> str:
+    return f"lower(name) in ({', '.join(lit(n) for n in names)})"
+
+
+def _rule(layer: LayerSpec, table: TableSpec) -> str:
     """Transformation-rule text of a target column (``name``); ``s_name`` is NULL when it has no source."""
-    low, has_source = F.lower("name"), F.col("s_name").isNotNull()
+    has_source, not_in_source = "s_name is not null", lit(fixed.RULE_NOT_IN_SOURCE)
     if layer.direct_move:
-        return F.when(has_source, fixed.RULE_DIRECT).otherwise(fixed.RULE_NOT_IN_SOURCE)
+        return case([(has_source, lit(fixed.RULE_DIRECT))], not_in_source)
+    audit = (_one_of(fixed.AUDIT_COLUMNS), lit(fixed.RULE_AUDIT))
     if layer.valid_filter:
         texts: dict[str, list[str]] = {}
         for rule in table.transformations:
             texts.setdefault(rule.column, []).append(rule.text)
-        chosen = F.when(F.lit(False), F.lit(""))
-        for column, parts in texts.items():
-            chosen = chosen.when(F.col("name") == column, "; ".join(parts))
-        return (
-            chosen.when(low == "isvalid", fixed.RULE_VALID_FLAG)
-            .when(low == "rejectionreason", fixed.RULE_REJECTION_REASON)
-            .when(low.isin(fixed.AUDIT_COLUMNS), fixed.RULE_AUDIT)
-            .when(has_source, fixed.RULE_CLEANED)
-            .otherwise(fixed.RULE_NOT_IN_SOURCE)
-        )
+        choices = [(f"name = {lit(column)}", lit("; ".join(parts))) for column, parts in texts.items()]
+        choices += [
+            (_one_of(["isvalid"]), lit(fixed.RULE_VALID_FLAG)),
+            (_one_of(["rejectionreason"]), lit(fixed.RULE_REJECTION_REASON)),
+            audit,
+            (has_source, lit(fixed.RULE_CLEANED)),
+        ]
+        return case(choices, not_in_source)
     loaded = fixed.RULE_DIMENSION.get(table.dim_type, fixed.RULE_WAREHOUSE)
-    return (
-        F.when(low.endswith("sk"), fixed.RULE_SURROGATE_KEY)
-        .when(low.isin(fixed.SCD_COLUMNS), fixed.RULE_SCD)
-        .when(low.isin(fixed.AUDIT_COLUMNS), fixed.RULE_AUDIT)
-        .when(has_source, loaded)
-        .otherwise(loaded + fixed.RULE_DERIVED_SUFFIX)
-    )
+    choices = [
+        ("endswith(lower(name), 'sk')", lit(fixed.RULE_SURROGATE_KEY)),
+        (_one_of(fixed.SCD_COLUMNS), lit(fixed.RULE_SCD)),
+        audit,
+        (has_source, lit(loaded)),
+    ]
+    return case(choices, lit(loaded + fixed.RULE_DERIVED_SUFFIX))
 
 
 def _metadata(store: TableStore, database: str, name: str, table: TableSpec, observed: bool) -> DataFrame:
@@ -96,25 +102,26 @@ def mapping_document(store: TableStore, pipeline: PipelineSpec, layer_name: str,
         ):
             columns = _metadata(store, database, name, table, observed)
             labels = constraint_text(declared_labels(store.spark, pipeline, name, table))
-            joined = columns.join(labels, F.col("name") == F.col("label_column"), "left").drop("label_column")
-            sides[prefix] = joined.select(*[F.col(c).alias(prefix + c) for c in [*_METADATA, "constraints"]])
-        rows = sides[""].join(sides["s_"], F.lower("name") == F.lower("s_name"), "left")
-        mapped = F.col("s_name").isNotNull()
+            labelled = columns.join(labels, F.expr("name = label_column"), "left")
+            sides[prefix] = labelled.selectExpr(*[f"{c} as {prefix}{c}" for c in [*_METADATA, "constraints"]])
+        rows = sides[""].join(sides["s_"], F.expr("lower(name) = lower(s_name)"), "left")
 
-        def from_source(value: Column | str, mapped: Column = mapped) -> Column:
-            value = F.lit(value) if isinstance(value, str) else value
-            return F.when(mapped, F.coalesce(value, F.lit(""))).otherwise(F.lit(""))
+        def from_source(value: str) -> str:
+            return f"if(s_name is null, '', coalesce({value}, ''))"
 
         values = [
-            from_source(pipeline.database(layer.source_db)),
-            from_source(table.source_table),
-            *[from_source(F.col(c)) for c in ("s_name", "s_data_type", "s_size", "s_nullable", "s_constraints")],
+            from_source(lit(pipeline.database(layer.source_db))),
+            from_source(lit(table.source_table)),
+            *[from_source(c) for c in ("s_name", "s_data_type", "s_size", "s_nullable", "s_constraints")],
             _rule(layer, table),
-            F.lit(pipeline.database(layer.target_db)),
-            F.lit(table.target_table),
-            *[F.col(c) for c in ("name", "data_type", "size", "nullable")],
-            F.coalesce("constraints", F.lit("")),
+            lit(pipeline.database(layer.target_db)),
+            lit(table.target_table),
+            "name",
+            "data_type",
+            "size",
+            "nullable",
+            "coalesce(constraints, '')",
         ]
-        named = [value.alias(c) for value, c in zip(values, fixed.MAPPING_COLUMNS)]
-        parts.append(rows.select(*named, (F.lit(number * 10_000) + F.col("ordinal")).alias("seq")))
+        named = aliased(dict(zip(fixed.MAPPING_COLUMNS, values)))
+        parts.append(rows.selectExpr(*named, f"{number * 10_000} + ordinal as seq"))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,67 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-FAILED = ("FAIL", "ERROR")
-
-
-def _failed() -> Column:
-    return F.col("status").isin(*FAILED)
-
-
-def _skipped() -> Column:
-    return F.col("status") == "SKIP"
+_FAILED = "status in ('FAIL', 'ERROR')"
+_SKIPPED = "status = 'SKIP'"
+_PASSED = f"not ({_FAILED}) and not ({_SKIPPED})"
 
 
 def failures(results: DataFrame) -> DataFrame:
-    return results.where(_failed())
+    return results.where(_FAILED)
 
 
 def skipped(results: DataFrame) -> DataFrame:
-    return results.where(_skipped())
+    return results.where(_SKIPPED)
 
 
 def executed(results: DataFrame) -> DataFrame:
-    return results.where(~_skipped())
+    return results.where(f"not ({_SKIPPED})")
 
 
 def ordered_results(results: DataFrame) -> DataFrame:
     """Executed checks first, then the skipped ones, each in catalogue order (``seq``)."""
-    return results.orderBy(F.when(_skipped(), 1).otherwise(0), "seq")
+    return results.selectExpr("*", f"{_SKIPPED} as _last").orderBy("_last", "seq").drop("_last")
 
 
 def summary_counts(results: DataFrame) -> DataFrame:
     """Run totals, the pass rate over the executed checks, and the verdict."""
-    counts = results.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(~_failed() & ~_skipped()).alias("passed"),
-        F.count_if(_failed()).alias("failed"),
-        F.count_if(_skipped()).alias("skipped"),
-    ).withColumn("executed", F.col("passed") + F.col("failed"))
-    rate = F.when(F.col("executed") > 0, F.round(F.col("passed") / F.col("executed") * 100, 2)).otherwise(F.lit(0.0))
-    return counts.withColumn("pass_rate", rate).withColumn(
-        "verdict", F.when(F.col("failed") == 0, "PASSED").otherwise("FAILED")
+    counts = results.selectExpr(
+        "count(1) as total",
+        f"count_if({_PASSED}) as passed",
+        f"count_if({_FAILED}) as failed",
+        f"count_if({_SKIPPED}) as skipped",
+    )
+    return counts.selectExpr(
+        "*",
+        "passed + failed as executed",
+        "if(passed + failed > 0, round(passed / (passed + failed) * 100, 2), 0D) as pass_rate",
+        "if(failed = 0, 'PASSED', 'FAILED') as verdict",
     )
 
 
 def summary_by_layer(results: DataFrame) -> DataFrame:
-    return results.groupBy("layer").agg(
-        F.count_if(~_failed() & ~_skipped()).alias("passed"),
-        F.count_if(_failed()).alias("failed"),
-        F.count_if(_skipped()).alias("skipped"),
+    flags = results.selectExpr("layer", f"{_PASSED} as p", f"{_FAILED} as f", f"{_SKIPPED} as s")
+    grouped = flags.groupBy("layer")
+    return grouped.agg({"p": "count_if", "f": "count_if", "s": "count_if"}).selectExpr(
+        "layer", "`count_if(p)` as passed", "`count_if(f)` as failed", "`count_if(s)` as skipped"
     )
 
 
 def run_totals(results: DataFrame) -> DataFrame:
     """Totals of an execution: checks that could not run (ERROR) count as failed; durations are added up."""
-    totals = results.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(_failed()).alias("failed"),
-        F.count_if(F.col("status") == "ERROR").alias("errors"),
-        F.count_if(_skipped()).alias("skipped"),
-        F.coalesce(F.sum("duration"), F.lit(0.0)).alias("duration"),
+    totals = results.selectExpr(
+        "count(1) as total",
+        f"count_if({_FAILED}) as failed",
+        "count_if(status = 'ERROR') as errors",
+        f"count_if({_SKIPPED}) as skipped",
+        "coalesce(sum(duration), 0D) as duration",
+    )
+    return totals.selectExpr(
+        "total", "greatest(0L, total - failed - skipped) as passed", "failed", "errors", "skipped", "duration"
     )
-    passed = F.greatest(F.lit(0), F.col("total") - F.col("failed") - F.col("skipped"))
-    return totals.select("total", passed.alias("passed"), "failed", "errors", "skipped", "duration")

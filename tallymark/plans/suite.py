@@ -10,14 +10,14 @@ from itertools import groupby
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallymark import fixed_values as fixed
 from tallymark.operators.compare import Comparison
 from tallymark.plans import checks
 from tallymark.plans.catalogue import CheckCase, cases
-from tallymark.plans.checks import RESULT_COLUMNS, RESULT_SCHEMA, CheckContext, check_results
+from tallymark.plans.checks import RESULT_SCHEMA, RESULT_TYPES, CheckContext, check_results
 from tallymark.session import HOT_KEY_ROWS
+from tallymark.sources.literal import literal_rows
 from tallymark.sources.tables import TableStore
 from tallymark.spec import PipelineSpec
 
@@ -57,19 +57,18 @@ def _fixed_rows(store: TableStore, items: Sequence[tuple[CheckCase, str, str, st
         (None, c.layer, c.table, c.check, category, status, text, None, None, None, None, c.seq)
         for c, category, status, text in items
     ]
-    built = store.spark.createDataFrame(rows, f"{RESULT_SCHEMA}, seq int")
-    return built.withColumn("timestamp", F.current_timestamp())
+    built = literal_rows(store.spark, RESULT_TYPES, rows)
+    return built.drop("timestamp").selectExpr("current_timestamp() as timestamp", "*")
 
 
-def _with_seq(results: DataFrame, items: Sequence[CheckCase]) -> DataFrame:
-    seq = reduce(lambda value, c: F.when(F.col("validation") == c.check, c.seq).otherwise(value), items, F.lit(None))
-    return results.withColumn("seq", seq.cast("int"))
+def _planned(ctx: CheckContext, items: Sequence[CheckCase]) -> list[DataFrame]:
+    return [check_results(ctx, [c.check for c in items], [c.seq for c in items])] if items else []
 
 
 def _plan_table(ctx: CheckContext, items: list[CheckCase]) -> list[DataFrame]:
     """All checks of a table as one plan; a check that cannot be planned becomes an ERROR row instead."""
     try:
-        return [_with_seq(check_results(ctx, [c.check for c in items]), items)]
+        return _planned(ctx, items)
     except AnalysisException:
         pass
     good, failed = [], []
@@ -79,8 +78,7 @@ def _plan_table(ctx: CheckContext, items: list[CheckCase]) -> list[DataFrame]:
             good.append(c)
         except AnalysisException as problem:
             failed.append((c, checks.CATEGORIES.get(c.check, "basic"), "ERROR", str(problem).splitlines()[0]))
-    planned = [_with_seq(check_results(ctx, [c.check for c in good]), good)] if good else []
-    return [*planned, _fixed_rows(ctx.store, failed)]
+    return [*_planned(ctx, good), _fixed_rows(ctx.store, failed)]
 
 
 def _timed(store: TableStore, planned: DataFrame) -> DataFrame:
@@ -89,7 +87,7 @@ def _timed(store: TableStore, planned: DataFrame) -> DataFrame:
     rows = planned.collect()
     each = (time.perf_counter() - started) / max(1, len(rows))
     measured = [{**row.asDict(), "duration": each} for row in rows]
-    return store.spark.createDataFrame(measured, f"{RESULT_SCHEMA}, seq int")
+    return store.spark.createDataFrame(measured, RESULT_SCHEMA)
 
 
 def run_suite(
@@ -108,7 +106,7 @@ def run_suite(
     """
     listed = cases(pipeline)
     outputs: list[DataFrame] = []
-    run = SuiteRun(pipeline, store.spark.createDataFrame([], f"{RESULT_SCHEMA}, seq int"))
+    run = SuiteRun(pipeline, _fixed_rows(store, []))
 
     if gate is not None:
         try:
@@ -134,7 +132,7 @@ def run_suite(
         ctx = CheckContext(store, pipeline.layer(at[0]), pipeline.table(*at), hot_rows)
         planned = _plan_table(ctx, items)
         run.contexts[at] = ctx
-        compared = [c.check for c in items if c.check in ctx._comparisons]
+        compared = ctx.comparisons()
         if compared:
             run.compared[at] = compared[0]
         outputs += [_timed(store, df) for df in planned] if timed else planned
@@ -145,5 +143,4 @@ def run_suite(
 
 
 def _union(outputs: Sequence[DataFrame]) -> DataFrame:
-    columns = [F.col(f"`{c}`") for c in [*RESULT_COLUMNS, "seq"]]
-    return reduce(lambda a, b: a.unionByName(b), [df.select(*columns) for df in outputs])
+    return reduce(lambda a, b: a.unionByName(b), outputs)

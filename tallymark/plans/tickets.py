@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark import fixed_values as fixed
-from tallymark.functions.text import col, key_text, python_list, row_text, shown
+from tallymark.functions.normalize import shown
+from tallymark.functions.rows import key_text, row_text
+from tallymark.functions.text import aliased, case, concat, field, joined, lit, names, python_list, quoted
+from tallymark.operators.compare import SOURCE_ONLY, TARGET_ONLY
 from tallymark.operators.duplicates import duplicate_keys
 from tallymark.operators.numbering import number_rows
 from tallymark.plans import checks
@@ -23,8 +26,15 @@ FINDING_COLUMNS = [
 _ORDER = ["_seq", "_kind", "_key", "_part"]
 
 
-def _concat(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+def text(template: str, **values: str) -> str:
+    """Text with ``<name>`` placeholders for string expressions."""
+    parts: list[str] = []
+    rest = template
+    while "<" in rest:
+        before, _, tail = rest.partition("<")
+        name, _, rest = tail.partition(">")
+        parts += [lit(before), values[name]]
+    return concat(*parts, lit(rest)) if parts else lit(rest)
 
 
 def comparison_findings(
@@ -43,145 +53,128 @@ def comparison_findings(
     keys, issues, key_order = comparison.keys, comparison.issues, key_texts(comparison)
     source, target = comparison.source.schema, comparison.target.schema
 
-    def finding(kind: int, part: Column, **texts: Column | str) -> list[Column]:
-        named = {"layer": layer, "table": table, "validation": check, **texts}
-        built = [(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in named.items()]
-        return [*built, F.lit(seq).alias("_seq"), F.lit(kind).alias("_kind"), key_order, part.alias("_part")]
+    def finding(rows: DataFrame, kind: int, part: str, **texts: str) -> DataFrame:
+        order = {"_seq": str(seq), "_kind": str(kind), "_key": key_order, "_part": part}
+        named = {"layer": lit(layer), "table": lit(table), "validation": lit(check), **texts, **order}
+        return rows.selectExpr(*aliased(named))
 
-    def side_value(row: str, schema) -> Column:
-        chosen = F.lit(None).cast("string")
-        for c in comparison.compare_columns:
-            chosen = F.when(F.col("column") == c, shown(F.col(row)[c], schema[c].dataType)).otherwise(chosen)
-        return chosen
+    def cell(row: str, schema) -> str:
+        return case(
+            [(f"column = {lit(c)}", shown(field(row, c), schema[c].dataType)) for c in comparison.compare_columns],
+            "''",
+        )
 
-    column = F.col("column")
-    in_source = key_text(keys, source, "source_row")
-    in_target = key_text(keys, target, "target_row")
+    at = {"s": key_text(keys, source, "source_row"), "t": key_text(keys, target, "target_row")}
+    whole = {"srow": row_text(keys, source, "source_row"), "trow": row_text(keys, target, "target_row")}
 
-    cells = issues.where(F.col("n_diffs") > 0).select("*", F.posexplode("diff_columns").alias("position", "column"))
-    mismatches = cells.select(
-        *finding(
+    cells = issues.where("n_diffs > 0").selectExpr("*", "posexplode(diff_columns) as (position, column)")
+    mismatch = {
+        "c": "column",
+        "sv": cell("source_row", source),
+        "tv": cell("target_row", target),
+        **at,
+    }
+    cause = text(
+        f"The '<c>' value was not carried correctly from {st} to {tt} (it changed during the movement). {hint}",
+        **mismatch,
+    )
+    parts = [
+        finding(
+            cells,
             0,
-            F.col("position"),
-            type="Column Value Mismatch",
-            severity="High",
-            title=_concat(column, " value differs at [", in_source, "]"),
-            expected=_concat(column, " must be identical in source and target."),
-            actual=_concat(
-                "[", in_source, "] Column '", column, f"' -> Source {st}({sdb}) = '",
-                side_value("source_row", source), f"'  |  Target {tt}({tdb}) = '",
-                side_value("target_row", target), "'",
-            ),
-            root_cause=F.rtrim(
-                _concat(
-                    "The '", column, f"' value was not carried correctly from {st} to {tt} "
-                    f"(it changed during the movement). {hint}",
-                )
+            "position",
+            type=lit("Column Value Mismatch"),
+            severity=lit("High"),
+            title=text("<c> value differs at [<s>]", **mismatch),
+            expected=text("<c> must be identical in source and target.", **mismatch),
+            actual=text(
+                f"[<s>] Column '<c>' -> Source {st}({sdb}) = '<sv>'  |  Target {tt}({tdb}) = '<tv>'", **mismatch
             ),
-            fix=_concat(
-                "Fix the load logic so '", column, f"' is preserved, or correct the source data; then reload {tt}."
+            root_cause=f"rtrim({cause})",
+            fix=text(
+                f"Fix the load logic so '<c>' is preserved, or correct the source data; then reload {tt}.", **mismatch
             ),
         )
-    )
-
-    parts = [mismatches]
+    ]
     if include_tolerated or not (ctx.layer.tolerate_missing_in_target and check == checks.INTEGRITY):
         parts.append(
-            issues.where(F.col("state") == "source_only").select(
-                *finding(
-                    1,
-                    F.lit(0),
-                    type="Missing Record in Target",
-                    severity="High",
-                    title=_concat("Record [", in_source, f"] is in source but MISSING in target ({tt})"),
-                    expected=f"Every record in {st} must also exist in {tt}.",
-                    actual=_concat(
-                        f"Present in {st}({sdb}) but NOT found in {tt}({tdb}).\nSource row: ",
-                        row_text(keys, source, "source_row"),
-                    ),
-                    root_cause=_concat(
-                        "Record [", in_source, f"] exists in {st} but was not loaded into {tt} - the row was dropped "
-                        "or rejected during the movement (check load filters / rejection logic).",
-                    ),
-                    fix=f"Investigate why the record was not loaded and reload {tt}.",
-                )
+            finding(
+                issues.where(f"state = '{SOURCE_ONLY}'"),
+                1,
+                "0",
+                type=lit("Missing Record in Target"),
+                severity=lit("High"),
+                title=text(f"Record [<s>] is in source but MISSING in target ({tt})", **at),
+                expected=lit(f"Every record in {st} must also exist in {tt}."),
+                actual=text(f"Present in {st}({sdb}) but NOT found in {tt}({tdb}).\nSource row: <srow>", **whole),
+                root_cause=text(
+                    f"Record [<s>] exists in {st} but was not loaded into {tt} - the row was dropped or rejected "
+                    "during the movement (check load filters / rejection logic).",
+                    **at,
+                ),
+                fix=lit(f"Investigate why the record was not loaded and reload {tt}."),
             )
         )
     parts.append(
-        issues.where(F.col("state") == "target_only").select(
-            *finding(
-                2,
-                F.lit(0),
-                type="Missing Record in Source (extra in target)",
-                severity="Medium",
-                title=_concat("Record [", in_target, f"] is in target ({tt}) but MISSING in source"),
-                expected=f"{tt} must not contain records absent from {st}.",
-                actual=_concat(
-                    f"Present in {tt}({tdb}) but NOT found in {st}({sdb}).\nTarget row: ",
-                    row_text(keys, target, "target_row"),
-                ),
-                root_cause=_concat(
-                    "Record [", in_target, f"] exists in {tt} but not in {st} - an orphan/unexpected insert, or the "
-                    "source row was deleted after the target was loaded.",
-                ),
-                fix=f"Verify the source; remove the orphan {tt} row or restore the source record, then reconcile.",
-            )
+        finding(
+            issues.where(f"state = '{TARGET_ONLY}'"),
+            2,
+            "0",
+            type=lit("Missing Record in Source (extra in target)"),
+            severity=lit("Medium"),
+            title=text(f"Record [<t>] is in target ({tt}) but MISSING in source", **at),
+            expected=lit(f"{tt} must not contain records absent from {st}."),
+            actual=text(f"Present in {tt}({tdb}) but NOT found in {st}({sdb}).\nTarget row: <trow>", **whole),
+            root_cause=text(
+                f"Record [<t>] exists in {tt} but not in {st} - an orphan/unexpected insert, or the source row was "
+                "deleted after the target was loaded.",
+                **at,
+            ),
+            fix=lit(f"Verify the source; remove the orphan {tt} row or restore the source record, then reconcile."),
         )
     )
-    for order, (side, name, schema) in enumerate((("source", st, source), ("target", tt, target))):
-        copies = F.col(f"n_{side}")
-        keyed = key_text(keys, schema, f"{side}_row")
+    for order, (side, name) in enumerate((("source", st), ("target", tt))):
+        here = {"k": at[side[0]], "row": whole[f"{side[0]}row"], "n": f"cast(n_{side} as string)"}
         parts.append(
-            issues.where(F.col("is_duplicate") & (copies > 1)).select(
-                *finding(
-                    3,
-                    F.lit(order),
-                    type="Duplicate Record",
-                    severity="High",
-                    title=_concat("Duplicate business key [", keyed, f"] on the {side} side"),
-                    expected="Each business key must appear at most once.",
-                    actual=_concat(
-                        f"Duplicate in {name} ({side} side): key [", keyed, "] appears ", copies.cast("string"),
-                        " times. Example row: ", row_text(keys, schema, f"{side}_row"),
-                    ),
-                    root_cause=f"Business key {python_list(keys)} appears more than once in {name} "
-                    "(missing de-duplication or unique key).",
-                    fix="Add/enforce a unique constraint or a de-duplication step.",
-                )
+            finding(
+                issues.where(f"is_duplicate and n_{side} > 1"),
+                3,
+                str(order),
+                type=lit("Duplicate Record"),
+                severity=lit("High"),
+                title=text(f"Duplicate business key [<k>] on the {side} side", **here),
+                expected=lit("Each business key must appear at most once."),
+                actual=text(
+                    f"Duplicate in {name} ({side} side): key [<k>] appears <n> times. Example row: <row>", **here
+                ),
+                root_cause=lit(
+                    f"Business key {python_list(keys)} appears more than once in {name} "
+                    "(missing de-duplication or unique key)."
+                ),
+                fix=lit("Add/enforce a unique constraint or a de-duplication step."),
             )
         )
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _by_validation(texts: Mapping[str, str | Column], default: str | Column) -> Column:
-    chosen = F.lit(default) if isinstance(default, str) else default
-    for name, text in texts.items():
-        value = F.lit(text) if isinstance(text, str) else text
-        chosen = F.when(F.col("validation") == name, value).otherwise(chosen)
-    return chosen
-
-
-def _metric(name: str) -> Column:
-    return F.col("metrics")[name]
+def _by_validation(texts: Mapping[str, str], default: str) -> str:
+    return case([(f"validation = {lit(name)}", value) for name, value in texts.items()], default)
 
 
 def _duplicate_samples(run: SuiteRun) -> DataFrame:
-    """The first duplicated keys of every table with a failed duplicate check, as text."""
+    """The first duplicated keys of every table, as text; one row for each table."""
     samples = []
     for (layer, table), ctx in run.contexts.items():
         keys = ctx.table.key
         rows = ctx.side("target", keys)
-        top = duplicate_keys(rows, keys).orderBy(*[col(k) for k in keys]).limit(fixed.DUPLICATE_SAMPLE)
-        value = F.concat_ws("/", *[shown(col(k), rows.schema[k].dataType) for k in keys])
-        listed = top.select(
-            F.struct(*[col(k) for k in keys]).alias("k"),
-            F.concat(value, F.lit(" (x"), F.col("cnt").cast("string"), F.lit(")")).alias("text"),
-        ).agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("all"))
+        top = duplicate_keys(rows, keys).orderBy(*names(keys)).limit(fixed.DUPLICATE_SAMPLE)
+        key = joined("/", [shown(quoted(k), rows.schema[k].dataType) for k in keys])
+        one = f"struct({', '.join(names(keys))}, concat({key}, ' (x', cast(cnt as string), ')') as _text)"
         samples.append(
-            listed.select(
-                F.lit(layer).alias("layer"),
-                F.lit(table).alias("table"),
-                F.concat_ws(", ", F.transform("all", lambda x: x["text"])).alias("sample"),
+            top.selectExpr(
+                f"{lit(layer)} as layer",
+                f"{lit(table)} as table",
+                f"concat_ws(', ', transform(array_sort(collect_list({one})), x -> x._text)) as sample",
             )
         )
     return reduce(lambda a, b: a.unionByName(b), samples)
@@ -189,55 +182,63 @@ def _duplicate_samples(run: SuiteRun) -> DataFrame:
 
 def check_findings(run: SuiteRun) -> DataFrame:
     """One finding for each failed check that has no row-level findings, from its metrics."""
-    failed = run.results.where(F.col("status").isin("FAIL", "ERROR") & ~F.col("validation").isin(*checks.COMPARISONS))
-    key_lists = F.lit("")
-    for (layer, table), ctx in run.contexts.items():
-        at = (F.col("layer") == layer) & (F.col("table") == table)
-        key_lists = F.when(at, python_list(ctx.table.key)).otherwise(key_lists)
-    has_duplicates = any(c.check == checks.DUPLICATE for c in run_cases(run))
-    if has_duplicates:
+    compared = ", ".join(lit(c) for c in checks.COMPARISONS)
+    failed = run.results.where(f"status in ('FAIL', 'ERROR') and validation not in ({compared})")
+    if any(c.check == checks.DUPLICATE for c in run_cases(run)):
         failed = failed.join(F.broadcast(_duplicate_samples(run)), ["layer", "table"], "left")
     else:
-        failed = failed.withColumn("sample", F.lit(None).cast("string"))
+        failed = failed.selectExpr("*", "cast(null as string) as sample")
 
-    source, target = _metric("source"), _metric("target")
-    diff = (source - target).cast("string")
-    null_parts = F.transform(
-        F.filter(F.map_entries("metrics"), lambda e: e["value"] > 0),
-        lambda e: F.concat(e["key"], F.lit(" = "), e["value"].cast("string"), F.lit(" NULL(s)")),
+    key_lists = case(
+        [
+            (f"layer = {lit(layer)} and `table` = {lit(table)}", lit(python_list(ctx.table.key)))
+            for (layer, table), ctx in run.contexts.items()
+        ],
+        "''",
+    )
+    source, target = "metrics['source']", "metrics['target']"
+    count = {
+        "s": f"cast({source} as string)",
+        "t": f"cast({target} as string)",
+        "d": f"cast({source} - {target} as string)",
+        "way": f"if({source} > {target}, 'rows lost', 'extra rows')",
+    }
+    nulls = (
+        "concat_ws('; ', transform(filter(map_entries(metrics), e -> e.value > 0), "
+        "e -> concat(e.key, ' = ', cast(e.value as string), ' NULL(s)')))"
     )
     actual = {
-        checks.COUNT: _concat(
-            "Source rows = ", source.cast("string"), "  |  Target rows = ", target.cast("string"),
-            "  (diff = ", diff, ")",
-        ),
-        checks.NULL: F.concat(F.lit("NULLs in target required column(s): "), F.concat_ws("; ", null_parts)),
-        checks.DUPLICATE: F.concat(F.lit("Duplicate key(s) in target: "), F.col("sample")),
+        checks.COUNT: text("Source rows = <s>  |  Target rows = <t>  (diff = <d>)", **count),
+        checks.NULL: concat(lit("NULLs in target required column(s): "), nulls),
+        checks.DUPLICATE: "concat('Duplicate key(s) in target: ', sample)",
     }
-    causes: dict[str, str | Column] = {v: cause for v, (_, cause) in fixed.CHECK_DEFECTS.items() if cause}
-    lost = F.when(source > target, "rows lost").otherwise("extra rows")
-    causes[checks.COUNT] = _concat("Source and target counts differ by ", diff, " (", lost, " in the movement).")
-    causes[checks.DUPLICATE] = _concat("Business key ", key_lists, " is duplicated in the target.")
-    planned = F.col("status") == "FAIL"  # an ERROR has a message but no metrics
-    return failed.select(
-        "layer",
-        "table",
-        "validation",
-        _by_validation({v: kind for v, (kind, _) in fixed.CHECK_DEFECTS.items()}, fixed.DEFECT_GENERIC).alias("type"),
-        _by_validation({v: e[0] for v, e in fixed.CHECK_EXPECTATIONS.items()}, "Medium").alias("severity"),
-        F.concat("validation", F.lit(" failed")).alias("title"),
-        _by_validation({v: e[1] for v, e in fixed.CHECK_EXPECTATIONS.items()}, "The validation passes.").alias(
-            "expected"
-        ),
-        F.coalesce(F.when(planned, _by_validation(actual, F.col("message"))), F.col("message")).alias("actual"),
-        F.coalesce(_by_validation(causes, fixed.ROOT_CAUSE_GENERIC), F.lit(fixed.ROOT_CAUSE_GENERIC)).alias(
-            "root_cause"
-        ),
-        F.lit(fixed.FIX_GENERIC).alias("fix"),
-        F.col("seq").alias("_seq"),
-        F.lit(0).alias("_kind"),
-        F.array().cast("array<string>").alias("_key"),
-        F.lit(0).alias("_part"),
+    causes = {v: lit(cause) for v, (_, cause) in fixed.CHECK_DEFECTS.items() if cause}
+    causes[checks.COUNT] = text("Source and target counts differ by <d> (<way> in the movement).", **count)
+    causes[checks.DUPLICATE] = text("Business key <keys> is duplicated in the target.", keys=key_lists)
+    kinds = {v: lit(kind) for v, (kind, _) in fixed.CHECK_DEFECTS.items()}
+    severities = {v: lit(e[0]) for v, e in fixed.CHECK_EXPECTATIONS.items()}
+    expected = {v: lit(e[1]) for v, e in fixed.CHECK_EXPECTATIONS.items()}
+    # an ERROR has a message but no metrics
+    shown_actual = f"coalesce(if(status = 'FAIL', {_by_validation(actual, 'message')}, null), message)"
+    return failed.selectExpr(
+        *aliased(
+            {
+                "layer": "layer",
+                "table": "`table`",
+                "validation": "validation",
+                "type": _by_validation(kinds, lit(fixed.DEFECT_GENERIC)),
+                "severity": _by_validation(severities, "'Medium'"),
+                "title": "concat(validation, ' failed')",
+                "expected": _by_validation(expected, "'The validation passes.'"),
+                "actual": shown_actual,
+                "root_cause": f"coalesce({_by_validation(causes, 'null')}, {lit(fixed.ROOT_CAUSE_GENERIC)})",
+                "fix": lit(fixed.FIX_GENERIC),
+                "_seq": "seq",
+                "_kind": "0",
+                "_key": "cast(array() as array<string>)",
+                "_part": "0",
+            }
+        )
     )
 
 
@@ -255,36 +256,40 @@ def findings(run: SuiteRun, include_tolerated: bool = False) -> DataFrame:
     for layer, table in run.compared:
         at = seq[layer, table, run.compared[layer, table]]
         parts.append(comparison_findings(run, layer, table, include_tolerated, at))
+    if not parts:
+        raise ValueError("no check ran")
     every = reduce(lambda a, b: a.unionByName(b), parts)
     signature = ["layer", "table", "type", "actual"]
     rest = [*_ORDER, *[c for c in FINDING_COLUMNS if c not in signature]]
-    once = every.groupBy(*signature).agg(F.min(F.struct(*rest)).alias("first"))
+    once = every.groupBy(*signature).agg(F.expr(f"min(struct({', '.join(rest)})) as first"))
     return once.select(*signature, "first.*").select(*FINDING_COLUMNS, *_ORDER)
 
 
 def tickets(run: SuiteRun, include_tolerated: bool = False) -> DataFrame:
     """Defect tickets ``DEF_001, DEF_002, ...`` in check order, then by kind of finding and key."""
-    order = [F.col(c).asc_nulls_first() for c in [*_ORDER, "actual"]]
-    numbered = number_rows(findings(run, include_tolerated), order, "number")
-    test = _by_validation({v: e[2] for v, e in fixed.CHECK_EXPECTATIONS.items()}, F.col("validation"))
-    steps = _concat(
-        "1. Ensure the data is loaded/seeded for this scenario.\n2. Run `", F.col("validation"), "` for ",
-        F.col("table"), " in ", F.col("layer"), " (test `", test, "`).\n3. Observe: ", F.col("type"), ".",
-    )
-    number = F.col("number").cast("string")
-    padded = F.when(F.col("number") < 1000, F.lpad(number, 3, "0")).otherwise(number)
+    numbered = number_rows(findings(run, include_tolerated), [*_ORDER, "actual"], "number")
+    tests = {v: lit(e[2]) for v, e in fixed.CHECK_EXPECTATIONS.items()}
+    steps = text(
+        "1. Ensure the data is loaded/seeded for this scenario.\n2. Run `<v>` for <table> in <layer> (test `<test>`)."
+        "\n3. Observe: <type>.",
+        v="validation",
+        table="`table`",
+        layer="layer",
+        test=_by_validation(tests, "validation"),
+        type="type",
+    )
     values = [
-        F.concat(F.lit("DEF_"), padded),
-        F.col("type"),
-        F.col("severity"),
-        F.col("layer"),
-        F.col("table"),
-        F.concat_ws("", "layer", F.lit(" / "), "table", F.lit(": "), "title"),
+        "concat('DEF_', if(number < 1000, lpad(cast(number as string), 3, '0'), cast(number as string)))",
+        "type",
+        "severity",
+        "layer",
+        "`table`",
+        "concat(layer, ' / ', `table`, ': ', title)",
         steps,
-        F.col("expected"),
-        F.substring("actual", 1, fixed.TEXT_LIMIT),
-        F.col("root_cause"),
-        F.col("fix"),
-        F.lit("New"),
+        "expected",
+        f"substring(actual, 1, {fixed.TEXT_LIMIT})",
+        "root_cause",
+        "fix",
+        "'New'",
     ]
-    return numbered.select(*[value.alias(c) for value, c in zip(values, fixed.TICKET_COLUMNS)])
+    return numbered.selectExpr(*aliased(dict(zip(fixed.TICKET_COLUMNS, values))))

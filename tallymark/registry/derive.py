@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.loads import load_direct, load_staging
 from tallymark.operators.lookup import lookup
+from tallymark.session import checkpointed
 from tallymark.sources.tables import TableStore
 from tallymark.spec import (
     ConstraintSpec,
@@ -157,28 +158,11 @@ def pipeline() -> PipelineSpec:
     )
 
 
-def store(spark: SparkSession, sf_dir: str) -> TableStore:
-    """All layers as lazy DataFrames over the given tables."""
-    found = TableStore(spark)
-    spec = pipeline()
-    orders, customer = given(spark, sf_dir, "orders"), given(spark, sf_dir, "customer")
-    found.register("source", "orders", orders)
-    found.register("source", "customer", customer)
-    ps_orders = orders_target(orders)
-    found.register("prestaging", "ps_orders", ps_orders)
-    found.register("prestaging", "ps_customer", load_direct(customer))
-    stg_orders = load_staging(ps_orders, spec.table(L2, "Orders"))
-    found.register("staging", "stg_orders", stg_orders)
-    found.register("staging", "stg_customer", customer.withColumn("IsValid", F.expr("if(c_custkey % 13 = 0, 0, 1)")))
-    dimension = customer_dimension(customer)
-    found.register("dwh", "dim_customer", dimension)
-    fact = lookup(
-        stg_orders.where("IsValid = 1"),
-        "o_custkey",
-        dimension.where("IsCurrent = 1"),
-        "c_custkey",
-        {"CustomerSK": "CustomerSK"},
-    ).selectExpr(
+def orders_fact(stg_orders: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Accepted orders with the surrogate key of the current customer version, some of them with a changed price."""
+    current = dimension.where("IsCurrent = 1")
+    keyed = lookup(stg_orders.where("IsValid = 1"), "o_custkey", current, "c_custkey", {"CustomerSK": "CustomerSK"})
+    return keyed.selectExpr(
         "o_orderkey",
         "o_orderstatus",
         "if(o_orderkey % 211 = 0, o_totalprice * 2, o_totalprice) as o_totalprice",
@@ -186,5 +170,35 @@ def store(spark: SparkSession, sf_dir: str) -> TableStore:
         "lower(o_orderpriority) as o_orderpriority",
         "CustomerSK",
     )
-    found.register("dwh", "fact_orders", fact)
+
+
+def store(spark: SparkSession, sf_dir: str) -> TableStore:
+    """The tables of all layers, each built when it is used.
+
+    Loaded tables are materialised in the shared checkpoint folder, as the loads of a warehouse write them: the
+    checks that read a table several times do not run its load again.
+    """
+    found, spec = TableStore(spark), pipeline()
+
+    def table(logical_db: str, name: str) -> DataFrame:
+        return found.table(logical_db, name)
+
+    built = {
+        ("source", "orders"): lambda: given(spark, sf_dir, "orders"),
+        ("source", "customer"): lambda: given(spark, sf_dir, "customer"),
+        ("prestaging", "ps_orders"): lambda: orders_target(table("source", "orders")),
+        ("prestaging", "ps_customer"): lambda: load_direct(table("source", "customer")),
+        ("staging", "stg_orders"): lambda: checkpointed(
+            load_staging(table("prestaging", "ps_orders"), spec.table(L2, "Orders"))
+        ),
+        ("staging", "stg_customer"): lambda: table("source", "customer").withColumn(
+            "IsValid", F.expr("if(c_custkey % 13 = 0, 0, 1)")
+        ),
+        ("dwh", "dim_customer"): lambda: customer_dimension(table("source", "customer")),
+        ("dwh", "fact_orders"): lambda: checkpointed(
+            orders_fact(table("staging", "stg_orders"), table("dwh", "dim_customer"))
+        ),
+    }
+    for (logical_db, name), build in built.items():
+        found.register(logical_db, name, build)
     return found

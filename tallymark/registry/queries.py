@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallymark import fixed_values as fixed
 from tallymark.functions.normalize import normalised
 from tallymark.functions.rules import broken
-from tallymark.functions.text import col
+from tallymark.functions.text import aliased, quoted
 from tallymark.operators import loads
 from tallymark.operators.compare import Comparison, compare
 from tallymark.operators.defects import Defect, inject_defects
@@ -94,7 +94,8 @@ def orders_comparison(spark: SparkSession, sf_dir: str, case_insensitive: bool =
 @query
 def normalise_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derive.store(spark, sf_dir).table("prestaging", "ps_orders")
-    return rows.select("o_orderkey", *[normalised(col(c), rows.schema[c].dataType).alias(c) for c in ORDER_VALUES])
+    values = {c: normalised(quoted(c), rows.schema[c].dataType) for c in ORDER_VALUES}
+    return rows.selectExpr("o_orderkey", *aliased(values))
 
 
 @query
@@ -110,11 +111,8 @@ def cell_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def diff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = orders_comparison(spark, sf_dir, case_insensitive=True).diff_pairs()
-    return pairs.select(
-        F.concat_ws(",", "diff_columns").alias("diff_columns"),
-        *[F.col("source_row")[c].alias(f"source_{c}") for c in derive.ORDER_COLUMNS],
-        *[F.col("target_row")[c].alias(f"target_{c}") for c in derive.ORDER_COLUMNS],
-    )
+    sides = [f"{side}_row.{c} as {side}_{c}" for side in ("source", "target") for c in derive.ORDER_COLUMNS]
+    return pairs.selectExpr("concat_ws(',', diff_columns) as diff_columns", *sides)
 
 
 @query
@@ -418,7 +416,8 @@ def load_cleanse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def load_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive.store(spark, sf_dir).table("staging", "stg_orders")
+    store = derive.store(spark, sf_dir)
+    return loads.load_staging(store.table("prestaging", "ps_orders"), derive.pipeline().table(L2, "Orders"))
 
 
 @query

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.normalize import as_text
-from tallymark.functions.text import col
+from tallymark.functions.text import lit, quoted
+from tallymark.sources.literal import literal_rows
 
-COLUMN_SCHEMA = "name string, ordinal int, data_type string, size string, nullable string"
+COLUMN_TYPES = {"name": "string", "ordinal": "int", "data_type": "string", "size": "string", "nullable": "string"}
 
 # Decimal digits of the binary number types.
 _PRECISION = {
@@ -49,13 +47,13 @@ def _declared(df: DataFrame) -> list[tuple[str, int, str, str, str]]:
 
 def column_metadata(df: DataFrame) -> DataFrame:
     """One row for each column from the schema alone; no data is read."""
-    return df.sparkSession.createDataFrame(_declared(df), COLUMN_SCHEMA)
+    return literal_rows(df.sparkSession, COLUMN_TYPES, _declared(df))
 
 
 def fallback_metadata(spark: SparkSession, columns: Sequence[str]) -> DataFrame:
     """Metadata of a table that cannot be read: the configured columns, everything else not available."""
     rows = [(c, i, "n/a", "n/a", "n/a") for i, c in enumerate(dict.fromkeys(columns), start=1)]
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+    return literal_rows(spark, COLUMN_TYPES, rows)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -64,24 +62,16 @@ def column_profile(df: DataFrame) -> DataFrame:
     Files and most catalogs declare every column nullable and text without a length. The observed size of a text is
     its longest value, and a column is nullable when it holds a NULL. ``null_count`` counts them.
     """
-    measures: list[Any] = []
-    for i, f in enumerate(df.schema.fields):
-        measures.append(F.count_if(col(f.name).isNull()).alias(f"n{i}"))
+    fields = list(zip(df.schema.fields, _declared(df)))
+    measures, rows = [], []
+    for i, (f, (name, ordinal, dtype, size, _)) in enumerate(fields):
+        measures.append(f"count_if({quoted(name)} is null) as n{i}")
+        observed = lit(size)
         if isinstance(f.dataType, T.StringType):
-            measures.append(F.max(F.char_length(as_text(col(f.name), f.dataType))).alias(f"l{i}"))
-    rows = []
-    for i, (name, ordinal, dtype, size, _) in enumerate(_declared(df)):
-        observed = F.lit(size)
-        if isinstance(df.schema.fields[i].dataType, T.StringType):
-            observed = F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("string")
+            measures.append(f"max(char_length({quoted(name)})) as l{i}")
+            observed = f"cast(coalesce(l{i}, 0) as string)"
         rows.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(ordinal).alias("ordinal"),
-                F.lit(dtype).alias("data_type"),
-                observed.alias("size"),
-                F.when(F.col(f"n{i}") > 0, "YES").otherwise("NO").alias("nullable"),
-                F.col(f"n{i}").alias("null_count"),
-            )
+            f"named_struct('name', {lit(name)}, 'ordinal', {ordinal}, 'data_type', {lit(dtype)}, 'size', {observed}, "
+            f"'nullable', if(n{i} > 0, 'YES', 'NO'), 'null_count', n{i})"
         )
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(rows)}))")

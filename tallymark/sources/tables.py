@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from string import Formatter
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tallymark.functions.text import col
+from tallymark.functions.text import names
 from tallymark.spec import LayerSpec, TableSpec, split_table_name
 
 
@@ -24,9 +23,10 @@ class TableStore:
     def __init__(self, spark: SparkSession, databases: Mapping[str, Mapping[str, Any]] | None = None) -> None:
         self.spark = spark
         self.databases = dict(databases or {})
-        self._registered: dict[tuple[str, str], DataFrame] = {}
+        self._registered: dict[tuple[str, str], DataFrame | Callable[[], DataFrame]] = {}
 
-    def register(self, logical_db: str, table: str, df: DataFrame) -> None:
+    def register(self, logical_db: str, table: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        """Register a DataFrame, or a function that builds it when the table is asked for the first time."""
         self._registered[logical_db, table] = df
 
     def _location(self, logical_db: str) -> Mapping[str, Any]:
@@ -36,7 +36,10 @@ class TableStore:
 
     def table(self, logical_db: str, table: str) -> DataFrame:
         if (logical_db, table) in self._registered:
-            return self._registered[logical_db, table]
+            found = self._registered[logical_db, table]
+            if not isinstance(found, DataFrame):
+                found = self._registered[logical_db, table] = found()
+            return found
         location = self._location(logical_db)
         name = split_table_name(table)[1]
         if "catalog" in location:
@@ -53,7 +56,7 @@ class TableStore:
         rows = self.table(logical_db, table)
         if where:
             rows = rows.where(where)
-        return rows.select(*[col(c) for c in columns]) if columns else rows
+        return rows.select(*names(columns)) if columns else rows
 
     def read_query(self, logical_db: str, sql: str) -> DataFrame:
         """Any SELECT. Tables appear in braces: ``select count(*) as n from {orders}``.
@@ -63,15 +66,15 @@ class TableStore:
         location = self.databases.get(logical_db, {})
         if location.get("format") == "jdbc":
             return self.spark.read.format("jdbc").options(**location["options"]).option("query", sql).load()
-        names = {name for _, name, _, _ in Formatter().parse(sql) if name}
-        return self.spark.sql(sql, **{name: self.table(logical_db, name) for name in names})
+        used = {name for _, name, _, _ in Formatter().parse(sql) if name}
+        return self.spark.sql(sql, **{name: self.table(logical_db, name) for name in used})
 
     def row_count(self, logical_db: str, table: str, where: str | None = None) -> DataFrame:
         """One row ``cnt``."""
-        return self.read_table(logical_db, table, where=where).agg(F.count(F.lit(1)).alias("cnt"))
+        return self.read_table(logical_db, table, where=where).selectExpr("count(1) as cnt")
 
     def columns(self, logical_db: str, table: str) -> list[str]:
-        return self.table(logical_db, table).columns
+        return self.table(logical_db, table).schema.names
 
     def side(
         self, layer: LayerSpec, table: TableSpec, side: str, columns: Sequence[str] | None = None, counting: bool = False
