@@ -12,7 +12,8 @@ from tallymark.functions.normalize import as_text, values_equal
 from tallymark.functions.text import aliased, all_of, any_of, case, field, lit, quoted
 from tallymark.operators.duplicates import duplicate_rows
 from tallymark.operators.pairing import key_names, pair_by_key
-from tallymark.session import HOT_KEY_ROWS
+from tallymark.operators.screening import SCREEN_LIMIT, keep_keys, suspicious_keys
+from tallymark.session import HOT_KEY_ROWS, materialised
 
 BOTH, SOURCE_ONLY, TARGET_ONLY = "both", "source_only", "target_only"
 
@@ -43,6 +44,27 @@ class Comparison:
         self.exact_decimals = exact_decimals
         self.hot_rows = hot_rows
         self._persisted: DataFrame | None = None
+        self._suspects: tuple[DataFrame, DataFrame] | None = None
+
+    def screen(self, limit: int = SCREEN_LIMIT) -> Comparison:
+        """Narrow the work down to suspicious keys first; for large, wide tables with few differences.
+
+        A first job shuffles fingerprints instead of rows (see :mod:`screening`) and writes the suspicious keys to
+        shared storage. If there are at most ``limit`` of them, all details come from the rows of those keys, which
+        are picked in a map-side join; otherwise the comparison goes on with all rows. The outcome is the same.
+        """
+        found = suspicious_keys(self.source, self.target, self.keys, self.compare_columns, self.case_insensitive)
+        found = materialised(found, "suspects")
+        if found.count() <= limit:
+            self._suspects = (
+                keep_keys(self.source, self.keys, self.target, found),
+                keep_keys(self.target, self.keys, self.source, found),
+            )
+            self.__dict__.pop("_issues", None)
+        return self
+
+    def _sides(self) -> tuple[DataFrame, DataFrame]:
+        return self._suspects or (self.source, self.target)
 
     def _differs(self, column: str) -> str:
         equal = values_equal(
@@ -55,19 +77,22 @@ class Comparison:
         )
         return f"state = '{BOTH}' and not ({equal})"
 
-    @cached_property
+    @property
     def paired(self) -> DataFrame:
         """Every key of either side: its copies, its first rows, its state, whether the key is duplicated."""
+        return self._pair(self.source, self.target)
+
+    def _pair(self, source: DataFrame, target: DataFrame) -> DataFrame:
         state = case([("n_target = 0", lit(SOURCE_ONLY)), ("n_source = 0", lit(TARGET_ONLY))], lit(BOTH))
         has_key = all_of(f"{quoted(name)} is not null" for name in key_names(self.keys))
-        return pair_by_key(self.source, self.target, self.keys, self.compare_columns).selectExpr(
+        return pair_by_key(source, target, self.keys, self.compare_columns).selectExpr(
             "*", f"{state} as state", f"({has_key}) and (n_source > 1 or n_target > 1) as is_duplicate"
         )
 
     @cached_property
     def _issues(self) -> DataFrame:
         tests = {c: self._differs(c) for c in self.compare_columns}
-        found = self.paired.where(any_of([f"state != '{BOTH}'", "is_duplicate", *tests.values()]))
+        found = self._pair(*self._sides()).where(any_of([f"state != '{BOTH}'", "is_duplicate", *tests.values()]))
         count = " + ".join(f"if({t}, 1L, 0L)" for t in tests.values()) or "0L"
         named = ", ".join(f"if({t}, {lit(c)}, null)" for c, t in tests.items()) or "cast(null as string)"
         return found.selectExpr("*", f"{count} as n_diffs", f"array_compact(array({named})) as diff_columns")
@@ -135,7 +160,8 @@ class Comparison:
         return rows.selectExpr(*aliased({c: field("target_row", c) for c in self.target_columns}))
 
     def duplicates_on(self, side: str) -> DataFrame:
-        rows, other = (self.source, self.target) if side == "source" else (self.target, self.source)
+        source, target = self._sides()
+        rows, other = (source, target) if side == "source" else (target, source)
         return duplicate_rows(rows, self.keys, other, self.hot_rows).selectExpr("*", f"'{side}' as _side")
 
     def duplicates(self) -> DataFrame:

@@ -99,10 +99,10 @@ def load_scd2(
     """
     columns = incoming.schema.names
     output = [surrogate_key, *columns, CURRENT, EFFECTIVE, EXPIRY]
-    valid_from = f"timestamp'{effective.isoformat(sep=' ')}'"
+    valid_from = f"timestamp_ntz'{effective.isoformat(sep=' ')}'"
 
     def new_versions(rows: DataFrame, start: int) -> DataFrame:
-        version = {CURRENT: "1", EFFECTIVE: valid_from, EXPIRY: "cast(null as timestamp)"}
+        version = {CURRENT: "1", EFFECTIVE: valid_from, EXPIRY: "cast(null as timestamp_ntz)"}
         numbered = number_rows(rows, keys, surrogate_key, start)
         return numbered.selectExpr("*", *aliased(version)).select(*names(output))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import names, quoted
-from tallymark.session import checkpointed
+from tallymark.session import materialised
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
@@ -17,10 +17,10 @@ def number_rows(rows: DataFrame, order: Sequence[str], name: str, start: int = 0
     """Add ``start + 1, start + 2, ...`` in the order of the given columns.
 
     A distributed sort gives each row its place inside its partition; the partition sizes, one row for each
-    partition, are summed up and added. The sorted rows are checkpointed, so that sizes and rows belong to the same
+    partition, are summed up and added. The sorted rows are written to shared storage, so that sizes and rows belong to the same
     partitioning even when a task is repeated.
     """
-    sized = checkpointed(rows.orderBy(*names(order)).selectExpr("*", "monotonically_increasing_id() as __place"))
+    sized = materialised(rows.orderBy(*names(order)).selectExpr("*", "monotonically_increasing_id() as __place"), "numbered")
     placed = sized.selectExpr("*", f"shiftright(__place, {_PART_BITS}) as __part")
     offsets = (
         placed.groupBy("__part")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.loads import load_direct, load_staging
 from tallymark.operators.lookup import lookup
-from tallymark.session import checkpointed
+from tallymark.session import materialised
 from tallymark.sources.tables import TableStore
 from tallymark.spec import (
     ConstraintSpec,
@@ -175,7 +175,7 @@ def orders_fact(stg_orders: DataFrame, dimension: DataFrame) -> DataFrame:
 def store(spark: SparkSession, sf_dir: str) -> TableStore:
     """The tables of all layers, each built when it is used.
 
-    Loaded tables are materialised in the shared checkpoint folder, as the loads of a warehouse write them: the
+    Loaded tables are written to the shared checkpoint folder, as the loads of a warehouse write them: the
     checks that read a table several times do not run its load again.
     """
     found, spec = TableStore(spark), pipeline()
@@ -188,14 +188,14 @@ def store(spark: SparkSession, sf_dir: str) -> TableStore:
         ("source", "customer"): lambda: given(spark, sf_dir, "customer"),
         ("prestaging", "ps_orders"): lambda: orders_target(table("source", "orders")),
         ("prestaging", "ps_customer"): lambda: load_direct(table("source", "customer")),
-        ("staging", "stg_orders"): lambda: checkpointed(
+        ("staging", "stg_orders"): lambda: materialised(
             load_staging(table("prestaging", "ps_orders"), spec.table(L2, "Orders"))
         ),
         ("staging", "stg_customer"): lambda: table("source", "customer").withColumn(
             "IsValid", F.expr("if(c_custkey % 13 = 0, 0, 1)")
         ),
         ("dwh", "dim_customer"): lambda: customer_dimension(table("source", "customer")),
-        ("dwh", "fact_orders"): lambda: checkpointed(
+        ("dwh", "fact_orders"): lambda: materialised(
             orders_fact(table("staging", "stg_orders"), table("dwh", "dim_customer"))
         ),
     }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -24,7 +23,7 @@ from tallymark.plans.suite import SuiteRun, run_suite
 from tallymark.plans.tickets import FINDING_COLUMNS, findings, tickets
 from tallymark.registry import derive
 from tallymark.registry.derive import L1, L2, L3, ORDER_VALUES, given
-from tallymark.session import ensure_checkpoint_dir
+from tallymark.session import shared_folder
 from tallymark.sources.metadata import column_profile
 from tallymark.sources.snapshot import restore_snapshot, write_snapshot
 from tallymark.spec import ForeignKeySpec, LayerSpec, LookupSpec, RuleSpec, TableSpec
@@ -74,8 +73,7 @@ def column_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/snapshot-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "snapshot")
     store = derive.store(spark, sf_dir)
     tables = {name: store.table("source", name) for name in ("customer", "orders")}
     write_snapshot(tables, f"{root}/golden")

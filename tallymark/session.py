@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in shared storage so that later plans all see the same rows, also after lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the checkpoint folder, which all executors can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """Write ``df`` as a table in shared storage and read it back.
+
+    All later plans see the same rows, also after lost executors, and read only the columns they need.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
