@@ -13,7 +13,8 @@ _BLANK_RANGES = [
     (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
     (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
 ]
-_BLANKS = "'" + "".join(f"\\u{code:04X}" for first, last in _BLANK_RANGES for code in range(first, last + 1)) + "'"
+BLANK_TEXT = "".join(chr(code) for first, last in _BLANK_RANGES for code in range(first, last + 1))
+_BLANKS = "'" + "".join(f"\\u{ord(blank):04X}" for blank in BLANK_TEXT) + "'"
 
 INTEGER, NUMBER, DATE, TIMESTAMP, TEXT = "integer", "number", "date", "timestamp", "text"
 _NUMERIC = {INTEGER, NUMBER}

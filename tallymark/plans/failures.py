@@ -32,43 +32,48 @@ def comparison_records(comparison: Comparison, layer_name: str, layer_number: in
     """
     schemas = {"Source": comparison.source.schema, "Target": comparison.target.schema}
     label = lit(fixed.LAYER_LABELS.get(layer_name, layer_name))
-    issues, keys = comparison.issues, key_texts(comparison)
+    keys = key_texts(comparison)
 
-    def record(rows: DataFrame, kind: int, ftype: str, place: str, row: str | None, highlight: str) -> DataFrame:
+    def record(kind: int, ftype: str, place: str, row: str | None, highlight: str) -> dict[str, str]:
         schema = schemas[place]
-        cells = {
-            c: as_text(field(row, c) if row else quoted(c), schema[c].dataType)
-            for c in comparison.columns
-            if c in schema.names
-        }
-        built = {
+
+        def cell(c: str) -> str:
+            if c not in schema.names:
+                return "cast(null as string)"
+            return as_text(field(row, c) if row else quoted(c), schema[c].dataType)
+
+        return {
             "layer": label,
             "failure_type": lit(ftype),
             "row_destination": lit(place),
-            **cells,
+            **{c: cell(c) for c in comparison.columns},
             "highlight": highlight,
             "_layer": str(layer_number),
             "_kind": str(kind),
             "_key": keys,
         }
-        return rows.selectExpr(*aliased(built))
 
     def whole(place: str) -> str:
         return f"array({', '.join(lit(c) for c in schemas[place].names)})"
 
-    differing = issues.where("n_diffs > 0")
-    parts = [record(differing, _DIFF, "DF", place, f"{place.lower()}_row", "diff_columns") for place in _PLACES]
+    conditional = [("n_diffs > 0", record(_DIFF, "DF", p, f"{p.lower()}_row", "diff_columns")) for p in _PLACES]
     for kind, state, place, ftype in (
         (_MISSING_TARGET, SOURCE_ONLY, "Source", "Missing in Target"),
         (_MISSING_SOURCE, TARGET_ONLY, "Target", "Missing in Source"),
     ):
-        rows = issues.where(f"state = '{state}'")
-        parts.append(record(rows, kind, ftype, place, f"{place.lower()}_row", whole(place)))
+        conditional.append((f"state = '{state}'", record(kind, ftype, place, f"{place.lower()}_row", whole(place))))
+    # all records of one key at once, so that the pairing runs once
+    structs = [
+        f"if({condition}, named_struct({', '.join(f'{lit(n)}, {v}' for n, v in built.items())}), null)"
+        for condition, built in conditional
+    ]
+    parts = [comparison.issues.selectExpr(f"inline(array_compact(array({', '.join(structs)})))")]
     for place in _PLACES:
         rows = comparison.duplicates_on(place.lower())
         rows = rows.selectExpr("*", *normalised_keys(rows, comparison.keys))
-        parts.append(record(rows, _DUPLICATE, f"Duplicate in {place}", place, None, whole(place)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        built = record(_DUPLICATE, f"Duplicate in {place}", place, None, whole(place))
+        parts.append(rows.selectExpr(*aliased(built)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def failure_records(run: SuiteRun, table: str, max_rows: int | None = None) -> DataFrame:

@@ -53,108 +53,95 @@ def comparison_findings(
     keys, issues, key_order = comparison.keys, comparison.issues, key_texts(comparison)
     source, target = comparison.source.schema, comparison.target.schema
 
-    def finding(rows: DataFrame, kind: int, part: str, **texts: str) -> DataFrame:
+    def finding(kind: int, part: str, **texts: str) -> str:
+        """One finding as struct; all kinds have the same fields."""
         order = {"_seq": str(seq), "_kind": str(kind), "_key": key_order, "_part": part}
         named = {"layer": lit(layer), "table": lit(table), "validation": lit(check), **texts, **order}
-        return rows.selectExpr(*aliased(named))
+        return f"named_struct({', '.join(f'{lit(name)}, {value}' for name, value in named.items())})"
 
     def cell(row: str, schema) -> str:
         return case(
-            [(f"column = {lit(c)}", shown(field(row, c), schema[c].dataType)) for c in comparison.compare_columns],
-            "''",
+            [(f"c = {lit(c)}", shown(field(row, c), schema[c].dataType)) for c in comparison.compare_columns], "''"
         )
 
     at = {"s": key_text(keys, source, "source_row"), "t": key_text(keys, target, "target_row")}
     whole = {"srow": row_text(keys, source, "source_row"), "trow": row_text(keys, target, "target_row")}
-
-    cells = issues.where("n_diffs > 0").selectExpr("*", "posexplode(diff_columns) as (position, column)")
-    mismatch = {
-        "c": "column",
-        "sv": cell("source_row", source),
-        "tv": cell("target_row", target),
-        **at,
-    }
+    differing = {"c": "c", "sv": cell("source_row", source), "tv": cell("target_row", target), **at}
     cause = text(
         f"The '<c>' value was not carried correctly from {st} to {tt} (it changed during the movement). {hint}",
-        **mismatch,
+        **differing,
     )
-    parts = [
-        finding(
-            cells,
-            0,
-            "position",
-            type=lit("Column Value Mismatch"),
-            severity=lit("High"),
-            title=text("<c> value differs at [<s>]", **mismatch),
-            expected=text("<c> must be identical in source and target.", **mismatch),
-            actual=text(
-                f"[<s>] Column '<c>' -> Source {st}({sdb}) = '<sv>'  |  Target {tt}({tdb}) = '<tv>'", **mismatch
-            ),
-            root_cause=f"rtrim({cause})",
-            fix=text(
-                f"Fix the load logic so '<c>' is preserved, or correct the source data; then reload {tt}.", **mismatch
-            ),
-        )
-    ]
+    mismatch = finding(
+        0,
+        "i",
+        type=lit("Column Value Mismatch"),
+        severity=lit("High"),
+        title=text("<c> value differs at [<s>]", **differing),
+        expected=text("<c> must be identical in source and target.", **differing),
+        actual=text(
+            f"[<s>] Column '<c>' -> Source {st}({sdb}) = '<sv>'  |  Target {tt}({tdb}) = '<tv>'", **differing
+        ),
+        root_cause=f"rtrim({cause})",
+        fix=text(
+            f"Fix the load logic so '<c>' is preserved, or correct the source data; then reload {tt}.", **differing
+        ),
+    )
+
+    others = []
     if include_tolerated or not (ctx.layer.tolerate_missing_in_target and check == checks.INTEGRITY):
-        parts.append(
-            finding(
-                issues.where(f"state = '{SOURCE_ONLY}'"),
-                1,
-                "0",
-                type=lit("Missing Record in Target"),
-                severity=lit("High"),
-                title=text(f"Record [<s>] is in source but MISSING in target ({tt})", **at),
-                expected=lit(f"Every record in {st} must also exist in {tt}."),
-                actual=text(f"Present in {st}({sdb}) but NOT found in {tt}({tdb}).\nSource row: <srow>", **whole),
-                root_cause=text(
-                    f"Record [<s>] exists in {st} but was not loaded into {tt} - the row was dropped or rejected "
-                    "during the movement (check load filters / rejection logic).",
-                    **at,
-                ),
-                fix=lit(f"Investigate why the record was not loaded and reload {tt}."),
-            )
-        )
-    parts.append(
-        finding(
-            issues.where(f"state = '{TARGET_ONLY}'"),
-            2,
+        missing = finding(
+            1,
             "0",
-            type=lit("Missing Record in Source (extra in target)"),
-            severity=lit("Medium"),
-            title=text(f"Record [<t>] is in target ({tt}) but MISSING in source", **at),
-            expected=lit(f"{tt} must not contain records absent from {st}."),
-            actual=text(f"Present in {tt}({tdb}) but NOT found in {st}({sdb}).\nTarget row: <trow>", **whole),
+            type=lit("Missing Record in Target"),
+            severity=lit("High"),
+            title=text(f"Record [<s>] is in source but MISSING in target ({tt})", **at),
+            expected=lit(f"Every record in {st} must also exist in {tt}."),
+            actual=text(f"Present in {st}({sdb}) but NOT found in {tt}({tdb}).\nSource row: <srow>", **whole),
             root_cause=text(
-                f"Record [<t>] exists in {tt} but not in {st} - an orphan/unexpected insert, or the source row was "
-                "deleted after the target was loaded.",
+                f"Record [<s>] exists in {st} but was not loaded into {tt} - the row was dropped or rejected "
+                "during the movement (check load filters / rejection logic).",
                 **at,
             ),
-            fix=lit(f"Verify the source; remove the orphan {tt} row or restore the source record, then reconcile."),
+            fix=lit(f"Investigate why the record was not loaded and reload {tt}."),
         )
+        others.append((f"state = '{SOURCE_ONLY}'", missing))
+    orphan = finding(
+        2,
+        "0",
+        type=lit("Missing Record in Source (extra in target)"),
+        severity=lit("Medium"),
+        title=text(f"Record [<t>] is in target ({tt}) but MISSING in source", **at),
+        expected=lit(f"{tt} must not contain records absent from {st}."),
+        actual=text(f"Present in {tt}({tdb}) but NOT found in {st}({sdb}).\nTarget row: <trow>", **whole),
+        root_cause=text(
+            f"Record [<t>] exists in {tt} but not in {st} - an orphan/unexpected insert, or the source row was "
+            "deleted after the target was loaded.",
+            **at,
+        ),
+        fix=lit(f"Verify the source; remove the orphan {tt} row or restore the source record, then reconcile."),
     )
+    others.append((f"state = '{TARGET_ONLY}'", orphan))
     for order, (side, name) in enumerate((("source", st), ("target", tt))):
         here = {"k": at[side[0]], "row": whole[f"{side[0]}row"], "n": f"cast(n_{side} as string)"}
-        parts.append(
-            finding(
-                issues.where(f"is_duplicate and n_{side} > 1"),
-                3,
-                str(order),
-                type=lit("Duplicate Record"),
-                severity=lit("High"),
-                title=text(f"Duplicate business key [<k>] on the {side} side", **here),
-                expected=lit("Each business key must appear at most once."),
-                actual=text(
-                    f"Duplicate in {name} ({side} side): key [<k>] appears <n> times. Example row: <row>", **here
-                ),
-                root_cause=lit(
-                    f"Business key {python_list(keys)} appears more than once in {name} "
-                    "(missing de-duplication or unique key)."
-                ),
-                fix=lit("Add/enforce a unique constraint or a de-duplication step."),
-            )
+        duplicate = finding(
+            3,
+            str(order),
+            type=lit("Duplicate Record"),
+            severity=lit("High"),
+            title=text(f"Duplicate business key [<k>] on the {side} side", **here),
+            expected=lit("Each business key must appear at most once."),
+            actual=text(f"Duplicate in {name} ({side} side): key [<k>] appears <n> times. Example row: <row>", **here),
+            root_cause=lit(
+                f"Business key {python_list(keys)} appears more than once in {name} "
+                "(missing de-duplication or unique key)."
+            ),
+            fix=lit("Add/enforce a unique constraint or a de-duplication step."),
         )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        others.append((f"is_duplicate and n_{side} > 1", duplicate))
+
+    cells = f"transform(diff_columns, (c, i) -> {mismatch})"
+    rest = f"array_compact(array({', '.join(f'if({condition}, {struct}, null)' for condition, struct in others)}))"
+    return issues.selectExpr(f"inline(concat({cells}, {rest}))")
 
 
 def _by_validation(texts: Mapping[str, str], default: str) -> str:
