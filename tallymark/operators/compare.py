@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tallymark.functions.normalize import as_text, values_equal
-from tallymark.functions.text import aliased, all_of, any_of, case, field, lit, quoted
+from tallymark.functions.text import aliased, all_of, case, field, lit, quoted
 from tallymark.operators.duplicates import duplicate_rows
 from tallymark.operators.pairing import key_names, pair_by_key
 from tallymark.operators.screening import SCREEN_LIMIT, keep_keys, suspicious_keys
@@ -66,8 +66,8 @@ class Comparison:
     def _sides(self) -> tuple[DataFrame, DataFrame]:
         return self._suspects or (self.source, self.target)
 
-    def _differs(self, column: str) -> str:
-        equal = values_equal(
+    def _equal(self, column: str) -> str:
+        return values_equal(
             field("source_row", column),
             self.source.schema[column].dataType,
             field("target_row", column),
@@ -75,7 +75,6 @@ class Comparison:
             self.case_insensitive,
             self.exact_decimals,
         )
-        return f"state = '{BOTH}' and not ({equal})"
 
     @property
     def paired(self) -> DataFrame:
@@ -91,11 +90,20 @@ class Comparison:
 
     @cached_property
     def _issues(self) -> DataFrame:
-        tests = {c: self._differs(c) for c in self.compare_columns}
-        found = self._pair(*self._sides()).where(any_of([f"state != '{BOTH}'", "is_duplicate", *tests.values()]))
-        count = " + ".join(f"if({t}, 1L, 0L)" for t in tests.values()) or "0L"
-        named = ", ".join(f"if({t}, {lit(c)}, null)" for c, t in tests.items()) or "cast(null as string)"
-        return found.selectExpr("*", f"{count} as n_diffs", f"array_compact(array({named})) as diff_columns")
+        # One mark for each compared column, '1' where it differs. The tests are written out once, as arguments of one
+        # function: long chains of AND, OR or + over them would cost the optimizer far more than the job itself.
+        tests = ", ".join(f"if({self._equal(c)}, '0', '1')" for c in self.compare_columns)
+        marks = f"if(state = '{BOTH}', concat({tests}), '')" if tests else "''"
+        marked = self._pair(*self._sides()).selectExpr("*", f"{marks} as _marks")
+        found = marked.where(f"state != '{BOTH}' or is_duplicate or contains(_marks, '1')")
+        named = ", ".join(
+            f"if(substring(_marks, {i}, 1) = '1', {lit(c)}, null)" for i, c in enumerate(self.compare_columns, start=1)
+        )
+        return found.selectExpr(
+            *[quoted(n) for n in marked.schema.names if n != "_marks"],
+            "cast(length(replace(_marks, '0', '')) as bigint) as n_diffs",
+            f"array_compact(array({named or 'cast(null as string)'})) as diff_columns",
+        )
 
     @property
     def issues(self) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tallymark.functions.normalize import strip, values_equal
 from tallymark.functions.rules import broken
-from tallymark.functions.text import aliased, all_of, case, field, joined, listed, lit, names, quoted
+from tallymark.functions.text import aliased, case, field, joined, listed, lit, names, quoted
 from tallymark.operators.duplicates import mark_first
 from tallymark.operators.lookup import lookup
 from tallymark.operators.numbering import number_rows
@@ -118,7 +118,8 @@ def load_scd2(
         for c in columns
         if c not in keys
     ]
-    changed = f"n_source > 0 and n_target > 0 and not ({all_of(same)})"
+    differs = f"array_contains(array({', '.join(same)}), false)" if same else "false"
+    changed = f"n_source > 0 and n_target > 0 and {differs}"
     pairs = pair_by_key(active, incoming, keys, columns).selectExpr("*", f"{changed} as changed")
 
     kept = _from_row("source", output)
