@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import mixing, topk, warc
+from tallymark.llm import fingerprints, mixing, sharding, topk, warc
 from tallymark.llm.common import table
 from tallymark.session import shared_folder
 
@@ -38,6 +38,17 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=16)
+    return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
