@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import fingerprints, mixing, sharding, topk, warc
+from tallymark.llm import dedup, fingerprints, mixing, sharding, topk, warc
 from tallymark.llm.common import table
 from tallymark.session import shared_folder
 
@@ -38,6 +38,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=16)
