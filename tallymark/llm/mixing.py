@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tallymark.session import materialised
 
+from .common import broadcast_if_small
+
 DOCUMENTS_IN_BLOCK = 8_192
 RESIDUALS_IN_BLOCK = 1_024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -141,7 +143,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int =
     )
     per_source = plan.withColumnRenamed("source", "__source")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sized.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rows = sized.join(broadcast_if_small(per_source), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("__n") / DOCUMENTS_IN_BLOCK))
     mixed = F.xxhash64("doc_id", F.lit(seed))
     planned = rows.select(
@@ -197,6 +199,6 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int =
         )
     )
     copies = F.col("__whole") + F.col("__taken")
-    return rounded.join(F.broadcast(plan), "__place").select(
+    return rounded.join(broadcast_if_small(plan), "__place").select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )

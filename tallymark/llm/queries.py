@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import dedup, fingerprints, mixing, sharding, topk, warc
+from tallymark.llm import dedup, fingerprints, mixing, rans, sharding, topk, warc
 from tallymark.llm.common import table
 from tallymark.session import shared_folder
 
@@ -54,6 +55,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "rans")
+    rans.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return rans.read_tokens(spark, folder, digests_only=True)
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
