@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,54 @@ def batches_of(values: list, sizes: list[int], most: int) -> Iterator[list]:
         total += size
     if held:
         yield held
+
+
+def map_groups(df: DataFrame, keys: list[str], columns: list[str], work: Callable, schema: str) -> DataFrame:
+    """Like ``groupBy(keys).applyInPandas``, for very many small groups: ``work(key, columns)`` yields rows of ``schema``.
+
+    The rows are dealt by key and sorted, and go through one Python stream for each partition, which holds one group at a time.
+    ``columns`` arrive as one list for each column.
+    """
+
+    def stream(batches):
+        import pandas as pd
+
+        def rows():
+            for frame in batches:
+                yield from zip(*(frame[c].tolist() for c in [*keys, *columns]), strict=True)
+
+        out, names = [], [part.split()[0] for part in schema.split(",")]
+        for key, group in groupby(rows(), key=lambda row: row[: len(keys)]):
+            found = list(zip(*group, strict=True))[len(keys) :]
+            out.extend(work(key, found))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    dealt = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(stream, schema)
+
+
+def with_column_from_texts(documents: DataFrame, work: Callable, fields: str) -> DataFrame:
+    """All columns as they are, and more ones that ``work`` makes of a list of whole texts (null: None), in Arrow batches.
+
+    ``fields`` is the schema of the new columns; ``work`` returns one list for each.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(fields)
+    schema = StructType([*documents.schema.fields, *added.fields])
+
+    def stream(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = {f.name: [] for f in added.fields}
+            for part in batches_of(texts, [len(t or "") for t in texts], 1 << 20):
+                for name, values in zip(found, work(part), strict=True):
+                    found[name].extend(values)
+            columns = [pa.array(v, "string" if f.dataType.simpleString() == "string" else "float64") for f, v in zip(added.fields, found.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *found])
+
+    return documents.mapInArrow(stream, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import dedup, fingerprints, mixing, rans, sharding, topk, warc
+from tallymark.llm import bpe, dedup, fingerprints, language, mixing, quality, rans, sharding, topk, warc
 from tallymark.llm.common import table
 from tallymark.session import shared_folder
 
@@ -30,6 +30,25 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
 
 
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.fit(documents, table(spark, sf_dir, "labels"))
+    score = F.col("score")
+    return quality.with_quality(documents, field, "score").select(
+        "doc_id", quality.held_out().alias("held_out"), score, (score >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(documents)
+    return language.with_language(documents.select("doc_id", "text"), model, "lang_pred", "score").select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
@@ -39,9 +58,22 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    found = dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
@@ -65,3 +97,10 @@ def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
