@@ -54,9 +54,19 @@ def as_text(value: str, dtype: T.DataType) -> str:
         return f"if({is_whole}, date_format({value}, {whole}), date_format({value}, {full}))"
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
         return f"to_json({value})"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return _plain_number(value)
     return f"cast({value} as string)"
 
 
+def _plain_number(value: str) -> str:
+    """Text of a float without exponent from 1e-4 up to below 1e16, where Spark would write one above 1e7 and below 1e-3."""
+    text, size = f"cast({value} as string)", f"abs({value})"
+    exact = f"cast(cast({text} as decimal(38,21)) as string)"
+    plain = f"regexp_replace(rtrim('0', {exact}), '[.]$', '.0')"
+    return f"if(({size} >= 1e7D and {size} < 1e16D) or ({size} < 1e-3D and {size} >= 1e-4D), {plain}, {text})"
+
+
 def shown(value: str, dtype: T.DataType) -> str:
     """Display text in which a missing value is visible."""
     return f"coalesce({as_text(value, dtype)}, 'None')"

@@ -57,9 +57,6 @@ def all_of(conditions: Iterable[str]) -> str:
     return " and ".join(f"({c})" for c in conditions) or "true"
 
 
-def any_of(conditions: Iterable[str]) -> str:
-    return " or ".join(f"({c})" for c in conditions) or "false"
-
 
 def filled(template: str, **numbers: str) -> str:
     """Text with ``{name}`` placeholders for numeric expressions."""

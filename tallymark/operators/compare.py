@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tallymark.functions.normalize import as_text, values_equal
-from tallymark.functions.text import aliased, all_of, case, field, lit, quoted
+from tallymark.functions.text import aliased, all_of, case, field, lit, names, quoted
 from tallymark.operators.duplicates import duplicate_rows
 from tallymark.operators.pairing import key_names, pair_by_key
 from tallymark.operators.screening import SCREEN_LIMIT, keep_keys, suspicious_keys
@@ -53,7 +53,9 @@ class Comparison:
         shared storage. If there are at most ``limit`` of them, all details come from the rows of those keys, which
         are picked in a map-side join; otherwise the comparison goes on with all rows. The outcome is the same.
         """
-        found = suspicious_keys(self.source, self.target, self.keys, self.compare_columns, self.case_insensitive)
+        found = suspicious_keys(
+            self.source, self.target, self.keys, self.compare_columns, self.case_insensitive, self.exact_decimals
+        )
         found = materialised(found, "suspects")
         if found.count() <= limit:
             self._suspects = (
@@ -177,7 +179,16 @@ class Comparison:
         return self.duplicates_on("source").unionByName(self.duplicates_on("target"), allowMissingColumns=True)
 
     def summary(self) -> DataFrame:
-        """One row: differing cells and records, missing rows both ways, duplicate rows, and the verdict."""
+        """One row: differing cells and records, missing rows both ways, duplicate rows, and the verdict.
+
+        The verdict needs keys and compared columns only, so other columns are neither scanned nor shuffled for it.
+        """
+        needed = dict.fromkeys([*self.keys, *self.compare_columns])
+        if self._persisted is None and self._suspects is None and {*self.columns, *self.target_columns} - needed.keys():
+            source, target = (df.select(*names(needed)) for df in (self.source, self.target))
+            return compare(
+                source, target, self.keys, self.compare_columns, self.case_insensitive, self.exact_decimals, self.hot_rows
+            ).summary()
         copies = "if(n_source > 1, n_source, 0L) + if(n_target > 1, n_target, 0L)"
         counts = self.issues.selectExpr(
             "coalesce(sum(n_diffs), 0) as diffs",

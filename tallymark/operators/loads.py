@@ -18,7 +18,7 @@ from tallymark.operators.numbering import number_rows
 from tallymark.operators.pairing import pair_by_key
 from tallymark.session import HOT_KEY_ROWS
 from tallymark.sources.tables import TableStore
-from tallymark.spec import LayerSpec, LookupSpec, PipelineSpec, TableSpec, split_table_name
+from tallymark.spec import LayerSpec, LookupSpec, PipelineSpec, TableSpec, table_path
 
 VALID, REASON = "IsValid", "RejectionReason"
 CURRENT, EFFECTIVE, EXPIRY = "IsCurrent", "EffectiveDate", "ExpiryDate"
@@ -131,9 +131,7 @@ def load_scd2(
     return history.unionByName(previous).unionByName(versions)
 
 
-def load_fact(
-    rows: DataFrame, lookups: Sequence[LookupSpec], dimensions: Mapping[str, DataFrame], hot_rows: int = HOT_KEY_ROWS
-) -> DataFrame:
+def load_fact(rows: DataFrame, lookups: Sequence[LookupSpec], dimensions: Mapping[str, DataFrame]) -> DataFrame:
     """Replace natural keys by surrogate keys; keys without a dimension row become NULL.
 
     ``dimensions`` holds the current rows of each dimension. A lookup may use a column carried by an earlier one.
@@ -141,7 +139,7 @@ def load_fact(
     found, natural = rows, []
     for spec in lookups:
         take = {spec.surrogate_key: spec.surrogate_key, **{c: c for c in spec.carry}}
-        found = lookup(found, spec.key, dimensions[spec.ref_table], spec.ref_key, take, hot_rows)
+        found = lookup(found, spec.key, dimensions[spec.ref_table], spec.ref_key, take)
         natural += [spec.key, *spec.carry]
     return found.drop(*natural)
 
@@ -150,8 +148,23 @@ def load_fact(
 
 
 def load_order(layer: LayerSpec) -> list[TableSpec]:
-    """Declared order (parents before children), facts after the dimensions they look up."""
-    return sorted(layer.tables.values(), key=lambda t: bool(t.lookups))
+    """Parents before children, by lookups and foreign keys; otherwise the declared order. Cycles keep the declared order."""
+    by_target = {t.target_table: t for t in layer.tables.values()}
+    placed: dict[str, TableSpec] = {}
+    open_tables: set[str] = set()
+
+    def place(table: TableSpec) -> None:
+        if table.name in placed or table.name in open_tables:
+            return
+        open_tables.add(table.name)
+        for parent in [*[s.ref_table for s in table.lookups], *[k.ref_table for k in table.foreign_keys]]:
+            if parent in by_target:
+                place(by_target[parent])
+        placed[table.name] = table
+
+    for table in layer.tables.values():
+        place(table)
+    return list(placed.values())
 
 
 def _dimension_filter(layer: LayerSpec, target_table: str) -> str | None:
@@ -178,7 +191,7 @@ def reload_layers(
         store.register(layers[0].source_db, name, df)
 
     def save(layer: LayerSpec, table: TableSpec, df: DataFrame) -> None:
-        path = f"{root.rstrip('/')}/{layer.target_db}/{split_table_name(table.target_table)[1]}"
+        path = f"{root.rstrip('/')}/{layer.target_db}/{table_path(table.target_table)}"
         df.write.mode("overwrite").parquet(path)
         store.register(layer.target_db, table.target_table, spark.read.parquet(path))
 

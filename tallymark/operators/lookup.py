@@ -8,43 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import names, quoted
-from tallymark.operators.hotkeys import hot_keys
-from tallymark.session import HOT_KEY_ROWS
 
 
-def lookup(
-    rows: DataFrame,
-    key: str,
-    reference: DataFrame,
-    ref_key: str,
-    take: Mapping[str, str],
-    hot_rows: int = HOT_KEY_ROWS,
-) -> DataFrame:
+def lookup(rows: DataFrame, key: str, reference: DataFrame, ref_key: str, take: Mapping[str, str]) -> DataFrame:
     """Add reference columns (``take``: new name -> reference column) to every row; NULL where nothing matches.
 
-    ``reference`` must be unique by ``ref_key``. Hot keys get their values in a map-side join: the list of hot keys
-    is bounded, and so is the part of the reference that belongs to it. All other rows take part in an ordinary
-    join; there, rows that are served already and rows without a key carry a salt from their input partition,
-    so that they do not meet in one task. Spark itself turns that join into a broadcast one when the
-    reference is small enough.
+    ``reference`` must be unique by ``ref_key``. One left join, so that plans of many lookups grow in step with their number.
+    Rows without a key carry a salt from their input partition and do not meet in one task. A key with very many
+    rows has one reference row: the adaptive skew join splits its rows among tasks, and a small reference is
+    broadcast by Spark itself.
     """
     k = quoted(key)
     values = [f"{quoted(c)} as {quoted(f'_v_{new}')}" for new, c in take.items()]
-    reference = reference.selectExpr(f"{quoted(ref_key)} as _ref", *values)
-
-    hot = hot_keys(rows.where(f"{k} is not null"), [key], hot_rows).selectExpr(f"{k} as _hot")
-    hot_reference = reference.join(F.broadcast(hot), F.expr("_ref = _hot"), "left_semi")
-    hot_values = [f"{quoted(f'_v_{new}')} as {quoted(f'_h_{new}')}" for new in take]
-    hot = hot.join(F.broadcast(hot_reference), F.expr("_hot = _ref"), "left").selectExpr("_hot", *hot_values)
-
-    served = rows.join(F.broadcast(hot), F.expr(f"{k} = _hot"), "left")
-    salted = served.selectExpr(
-        "*",
-        f"if(_hot is null, {k}, null) as _open",
-        f"if(_hot is null and {k} is not null, 0, spark_partition_id() + 1) as _salt",
-    )
-    found = salted.join(reference.selectExpr("*", "0 as _ref_salt"), F.expr("_open = _ref and _salt = _ref_salt"), "left")
+    reference = reference.selectExpr(f"{quoted(ref_key)} as _ref", *values, "0 as _ref_salt")
+    salted = rows.selectExpr("*", f"if({k} is null, spark_partition_id() + 1, 0) as _salt")
+    found = salted.join(reference, F.expr(f"{k} = _ref and _salt = _ref_salt"), "left")
     return found.selectExpr(
-        *names(rows.schema.names),
-        *[f"coalesce({quoted(f'_h_{new}')}, {quoted(f'_v_{new}')}) as {quoted(new)}" for new in take],
+        *names(rows.schema.names), *[f"{quoted(f'_v_{new}')} as {quoted(new)}" for new in take]
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions.normalize import TEXT, key_value, kind_of
 from tallymark.functions.text import all_of, names, quoted
@@ -16,12 +17,14 @@ SCREEN_LIMIT = 2_000_000
 
 
 def _fingerprint(
-    rows: DataFrame, other: DataFrame, columns: Sequence[str], case_insensitive: bool, seed: int
+    rows: DataFrame, other: DataFrame, columns: Sequence[str], case_insensitive: bool, exact_decimals: bool, seed: int
 ) -> str:
     parts = []
     for c in columns:
         mine, theirs = rows.schema[c].dataType, other.schema[c].dataType
         value = key_value(quoted(c), mine, theirs)
+        if exact_decimals and isinstance(mine, T.DecimalType) and isinstance(theirs, T.DecimalType):
+            value = _exact(quoted(c), mine)
         if case_insensitive and kind_of(mine) == kind_of(theirs) == TEXT:
             value = f"lower({value})"
         # the hash passes over NULLs, so their places are part of the input
@@ -29,8 +32,19 @@ def _fingerprint(
     return f"xxhash64({', '.join([str(seed), *parts])})"
 
 
+def _exact(value: str, dtype: T.DecimalType) -> str:
+    """Text of a decimal that does not depend on its scale."""
+    text = f"cast({value} as string)"
+    return f"rtrim('.', rtrim('0', {text}))" if dtype.scale else text
+
+
 def suspicious_keys(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str], case_insensitive: bool = False
+    source: DataFrame,
+    target: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    case_insensitive: bool = False,
+    exact_decimals: bool = False,
 ) -> DataFrame:
     """Normalised keys that are not exactly once on each side with the same fingerprint of the compared columns.
 
@@ -43,7 +57,7 @@ def suspicious_keys(
     tagged = []
     for side, rows, other in (("s", source, target), ("t", target, source)):
         hashes = [
-            f"{_fingerprint(rows, other, columns, case_insensitive, seed)} as {side}{seed}" for seed in (1, 2)
+            f"{_fingerprint(rows, other, columns, case_insensitive, exact_decimals, seed)} as {side}{seed}" for seed in (1, 2)
         ]
         tagged.append(rows.selectExpr(*normalised_keys(rows, keys, other), f"1L as {side}", *hashes))
     both = tagged[0].unionByName(tagged[1], allowMissingColumns=True)

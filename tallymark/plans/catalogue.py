@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -59,9 +60,28 @@ def cases(pipeline: PipelineSpec) -> list[CheckCase]:
     return found
 
 
+def case_prefixes(pipeline: PipelineSpec) -> dict[tuple[str, str], str]:
+    """Layer and table in the ids of the cases: short where that is unique, else longer, and numbered if nothing else helps."""
+    every = [(layer.name, table) for layer in pipeline.layers.values() for table in layer.tables]
+
+    def forms(layer: str, table: str) -> list[str]:
+        code = fixed.LAYER_CODES.get(layer, layer.upper()[:5])
+        return [f"{code}_{table[:3].upper()}", f"{code}_{table.upper()}", f"{layer.upper()}_{table.upper()}"]
+
+    listed = [forms(*at) for at in every]
+    uses = [Counter(f[i] for f in listed) for i in range(3)]
+    taken: dict[str, int] = {}
+    chosen = {}
+    for at, own in zip(every, listed, strict=True):
+        prefix = next((own[i] for i in range(3) if uses[i][own[i]] == 1), own[2])
+        taken[prefix] = taken.get(prefix, 0) + 1
+        chosen[at] = prefix if taken[prefix] == 1 else f"{prefix}_{taken[prefix]}"
+    return chosen
+
+
 def check_catalogue(spark: SparkSession, pipeline: PipelineSpec) -> DataFrame:
     """One documented test case for each (layer, table, check), numbered within layer and table, with its tags."""
-    rows = []
+    rows, prefixes = [], case_prefixes(pipeline)
     for layer in pipeline.layers.values():
         for table in layer.tables.values():
             lists = {
@@ -76,12 +96,11 @@ def check_catalogue(spark: SparkSession, pipeline: PipelineSpec) -> DataFrame:
                 "target": table.target_table,
                 "rules": "; ".join(f"{r.column} ({r.description})" for r in table.transformations),
             }
-            code = fixed.LAYER_CODES.get(layer.name, layer.name.upper()[:5])
             for number, check in enumerate(documented_checks(layer), start=1):
                 kind, columns, description, steps, expected, priority = fixed.CATALOGUE_TEXTS[check]
                 rows.append(
                     (
-                        f"TC_{code}_{table.name[:3].upper()}_{number:03d}",
+                        f"TC_{prefixes[layer.name, table.name]}_{number:03d}",
                         layer.name,
                         table.name,
                         lists[columns],

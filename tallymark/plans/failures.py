@@ -77,22 +77,22 @@ def comparison_records(comparison: Comparison, layer_name: str, layer_number: in
 
 
 def failure_records(run: SuiteRun, table: str, max_rows: int | None = None) -> DataFrame:
-    """Failure records of one table over all layers, at most ``max_rows`` of them.
+    """Failure records of one table over all layers and all checks that compared it (column ``validation``).
 
-    Order: layer, then differing, missing in target, missing in source, duplicated records, each by key text. The
-    report keeps the first rows only (a setting of the pipeline), which Spark takes as a top-k: every task keeps
-    that many rows and no full sort happens. ``comparison_records`` has all of them.
+    Order: layer, then differing, missing in target, missing in source, duplicated records, each by key text. All records are
+    returned; only on request (``max_rows`` or the setting of the pipeline) the first ones, which Spark takes as a top-k.
     """
     parts, columns = [], []
     for number, layer in enumerate(run.pipeline.layers):
-        comparison = run.comparison(layer, table)
-        if comparison is not None:
-            parts.append(comparison_records(comparison, layer, number))
+        for check in run.compared.get((layer, table), ()):
+            comparison = run.comparison(layer, table, check)
+            parts.append(comparison_records(comparison, layer, number).selectExpr("*", f"{lit(check)} as validation"))
             columns += [c for c in comparison.columns if c not in columns]
     if not parts:
         raise ValueError(f"no comparison ran for table '{table}'")
     records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     order = ["_layer", "_kind", "_key", "row_destination", *names(columns)]
     limit = run.pipeline.max_detail_rows if max_rows is None else max_rows
-    top = records.orderBy(*order).limit(limit)
-    return top.select("layer", "failure_type", "row_destination", *names(columns), "highlight")
+    ordered = records.orderBy(*order, "validation")
+    kept = ordered if limit is None else ordered.limit(limit)
+    return kept.select("layer", "validation", "failure_type", "row_destination", *names(columns), "highlight")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import groupby
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from tallymark import fixed_values as fixed
@@ -21,6 +21,7 @@ from tallymark.sources.literal import literal_rows
 from tallymark.sources.tables import TableStore
 from tallymark.spec import PipelineSpec
 
+JOBS_AT_ONCE = 4
 Gate = Callable[[], tuple[bool, str]]
 
 
@@ -31,14 +32,15 @@ class SuiteRun:
     pipeline: PipelineSpec
     results: DataFrame
     contexts: dict[tuple[str, str], CheckContext] = field(default_factory=dict)
-    compared: dict[tuple[str, str], str] = field(default_factory=dict)  # which check compared a table
+    compared: dict[tuple[str, str], list[str]] = field(default_factory=dict)  # the checks that compared a table
 
-    def comparison(self, layer: str, table: str) -> Comparison | None:
-        check = self.compared.get((layer, table))
-        return self.contexts[layer, table].comparison(check) if check else None
+    failed: set[tuple[str, str, str]] = field(default_factory=set)  # (layer, table, check) with status FAIL
 
-    def comparisons(self) -> dict[tuple[str, str], Comparison]:
-        return {at: self.comparison(*at) for at in self.compared}
+    def comparison(self, layer: str, table: str, check: str) -> Comparison:
+        return self.contexts[layer, table].comparison(check)
+
+    def comparisons(self) -> dict[tuple[str, str, str], Comparison]:
+        return {(*at, check): self.comparison(*at, check) for at, found in self.compared.items() for check in found}
 
     def persist(self) -> SuiteRun:
         """Keep the problem rows of every comparison for the reports that follow."""
@@ -61,33 +63,53 @@ def _fixed_rows(store: TableStore, items: Sequence[tuple[CheckCase, str, str, st
     return built.drop("timestamp").selectExpr("current_timestamp() as timestamp", "*")
 
 
-def _planned(ctx: CheckContext, items: Sequence[CheckCase]) -> list[DataFrame]:
-    return [check_results(ctx, [c.check for c in items], [c.seq for c in items])] if items else []
+@dataclass
+class _TableJob:
+    """The checks of one table as one plan, and what could not be planned."""
+
+    ctx: CheckContext
+    items: list[CheckCase]
+    plan: DataFrame | None = None
+    problems: list[tuple[CheckCase, str]] = field(default_factory=list)
+
+    def run(self) -> list[dict]:
+        """Result rows (one for each check). If the plan fails while it runs, its checks run one by one."""
+        started = time.perf_counter()
+        try:
+            rows = self.plan.collect() if self.plan is not None else []
+        except Exception:
+            rows = []
+            for c in self.items:
+                try:
+                    rows += check_results(self.ctx, [c.check], [c.seq]).collect()
+                except Exception as problem:
+                    self.problems.append((c, _reason(problem)))
+        each = (time.perf_counter() - started) / max(1, len(rows))
+        return [{**row.asDict(), "duration": each} for row in rows]
+
+
+def _reason(problem: Exception) -> str:
+    return next((line for line in str(problem).splitlines() if line.strip()), type(problem).__name__)
+
+
+def _plan_table(ctx: CheckContext, items: list[CheckCase]) -> _TableJob:
+    """All checks of a table as one plan; a check that cannot be planned, whatever the reason, is kept apart."""
 
+    def planned(some: list[CheckCase]) -> DataFrame | None:
+        return check_results(ctx, [c.check for c in some], [c.seq for c in some]) if some else None
 
-def _plan_table(ctx: CheckContext, items: list[CheckCase]) -> list[DataFrame]:
-    """All checks of a table as one plan; a check that cannot be planned becomes an ERROR row instead."""
     try:
-        return _planned(ctx, items)
-    except AnalysisException:
-        pass
-    good, failed = [], []
+        return _TableJob(ctx, items, planned(items))
+    except Exception:
+        job = _TableJob(ctx, [])
     for c in items:
         try:
             check_results(ctx, [c.check])
-            good.append(c)
-        except AnalysisException as problem:
-            failed.append((c, checks.CATEGORIES.get(c.check, "basic"), "ERROR", str(problem).splitlines()[0]))
-    return [*_planned(ctx, good), _fixed_rows(ctx.store, failed)]
-
-
-def _timed(store: TableStore, planned: DataFrame) -> DataFrame:
-    """Run the checks of one table now (a handful of rows) and share the time among them."""
-    started = time.perf_counter()
-    rows = planned.collect()
-    each = (time.perf_counter() - started) / max(1, len(rows))
-    measured = [{**row.asDict(), "duration": each} for row in rows]
-    return store.spark.createDataFrame(measured, RESULT_SCHEMA)
+            job.items.append(c)
+        except Exception as problem:
+            job.problems.append((c, _reason(problem)))
+    job.plan = planned(job.items)
+    return job
 
 
 def run_suite(
@@ -95,14 +117,15 @@ def run_suite(
     pipeline: PipelineSpec,
     only: Sequence[str] | None = None,
     gate: Gate | None = None,
-    timed: bool = False,
     hot_rows: int = HOT_KEY_ROWS,
 ) -> SuiteRun:
     """Run every check of the pipeline.
 
     ``only``: tags to run; the other checks stay in the results as SKIP. ``gate``: prerequisite, called first
-    whatever the selection; when it fails, every other check is skipped and no job is started. The results are lazy
-    (one job for all tables) unless ``timed`` asks for durations.
+    whatever the selection; when it fails, every other check is skipped and no job is started.
+
+    Every table is one job of its own, a few at a time; its handful of result rows is gathered. A check that cannot be
+    planned or that fails while it runs becomes an ERROR row and costs no other result.
     """
     listed = cases(pipeline)
     outputs: list[DataFrame] = []
@@ -127,15 +150,24 @@ def run_suite(
         if dropped:
             outputs.append(_fixed_rows(store, dropped))
 
+    jobs = []
     for at, group in groupby(listed, key=lambda c: (c.layer, c.table)):
-        items = list(group)
         ctx = CheckContext(store, pipeline.layer(at[0]), pipeline.table(*at), hot_rows)
-        planned = _plan_table(ctx, items)
+        jobs.append(_plan_table(ctx, list(group)))
         run.contexts[at] = ctx
-        compared = ctx.comparisons()
-        if compared:
-            run.compared[at] = compared[0]
-        outputs += [_timed(store, df) for df in planned] if timed else planned
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        measured = [row for rows in pool.map(_TableJob.run, jobs) for row in rows]
+    if measured:
+        outputs.append(store.spark.createDataFrame(measured, RESULT_SCHEMA))
+    errors = [(c, checks.CATEGORIES.get(c.check, "basic"), "ERROR", text) for job in jobs for c, text in job.problems]
+    if errors:
+        outputs.append(_fixed_rows(store, errors))
+    status = {(row["layer"], row["table"], row["validation"]): row["status"] for row in measured}
+    for at, ctx in run.contexts.items():
+        usable = [check for check in ctx.comparisons() if (*at, check) in status]
+        if usable:
+            run.compared[at] = usable
+    run.failed = {at for at, found in status.items() if found == "FAIL"}
 
     if outputs:
         run.results = _union(outputs)

@@ -38,14 +38,14 @@ def text(template: str, **values: str) -> str:
 
 
 def comparison_findings(
-    run: SuiteRun, layer: str, table: str, include_tolerated: bool = False, seq: int = 0
+    run: SuiteRun, layer: str, table: str, check: str, include_tolerated: bool = False, seq: int = 0
 ) -> DataFrame:
     """One finding for each differing cell, missing row and duplicated key of a compared table.
 
     Everything derives from the paired keys: a duplicated key is one row there already, with its number of copies
     and its first row as the example, so duplicates are not gathered again.
     """
-    ctx, check = run.contexts[layer, table], run.compared[layer, table]
+    ctx = run.contexts[layer, table]
     comparison, spec = ctx.comparison(check), ctx.table
     st, tt = spec.source_table, spec.target_table
     sdb, tdb = run.pipeline.database(ctx.layer.source_db), run.pipeline.database(ctx.layer.target_db)
@@ -148,41 +148,47 @@ def _by_validation(texts: Mapping[str, str], default: str) -> str:
     return case([(f"validation = {lit(name)}", value) for name, value in texts.items()], default)
 
 
-def _duplicate_samples(run: SuiteRun) -> DataFrame:
-    """The first duplicated keys of every table, as text; one row for each table."""
-    samples = []
+def _duplicate_findings(run: SuiteRun) -> list[DataFrame]:
+    """One finding for each duplicated key of every table whose duplicate check failed."""
+    kind, _ = fixed.CHECK_DEFECTS[checks.DUPLICATE]
+    severity, expected = fixed.CHECK_EXPECTATIONS[checks.DUPLICATE][:2]
+    seq = {(c.layer, c.table, c.check): c.seq for c in run_cases(run)}
+    parts = []
     for (layer, table), ctx in run.contexts.items():
+        if (layer, table, checks.DUPLICATE) not in run.failed:
+            continue
         keys = ctx.table.key
         rows = ctx.side("target", keys)
-        top = duplicate_keys(rows, keys).orderBy(*names(keys)).limit(fixed.DUPLICATE_SAMPLE)
-        key = joined("/", [shown(quoted(k), rows.schema[k].dataType) for k in keys])
-        one = f"struct({', '.join(names(keys))}, concat({key}, ' (x', cast(cnt as string), ')') as _text)"
-        samples.append(
-            top.selectExpr(
-                f"{lit(layer)} as layer",
-                f"{lit(table)} as table",
-                f"concat_ws(', ', transform(array_sort(collect_list({one})), x -> x._text)) as sample",
+        shown_keys = [shown(quoted(k), rows.schema[k].dataType) for k in keys]
+        parts.append(
+            duplicate_keys(rows, keys).selectExpr(
+                *aliased(
+                    {
+                        "layer": lit(layer),
+                        "table": lit(table),
+                        "validation": lit(checks.DUPLICATE),
+                        "type": lit(kind),
+                        "severity": lit(severity),
+                        "title": lit(f"{checks.DUPLICATE} failed"),
+                        "expected": lit(expected),
+                        "actual": f"concat('Duplicate key(s) in target: ', {joined('/', shown_keys)}, ' (x', cast(cnt as string), ')')",
+                        "root_cause": lit(f"Business key {python_list(keys)} is duplicated in the target."),
+                        "fix": lit(fixed.FIX_GENERIC),
+                        "_seq": str(seq[layer, table, checks.DUPLICATE]),
+                        "_kind": "0",
+                        "_key": f"array({', '.join(shown_keys)})",
+                        "_part": "0",
+                    }
+                )
             )
         )
-    return reduce(lambda a, b: a.unionByName(b), samples)
+    return parts
 
 
 def check_findings(run: SuiteRun) -> DataFrame:
-    """One finding for each failed check that has no row-level findings, from its metrics."""
-    compared = ", ".join(lit(c) for c in checks.COMPARISONS)
-    failed = run.results.where(f"status in ('FAIL', 'ERROR') and validation not in ({compared})")
-    if any(c.check == checks.DUPLICATE for c in run_cases(run)):
-        failed = failed.join(F.broadcast(_duplicate_samples(run)), ["layer", "table"], "left")
-    else:
-        failed = failed.selectExpr("*", "cast(null as string) as sample")
-
-    key_lists = case(
-        [
-            (f"layer = {lit(layer)} and `table` = {lit(table)}", lit(python_list(ctx.table.key)))
-            for (layer, table), ctx in run.contexts.items()
-        ],
-        "''",
-    )
+    """One finding for each failed check that has no row-level findings: from its metrics, or the message of an error."""
+    detailed = ", ".join(lit(c) for c in (*checks.COMPARISONS, checks.DUPLICATE))
+    failed = run.results.where(f"status = 'ERROR' or (status = 'FAIL' and validation not in ({detailed}))")
     source, target = "metrics['source']", "metrics['target']"
     count = {
         "s": f"cast({source} as string)",
@@ -197,11 +203,9 @@ def check_findings(run: SuiteRun) -> DataFrame:
     actual = {
         checks.COUNT: text("Source rows = <s>  |  Target rows = <t>  (diff = <d>)", **count),
         checks.NULL: concat(lit("NULLs in target required column(s): "), nulls),
-        checks.DUPLICATE: "concat('Duplicate key(s) in target: ', sample)",
     }
     causes = {v: lit(cause) for v, (_, cause) in fixed.CHECK_DEFECTS.items() if cause}
     causes[checks.COUNT] = text("Source and target counts differ by <d> (<way> in the movement).", **count)
-    causes[checks.DUPLICATE] = text("Business key <keys> is duplicated in the target.", keys=key_lists)
     kinds = {v: lit(kind) for v, (kind, _) in fixed.CHECK_DEFECTS.items()}
     severities = {v: lit(e[0]) for v, e in fixed.CHECK_EXPECTATIONS.items()}
     expected = {v: lit(e[1]) for v, e in fixed.CHECK_EXPECTATIONS.items()}
@@ -236,13 +240,13 @@ def run_cases(run: SuiteRun) -> list[CheckCase]:
 def findings(run: SuiteRun, include_tolerated: bool = False) -> DataFrame:
     """Findings of a run, identical ones (same layer, table, type and actual text) once.
 
-    A table is compared once even if several of its checks compare it. Order columns are kept for the tickets.
+    If several checks compare a table, each reports its own findings. Order columns are kept for the tickets.
     """
     seq = {(c.layer, c.table, c.check): c.seq for c in run_cases(run)}
-    parts = [check_findings(run)] if run.contexts else []
-    for layer, table in run.compared:
-        at = seq[layer, table, run.compared[layer, table]]
-        parts.append(comparison_findings(run, layer, table, include_tolerated, at))
+    parts = [check_findings(run), *_duplicate_findings(run)] if run.contexts else []
+    for (layer, table), found in run.compared.items():
+        for check in found:
+            parts.append(comparison_findings(run, layer, table, check, include_tolerated, seq[layer, table, check]))
     if not parts:
         raise ValueError("no check ran")
     every = reduce(lambda a, b: a.unionByName(b), parts)
@@ -274,7 +278,7 @@ def tickets(run: SuiteRun, include_tolerated: bool = False) -> DataFrame:
         "concat(layer, ' / ', `table`, ': ', title)",
         steps,
         "expected",
-        f"substring(actual, 1, {fixed.TEXT_LIMIT})",
+        "actual",
         "root_cause",
         "fix",
         "'New'",

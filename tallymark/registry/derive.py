@@ -154,7 +154,6 @@ def pipeline() -> PipelineSpec:
             ConstraintSpec("dim_customer", "CustomerSK", "PRIMARY KEY"),
             ConstraintSpec("dim_customer", "c_custkey", "UNIQUE"),
         ),
-        max_detail_rows=500,
     )
 
 

@@ -368,19 +368,24 @@ def _summary(source: str) -> str:
 # ---- failures, findings, tickets ---------------------------------------------------------------------------------
 
 
-def _records(check: Check, number: int, label: str, columns: Sequence[str]) -> str:
-    """Failure records of one comparison with their order columns."""
-    tag, n = check.tag, len(check.columns)
+def _records(
+    check: Check, number: int, label: str, columns: Sequence[str], validation: str, suffix_: str = "",
+    own: Sequence[str] | None = None,
+) -> str:
+    """Failure records of one comparison."""
+    own = list(own or check.columns)
+    tag, n = check.tag + suffix_, len(own)
+    label = f"{label}' as layer, '{validation}"
     cells = lambda row: ", ".join(
-        f"{row}{c}::varchar as {c}" if c in ["o_orderkey", *check.columns] else f"null as {c}" for c in columns
+        f"{row}{c}::varchar as {c}" if c in ["o_orderkey", *own] else f"null as {c}" for c in columns
     )
-    whole = ",".join([*check.keys, *check.columns])
-    differing = "concat_ws(',', " + ", ".join(f"case when d{i} then '{c}' end" for i, c in enumerate(check.columns)) + ")"
+    whole = ",".join([*check.keys, *own])
+    differing = "concat_ws(',', " + ", ".join(f"case when d{i} then '{c}' end" for i, c in enumerate(own)) + ")"
     any_diff = " or ".join(f"d{i}" for i in range(n))
     parts = []
     for place, row in (("Source", "s."), ("Target", "t.")):
         parts.append(
-            f"select {number} as l, 0 as k, '{label}' as layer, 'DF' as failure_type, '{place}' as row_destination, "
+            f"select {number} as l, 0 as k, '{label}' as validation, 'DF' as failure_type, '{place}' as row_destination, "
             f"{cells(row)}, {differing} as highlight from {tag} where in_s and in_t and ({any_diff})"
         )
     for k, place, row, ftype, where in (
@@ -399,15 +404,18 @@ def _records(check: Check, number: int, label: str, columns: Sequence[str]) -> s
 
 
 _RECORD_COLUMNS = ["o_orderkey", *ORDER_VALUES]
+_LABELS = list(fixed.LAYER_LABELS.values())
 FAILURE_RECORDS = (
-    f"select layer, failure_type, row_destination, {', '.join(_RECORD_COLUMNS)}, highlight from ("
-    "select *, row_number() over (order by l, k, o_orderkey, row_destination, o_custkey nulls first, "
-    "o_orderstatus nulls first, o_totalprice nulls first, o_orderdate nulls first, o_orderpriority nulls first) as rn from ("
+    f"select layer, validation, failure_type, row_destination, {', '.join(_RECORD_COLUMNS)}, highlight from ("
     + "\nunion all ".join(
-        _records(check, i, label, _RECORD_COLUMNS)
-        for i, (check, label) in enumerate(zip((O1, O2, O3), fixed.LAYER_LABELS.values()))
+        [
+            _records(O1, 0, _LABELS[0], _RECORD_COLUMNS, "direct_move_Validation"),
+            _records(O2, 1, _LABELS[1], _RECORD_COLUMNS, "data_integrity_Validation"),
+            _records(O3, 2, _LABELS[2], _RECORD_COLUMNS, "data_integrity_Validation"),
+            _records(O3, 2, _LABELS[2], _RECORD_COLUMNS, "ColumnValues_Check", "_values", FACT_VALUES),
+        ]
     )
-    + ")) where rn <= 500"
+    + ")"
 )
 
 
@@ -487,13 +495,10 @@ def _findings() -> str:
     )
     groups = "select o_orderkey, count(*) as n from ps_orders group by o_orderkey having count(*) > 1"
     parts.append(
-        single(
-            8, "Duplicate_Validation", "Duplicate Business Key", "Medium", "No duplicate business keys in the target.",
-            "'Duplicate key(s) in target: ' || sample",
-            "'Business key [''o_orderkey''] is duplicated in the target.'",
-            "select string_agg(o_orderkey || ' (x' || n || ')', ', ' order by o_orderkey) as sample from "
-            f"(select * from ({groups}) order by o_orderkey limit 15)",
-        )
+        f"select 8, 0, o_orderkey::varchar, 0, {other}, 'Duplicate_Validation', 'Duplicate Business Key', 'Medium', "
+        "'Duplicate_Validation failed', 'No duplicate business keys in the target.', "
+        "'Duplicate key(s) in target: ' || o_orderkey || ' (x' || n || ')', "
+        f"'Business key [''o_orderkey''] is duplicated in the target.', '{generic}' from ({groups})"
     )
     parts.append(
         single(
@@ -523,7 +528,7 @@ select 'DEF_' || case when n < 1000 then lpad(n::varchar, 3, '0') else n::varcha
        '1. Ensure the data is loaded/seeded for this scenario.' || chr(10) || '2. Run `' || validation || '` for ' ||
        "table" || ' in ' || layer || ' (test `' || case validation {_TEST_NAMES} end || '`).' || chr(10) ||
        '3. Observe: ' || type || '.' as steps_to_reproduce,
-       expected as expected_result, substr(actual, 1, 2000) as actual_result, root_cause as probable_root_cause,
+       expected as expected_result, actual as actual_result, root_cause as probable_root_cause,
        fix as suggested_fix, 'New' as status
 from (select *, row_number() over (order by q, k, kt, p) as n from f)"""
 
@@ -738,7 +743,41 @@ def oracle_sql() -> dict[str, str]:
         "from orders join customer on o_custkey = c_custkey where c_acctbal > 0 group by o_orderstatus",
         "filtered_count": with_([PS_ORDERS], "select count(*) as cnt from ps_orders where o_custkey is null"),
         "column_metadata": with_([PS_ORDERS], _profile("ps_orders", _ORDERS)),
-        "snapshot_roundtrip": "select * from orders",
+        "snapshot_roundtrip": "select 'sales.customer' as table_name, c_custkey as row_key, c_acctbal as amount from customer "
+        "union all select 'sales.orders', o_orderkey, o_totalprice from orders "
+        "union all select 'old.orders', o_orderkey, o_totalprice from orders where o_orderstatus = 'F'",
+        "column_list": "select * from (values "
+        + ", ".join(f"('{c}', {i})" for i, c in enumerate(["o_orderkey", *ORDER_VALUES], start=1))
+        + ") as c(name, ordinal)",
+        "comparison_screened": "select sum((d <> e)::int)::bigint as diffs, 0::bigint as missing_in_target, "
+        "0::bigint as missing_in_source, bool_and(d = e) as is_match from (select "
+        "1000000000000000000.01::decimal(38,2) + o_orderkey as d, 1000000000000000000.01::decimal(38,2) + o_orderkey + "
+        "(case when o_orderkey % 5 = 0 then 0.01 else 0 end)::decimal(38,2) as e from orders)",
+        **{
+            f"rule_{name}_double": "select o_orderkey, o_totalprice * 1000 as price from orders "
+            f"where o_totalprice * 1000 >= 1e7 and {condition}"
+            for name, condition in (
+                ("length_equals", "length(replace((o_totalprice * 1000)::varchar, 'e+', 'e')) <> 10"),
+                ("in_set", "(o_totalprice * 1000)::varchar not in ('10000000.0', '20000000.0')"),
+                ("regex", "not regexp_matches((o_totalprice * 1000)::varchar, '^[12][0-9.]*$')"),
+            )
+        },
+        "failed_results": with_(FULL_RUN, f"select seq, layer, \"table\", validation, status from ({_run(_EVERY)}) where status = 'FAIL'"),
+        "executed_results": with_(
+            [*ALL_LAYERS, *COMPARISONS[4:]],
+            "select seq, layer, \"table\", validation, status from "
+            f"({_chosen(_COUNT_OR_FACT, 'count_check or fact')}) where status <> 'SKIP'",
+        ),
+        "skipped_results": "select seq, layer, \"table\", validation, status from "
+        f"({_skipped([i for i in range(len(RUN)) if i not in _COUNT_OR_FACT], 'x')})",
+        "run_with_broken_checks": with_(
+            [PS_ORDERS, O1.cte(False)],
+            "select layer, \"table\", validation, status from ("
+            + _run(list(enumerate([*O1.base(), O1.exact("direct_move_Validation")])))
+            + f") union all values ('{L1}', 'Orders', 'Transformation_Validation', 'ERROR'), "
+            f"('{L1}', 'Absent', 'Count_Validation', 'ERROR')",
+        ),
+        "negative_rows": "select count(*) filter (c_custkey % 20 in (1, 2) or c_custkey % 30 = 3) as negative_rows from customer",
         "normalise_values": with_(
             [PS_ORDERS],
             "select o_orderkey, o_custkey::double as o_custkey, nullif(trim(o_orderstatus), '') as o_orderstatus, "
@@ -832,7 +871,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "run_totals": totals,
         "failure_records": with_(
-            [*ALL_LAYERS, O1.cte(False), O2.cte(True), O3.cte(True)], FAILURE_RECORDS
+            [*ALL_LAYERS, O1.cte(False), O2.cte(True), O3.cte(True), O3.cte(True, FACT_VALUES, "_values")], FAILURE_RECORDS
         ),
         "findings": with_(_FINDING_CTES, f"select {FINDING_COLUMNS} from f"),
         "tickets": with_(_FINDING_CTES, TICKETS),

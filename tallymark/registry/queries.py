@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tallymark.functions.rules import broken
 from tallymark.functions.text import aliased, quoted
 from tallymark.operators import loads
 from tallymark.operators.compare import Comparison, compare
-from tallymark.operators.defects import Defect, inject_defects
+from tallymark.operators.defects import Defect, inject_defects, negative_count
 from tallymark.operators.foreign_keys import orphan_rows
 from tallymark.plans import catalogue, checks, mapping, results
 from tallymark.plans.checks import CheckContext, check_results
@@ -24,6 +25,7 @@ from tallymark.plans.tickets import FINDING_COLUMNS, findings, tickets
 from tallymark.registry import derive
 from tallymark.registry.derive import L1, L2, L3, ORDER_VALUES, given
 from tallymark.session import shared_folder
+from tallymark.sources.literal import literal_rows
 from tallymark.sources.metadata import column_profile
 from tallymark.sources.snapshot import restore_snapshot, write_snapshot
 from tallymark.spec import ForeignKeySpec, LayerSpec, LookupSpec, RuleSpec, TableSpec
@@ -73,12 +75,25 @@ def column_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two schemas with a table of the same name, and a third table: all come back."""
     root = shared_folder(spark, "snapshot")
-    store = derive.store(spark, sf_dir)
-    tables = {name: store.table("source", name) for name in ("customer", "orders")}
+    customer, orders = given(spark, sf_dir, "customer"), given(spark, sf_dir, "orders")
+    columns = {
+        "sales.customer": ["c_custkey as row_key", "c_acctbal as amount"],
+        "sales.orders": ["o_orderkey as row_key", "o_totalprice as amount"],
+        "old.orders": ["o_orderkey as row_key", "o_totalprice as amount"],
+    }
+    tables = {"sales.customer": customer, "sales.orders": orders, "old.orders": orders.where("o_orderstatus = 'F'")}
     write_snapshot(tables, f"{root}/golden")
     restored = restore_snapshot(spark, f"{root}/golden", list(tables), f"{root}/source")
-    return restored["orders"]
+    parts = [restored[name].selectExpr(f"'{name}' as table_name", *columns[name]) for name in tables]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def column_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derive.store(spark, sf_dir).columns("prestaging", "ps_orders")
+    return literal_rows(spark, {"name": "string", "ordinal": "int"}, [(c, i) for i, c in enumerate(found, start=1)])
 
 
 # ---- comparison --------------------------------------------------------------------------------------------------
@@ -106,6 +121,19 @@ def cell_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_comparison(spark, sf_dir).diffs()
 
 
+@query
+def comparison_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals that differ in the last of 21 digits, compared exactly after screening by fingerprints."""
+    big = "cast(1000000000000000000.01BD + o_orderkey as decimal(38,2))"
+    orders = given(spark, sf_dir, "orders")
+    source = orders.selectExpr("o_orderkey", f"{big} as amount")
+    target = orders.selectExpr(
+        "o_orderkey", f"cast({big} + if(o_orderkey % 5 = 0, 0.01BD, 0BD) as decimal(38,2)) as amount"
+    )
+    screened = compare(source, target, ["o_orderkey"], ["amount"], exact_decimals=True).screen()
+    return screened.summary().select("diffs", "missing_in_target", "missing_in_source", "is_match")
+
+
 @query
 def diff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = orders_comparison(spark, sf_dir, case_insensitive=True).diff_pairs()
@@ -273,6 +301,19 @@ def rule_min_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _breaking_rows(given(spark, sf_dir, "customer"), "c_custkey", RuleSpec("c_acctbal", "min_value", 0))
 
 
+def _double_rule(name: str, value) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = given(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_totalprice * 1000 as price").where("price >= 1e7")
+        return _breaking_rows(rows, "o_orderkey", RuleSpec("price", name, value))
+
+    return run
+
+
+_QUERIES["rule_length_equals_double"] = _double_rule("length_equals", 10)
+_QUERIES["rule_in_set_double"] = _double_rule("in_set", ["10000000.0", "20000000.0"])
+_QUERIES["rule_regex_double"] = _double_rule("regex", "[12][0-9.]*$")
+
+
 # ---- runs and summaries ------------------------------------------------------------------------------------------
 
 
@@ -285,6 +326,38 @@ def results_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.ordered_results(_suite(spark, sf_dir).results).select("seq", *RESULT_FIELDS)
 
 
+_SHORT = ["seq", "layer", "table", "validation", "status"]
+
+
+@query
+def failed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.failures(_suite(spark, sf_dir).results).select(*_SHORT)
+
+
+@query
+def executed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.executed(_suite(spark, sf_dir, only=["count_check", "fact"]).results).select(*_SHORT)
+
+
+@query
+def skipped_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.skipped(_suite(spark, sf_dir, only=["count_check", "fact"]).results).select(*_SHORT)
+
+
+@query
+def run_with_broken_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule whose pattern is invalid and a table whose database is unknown cost their own checks only."""
+    spec = derive.pipeline()
+    orders = replace(spec.table(L1, "Orders"), transformations=(RuleSpec("o_orderstatus", "regex", "("),))
+    absent = replace(orders, name="Absent", source_table="absent", transformations=())
+    layer = replace(
+        spec.layer(L1), tables={"Orders": orders, "Absent": absent}, valid_filter="true", source_db="source"
+    )
+    found = run_suite(derive.store(spark, sf_dir), replace(spec, layers={L1: layer}))
+    broken_only = "not (`table` = 'Absent' and validation <> 'Count_Validation')"
+    return found.results.where(broken_only).select("layer", "table", "validation", "status")
+
+
 @query
 def select_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _suite(spark, sf_dir, only=["count_check", "fact"])
@@ -317,7 +390,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a timed run in which one target lost a column, so that some of its checks cannot run."""
     store = derive.store(spark, sf_dir)
     store.register("prestaging", "ps_customer", store.table("prestaging", "ps_customer").drop("c_name"))
-    run = run_suite(store, derive.pipeline(), only=["source_to_prestaging"], timed=True)
+    run = run_suite(store, derive.pipeline(), only=["source_to_prestaging"])
     return results.run_totals(run.results).drop("duration")
 
 
@@ -326,7 +399,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def failure_records_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _suite(spark, sf_dir, only=["orders"])
+    run = _suite(spark, sf_dir, only=["orders"]).persist()
     return failure_records(run, "Orders").withColumn("highlight", F.concat_ws(",", "highlight"))
 
 
@@ -339,7 +412,7 @@ def _first_layer(spark: SparkSession, sf_dir: str) -> SuiteRun:
 
 @query
 def findings_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(_first_layer(spark, sf_dir)).select(*FINDING_COLUMNS)
+    return findings(_first_layer(spark, sf_dir).persist()).select(*FINDING_COLUMNS)
 
 
 _QUERIES["findings"] = _QUERIES.pop("findings_orders")
@@ -347,7 +420,7 @@ _QUERIES["findings"] = _QUERIES.pop("findings_orders")
 
 @query
 def tickets_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tickets(_first_layer(spark, sf_dir)).select(
+    return tickets(_first_layer(spark, sf_dir).persist()).select(
         *[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in fixed.TICKET_COLUMNS]
     )
 
@@ -467,4 +540,9 @@ def inject_defects_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negative_count(inject_defects_customer(spark, sf_dir)).selectExpr("negative as negative_rows")
+
+
 _QUERIES["inject_defects"] = _QUERIES.pop("inject_defects_customer")

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from tallymark.spec import split_table_name
+from tallymark.functions.text import quoted
+from tallymark.spec import table_path
 
 
 def _folder(root: str, table: str) -> str:
-    return f"{root.rstrip('/')}/{split_table_name(table)[1]}"
+    return f"{root.rstrip('/')}/{table_path(table)}"
 
 
 def write_snapshot(tables: Mapping[str, DataFrame], root: str) -> None:
-    """Write each table as a parquet folder under ``root``, in the given (parents first) order."""
+    """Write each table as a parquet folder (schema, then name) under ``root``, in the given (parents first) order."""
+    if len({table_path(name) for name in tables}) < len(tables):
+        raise ValueError(f"two names mean the same table: {sorted(tables)}")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(_folder(root, name))
 
@@ -33,9 +37,20 @@ def restore_snapshot(spark: SparkSession, root: str, names: Sequence[str], desti
 
 
 def write_outputs(outputs: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> None:
-    """Persist results, summaries and failure records, partitioned by layer where there is one."""
+    """Persist results, summaries and failure records, partitioned by layer where there is one.
+
+    Formats without nested columns (csv) get arrays and maps as JSON text.
+    """
     for name, df in outputs.items():
+        if fmt == "csv":
+            nested = (T.ArrayType, T.MapType, T.StructType)
+            df = df.selectExpr(
+                *[
+                    f"to_json({quoted(f.name)}) as {quoted(f.name)}" if isinstance(f.dataType, nested) else quoted(f.name)
+                    for f in df.schema.fields
+                ]
+            )
         writer = df.write.mode("overwrite").format(fmt)
         if "layer" in df.columns:
             writer = writer.partitionBy("layer")
-        writer.save(_folder(root, name))
+        writer.save(f"{root.rstrip('/')}/{name}")

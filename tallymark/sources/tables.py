@@ -9,15 +9,17 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.functions.text import names
-from tallymark.spec import LayerSpec, TableSpec, split_table_name
+from tallymark.spec import DEFAULT_SCHEMA, LayerSpec, TableSpec, split_table_name
 
 
 class TableStore:
     """Tables of the logical databases.
 
-    A database is a location: ``{"format": "parquet", "path": root}`` (also orc, csv, json, with ``options``),
-    ``{"catalog": "db"}`` for catalog tables, or ``{"format": "jdbc", "options": {...}}``. Tables registered as
-    DataFrames take precedence. Nothing is read until an action runs, so filters and columns reach the scan.
+    A database is a location: ``{"format": "parquet", "path": root}`` (also orc, csv, json, with ``options``; tables of other
+    schemas than the default one lie in a folder of their schema),
+    ``{"catalog": "db"}`` for catalog tables (``"schemas": True`` if it has schemas of its own), or ``{"format": "jdbc",
+    "options": {...}, "tables": {name: {...}}}``, where ``tables`` holds the options of single tables, such as the partition column
+    and its bounds. Tables registered as DataFrames take precedence. Nothing is read until an action runs, so filters and columns reach the scan.
     """
 
     def __init__(self, spark: SparkSession, databases: Mapping[str, Mapping[str, Any]] | None = None) -> None:
@@ -41,13 +43,23 @@ class TableStore:
                 found = self._registered[logical_db, table] = found()
             return found
         location = self._location(logical_db)
-        name = split_table_name(table)[1]
+        schema, name = split_table_name(table)
         if "catalog" in location:
-            return self.spark.table(f"{location['catalog']}.{name}")
-        reader = self.spark.read.format(location["format"]).options(**location.get("options", {}))
+            return self.spark.table(".".join([location["catalog"], *([schema] if location.get("schemas") else []), name]))
+        reader = self.spark.read.format(location["format"])
         if location["format"] == "jdbc":
-            return reader.option("dbtable", table).load()
-        return reader.load(f"{location['path'].rstrip('/')}/{name}")
+            return reader.options(**self.jdbc_options(location, table)).load()
+        folder = name if schema == DEFAULT_SCHEMA else f"{schema}/{name}"
+        return reader.options(**location.get("options", {})).load(f"{location['path'].rstrip('/')}/{folder}")
+
+    @staticmethod
+    def jdbc_options(location: Mapping[str, Any], table: str) -> dict[str, Any]:
+        """Options of the database and of the table. With a partition column the table is read by many tasks."""
+        options = {**location.get("options", {}), **location.get("tables", {}).get(table, {}), "dbtable": table}
+        bounds = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+        if "partitionColumn" in options and not bounds <= set(options):
+            raise ValueError(f"a partitioned scan of '{table}' needs {sorted(bounds)}")
+        return options
 
     def read_table(
         self, logical_db: str, table: str, columns: Sequence[str] | None = None, where: str | None = None

@@ -124,7 +124,7 @@ class PipelineSpec:
     layers: Mapping[str, LayerSpec]
     databases: Mapping[str, str] = field(default_factory=dict)  # logical name -> physical name
     constraints: tuple[ConstraintSpec, ...] = ()
-    max_detail_rows: int = 500
+    max_detail_rows: int | None = None  # rows of a detailed report; None: all
     known_defects: Mapping[tuple[str, str], str] = field(default_factory=dict)  # (layer, table) -> hint
 
     def layer(self, name: str) -> LayerSpec:
@@ -139,12 +139,20 @@ class PipelineSpec:
         return self.databases.get(logical, logical)
 
 
-def split_table_name(table: str, default_schema: str = "dbo") -> tuple[str, str]:
+DEFAULT_SCHEMA = "dbo"
+
+
+def split_table_name(table: str, default_schema: str = DEFAULT_SCHEMA) -> tuple[str, str]:
     """``'dbo.SRC_Accounts'`` -> ``('dbo', 'SRC_Accounts')``; a bare name gets the default schema."""
     schema, dot, name = table.partition(".")
     return (schema, name) if dot else (default_schema, table)
 
 
+def table_path(table: str) -> str:
+    """Folder of a table below its database: schema and name, so that equal names of two schemas stay apart."""
+    return "/".join(split_table_name(table))
+
+
 def _known(cls: type, values: Mapping[str, Any], where: str) -> dict[str, Any]:
     unknown = set(values) - set(cls.__dataclass_fields__)
     if unknown:
@@ -200,5 +208,6 @@ def load_pipeline(settings_file: str | Path, *layer_files: str | Path) -> Pipeli
         layers={layer.name: layer for layer in layers},
         databases=settings.get("databases", {}),
         constraints=_many(ConstraintSpec, settings.get("constraints"), "constraints"),
-        max_detail_rows=(settings.get("reporting") or {}).get("max_detail_rows", 500),
+        max_detail_rows=(settings.get("reporting") or {}).get("max_detail_rows"),
+        known_defects={(d["layer"], d["table"]): d["hint"] for d in settings.get("known_defects") or ()},
     )

@@ -6,17 +6,20 @@ from datetime import datetime
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import types as T
 
+from tallymark.functions.normalize import as_text
 from tallymark.operators import loads
 from tallymark.operators.defects import negative_count
 from tallymark.operators.duplicates import mark_first
 from tallymark.operators.foreign_keys import foreign_key_counts, orphan_rows
 from tallymark.operators.lookup import lookup
 from tallymark.operators.numbering import number_rows
+from tallymark.plans.catalogue import case_prefixes
 from tallymark.sources.metadata import column_metadata, column_profile, fallback_metadata
 from tallymark.sources.snapshot import read_snapshot, restore_snapshot, write_outputs, write_snapshot
 from tallymark.sources.tables import TableStore
-from tallymark.spec import RuleSpec, TableSpec
+from tallymark.spec import LayerSpec, PipelineSpec, RuleSpec, TableSpec
 
 
 def test_mark_first_with_hot_and_null_keys(spark):
@@ -33,13 +36,12 @@ def test_mark_first_with_hot_and_null_keys(spark):
         assert {r["k"]: r["v"] for r in firsts.collect()} == smallest
 
 
-def test_lookup_with_hot_missing_and_null_keys(spark):
+def test_lookup_with_frequent_missing_and_null_keys(spark):
     rows = spark.range(600).selectExpr("id", "case when id % 3 = 0 then 7 when id % 3 = 1 then id % 20 end as fk")
     reference = spark.range(10).selectExpr("id as ref", "id * 100 as sk", "concat('n', id) as name")
     expected = rows_of(rows.join(reference, rows.fk == reference.ref, "left").select("id", "fk", "sk", "name"))
-    for hot_rows in (1, 40, 1_000_000):
-        found = lookup(rows, "fk", reference, "ref", {"sk": "sk", "name": "name"}, hot_rows)
-        assert rows_of(found) == expected
+    found = lookup(rows, "fk", reference, "ref", {"sk": "sk", "name": "name"})
+    assert rows_of(found) == expected
 
 
 def test_number_rows_is_consecutive_and_ordered(spark):
@@ -166,3 +168,39 @@ def test_negative_rows_are_tagged(spark):
 
     counts = [tuple(negative_count(df).first()) for df in negative_sources(spark).values()]
     assert counts == [(5, 1), (10, 3), (10, 2), (20, 2)]
+
+
+def test_jdbc_options_of_a_table():
+    location = {"format": "jdbc", "options": {"url": "jdbc:x"}, "tables": {"dbo.t": {
+        "partitionColumn": "id", "lowerBound": 0, "upperBound": 100, "numPartitions": 8}}}
+    assert TableStore.jdbc_options(location, "dbo.t")["numPartitions"] == 8
+    assert TableStore.jdbc_options(location, "dbo.u") == {"url": "jdbc:x", "dbtable": "dbo.u"}
+    with pytest.raises(ValueError, match="partitioned scan"):
+        TableStore.jdbc_options({"options": {"partitionColumn": "id"}}, "t")
+
+
+def test_outputs_with_nested_columns_as_csv(spark, tmp_path):
+    df = spark.sql("select 1 as id, map('a', 2L) as metrics, array('x') as highlight")
+    write_outputs({"results": df}, str(tmp_path), "csv")
+    assert rows_of(spark.read.csv(str(tmp_path / "results"))) == [("1", '{"a":2}', '["x"]')]
+
+
+def test_snapshots_keep_schemas_apart(spark, tmp_path):
+    write_snapshot({"a.t": spark.range(3), "b.t": spark.range(7)}, str(tmp_path))
+    found = read_snapshot(spark, str(tmp_path), ["a.t", "b.t"])
+    assert [found[n].count() for n in ("a.t", "b.t")] == [3, 7]
+    with pytest.raises(ValueError, match="same table"):
+        write_snapshot({"t": spark.range(1), "dbo.t": spark.range(1)}, str(tmp_path))
+
+
+def test_plain_text_of_floats(spark):
+    cells = {"1e7": "10000000.0", "12345678.5": "12345678.5", "1e-3": "0.001", "2.5e-4": "0.00025", "-3e8": "-300000000.0", "1e16": "1.0E16"}
+    for literal, text in cells.items():
+        assert spark.sql(f"select {as_text(f'{literal}D', T.DoubleType())} as t").first()["t"] == text
+
+
+def test_case_ids_are_unique():
+    tables = {n: TableSpec(n, n, n, ("id",), ()) for n in ("Accounts", "Accruals", "Loans")}
+    spec = PipelineSpec({"LayerOne": LayerSpec("LayerOne", "a", "b", tables), "LayerOther": LayerSpec("LayerOther", "a", "b", tables)})
+    found = case_prefixes(spec)
+    assert len(set(found.values())) == 6

@@ -71,5 +71,20 @@ def test_plans_stay_in_the_jvm_and_avoid_products(spark):
             assert operator not in plan, (name, operator)
 
 
-def test_failure_records_are_a_top_k(spark):
-    assert "TakeOrderedAndProject" in plan_of(registered.queries()["failure_records"](spark, DATA))
+def test_failure_records_hold_every_comparison(spark):
+    found = registered.queries()["failure_records"](spark, DATA)
+    assert "Limit" not in plan_of(found)
+    assert found.where("layer like '%DWH%' and validation = 'ColumnValues_Check'").count() > 0
+
+
+def test_plan_of_lookups_grows_linearly(spark):
+    from tallymark.operators.loads import load_fact
+    from tallymark.spec import LookupSpec
+
+    def scans(k: int) -> int:
+        rows = spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr(*[f"l_orderkey + {i} as k{i}" for i in range(k)])
+        names = {f"d{i}": spark.range(9).selectExpr(f"id as r{i}", f"id * 2 as s{i}") for i in range(k)}
+        found = load_fact(rows, [LookupSpec(f"k{i}", f"d{i}", f"r{i}", f"s{i}") for i in range(k)], names)
+        return plan_of(found).count("FileScan")
+
+    assert [scans(k) for k in (1, 4, 10)] == [1, 1, 1]

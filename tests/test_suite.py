@@ -116,6 +116,7 @@ def test_defects_between_layers_are_reported(spark, golden):
         (checks.DIRECT_MOVE, "diffs=2, missing_in_target=1, missing_in_source=0, duplicates=2"),
     ]
     records = failure_records(run, "Accounts")
+    assert {r["validation"] for r in records.collect()} == {checks.DIRECT_MOVE}
     assert [(r["failure_type"], r["row_destination"], r["AccountID"], r["highlight"][:2]) for r in records.collect()] == [
         ("DF", "Source", "1002", ["OpenDate", "Balance"]),
         ("DF", "Target", "1002", ["OpenDate", "Balance"]),
@@ -180,7 +181,7 @@ def test_checks_that_cannot_run_are_errors(spark, golden):
         store.register("prestaging", table.target_table, golden.table("prestaging", table.target_table).drop("BranchCode"))
     layer = spec.layer("SourceToPreStaging")
     pipeline = PipelineSpec({layer.name: LayerSpec(layer.name, "source", "prestaging", {"Branches": layer.table("Branches")}, direct_move=True)})
-    run = run_suite(store, pipeline, timed=True)
+    run = run_suite(store, pipeline)
     statuses = {r["validation"]: r["status"] for r in run.results.collect()}
     assert statuses == {
         checks.METADATA: "FAIL", checks.COUNT: "PASS", checks.DUPLICATE: "PASS", checks.NULL: "ERROR",
