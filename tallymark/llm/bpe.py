@@ -100,21 +100,18 @@ def fold_merges(word: Column, ranks: Ranks) -> Column:
 
         def at(p: Column) -> Column:  # the pair is (p, p + 1), counted from 1
             before, after = F.get(parts, p - 2), F.get(parts, p + 1)
-            new = F.when(p == 1, F.array(after)).otherwise(F.array(before, after))
-            fresh = F.when(p == 1, ranks_of(F.array(least), new)).otherwise(
-                ranks_of(F.array(before, least), F.array(least, after))
-            )
+            fresh = ranks.pair_ranks(F.array(before, least), F.array(least, after))
             return F.struct(
                 F.concat(F.slice(parts, F.lit(1), p - 1), F.array(least), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
                 F.concat(
-                    F.slice(of_pairs, F.lit(1), F.greatest(F.lit(0), p - 2)), fresh, F.slice(of_pairs, p + 2, F.size(of_pairs))
+                    F.slice(of_pairs, F.lit(1), F.greatest(F.lit(0), p - 2)),
+                    F.slice(fresh, F.when(p == 1, 2).otherwise(1), F.lit(2)),  # the first part has no left neighbour
+                    F.slice(of_pairs, p + 2, F.size(of_pairs)),
                 ).alias("ranks"),
             )
 
         return _let(F.array_position(of_pairs, least).cast("int"), at)
 
-    ranks_of = ranks.pair_ranks
-
     def step(state: Column, _: Column) -> Column:
         return _let(
             F.array_min(state["ranks"]), lambda least: F.when(least == _NONE, state).otherwise(joined(state, least))
