@@ -26,6 +26,30 @@ _SQL = {
           case when p.page_id < k.kept then k.kept end as refers_to
         from p left join k on p.html = k.html
     """,
+    "op6_minhash_dedup": r"""
+        with recursive w as (
+          select doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+          from documents),
+        sets as (
+          select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+            else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as own from w),
+        sizes as (select doc_id, len(own) as n from sets),
+        shingles as (select doc_id, unnest(own) as shingle from sets),
+        common as (
+          select a.doc_id as a, b.doc_id as b, count(*) as c
+          from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+        linked as (
+          select a, b from common join sizes s on s.doc_id = a join sizes t on t.doc_id = b
+          where 100 * c >= 85 * (s.n + t.n - c)),
+        links as (select a, b from linked union all select b, a from linked),
+        reached as (
+          select doc_id, doc_id as other from sizes
+          union
+          select r.doc_id, l.b from reached r join links l on l.a = r.other)
+        select doc_id, cast(n as bigint) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
+        from sizes join reached using (doc_id) group by doc_id, n
+    """,
 }
 
 
