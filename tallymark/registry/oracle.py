@@ -419,67 +419,89 @@ FAILURE_RECORDS = (
 )
 
 
-def _row_text(row: str) -> str:
+def _row_text(row: str, columns: Sequence[str]) -> str:
     def cell(c: str) -> str:
-        value = f"{row}{c}::varchar" if c in NUMBERS | {"o_orderkey"} else f"'''' || {row}{c} || ''''"
+        value = f"{row}{c}::varchar" if c in NUMBERS | {"o_orderkey", "c_custkey"} else f"'''' || {row}{c} || ''''"
         if c in DATES:
             value = f"strftime({row}{c}, '%Y-%m-%d %H:%M:%S')"
         return f"'{c}=' || coalesce({value}, 'None')"
 
-    ordered = ["o_orderkey", *ORDER_VALUES]
-    return "concat_ws(' | ', " + ", ".join(cell(c) for c in ordered) + ")"
+    return "concat_ws(' | ', " + ", ".join(cell(c) for c in columns) + ")"
 
 
-def _findings() -> str:
-    head = f"'{L1}' as layer, 'Orders' as \"table\", 'direct_move_Validation' as validation"
-    key = {"s": "'o_orderkey=' || s.o_orderkey", "t": "'o_orderkey=' || t.o_orderkey"}
-    src, tgt = "orders(Sales_Source)", "ps_orders(Sales_PreStaging)"
+def _compared_rows(
+    q: int, check: Check, validation: str, st: str, tt: str, sdb: str, tdb: str, suffix: str = "",
+    columns: Sequence[str] | None = None, tolerated: bool = False,
+) -> list[str]:
+    """The findings of one comparison: differing cells, missing rows both ways, duplicated keys."""
+    columns, pk, tag = list(columns or check.columns), check.keys[0], check.tag + suffix
+    head = f"'{check.layer}' as layer, '{check.table}' as \"table\", '{validation}' as validation"
+    key = {"s": f"'{pk}=' || s.{pk}", "t": f"'{pk}=' || t.{pk}"}
+    src, tgt = f"{st}({sdb})", f"{tt}({tdb})"
+    whole = {a: _row_text(f"{a}.", [pk, *columns]) for a in "st"}
     parts = []
-    for i, c in enumerate(ORDER_VALUES):
+    for i, c in enumerate(columns):
         parts.append(
-            f"select 11 as q, 0 as k, s.o_orderkey::varchar as kt, {i} as p, {head}, 'Column Value Mismatch' as type, "
+            f"select {q} as q, 0 as k, s.{pk}::varchar as kt, {i} as p, {head}, 'Column Value Mismatch' as type, "
             f"'High' as severity, '{c} value differs at [' || {key['s']} || ']' as title, "
             f"'{c} must be identical in source and target.' as expected, "
             f"'[' || {key['s']} || '] Column ''{c}'' -> Source {src} = ''' || coalesce(s.{c}::varchar, 'None') || "
             f"'''  |  Target {tgt} = ''' || coalesce(t.{c}::varchar, 'None') || '''' as actual, "
-            f"'The ''{c}'' value was not carried correctly from orders to ps_orders (it changed during the movement).' "
+            f"'The ''{c}'' value was not carried correctly from {st} to {tt} (it changed during the movement).' "
             f"as root_cause, 'Fix the load logic so ''{c}'' is preserved, or correct the source data; then reload "
-            f"ps_orders.' as fix from {O1.tag} where in_s and in_t and d{i}"
+            f"{tt}.' as fix from {tag} where in_s and in_t and d{i}"
+        )
+    if not tolerated:
+        parts.append(
+            f"select {q}, 1, s.{pk}::varchar, 0, {head}, 'Missing Record in Target', 'High', "
+            f"'Record [' || {key['s']} || '] is in source but MISSING in target ({tt})', "
+            f"'Every record in {st} must also exist in {tt}.', "
+            f"'Present in {src} but NOT found in {tgt}.' || chr(10) || 'Source row: ' || {whole['s']}, "
+            f"'Record [' || {key['s']} || '] exists in {st} but was not loaded into {tt} - the row was dropped or "
+            "rejected during the movement (check load filters / rejection logic).', "
+            f"'Investigate why the record was not loaded and reload {tt}.' from {tag} where in_s and not in_t"
         )
     parts.append(
-        f"select 11, 1, s.o_orderkey::varchar, 0, {head}, 'Missing Record in Target', 'High', "
-        f"'Record [' || {key['s']} || '] is in source but MISSING in target (ps_orders)', "
-        "'Every record in orders must also exist in ps_orders.', "
-        f"'Present in {src} but NOT found in {tgt}.' || chr(10) || 'Source row: ' || {_row_text('s.')}, "
-        f"'Record [' || {key['s']} || '] exists in orders but was not loaded into ps_orders - the row was dropped or "
-        "rejected during the movement (check load filters / rejection logic).', "
-        f"'Investigate why the record was not loaded and reload ps_orders.' from {O1.tag} where in_s and not in_t"
-    )
-    parts.append(
-        f"select 11, 2, t.o_orderkey::varchar, 0, {head}, 'Missing Record in Source (extra in target)', 'Medium', "
-        f"'Record [' || {key['t']} || '] is in target (ps_orders) but MISSING in source', "
-        "'ps_orders must not contain records absent from orders.', "
-        f"'Present in {tgt} but NOT found in {src}.' || chr(10) || 'Target row: ' || {_row_text('t.')}, "
-        f"'Record [' || {key['t']} || '] exists in ps_orders but not in orders - an orphan/unexpected insert, or the "
-        "source row was deleted after the target was loaded.', 'Verify the source; remove the orphan ps_orders row or "
-        f"restore the source record, then reconcile.' from {O1.tag} where in_t and not in_s"
+        f"select {q}, 2, t.{pk}::varchar, 0, {head}, 'Missing Record in Source (extra in target)', 'Medium', "
+        f"'Record [' || {key['t']} || '] is in target ({tt}) but MISSING in source', "
+        f"'{tt} must not contain records absent from {st}.', "
+        f"'Present in {tgt} but NOT found in {src}.' || chr(10) || 'Target row: ' || {whole['t']}, "
+        f"'Record [' || {key['t']} || '] exists in {tt} but not in {st} - an orphan/unexpected insert, or the "
+        f"source row was deleted after the target was loaded.', 'Verify the source; remove the orphan {tt} row or "
+        f"restore the source record, then reconcile.' from {tag} where in_t and not in_s"
     )
-    for p, (side, alias, name) in enumerate((("source", "s", "orders"), ("target", "t", "ps_orders"))):
+    for p, (side, alias, name) in enumerate((("source", "s", st), ("target", "t", tt))):
         parts.append(
-            f"select 11, 3, {alias}.o_orderkey::varchar, {p}, {head}, 'Duplicate Record', 'High', "
+            f"select {q}, 3, {alias}.{pk}::varchar, {p}, {head}, 'Duplicate Record', 'High', "
             f"'Duplicate business key [' || {key[alias]} || '] on the {side} side', "
             "'Each business key must appear at most once.', "
             f"'Duplicate in {name} ({side} side): key [' || {key[alias]} || '] appears ' || n_{alias} || ' times. "
-            f"Example row: ' || {_row_text(alias + '.')}, "
-            f"'Business key [''o_orderkey''] appears more than once in {name} (missing de-duplication or unique key).', "
-            f"'Add/enforce a unique constraint or a de-duplication step.' from {O1.tag} where n_{alias} > 1"
+            f"Example row: ' || {whole[alias]}, "
+            f"'Business key [''{pk}''] appears more than once in {name} (missing de-duplication or unique key).', "
+            f"'Add/enforce a unique constraint or a de-duplication step.' from {tag} where n_{alias} > 1"
         )
+    return parts
+
+
+def _findings() -> str:
+    integrity = "data_integrity_Validation"
+    parts = [
+        *_compared_rows(11, O1, "direct_move_Validation", "orders", "ps_orders", "Sales_Source", "Sales_PreStaging"),
+        *_compared_rows(17, O2, integrity, "ps_orders", "stg_orders", "Sales_PreStaging", "Sales_Staging", tolerated=True),
+        *_compared_rows(24, C3, integrity, "stg_customer", "dim_customer", "Sales_Staging", "Sales_DWH"),
+        *_compared_rows(30, O3, integrity, "stg_orders", "fact_orders", "Sales_Staging", "Sales_DWH"),
+        *_compared_rows(
+            32, O3, "ColumnValues_Check", "stg_orders", "fact_orders", "Sales_Staging", "Sales_DWH", "_values", FACT_VALUES
+        ),
+    ]
     generic = _quote(fixed.FIX_GENERIC)
     other = f"'{L1}', 'Orders'"
 
-    def single(seq: int, v: str, kind: str, severity: str, expected: str, actual: str, cause: str, source: str) -> str:
+    def single(
+        seq: int, v: str, kind: str, severity: str, expected: str, actual: str, cause: str, source: str, at: str = other
+    ) -> str:
         return (
-            f"select {seq}, 0, '', 0, {other}, '{v}', '{kind}', '{severity}', '{v} failed', '{expected}', {actual}, "
+            f"select {seq}, 0, '', 0, {at}, '{v}', '{kind}', '{severity}', '{v} failed', '{expected}', {actual}, "
             f"{cause}, '{generic}' from ({source})"
         )
 
@@ -493,6 +515,27 @@ def _findings() -> str:
             f"select * from ({counts}) where s <> t",
         )
     )
+    current = (
+        "select (select count(*) from stg_customer where \"IsValid\" = 1) as s, "
+        "(select count(*) from dim_customer where \"IsCurrent\" = 1) as t"
+    )
+    parts.append(
+        single(
+            20, "Count_Validation", "Row Count Mismatch", "High", "Source and target row counts match for the movement.",
+            "'Source rows = ' || s || '  |  Target rows = ' || t || '  (diff = ' || (s - t) || ')'",
+            "'Source and target counts differ by ' || (s - t) || ' (' || case when s > t then 'rows lost' else "
+            "'extra rows' end || ' in the movement).'",
+            f"select * from ({current}) where s <> t", f"'{L3}', 'Customers'",
+        )
+    )
+    parts.append(
+        single(
+            31, "ForeignKey_Check", "Foreign Key Violation", "High",
+            "Every fact surrogate key exists in its dimension and required keys are populated.", "message",
+            "'A fact surrogate key has no matching dimension row (orphan) or a required key column is NULL.'",
+            f"select * from ({FACT_KEY}) where status = 'FAIL'", f"'{L3}', 'Orders'",
+        )
+    )
     groups = "select o_orderkey, count(*) as n from ps_orders group by o_orderkey having count(*) > 1"
     parts.append(
         f"select 8, 0, o_orderkey::varchar, 0, {other}, 'Duplicate_Validation', 'Duplicate Business Key', 'Medium', "
@@ -515,11 +558,13 @@ def _findings() -> str:
             f"select count(*) as n from ({groups})",
         )
     )
-    return "\nunion all ".join(parts)
+    every = "\nunion all ".join(parts)
+    first = 'row_number() over (partition by layer, "table", type, actual order by q, k, kt, p) = 1'
+    return f"select * from ({every}) qualify {first}"
 
 
 FINDING_COLUMNS = 'layer, "table", validation, type, severity, title, expected, actual, root_cause, fix'
-_FINDING_CTES = [PS_ORDERS, O1.cte(False), f"f as ({_findings()})"]
+_FINDING_CTES = [*FULL_RUN, f"f as ({_findings()})"]
 
 _TEST_NAMES = " ".join(f"when '{v}' then '{e[2]}'" for v, e in fixed.CHECK_EXPECTATIONS.items())
 TICKETS = f"""

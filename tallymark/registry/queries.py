@@ -406,13 +406,9 @@ def failure_records_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["failure_records"] = _QUERIES.pop("failure_records_orders")
 
 
-def _first_layer(spark: SparkSession, sf_dir: str) -> SuiteRun:
-    return _suite(spark, sf_dir, only=["source_to_prestaging"])
-
-
 @query
 def findings_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(_first_layer(spark, sf_dir).persist()).select(*FINDING_COLUMNS)
+    return findings(_suite(spark, sf_dir).persist()).select(*FINDING_COLUMNS)
 
 
 _QUERIES["findings"] = _QUERIES.pop("findings_orders")
@@ -420,7 +416,7 @@ _QUERIES["findings"] = _QUERIES.pop("findings_orders")
 
 @query
 def tickets_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tickets(_first_layer(spark, sf_dir).persist()).select(
+    return tickets(_suite(spark, sf_dir).persist()).select(
         *[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in fixed.TICKET_COLUMNS]
     )
 
