@@ -20,12 +20,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.session import materialised
 
-from .common import batches_of, broadcast_if_small
+from .common import batches_of, broadcast_if_small, map_groups
 from .components import stars
 
 WORDS_IN_SHINGLE = 5
@@ -117,15 +117,17 @@ def _sketch(coordinates: int):
     def work(batches):
         for frame in batches:
             texts = [_text_bytes(t) for t in frame["text"]]
-            for part in batches_of(list(zip(frame["doc_id"], texts, strict=True)), [len(t) for t in texts], _TEXT_BYTES):
-                sets = shingle_sets([t for _, t in part])
+            rows = list(zip(frame["doc_id"], frame["text_hash"], texts, strict=True))
+            for part in batches_of(rows, [len(t) for t in texts], _TEXT_BYTES):
+                sets = shingle_sets([t for *_, t in part])
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 full = [s for s in sets if len(s)]
                 parts = batches_of(full, list(map(len, full)), _SHINGLES_AT_ONCE)
                 found = iter([m for some in parts for m in signatures(some, coordinates)])
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([None if pd.isna(d) else int(d) for d, _ in part], dtype="Int64"),
+                        "doc_id": pd.array([None if pd.isna(d) else int(d) for d, *_ in part], dtype="Int64"),
+                        "text_hash": [h for _, h, _ in part],
                         "n_shingles": np.array([len(s) for s in sets], dtype=np.int64),
                         "key": keys,
                         "mark": [next(found).tobytes() if len(s) else None for s in sets],
@@ -170,14 +172,15 @@ def close_pairs(marks: np.ndarray, sizes: np.ndarray, chunk: np.ndarray, band: i
 
 
 def _screen(percent: int):
-    def work(bucket: pd.DataFrame) -> pd.DataFrame:
-        marks = np.frombuffer(b"".join(bucket["mark"]), np.uint8).reshape(len(bucket), -1)
-        active = np.zeros(len(bucket), bool)
-        sizes, chunk = bucket["n_shingles"].to_numpy(np.int64), bucket["chunk"].to_numpy()
-        for i, others in close_pairs(marks, sizes, chunk, int(bucket["band"].iloc[0]), percent):
+    def work(key, columns):
+        own, sizes, chunk, marks = columns
+        marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(own), -1)
+        active = np.zeros(len(own), bool)
+        for i, others in close_pairs(marks, np.array(sizes, np.int64), np.array(chunk), key[0], percent):
             active[i] = True
             active[others] = True
-        return bucket.loc[active, ["band", "part", "ci", "cj", "key", "doc_id"]]
+        for i in np.flatnonzero(active):
+            yield (*key, own[i])
 
     return work
 
@@ -215,17 +218,17 @@ def forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _verify(percent: int):
-    def work(bucket: pd.DataFrame) -> pd.DataFrame:
-        found = forest([np.frombuffer(s, np.uint64) for s in bucket["shingles"]], percent)
-        keys = bucket["key"].to_numpy(object)
-        linked = np.flatnonzero(found != np.arange(len(keys)))
-        return pd.DataFrame({"u": keys[linked], "v": keys[found[linked]]})
+    def work(_, columns):
+        own, sets = columns
+        found = forest([np.frombuffer(s, np.uint64) for s in sets], percent)
+        for i in np.flatnonzero(found != np.arange(len(own))):
+            yield own[i], own[found[i]]
 
     return work
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``documents`` (doc_id, text).
+    """doc_id, text_hash, n_shingles, component_id, kept for each row of ``documents`` (doc_id, text).
 
     Words are runs of characters other than ASCII white space, A-Z lowered; a document's set holds its 5-word shingles, or its
     whole word sequence if it is shorter. Documents are linked if ``100 * intersection >= percent * union``; ``component_id`` is
@@ -235,7 +238,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """
     bands = bands_for(percent)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialised(rows.mapInPandas(_sketch(bands * ROWS), "doc_id long, n_shingles long, key binary, mark binary"), "sketch")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    schema = "doc_id long, text_hash long, n_shingles long, key binary, mark binary"
+    sketch = materialised(hashed.mapInPandas(_sketch(bands * ROWS), schema), "sketch")
     ranked = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place"), "doc_id", "n_shingles", "mark")
     classes = materialised(
         sketch.where("key is not null").groupBy("key").agg(F.min(ranked).alias("first"))
@@ -259,27 +264,45 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     grouped = members.select("*", other).select(
         "key", "band", "part", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj")
     )
+    group = ["band", "part", "ci", "cj"]
     active = materialised(
-        grouped.join(classes, "key")
-        .groupBy("band", "part", "ci", "cj")
-        .applyInPandas(_screen(percent), "band int, part binary, ci int, cj int, key binary, doc_id long"),
+        map_groups(
+            grouped.join(classes, "key"), group, ["key", "n_shingles", "chunk", "mark"], _screen(percent),
+            "band int, part binary, ci int, cj int, key binary",
+        ),
         "close",
     )
-    wanted = active.select("doc_id").distinct()
+    wanted = active.select("key").distinct().join(classes.select("key", "doc_id"), "key").select("doc_id")
     texts = rows.join(broadcast_if_small(wanted), rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     sets = materialised(texts.mapInPandas(_sets_of, "key binary, shingles binary").dropDuplicates(["key"]), "sets")
-    edges = (
-        active.drop("doc_id").join(sets, "key")
-        .groupBy("band", "part", "ci", "cj")
-        .applyInPandas(_verify(percent), "u binary, v binary")
+    edges = map_groups(
+        active.join(sets, "key"), group, ["key", "shingles"], _verify(percent), "u binary, v binary"
     )
     roots = classes.select("key", "doc_id").join(stars(edges).toDF("key", "root"), "key", "left").select(
         "key", "doc_id", F.coalesce("root", "key").alias("root")
     )
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = materialised(roots.join(smallest, "root").select("key", "component_id"), "components")
-    own = sketch.select("doc_id", "n_shingles", "key").join(component, "key", "left").select(
-        "doc_id", "n_shingles",
+    own = sketch.select("doc_id", "text_hash", "n_shingles", "key").join(component, "key", "left").select(
+        "doc_id", "text_hash", "n_shingles",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each component: the one that has its smallest doc_id (of repeated ids the smallest text hash).
+
+    Documents without words all stay, one row for each doc_id and text; components without any doc_id keep one row.
+    """
+    found = near_duplicates(documents, percent).where("kept")
+    alone = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("text_hash"))
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    chosen = (
+        found.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct(ids.alias("id"), "text_hash")).alias("one"))
+        .select(F.col("one.id").alias("__id"), F.col("one.text_hash").alias("__hash"))
+    )
+    rows = documents.withColumns({"__id": ids, "__hash": F.xxhash64("text")})
+    first = Window.partitionBy("__id", "__hash").orderBy("__id")
+    numbered = rows.withColumn("__turn", F.row_number().over(first)).where("__turn = 1")
+    return numbered.join(chosen, ["__id", "__hash"], "left_semi").select(*documents.columns)
