@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.session import materialised
@@ -202,3 +202,20 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int =
     return rounded.join(broadcast_if_small(plan), "__place").select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mixed(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int = 3, seed: int = 7) -> DataFrame:
+    """``documents`` with every row as many times as the mix takes it; documents without words are not taken.
+
+    Rows of equal doc_id, source and size are interchangeable in the mix.
+    """
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id")
+    turn = F.row_number().over(Window.partitionBy("__id").orderBy("__size", "__source")).alias("__turn")
+    taken = mix(documents, weights, limit, seed).select(
+        ids, F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("copies").alias("__copies")
+    )
+    copies = taken.select("__id", turn, "__copies").where("__copies > 0")
+    rows = documents.select("*", ids, word_count(F.col("text")).alias("__size"), F.col("source").alias("__source"))
+    numbered = rows.select(*documents.columns, "__id", turn)
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    return numbered.join(copies, ["__id", "__turn"]).select(*documents.columns, copy.alias("__copy")).drop("__copy")
