@@ -5,6 +5,8 @@ import itertools
 import numpy as np
 import pytest
 
+from llm_fixtures import make, odd_rows  # noqa: F401 - fixtures
+
 from tallymark.llm import language, quality
 
 DATA = "/root/testdata/sf0.01"

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from llm_fixtures import make, odd_rows  # noqa: F401 - fixtures
+
 from tallymark.llm import dedup, fingerprints
 
 SMALL = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})

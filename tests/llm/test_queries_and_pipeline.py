@@ -6,7 +6,6 @@ from collections import Counter
 import public_tokenizers
 import pytest
 from test_duplicates_and_fingerprints import components
-from test_registry import comparable
 
 import __spark_entry__ as registered
 import corpus_pipeline
@@ -15,6 +14,11 @@ from tallymark.llm import language, mixing, oracle, quality, queries
 DATA = "/root/testdata/sf0.001"
 
 
+def comparable(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
+
+
 def test_all_operators_are_registered():
     found = registered.queries()
     assert {int(name[2:].split("_")[0]) for name in queries.queries() if name.startswith("op")} == set(range(1, 11))

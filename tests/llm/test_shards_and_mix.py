@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from llm_fixtures import make, odd_rows  # noqa: F401 - fixtures
+
 from tallymark.llm import mixing, sharding
 
 

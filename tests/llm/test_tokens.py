@@ -7,6 +7,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from llm_fixtures import make, odd_rows  # noqa: F401 - fixtures
+
 from tallymark.llm import bpe, rans
 from tallymark.session import shared_folder
 
