@@ -584,7 +584,7 @@ _TYPES = {
     "o_totalprice": ("double", "53"), "o_orderdate": ("timestamp_ntz", ""), "o_orderpriority": ("string", None),
     "c_custkey": ("bigint", "19"), "c_name": ("string", None), "c_nationkey": ("int", "10"),
     "c_acctbal": ("double", "53"), "c_mktsegment": ("string", None), "CustomerSK": ("bigint", "19"),
-    "IsCurrent": ("int", "10"), "IsValid": ("int", "10"),
+    "IsCurrent": ("int", "10"), "IsValid": ("int", "10"), "RejectionReason": ("string", None),
 }
 _ORDERS = ["o_orderkey", *ORDER_VALUES]
 _CUSTOMER = ["c_custkey", *CUSTOMER_VALUES]
@@ -641,6 +641,15 @@ def _mapping_doc() -> str:
             _mapping("orders", "ps_orders", "Sales_Source", "Sales_PreStaging", _ORDERS, _ORDERS,
                      {"o_orderkey": ("PK, NOT NULL", key),
                       "o_custkey": ("FK -> customer, NOT NULL", "FK -> ps_customer, NOT NULL")}, direct),
+            _mapping("ps_orders", "stg_orders", "Sales_PreStaging", "Sales_Staging", _ORDERS,
+                     [*_ORDERS, "IsValid", "RejectionReason"],
+                     {"o_orderkey": (key, key), "o_custkey": ("FK -> ps_customer, NOT NULL", "NOT NULL")},
+                     "case t.name when 'o_orderstatus' then 'Status must be a known upper-case value' "
+                     "when 'o_orderpriority' then 'Priority must be trimmed; Priority must start with its number' "
+                     "when 'o_totalprice' then 'Price must be at least 2000' "
+                     "when 'IsValid' then 'Validity flag set by load proc: 1 = accepted, 0 = rejected' "
+                     "when 'RejectionReason' then 'Reason text populated when the row is rejected (IsValid = 0)' "
+                     "else 'Cleaned & standardised (trim spaces, standardise case), then copied' end"),
             _mapping("stg_customer", "dim_customer", "Sales_Staging", "Sales_DWH", [*_CUSTOMER, "IsValid"],
                      ["CustomerSK", *_CUSTOMER, "IsCurrent"],
                      {"CustomerSK": ("", "PK"), "c_custkey": (key, "UNIQUE, " + key), "c_name": ("NOT NULL", "NOT NULL")},
@@ -652,6 +661,17 @@ def _mapping_doc() -> str:
     )
 
 
+_TABLES = {
+    (L1, "Customers"): ("customer", "ps_customer"), (L1, "Orders"): ("orders", "ps_orders"),
+    (L2, "Orders"): ("ps_orders", "stg_orders"), (L3, "Customers"): ("stg_customer", "dim_customer"),
+    (L3, "Orders"): ("stg_orders", "fact_orders"),
+}
+_RULE_TEXTS = (
+    "o_orderstatus (Status must be a known upper-case value); o_orderpriority (Priority must be trimmed); "
+    "o_orderpriority (Priority must start with its number); o_totalprice (Price must be at least 2000)"
+)
+
+
 def _catalogue() -> str:
     values = []
     counters: dict[tuple[str, str], int] = {}
@@ -674,12 +694,17 @@ def _catalogue() -> str:
         tags = [fixed.LAYER_TAGS[layer], table.lower(), *fixed.CHECK_TAGS[v]]
         tags += ["fact"] if (layer, table) == (L3, "Orders") else []
         case_id = f"TC_{fixed.LAYER_CODES[layer]}_{table[:3].upper()}_{number:03d}"
-        row = [case_id, layer, table, v, shown, kind, priority, ",".join(tags)]
+        _, _, description, steps, expected, _ = fixed.CATALOGUE_TEXTS[v]
+        source, target = _TABLES[layer, table]
+        filled = {"source": source, "target": target, "keys": keys, "not_null": required, "rules": _RULE_TEXTS}
+        texts = [t.format(**filled) for t in (description, fixed.PRECONDITION, steps, expected)]
+        row = [case_id, layer, table, v, shown, kind, priority, ",".join(tags), *map(_quote, texts)]
         values.append("(" + ", ".join(f"'{x}'" for x in row) + ")")
     return (
         "select c.id as test_case_id, c.layer, c.tbl as table_name, c.cols as columns, c.kind as test_type, "
-        "c.priority, c.tags, r.status "
-        f"from (values {', '.join(values)}) as c(id, layer, tbl, validation, cols, kind, priority, tags) "
+        "c.priority, c.tags, c.description, c.precondition, c.steps, c.expected, r.status "
+        f"from (values {', '.join(values)}) as c(id, layer, tbl, validation, cols, kind, priority, tags, "
+        "description, precondition, steps, expected) "
         f"left join ({_run(_EVERY)}) r on r.layer = c.layer and r.\"table\" = c.tbl and r.validation = c.validation"
     )
 

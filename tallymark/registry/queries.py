@@ -430,9 +430,8 @@ _QUERIES["tickets"] = _QUERIES.pop("tickets_orders")
 @query
 def mapping_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, spec = derive.store(spark, sf_dir), derive.pipeline()
-    document = mapping.mapping_document(store, spec, L1, observed=True)
-    warehouse = mapping.mapping_document(store, spec, L3, observed=True)
-    return document.unionByName(warehouse).drop("seq")
+    first, second, third = (mapping.mapping_document(store, spec, layer, observed=True) for layer in (L1, L2, L3))
+    return first.unionByName(second).unionByName(third).drop("seq")
 
 
 @query
@@ -463,6 +462,10 @@ def check_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("TestType").alias("test_type"),
         F.col("Priority").alias("priority"),
         F.concat_ws(",", "tags").alias("tags"),
+        F.col("Description").alias("description"),
+        F.col("Precondition").alias("precondition"),
+        F.col("`Test Steps`").alias("steps"),
+        F.col("`Expected Result`").alias("expected"),
         "status",
     )
 
