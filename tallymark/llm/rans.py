@@ -8,6 +8,7 @@ Every block has a checksum of its ids.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
@@ -24,12 +25,14 @@ from .common import batches_of, broadcast_if_small
 LANES = 64
 STEPS = 256
 SEGMENT = LANES * STEPS
-BLOCK_IDS = 16 * SEGMENT
+BLOCK_IDS = 64 * SEGMENT
 PARTITION_IDS = 4_000_000
 TABLE_BITS = 20
 _LOW = np.uint64(1 << 31)
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 2_000_000
 _TEXT_CHARACTERS = 4_000_000
+_LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_LETTERS_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
 
 # ---- tokenizing --------------------------------------------------------------------------------------------------
@@ -58,33 +61,41 @@ class WordTokenizer:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        """Letters-only words are encoded many at a time, and parted at the tokens that end a word."""
-        plain = [w for w in words if w.isalpha()]
+        """Lower-case letters-only words are encoded many at a time, and parted at the tokens that end a word."""
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
         for at in range(0, len(plain), 512):
             some = plain[at : at + 512]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                self.words.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                raw, size = ids.tobytes(), self.kind.itemsize
+                ends = (cuts * size).tolist()
+                self.words.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
                 self._one_by_one(some)
-        self._one_by_one([w for w in words if not w.isalpha()])
+        self._one_by_one([w for w in words if not _LETTERS.fullmatch(w)])
 
     def _one_by_one(self, words: list[str]) -> None:
         for w, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.words[w] = np.array(found.ids, self.kind).tobytes()
 
+    def _learn_new(self, new: set[str]) -> None:
+        """Latin letters with ASCII signs behind them are two pieces, and capitals are read as small letters, so the parts are learned."""
+        parts = {w: (m[1].lower(), m[2]) for w in new if (m := _LETTERS_AND_SIGNS.fullmatch(w))}
+        missing = new.difference(parts)
+        for core, signs in parts.values():
+            missing.add(core)
+            missing.add(signs)
+        self._learn(sorted(missing.difference(self.words)))
+        self.words.update((w, self.words[core] + self.words[signs]) for w, (core, signs) in parts.items())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > _CACHED_WORDS:
             self.words = {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.words}
+        new = set().union(*split).difference(self.words)
         if new:
-            marked = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
-            missing = (new.difference(marked) | {w[:-1] for w in marked} | {".", ","}).difference(self.words)
-            self._learn(sorted(missing))
-            for w in marked:
-                self.words[w] = self.words[w[:-1]] + self.words[w[-1]]
+            self._learn_new(new)
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
@@ -175,7 +186,7 @@ def decode_segments(
         out[:, i] = found = symbol[slot]
         state = freq[found] * (state >> np.uint64(TABLE_BITS)) + slot - first[found]
         empty = state < _LOW
-        place = np.cumsum(empty, axis=1)
+        place = np.cumsum(empty, axis=1, dtype=np.int32)
         read = (at[:, None] + place - 1)[empty]
         state[empty] = (state[empty] << np.uint64(32)) | stream[read].astype(np.uint64)
         at += place[:, -1]
@@ -304,7 +315,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
 
 
 def _decode(freq: np.ndarray):
-    symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+    symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
 
     def work(batches):
         for frame in batches:
