@@ -144,7 +144,7 @@ def _frequent(texts: DataFrame, pattern: str) -> DataFrame:
 def word_ids(texts: DataFrame, ranks: Ranks, pattern: str) -> Callable[[Column], Column]:
     """A function from a word to its ids; the frequent words of ``texts`` are folded here, once each."""
     whole = texts.sparkSession.createDataFrame(pd.DataFrame(ranks.words(), columns=["word", "rank"]), "word string, rank int")
-    folded = _frequent(texts, pattern).select("word", fold_merges(F.col("word"), ranks).alias("ids"))
+    folded = materialised(_frequent(texts, pattern).select("word", fold_merges(F.col("word"), ranks).alias("ids")), "words")
     bucket = lambda word: F.pmod(F.hash(word), F.lit(_WORD_BUCKETS))
     buckets: list[dict[str, list[int]]] = [{} for _ in range(_WORD_BUCKETS)]
     for row in folded.select("word", "ids", bucket(F.col("word")).alias("at")).toLocalIterator():
