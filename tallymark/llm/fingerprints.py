@@ -42,17 +42,20 @@ def fingerprint(text: Column, k: int = K, size: int = L) -> Column:
         following = lambda i: [F.get(h, i + j) for j in range(1, k)]
         return F.transform(h, lambda x, i: F.struct(F.xxhash64(x, *following(i)).alias("g"), i.alias("p")))
 
-    def numbered(s: Column) -> Column:
-        """Of the k-mers in hash order: the n-th occurrence of each gets a hash of its own."""
-        places = F.sequence(F.lit(0), F.size(s) - 1)
-        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["g"] != F.get(s, i - 1)["g"]))
+    def is_first(s: Column) -> Callable[[Column, Column], Column]:
+        return lambda x, i: (i == 0) | (F.get(s, i - 1)["g"] != x["g"])
+
+    def numbered(r: Column) -> Column:
+        """Of further occurrences in hash order: the n-th of each k-mer gets a hash of its own. The first keeps its hash."""
+        places = F.sequence(F.lit(0), F.size(r) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(r, i)["g"] != F.get(r, i - 1)["g"]))
 
         def run(begin: Column, end: Column) -> Column:
-            own = F.slice(s, begin + 1, end - begin)
+            own = F.slice(r, begin + 1, end - begin)
             return F.transform(own, lambda x, n: F.struct(F.xxhash64(x["g"], n).alias("g"), x["p"].alias("p")))
 
-        return _let(
-            starts, lambda b: F.flatten(F.transform(b, lambda at, j: run(at, F.coalesce(F.get(b, j + 1), F.size(s)))))
+        return F.when(F.size(r) == 0, r).otherwise(
+            _let(starts, lambda b: F.flatten(F.transform(b, lambda at, j: run(at, F.coalesce(F.get(b, j + 1), F.size(r))))))
         )
 
     def smallest(t: Column) -> Column:
@@ -72,9 +75,17 @@ def fingerprint(text: Column, k: int = K, size: int = L) -> Column:
         return F.transform(heads, entry)
 
     def of_words(h: Column) -> Column:
-        ordered = _let(F.sort_array(kmers(h)), lambda s: F.sort_array(numbered(s)))
+        def selected(s: Column) -> Column:
+            """The smallest of the first and of the further occurrences; only the latter have to be sorted again."""
+            further = F.filter(s, lambda x, i: ~is_first(s)(x, i))
+            both = F.concat(
+                _let(F.filter(s, is_first(s)), smallest),
+                _let(further, lambda r: _let(F.sort_array(numbered(r)), smallest)),
+            )
+            return _let(F.sort_array(both), smallest)
+
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(
-            _let(ordered, lambda t: _let(smallest(t), tuples))
+            _let(F.sort_array(kmers(h)), lambda s: _let(selected(s), tuples))
         )
 
     return _let(words, of_words)
@@ -95,11 +106,9 @@ def likeness(a: Column, b: Column, size: int = L) -> Column:
     return F.when(used == 0, 1.0).otherwise(F.pow(share, F.lit(1.0 / size)))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``next_<column>`` of the row that follows in descending ``doc_id`` (null last); after the last comes the first.
-
-    Ids are dealt into ranges of about a thousand rows; the first row of each range also goes to the range before it, so that each
-    range finds its neighbours alone. Rows that repeat an id follow in the order of ``columns``.
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__bucket``: ids are dealt into ranges of about a thousand rows. The first row of each range is
+    handed to the range above it as well (``__tail`` 1), so that each range finds its neighbours alone.
     """
     ids = rows.select("doc_id")
     limits = ids.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
@@ -116,9 +125,16 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     tails = rows.join(broadcast_if_small(handed, n), F.col("doc_id").eqNullSafe(F.col("head")))
     own = rows.select("*", bucket.alias("__bucket"), F.lit(0).alias("__tail"))
     borrowed = tails.select(*rows.columns, F.col("to").alias("__bucket"), F.lit(1).alias("__tail"))
-    order = ["__tail", F.desc_nulls_last("doc_id"), *columns]
-    window = Window.partitionBy("__bucket").orderBy(*order)
-    followed = own.unionByName(borrowed).select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
+    return own.unionByName(borrowed)
+
+
+def with_next(ranged: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``next_<column>`` of the row that follows in descending ``doc_id`` (null last); after the last comes the first.
+
+    Rows that repeat an id follow in the order of ``columns``.
+    """
+    window = Window.partitionBy("__bucket").orderBy("__tail", F.desc_nulls_last("doc_id"), *columns)
+    followed = ranged.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
     return followed.where("__tail = 0").drop("__bucket", "__tail")
 
 
@@ -130,11 +146,12 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
-    ).withColumn("entries", fingerprint(F.col("text")))
+    )
+    ranged = in_ranges(rows).withColumn("entries", fingerprint(F.col("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    paired = with_next(rows, ["text", "entries"]).select(
+    paired = with_next(ranged, ["text", "entries"]).select(
         "doc_id", n.cast("long").alias("n_chars"), "entries", "next_entries", edited.alias("edited")
     )
     both = paired.select(
