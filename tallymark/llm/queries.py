@@ -90,7 +90,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "rans")
-    rans.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rans.write_tokens(table(spark, sf_dir, "documents"), folder, path, end_id=1, special_tokens=True)
     return rans.read_tokens(spark, folder, digests_only=True)
 
 

@@ -47,13 +47,15 @@ class WordTokenizer:
     """The library's ids of texts, looked up word by word.
 
     The tokenizers this is for drop white space before they merge, and so never join what a blank or a line feed separates: the ids of a text are those of its words, and each word is encoded once.
+    Special tokens hold neither; with ``special_tokens`` one that stands in a text is its own id, as by the library's default, else it is read
+    like other text.
     """
 
-    def __init__(self, definition: str, kind: str):
+    def __init__(self, definition: str, kind: str, special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special_tokens
         self.kind = np.dtype(kind)
         self.words: dict[str, bytes] = {"": b""}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
@@ -100,12 +102,12 @@ class WordTokenizer:
         return [b"".join(map(known, words)) for words in split]
 
 
-def _tokens(definition: str, end_id: int, symbols: int, kind: str):
+def _tokens(definition: str, end_id: int, symbols: int, kind: str, special_tokens: bool):
     def work(batches):
         kept = _worker_cache()
-        name = zlib.crc32(definition.encode())
-        if getattr(kept, "name", None) != (name, kind):
-            kept.name, kept.tokenizer = (name, kind), WordTokenizer(definition, kind)
+        name = (zlib.crc32(definition.encode()), kind, special_tokens)
+        if getattr(kept, "name", None) != name:
+            kept.name, kept.tokenizer = name, WordTokenizer(definition, kind, special_tokens)
         end = np.array([end_id], kind).tobytes()
         counts = np.zeros(symbols, np.int64)
         for frame in batches:
@@ -267,11 +269,12 @@ def _encode_partition(freq: np.ndarray, kind: str, pad: int):
     return work
 
 
-def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> None:
+def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int, special_tokens: bool = False) -> None:
     """Encode every whole text (null: empty) with the tokenizer, append ``end_id``, and write all ids in ascending doc_id order.
 
     A null doc_id comes first; rows that repeat a doc_id follow each other. Counts of the frequency table cover all ids. Other columns
-    are ignored. An empty table gives an archive without blocks.
+    are ignored. An empty table gives an archive without blocks. ``special_tokens`` is the library's default for special tokens in texts;
+    without it they are read like other text.
     """
     spark = documents.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -282,7 +285,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
     kind = "<u2" if symbols <= 1 << 16 else "<u4"
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = materialised(
-        rows.mapInPandas(_tokens(definition, end_id, symbols, kind), "doc_id long, ids binary, counts binary").withColumn(
+        rows.mapInPandas(_tokens(definition, end_id, symbols, kind, special_tokens), "doc_id long, ids binary, counts binary").withColumn(
             "place", F.monotonically_increasing_id()
         ),
         "tokens",

@@ -9,7 +9,7 @@ import pytest
 
 from llm_fixtures import make, odd_rows  # noqa: F401 - fixtures
 
-from tallymark.llm import bpe, rans
+from tallymark.llm import bpe, queries, rans
 from tallymark.session import shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -53,6 +53,19 @@ def test_token_files_equal_the_library(spark, make, odd_rows):
     assert {(r["start"], r["n_tokens"], r["ids_crc32"]) for r in digests} == {(s, len(raw) // 4, zlib.crc32(raw)) for s, _, raw in found}
 
 
+def test_special_tokens_in_texts_have_the_ids_of_the_library(spark, make, odd_rows, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(WORD_MODEL)
+    special = ["don't <|endoftext|> z", "a<|endoftext|>b <|startoftext|><|endoftext|>!", "<|ENDOFTEXT|> Über<|startoftext|>\nx <|endoftext |>"]
+    rows = [*odd_rows, *[(100 + i, t, "s", "en") for i, t in enumerate([*TEXTS, *special])]]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = [(d, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for d, t, *_ in rows]
+    expected = [(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids]
+    assert dict(ids)[100 + len(TEXTS)] == [847, 713, 49407, 345, 1]
+    found = queries.queries()["op9_rans_tokens"](spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found), key=repr) == sorted(expected, key=repr)
+
+
 def test_empty_token_files(spark, make):
     folder = shared_folder(spark, "rans-test")
     rans.write_tokens(make([]), folder, WORD_MODEL, end_id=1)
