@@ -236,6 +236,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     is linked with nothing. A row without doc_id has the component of its text, and is kept only where that has no id at all.
     Repeated rows are all returned. An empty table gives no rows. Other columns are ignored.
     """
+    return _with_roots(documents, percent).drop("root")
+
+
+def _with_roots(documents: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``root``, which tells components apart even if they have the same smallest doc_id; null without words."""
     bands = bands_for(percent)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -282,9 +287,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         "key", "doc_id", F.coalesce("root", "key").alias("root")
     )
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = materialised(roots.join(smallest, "root").select("key", "component_id"), "components")
+    component = materialised(roots.join(smallest, "root").select("key", "root", "component_id"), "components")
     own = sketch.select("doc_id", "text_hash", "n_shingles", "key").join(component, "key", "left").select(
-        "doc_id", "text_hash", "n_shingles",
+        "doc_id", "text_hash", "n_shingles", "root",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
     return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -295,11 +300,11 @@ def without_near_duplicates(documents: DataFrame, percent: int = 80) -> DataFram
 
     Documents without words all stay, one row for each doc_id and text; components without any doc_id keep one row.
     """
-    found = near_duplicates(documents, percent).where("kept")
-    alone = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("text_hash"))
+    found = _with_roots(documents, percent).where("kept")
+    alone = [F.when(F.col("root").isNull(), F.col(c)).alias(f"__{c}") for c in ("doc_id", "text_hash")]
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     chosen = (
-        found.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct(ids.alias("id"), "text_hash")).alias("one"))
+        found.groupBy("root", *alone).agg(F.min(F.struct(ids.alias("id"), "text_hash")).alias("one"))
         .select(F.col("one.id").alias("__id"), F.col("one.text_hash").alias("__hash"))
     )
     rows = documents.withColumns({"__id": ids, "__hash": F.xxhash64("text")})

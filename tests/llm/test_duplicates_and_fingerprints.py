@@ -81,6 +81,14 @@ def test_odd_documents(make, odd_rows):
     assert dedup.near_duplicates(make([])).count() == 0 and dedup.without_near_duplicates(make([])).count() == 0
 
 
+def test_one_row_of_each_component_stays_whatever_its_ids(make):
+    one, other = "the cat sat on a mat while dogs ran", "green hills near blue water and old stones"
+    rows = [(1, one), (1, other), (2, one), (3, other), (None, "Null ids only of one text"), (None, "null ids  only of one text"), (4, None), (4, "")]
+    left = [(r["doc_id"], r["text"]) for r in dedup.without_near_duplicates(make([(*r, "a", "en") for r in rows])).collect()]
+    assert sorted(left, key=repr)[:4] == sorted([(1, one), (1, other), (4, None), (4, "")], key=repr)
+    assert len(left) == 5 and len([t for d, t in left if d is None]) == 1
+
+
 def test_signature_is_a_shifted_permutation():
     sets = dedup.shingle_sets([b"a b c d e f g", b"A B c d e f g", b"one", b""])
     assert sets[0].tolist() == sets[1].tolist() and len(sets[0]) == 3 and len(sets[2]) == 1 and len(sets[3]) == 0
