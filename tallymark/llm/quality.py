@@ -35,7 +35,7 @@ _OWN = _KINDS + 7
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines, their lengths in bytes, and the number of lines of each text; an empty text is one empty line."""
-    lines, numbers, word_level = [], [], []
+    lines, numbers, counts, word_level = [], [], [], []
     for text in texts:
         own = text.split("\n")
         seen = Counter(own)
@@ -43,6 +43,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         for line in own:
             words = line.split()
             n = len(words)
+            counts.append(n)
             common = Counter(words).most_common(1)[0][1] if n > 3 else 1
             word_level.append(
                 (len(set(words)) / n if n else 1.0, common / n if n > 3 else 0.0, min(n, 400) / 400, float(seen[line] > 1 and n > 0))
@@ -54,7 +55,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     owner = np.repeat(np.arange(len(data)), length)
     shares = np.bincount(owner * _KINDS + kinds, minlength=len(data) * _KINDS).reshape(-1, _KINDS) / np.maximum(1, length)[:, None]
     words = np.array(word_level, float).reshape(-1, 4)
-    per_word = length * (1 - shares[:, 3]) / np.maximum(1, words[:, 2] * 400)
+    per_word = length * (1 - shares[:, 3]) / np.maximum(1, np.array(counts, np.int64))
     shape = np.column_stack([np.log1p(length) / 10, np.minimum(per_word, 40) / 20, (length == 0).astype(float)])
     own = np.column_stack([shares, words, shape])
     first = np.concatenate(([0], np.cumsum(numbers)[:-1])).astype(np.int64)

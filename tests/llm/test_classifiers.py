@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from llm_fixtures import make, odd_rows  # noqa: F401 - fixtures
@@ -47,6 +48,20 @@ def test_features_see_the_lines_beside():
     assert not features[0, own : 2 * own].any() and not features[4, own : 3 * own].any()
 
 
+def test_word_length_of_a_long_line():
+    """Whatever the number of words, they have the length they have; a clean text on a single line is a good one."""
+    short, long = (quality.line_features([" ".join(["letter"] * n)])[0][0, quality._KINDS + 5] for n in (50, 5000))
+    assert np.isclose(short, 6 / 20) and np.isclose(long, 6 / 20)
+    folder = "/root/testdata/sf0.001"
+    texts = dict(zip(*(pq.read_table(f"{folder}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
+    labels = pq.read_table(f"{folder}/labels.parquet").to_pylist()
+    known = [(texts[r["doc_id"]], int(r["quality"] > 0)) for r in labels if texts.get(r["doc_id"]) and r["quality"] is not None]
+    field = quality.train(*map(list, zip(*known, strict=True)))
+    words = " ".join(t for t, y in known if y).split()
+    clean = (words * (6000 // len(words) + 1))[:6000]
+    assert min(field.scores([" ".join(clean[:3000]), " ".join(clean[3000:])])) >= 0.5
+
+
 def test_classifiers_without_examples():
     field = quality.train([], [])
     assert field.scores(["a", None, ""]) == [0.5] * 3
