@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 1_000_000
 """Lists of ids up to this many rows (about 50 MB in an executor) are broadcast; longer ones are joined by a shuffle."""
 
+BROADCAST_BYTES = 32 << 20
+"""Tables measured to hold at most this many bytes are broadcast."""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -21,6 +24,18 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
     return df.hint("broadcast") if counted <= limit else df.hint("merge")
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: the lengths of texts and binaries, and 16 for every value."""
+    long = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    each = " + ".join([str(16 * len(df.columns)), *(f"coalesce(octet_length(`{c}`), 0)" for c in long)])
+    return df.selectExpr(f"coalesce(sum(cast({each} as bigint)), 0)").first()[0]
+
+
+def broadcast_if_light(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a flat table for a broadcast join if it is measured to be light; else leave the join to a shuffle."""
+    return df.hint("broadcast") if measured_bytes(df) <= limit else df.hint("merge")
+
+
 def batches_of(values: list, sizes: list[int], most: int) -> Iterator[list]:
     """Consecutive values whose sizes add up to ``most`` at most; a larger value is a batch of its own."""
     held, total = [], 0

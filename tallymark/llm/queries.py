@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, dedup, fingerprints, language, mixing, quality, rans, sharding, topk, warc
+from tallymark.llm import bpe, dedup, divergence, exact, fingerprints, language, mixing, phrases, quality, rans, sharding, topk, warc
 from tallymark.llm.common import table
 from tallymark.session import shared_folder
 
@@ -100,6 +100,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = {"text_sha256": F.sha2(exact.normalised(), 256)}
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), also=digest)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -21,7 +21,7 @@ def comparable(rows, columns):
 
 def test_all_operators_are_registered():
     found = registered.queries()
-    assert {int(name[2:].split("_")[0]) for name in queries.queries() if name.startswith("op")} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in queries.queries() if name.startswith("op")} == set(range(1, 14))
     assert set(queries.queries()) <= set(found) and "pipeline" in found
     assert set(oracle.oracle_sql()) <= set(queries.queries())
 
