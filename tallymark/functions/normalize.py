@@ -16,6 +16,9 @@ _BLANK_RANGES = [
 BLANK_TEXT = "".join(chr(code) for first, last in _BLANK_RANGES for code in range(first, last + 1))
 _BLANKS = "'" + "".join(f"\\u{ord(blank):04X}" for blank in BLANK_TEXT) + "'"
 
+# Upper-casing expands ligatures and the small sharp s, and joins all letters of one fold. The dotless i folds to itself, so it is put aside.
+_DOTLESS, _ASIDE, _CAPITAL_SHARP_S, _SHARP_S, _FINAL_SIGMA, _SIGMA = "\u0131", "\uFFFF", "\u1E9E", "\u00DF", "\u03C2", "\u03C3"
+
 INTEGER, NUMBER, DATE, TIMESTAMP, TEXT = "integer", "number", "date", "timestamp", "text"
 _NUMERIC = {INTEGER, NUMBER}
 
@@ -40,6 +43,15 @@ def strip(value: str) -> str:
     return f"btrim({value}, {_BLANKS})"
 
 
+def folded(value: str) -> str:
+    """Text without differences of case, by full Unicode folding: ``Stra\u00dfe`` and ``STRASSE``, both small sigmas, ``\ufb01`` and ``fi`` fall together.
+
+    Only good for comparing: the folded text may differ from that of other tools, equal ones are equal there too.
+    """
+    upper = f"upper(translate({value}, '{_DOTLESS}{_CAPITAL_SHARP_S}', '{_ASIDE}{_SHARP_S}'))"
+    return f"translate(lower(translate({upper}, '{_ASIDE}', '{_DOTLESS}')), '{_FINAL_SIGMA}', '{_SIGMA}')"
+
+
 def without_nan(value: str, dtype: T.DataType) -> str:
     return f"if(isnan({value}), null, {value})" if isinstance(dtype, (T.FloatType, T.DoubleType)) else value
 
@@ -123,7 +135,7 @@ def values_equal(
     if kinds & _NUMERIC:
         return both_null
     if case_insensitive:
-        return f"lower({a}) <=> lower({b})"
+        return f"({a} <=> {b} or {folded(a)} <=> {folded(b)})"
     return f"{a} <=> {b}"
 
 

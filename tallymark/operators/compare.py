@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tallymark.functions.normalize import as_text, values_equal
@@ -22,7 +21,7 @@ class Comparison:
     """Lazy outcome of a comparison; every part is a DataFrame of its own.
 
     All parts but ``duplicates`` derive from one aggregate over both tables (see :func:`pair_by_key`). When several
-    parts are wanted, :meth:`persist` keeps the keys with a problem, not the matching rows.
+    parts are wanted, :meth:`keep` writes the keys with a problem, not the matching rows, to shared storage.
     """
 
     def __init__(
@@ -43,7 +42,7 @@ class Comparison:
         self.case_insensitive = case_insensitive
         self.exact_decimals = exact_decimals
         self.hot_rows = hot_rows
-        self._persisted: DataFrame | None = None
+        self._kept: DataFrame | None = None
         self._suspects: tuple[DataFrame, DataFrame] | None = None
 
     def screen(self, limit: int = SCREEN_LIMIT) -> Comparison:
@@ -113,18 +112,14 @@ class Comparison:
 
         Matching keys are dropped by plain boolean tests inside code generation; the list is built for the others.
         """
-        return self._issues if self._persisted is None else self._persisted
+        return self._issues if self._kept is None else self._kept
 
-    def persist(self) -> Comparison:
-        if self._persisted is None:
-            self._persisted = self._issues.persist(StorageLevel.MEMORY_AND_DISK)
+    def keep(self) -> Comparison:
+        """Run the comparison now, once; verdict and reports read the problem rows it wrote. Nothing is cached in the session."""
+        if self._kept is None:
+            self._kept = materialised(self._issues, "issues")
         return self
 
-    def unpersist(self) -> None:
-        if self._persisted is not None:
-            self._persisted.unpersist()
-            self._persisted = None
-
     def keyed_states(self) -> DataFrame:
         """Normalised key, copies on each side, and whether the key is on both sides or on one."""
         renamed = {k: quoted(name) for name, k in zip(key_names(self.keys), self.keys)}
@@ -184,7 +179,7 @@ class Comparison:
         The verdict needs keys and compared columns only, so other columns are neither scanned nor shuffled for it.
         """
         needed = dict.fromkeys([*self.keys, *self.compare_columns])
-        if self._persisted is None and self._suspects is None and {*self.columns, *self.target_columns} - needed.keys():
+        if self._kept is None and self._suspects is None and {*self.columns, *self.target_columns} - needed.keys():
             source, target = (df.select(*names(needed)) for df in (self.source, self.target))
             return compare(
                 source, target, self.keys, self.compare_columns, self.case_insensitive, self.exact_decimals, self.hot_rows

@@ -197,17 +197,22 @@ def reload_layers(
 
     for layer in layers:
         for table in load_order(layer):
-            rows = store.read_table(layer.source_db, table.source_table, where=layer.source_valid_filter)
-            if layer.direct_move:
-                loaded = load_direct(rows)
-            elif layer.valid_filter:
-                loaded = load_staging(rows, table)
-            else:
-                loaded = _load_warehouse_table(store, previous, layer, table, rows.drop(VALID, REASON), effective)
-            save(layer, table, loaded)
+            save(layer, table, load_stage(store, previous, layer, table, effective))
     return store
 
 
+def load_stage(
+    store: TableStore, previous: TableStore | None, layer: LayerSpec, table: TableSpec, effective: datetime
+) -> DataFrame:
+    """The load of one table in one layer, by the kind of its layer and table."""
+    rows = store.read_table(layer.source_db, table.source_table, where=layer.source_valid_filter)
+    if layer.direct_move:
+        return load_direct(rows)
+    if layer.valid_filter:
+        return load_staging(rows, table)
+    return _load_warehouse_table(store, previous, layer, table, rows.drop(VALID, REASON), effective)
+
+
 def _load_warehouse_table(
     store: TableStore,
     previous: TableStore | None,

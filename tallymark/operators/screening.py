@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.normalize import TEXT, key_value, kind_of
+from tallymark.functions.normalize import TEXT, folded, key_value, kind_of
 from tallymark.functions.text import all_of, names, quoted
 from tallymark.operators.pairing import key_names, normalised_keys
 
@@ -26,7 +26,7 @@ def _fingerprint(
         if exact_decimals and isinstance(mine, T.DecimalType) and isinstance(theirs, T.DecimalType):
             value = _exact(quoted(c), mine)
         if case_insensitive and kind_of(mine) == kind_of(theirs) == TEXT:
-            value = f"lower({value})"
+            value = folded(value)
         # the hash passes over NULLs, so their places are part of the input
         parts += [f"{value} is null", value]
     return f"xxhash64({', '.join([str(seed), *parts])})"

@@ -62,6 +62,9 @@ class CheckContext:
     table: TableSpec
     hot_rows: int = HOT_KEY_ROWS
     exact_decimals: bool = False
+    keep_issues: bool = False
+    """Write the problem rows of each comparison before its verdict is taken, for reports that follow."""
+
     _comparisons: dict[str, Comparison] = field(default_factory=dict)
 
     @classmethod
@@ -89,6 +92,8 @@ class CheckContext:
                 exact_decimals=self.exact_decimals,
                 hot_rows=self.hot_rows,
             )
+            if self.keep_issues:
+                self._comparisons[check].keep()
         return self._comparisons[check]
 
     def comparisons(self) -> list[str]:

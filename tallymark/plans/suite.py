@@ -42,16 +42,6 @@ class SuiteRun:
     def comparisons(self) -> dict[tuple[str, str, str], Comparison]:
         return {(*at, check): self.comparison(*at, check) for at, found in self.compared.items() for check in found}
 
-    def persist(self) -> SuiteRun:
-        """Keep the problem rows of every comparison for the reports that follow."""
-        for comparison in self.comparisons().values():
-            comparison.persist()
-        return self
-
-    def unpersist(self) -> None:
-        for comparison in self.comparisons().values():
-            comparison.unpersist()
-
 
 def _fixed_rows(store: TableStore, items: Sequence[tuple[CheckCase, str, str, str]]) -> DataFrame:
     """Result rows that need no data: skipped checks and checks that cannot be planned."""
@@ -118,6 +108,7 @@ def run_suite(
     only: Sequence[str] | None = None,
     gate: Gate | None = None,
     hot_rows: int = HOT_KEY_ROWS,
+    keep_issues: bool = False,
 ) -> SuiteRun:
     """Run every check of the pipeline.
 
@@ -126,6 +117,9 @@ def run_suite(
 
     Every table is one job of its own, a few at a time; its handful of result rows is gathered. A check that cannot be
     planned or that fails while it runs becomes an ERROR row and costs no other result.
+
+    ``keep_issues``: every comparison writes its problem rows to shared storage, once; its verdict and all failure records, findings
+    and tickets of this run are taken from there.
     """
     listed = cases(pipeline)
     outputs: list[DataFrame] = []
@@ -150,13 +144,19 @@ def run_suite(
         if dropped:
             outputs.append(_fixed_rows(store, dropped))
 
-    jobs = []
+    tables = []
     for at, group in groupby(listed, key=lambda c: (c.layer, c.table)):
-        ctx = CheckContext(store, pipeline.layer(at[0]), pipeline.table(*at), hot_rows)
-        jobs.append(_plan_table(ctx, list(group)))
+        ctx = CheckContext(store, pipeline.layer(at[0]), pipeline.table(*at), hot_rows, keep_issues=keep_issues)
+        tables.append((ctx, list(group)))
         run.contexts[at] = ctx
+
+    def judged(table: tuple[CheckContext, list[CheckCase]]) -> tuple[_TableJob, list[dict]]:
+        job = _plan_table(*table)
+        return job, job.run()
+
     with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        measured = [row for rows in pool.map(_TableJob.run, jobs) for row in rows]
+        done = list(pool.map(judged, tables))
+    jobs, measured = [job for job, _ in done], [row for _, rows in done for row in rows]
     if measured:
         outputs.append(store.spark.createDataFrame(measured, RESULT_SCHEMA))
     errors = [(c, checks.CATEGORIES.get(c.check, "basic"), "ERROR", text) for job in jobs for c, text in job.problems]

@@ -17,6 +17,7 @@ from tallymark.spec import (
     ConstraintSpec,
     ForeignKeySpec,
     LayerSpec,
+    LookupSpec,
     PipelineSpec,
     RuleSpec,
     TableSpec,
@@ -157,6 +158,56 @@ def pipeline() -> PipelineSpec:
     )
 
 
+ITEM_VALUES = ("l_quantity", "l_extendedprice")
+
+
+def reload_pipeline() -> PipelineSpec:
+    """Four tables through three layers, for a full reload: copies, accepted and rejected rows, two kinds of dimensions and a fact."""
+    orders = dict(key=("o_orderkey",), compare_columns=ORDER_VALUES, not_null_columns=("o_orderkey", "o_custkey"))
+    customers = dict(key=("c_custkey",), compare_columns=CUSTOMER_VALUES, not_null_columns=("c_custkey", "c_name"))
+    suppliers = dict(key=("s_suppkey",), compare_columns=("s_name", "s_nationkey", "s_acctbal"))
+    items = dict(key=("l_orderkey", "l_linenumber"), compare_columns=ITEM_VALUES)
+    few = RuleSpec("l_quantity", "min_value", 5, "Quantity must be at least 5")
+    debt = RuleSpec("c_acctbal", "min_value", 0, "Balance must not be negative")
+    lookups = (
+        LookupSpec("l_orderkey", "dim_orders", "o_orderkey", "OrderSK", carry=("o_custkey",)),
+        LookupSpec("l_suppkey", "dim_supplier", "s_suppkey", "SupplierSK"),
+        LookupSpec("o_custkey", "dim_customer", "c_custkey", "CustomerSK"),
+    )
+    first = {
+        "Items": TableSpec("Items", "lineitem", "ps_lineitem", **items),
+        "Customers": TableSpec("Customers", "customer", "ps_customer", **customers),
+        "Suppliers": TableSpec("Suppliers", "supplier", "ps_supplier", **suppliers),
+        "Orders": TableSpec("Orders", "orders", "ps_orders", **orders),
+    }
+    second = {
+        "Items": TableSpec("Items", "ps_lineitem", "stg_lineitem", transformations=(few,), **items),
+        "Customers": TableSpec("Customers", "ps_customer", "stg_customer", transformations=(debt,), **customers),
+        "Suppliers": TableSpec("Suppliers", "ps_supplier", "stg_supplier", **suppliers),
+        "Orders": TableSpec("Orders", "ps_orders", "stg_orders", transformations=ORDER_RULES, **orders),
+    }
+    third = {
+        "Items": TableSpec("Items", "stg_lineitem", "fact_lineitem", dim_type="Fact", lookups=lookups, **items),
+        "Customers": TableSpec(
+            "Customers", "stg_customer", "dim_customer", target_filter="IsCurrent = 1", dim_type="Type2", surrogate_key="CustomerSK", **customers
+        ),
+        "Suppliers": TableSpec("Suppliers", "stg_supplier", "dim_supplier", dim_type="Type1", surrogate_key="SupplierSK", **suppliers),
+        "Orders": TableSpec("Orders", "stg_orders", "dim_orders", dim_type="Type1", surrogate_key="OrderSK", **orders),
+    }
+    layers = [
+        LayerSpec(L1, "source", "prestaging", first, direct_move=True),
+        LayerSpec(L2, "prestaging", "staging", second, valid_filter="IsValid = 1", tolerate_missing_in_target=True),
+        LayerSpec(L3, "staging", "dwh", third, source_valid_filter="IsValid = 1"),
+    ]
+    return PipelineSpec(layers={layer.name: layer for layer in layers})
+
+
+def reload_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Sources of the reload; the orders have defects."""
+    found = {name: given(spark, sf_dir, name) for name in ("customer", "supplier", "lineitem")}
+    return {**found, "orders": orders_target(given(spark, sf_dir, "orders"))}
+
+
 def orders_fact(stg_orders: DataFrame, dimension: DataFrame) -> DataFrame:
     """Accepted orders with the surrogate key of the current customer version, some of them with a changed price."""
     current = dimension.where("IsCurrent = 1")

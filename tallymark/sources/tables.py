@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from string import Formatter
+from threading import RLock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ class TableStore:
         self.spark = spark
         self.databases = dict(databases or {})
         self._registered: dict[tuple[str, str], DataFrame | Callable[[], DataFrame]] = {}
+        self._building = RLock()  # tables of several jobs are planned at once, each is built once
 
     def register(self, logical_db: str, table: str, df: DataFrame | Callable[[], DataFrame]) -> None:
         """Register a DataFrame, or a function that builds it when the table is asked for the first time."""
@@ -38,9 +40,10 @@ class TableStore:
 
     def table(self, logical_db: str, table: str) -> DataFrame:
         if (logical_db, table) in self._registered:
-            found = self._registered[logical_db, table]
-            if not isinstance(found, DataFrame):
-                found = self._registered[logical_db, table] = found()
+            with self._building:
+                found = self._registered[logical_db, table]
+                if not isinstance(found, DataFrame):
+                    found = self._registered[logical_db, table] = found()
             return found
         location = self._location(logical_db)
         schema, name = split_table_name(table)

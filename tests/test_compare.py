@@ -101,7 +101,6 @@ def test_random_defects_are_found_exactly(spark):
     schema = "k int, name string, amount double, flag boolean"
     c = compare(
         frame(spark, list(rows.values()), schema), frame(spark, target + copies, schema), ["k"], ["name", "amount", "flag"]
-    ).persist()
+    ).keep()
     assert tuple(c.summary().first()) == (cells, 40, 20, 15, 60, False)
     assert c.diffs().count() == cells and c.duplicates().count() == 60
-    c.unpersist()

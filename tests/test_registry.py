@@ -88,3 +88,9 @@ def test_plan_of_lookups_grows_linearly(spark):
         return plan_of(found).count("FileScan")
 
     assert [scans(k) for k in (1, 4, 10)] == [1, 1, 1]
+
+
+def test_reports_leave_nothing_cached(spark):
+    for name in ("failure_records", "findings", "tickets"):
+        registered.queries()[name](spark, DATA).count()
+        assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0, name
