@@ -1,33 +1,40 @@
 """Byte-level BPE by Spark higher-order functions.
 
 A word is an array of token ids, at first one for each byte. A fold joins the neighbours of lowest rank (the rank of a pair is the id of
-what it joins to) until no pair has a rank. The ranks are literals: hash buckets of pairs, because a Spark map is searched
-from its start. A word whose bytes are a token is that token at once.
+what it joins to) until no pair has a rank. The ranks are a literal: hash buckets of pairs, because a Spark map is searched from its
+start. A word whose bytes are a token is that token at once.
 
-Folding is dear and words repeat, so words are counted over the whole corpus, and the distinct ones that are frequent (at least one in
-eight million words, hence at most eight million of them) are folded once; their ids become one more literal. The
-others are folded in their place. Both ways give the same ids, and no word is shuffled back to its document.
-Words that are tokens are in the same literal, so a word that is looked up in vain has to be folded.
+Folding is dear and words repeat, so every distinct word of the corpus is folded once, and (word, ids) stays in a table. The most frequent words, as
+many as a bound of bytes allows, reach all tasks as one value; the words of a text that are not among them meet their ids in a join
+on the word, and their text by its digest. Folded ids then take their places in the text, which has been looked up so far.
+Words of more than a kilobyte are folded by a heap in Python tasks: an array that is copied for every merge would make them quadratic.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.session import materialised
 
-FREQUENT_SHARE = 1 / (1 << 23)
+KNOWN_BYTES = 12 << 20
+"""Bound of the words (with their ids) that every task holds."""
+
+LONG_WORD_BYTES = 1_000
+_WORD_BYTES = 64  # what a word costs beside its letters
 _PAIR_BUCKETS = 1 << 15
-_WORD_BUCKETS = 1 << 16
+_WORD_BUCKETS = 1 << 15
 _ID_BITS = 20
 _NONE = 1 << 30
-_SPACE_CHARACTERS = r"\t-\r\x20\x85\xa0  -     　"
+_OPEN = -1  # stands for a word whose ids are still to come
+_SPACE_CHARACTERS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,9 +71,17 @@ class Ranks:
                     self.keys[at].append((a << _ID_BITS) | b)
                     self.values[at].append(rank)
 
-    def pair_ranks(self, lefts: Column, rights: Column) -> Column:
+    def literal(self) -> Column:
+        """Keys and values of the pair ranks, in buckets; a plan holds this once."""
+        return F.struct(
+            _literal(self.keys, "array<array<bigint>>").alias("keys"), _literal(self.values, "array<array<int>>").alias("values"),
+            self.byte_ids().alias("bytes"),
+        )
+
+    @staticmethod
+    def pair_ranks(tables: Column, lefts: Column, rights: Column) -> Column:
         """The ranks of the pairs (left, right) of two arrays of ids; ``_NONE`` for a pair without rank or with a null."""
-        keys, values = _literal(self.keys, "array<array<bigint>>"), _literal(self.values, "array<array<int>>")
+        keys, values = tables["keys"], tables["values"]
 
         def rank(a: Column, b: Column) -> Column:
             at = (a.cast("bigint") * 40_503 + b * F.lit(9_176_263).cast("bigint")).bitwiseAND(F.lit(_PAIR_BUCKETS - 1)).cast("int")
@@ -92,15 +107,14 @@ class Ranks:
 
 def fold_merges(word: Column, ranks: Ranks) -> Column:
     """Ids of one word: of the pairs of lowest rank the first is joined, again and again, until no pair has a rank."""
-    known = ranks.byte_ids()
     characters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
 
-    def joined(state: Column, least: Column) -> Column:
+    def joined(tables: Column, state: Column, least: Column) -> Column:
         parts, of_pairs = state["parts"], state["ranks"]
 
         def at(p: Column) -> Column:  # the pair is (p, p + 1), counted from 1
             before, after = F.get(parts, p - 2), F.get(parts, p + 1)
-            fresh = ranks.pair_ranks(F.array(before, least), F.array(least, after))
+            fresh = ranks.pair_ranks(tables, F.array(before, least), F.array(least, after))
             return F.struct(
                 F.concat(F.slice(parts, F.lit(1), p - 1), F.array(least), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
                 F.concat(
@@ -112,60 +126,155 @@ def fold_merges(word: Column, ranks: Ranks) -> Column:
 
         return _let(F.array_position(of_pairs, least).cast("int"), at)
 
-    def step(state: Column, _: Column) -> Column:
-        return _let(
-            F.array_min(state["ranks"]), lambda least: F.when(least == _NONE, state).otherwise(joined(state, least))
-        )
+    def fold(tables: Column, ids: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            least = F.array_min(state["ranks"])
+            return _let(least, lambda r: F.when(r == _NONE, state).otherwise(joined(tables, state, r)))
 
-    def fold(ids: Column) -> Column:
         # the last id has no right neighbour: its pair holds a null and has no rank, so that there are as many ranks as parts
-        start = F.struct(ids.alias("parts"), ranks.pair_ranks(ids, F.slice(ids, 2, F.size(ids))).alias("ranks"))
+        start = F.struct(ids.alias("parts"), ranks.pair_ranks(tables, ids, F.slice(ids, 2, F.size(ids))).alias("ranks"))
         return F.aggregate(F.slice(ids, 2, F.size(ids)), start, step, lambda s: s["parts"])
 
-    return _let(F.transform(characters, lambda c: F.get(known, F.ascii(c))), fold)
-
-
-def _frequent(texts: DataFrame, pattern: str) -> DataFrame:
-    """The frequent words. Blank-separated runs are counted over the whole corpus, then split as words of a text are.
+    def folded(tables: Column) -> Column:
+        return _let(F.transform(characters, lambda c: F.get(tables["bytes"], F.ascii(c))), lambda ids: fold(tables, ids))
+
+    return _let(ranks.literal(), folded)
+
+
+def merge_long(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
+    """The same merges for a long word: a heap finds the lowest rank, links skip what has been joined."""
+    n = len(word)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def pair(i: int):
+        if i >= 0 and after[i] < n and (rank := ranks.get(word[i : end[after[i]]])) is not None:
+            heapq.heappush(heap, (rank, i, end[i], end[after[i]]))
+
+    heap: list[tuple[int, int, int, int]] = []
+    for i in range(n):
+        pair(i)
+    alive = [True] * n
+    while heap:
+        _, i, middle, stop = heapq.heappop(heap)
+        if not alive[i] or end[i] != middle or after[i] >= n or end[after[i]] != stop:
+            continue
+        gone = after[i]
+        alive[gone], end[i], after[i] = False, stop, after[gone]
+        if after[i] < n:
+            before[after[i]] = i
+        pair(before[i])
+        pair(i)
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def _long_words(ranks):
+    def work(batches):
+        for frame in batches:
+            yield pd.DataFrame(
+                {"word": frame["word"], "n": frame["n"], "ids": [merge_long(w.encode("utf-8", "surrogatepass"), ranks.value) for w in frame["word"]]}
+            )
 
-    Runs are split behind a blank, which is how nearly all words stand in a text; a word that only stands otherwise is not found
-    here, and is folded in its place.
-    """
-    runs = materialised(
-        texts.select(F.explode(F.split("text", " ")).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")), "words"
+    return work
+
+
+def _words(pattern: str) -> Column:
+    return F.regexp_extract_all("text", F.lit(java_pattern(pattern)), 0)
+
+
+def folded_words(texts: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
+    """word, n, ids: every distinct word of the texts, folded once."""
+    spark = texts.sparkSession
+    counted = materialised(texts.select(F.explode(_words(pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    whole = spark.createDataFrame(pd.DataFrame(ranks.words(), columns=["word", "rank"]), "word string, rank int")
+    parts = max(2 * spark.sparkContext.defaultParallelism, counted.count() // 50_000)
+    spread = counted.repartition(int(parts), "word")  # folding costs far more than its few bytes show
+    is_long = F.octet_length("word") > LONG_WORD_BYTES
+    short = spread.where(~is_long).join(whole.hint("broadcast"), "word", "left").select(
+        "word", "n", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(fold_merges(F.col("word"), ranks)).alias("ids")
+    )
+    by_heap = _long_words(spark.sparkContext.broadcast(ranks.ranks))
+    long = spread.where(is_long).mapInPandas(by_heap, "word string, n long, ids array<int>")
+    return materialised(short.unionByName(long), "folded")
+
+
+def known_words(folded: DataFrame) -> DataFrame:
+    """One row ``known``: the most frequent words within ``KNOWN_BYTES``, in hash buckets of (words, ids); counts are cut at powers of two."""
+    cost = F.octet_length("word") + 4 * F.size("ids") + _WORD_BYTES
+    sizes = folded.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level"))
+    least, total = 1 << 62, 0
+    for row in sizes.collect():  # at most 64 rows
+        total += row["bytes"]
+        if total > KNOWN_BYTES:
+            break
+        least = 1 << row["level"]
+    bucket = F.pmod(F.hash("word"), F.lit(_WORD_BUCKETS)).alias("bucket")
+    entry = F.struct("word", "ids")
+    full = folded.where(F.col("n") >= least).groupBy(bucket).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    every = folded.sparkSession.range(_WORD_BUCKETS).selectExpr("cast(id as int) as bucket")
+    by_bucket = every.join(full, "bucket", "left").select(
+        F.struct("bucket", F.col("entries.word").alias("words"), F.col("entries.ids").alias("ids")).alias("b")
     )
-    words = runs.select(
-        F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "run"), F.lit(java_pattern(pattern)), 0)).alias("word"), "n"
-    ).groupBy("word").agg(F.sum("n").alias("n"))
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    return words.where(F.col("n") >= max(2.0, total * FREQUENT_SHARE)).select("word")
-
-
-def word_ids(texts: DataFrame, ranks: Ranks, pattern: str) -> Callable[[Column], Column]:
-    """A function from a word to its ids; the frequent words of ``texts`` are folded here, once each."""
-    whole = texts.sparkSession.createDataFrame(pd.DataFrame(ranks.words(), columns=["word", "rank"]), "word string, rank int")
-    folded = materialised(_frequent(texts, pattern).select("word", fold_merges(F.col("word"), ranks).alias("ids")), "words")
-    bucket = lambda word: F.pmod(F.hash(word), F.lit(_WORD_BUCKETS))
-    buckets: list[dict[str, list[int]]] = [{} for _ in range(_WORD_BUCKETS)]
-    for row in folded.select("word", "ids", bucket(F.col("word")).alias("at")).toLocalIterator():
-        buckets[row["at"]][row["word"]] = row["ids"]
-    for row in whole.select("word", "rank", bucket(F.col("word")).alias("at")).collect():
-        buckets[row["at"]][row["word"]] = [row["rank"]]
-    known = _literal(buckets, "array<map<string,array<int>>>")
-
-    def ids(word: Column) -> Column:
-        found = F.try_element_at(F.get(known, bucket(word)), word)
-        return _let(found, lambda k: F.when(k.isNotNull(), k).otherwise(fold_merges(word, ranks)))
-
-    return ids
+    return by_bucket.agg(F.sort_array(F.collect_list("b")).alias("known"))
+
+
+def _place_of(word: str) -> str:
+    """Where a word stands in its bucket of the known words, from 1; 0 if it is not known."""
+    return f"coalesce(cast(array_position(known[pmod(hash({word}), {_WORD_BUCKETS})].words, {word}) as int), 0)"
+
+
+def _assemble(batches):
+    """Put the ids of open words, in the order of their places, into the ids of a text."""
+    for frame in batches:
+        done = []
+        for ids, late in zip(frame["ids"], frame["late"], strict=True):
+            if late is None:
+                done.append(ids)
+                continue
+            ids = np.asarray(ids, np.int32)
+            at = np.flatnonzero(ids == _OPEN)
+            if len(at) != len(late):
+                raise ValueError("a text has not got the ids of all its words")
+            pieces, begin = [], 0
+            for place, own in zip(at.tolist(), late, strict=True):
+                pieces += [ids[begin:place], own]
+                begin = place + 1
+            done.append(np.concatenate([*pieces, ids[begin:]]))
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "text_md5": frame["text_md5"], "ids": done})
 
 
 def encode(documents: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
-    """``documents`` with the column ``ids``: the token ids of each whole text (null or empty: none)."""
-    texts = documents.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    ids = word_ids(texts.select("text"), ranks, pattern)
-    words = F.regexp_extract_all("text", F.lit(java_pattern(pattern)), 0)
-    return texts.withColumn("ids", F.flatten(F.transform(words, ids)))
+    """doc_id, text_md5, ids: the token ids of each whole text (null or empty: none)."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    folded = folded_words(texts, ranks, pattern)
+    known = materialised(known_words(folded), "known")
+    rows = texts.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("text_md5"), _words(pattern).alias("words"))
+    spark = documents.sparkSession
+    # the known words are a scalar: read once, held once by each task, no part of the plan; each query below refers to them once, so that
+    # Spark puts the scalar in its place and never into rows
+    with_known = spark.sql("select *, (select first(known) from {known}) as held from {rows}", rows=rows, known=known)
+    found_open = spark.sql(
+        f"""
+        select text_md5, get(transform(array(held), known ->
+          filter(transform(words, (w, i) -> struct(i as place, w as w)), x -> {_place_of('x.w')} = 0)), 0) as open_words from {{rows}}
+        """,
+        rows=with_known,
+    )
+    late = found_open.select("text_md5", F.explode("open_words").alias("x")).select("text_md5", "x.place", F.col("x.w").alias("word"))
+    joined = late.join(folded.select("word", F.col("ids").alias("own")), "word")
+    # a set, because rows that repeat a text bring the same words
+    gathered = joined.groupBy("text_md5").agg(F.sort_array(F.collect_set(F.struct("place", "own"))).alias("l")).selectExpr(
+        "text_md5", "l.own as late"
+    )
+    looked_up = spark.sql(
+        f"""
+        select doc_id, text_md5, flatten(get(transform(array(held), known ->
+          transform(words, w -> coalesce(get(known[pmod(hash(w), {_WORD_BUCKETS})].ids, {_place_of('w')} - 1), array({_OPEN})))), 0)) as ids
+        from {{rows}}
+        """,
+        rows=with_known,
+    )
+    complete = looked_up.join(gathered.hint("merge"), "text_md5", "left").select("doc_id", "text_md5", "ids", "late")
+    return complete.mapInPandas(_assemble, "doc_id long, text_md5 binary, ids array<int>")
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
@@ -175,10 +284,9 @@ def decode(ids: Column, ranks: Ranks) -> Column:
 
 
 def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, text (null becomes empty), ids, decoded (bytes) for every row; an empty table gives no rows.
+    """doc_id, text_md5 (of the UTF-8 text, null counts as empty), ids, decoded (bytes) for every row; an empty table gives no rows.
 
-    Repeated rows are all returned, other columns are ignored.
+    Repeated rows are all returned, other columns are ignored. Words and texts may be of any length.
     """
     ranks = Ranks(rank_path)
-    coded = encode(documents.select("doc_id", "text"), ranks, pattern)
-    return coded.withColumn("decoded", decode(F.col("ids"), ranks))
+    return encode(documents, ranks, pattern).withColumn("decoded", decode(F.col("ids"), ranks))

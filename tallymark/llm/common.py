@@ -24,6 +24,14 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
     return df.hint("broadcast") if counted <= limit else df.hint("merge")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until it is no column of a table (names of columns do not depend on case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of all rows: the lengths of texts and binaries, and 16 for every value."""
     long = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]

@@ -307,7 +307,7 @@ def without_near_duplicates(documents: DataFrame, percent: int = 80) -> DataFram
         found.groupBy("root", *alone).agg(F.min(F.struct(ids.alias("id"), "text_hash")).alias("one"))
         .select(F.col("one.id").alias("__id"), F.col("one.text_hash").alias("__hash"))
     )
-    rows = documents.withColumns({"__id": ids, "__hash": F.xxhash64("text")})
+    rows = documents.select(F.struct("*").alias("row"), ids.alias("__id"), F.xxhash64("text").alias("__hash"))
     first = Window.partitionBy("__id", "__hash").orderBy("__id")
     numbered = rows.withColumn("__turn", F.row_number().over(first)).where("__turn = 1")
-    return numbered.join(chosen, ["__id", "__hash"], "left_semi").select(*documents.columns)
+    return numbered.join(chosen, ["__id", "__hash"], "left_semi").select("row.*")

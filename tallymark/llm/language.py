@@ -7,10 +7,10 @@ probabilities, weighted by their bytes: every byte of the text is read. Trained
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ _WIDTHS = {2: 8, 3: 12, 4: 12}  # filters of each width
 _WIDEST = max(_WIDTHS)
 _STRIDE = _LENGTH - _WIDEST + 1  # each run of four bytes lies in one window
 _FILTERS = sum(_WIDTHS.values())
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

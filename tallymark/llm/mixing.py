@@ -39,26 +39,26 @@ def source_targets(sources: DataFrame, weights: Sequence[float], limit: float) -
     sum finds them. One row for each source goes through this window, never one for each document.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    sources.select("source", "source_size").createOrReplaceTempView("__mixing_sources")
     ranked = sources.sparkSession.sql(
-        "select *, row_number() over (order by encode(source, 'UTF-8') nulls last) - 1 as __place from __mixing_sources"
+        "select *, row_number() over (order by encode(source, 'UTF-8') nulls last) - 1 as __place from {sources}",
+        sources=sources.select("source", "source_size"),
     ).withColumn("__weight", F.element_at(cycle, (F.col("__place") % len(weights) + 1).cast("int")))
-    ranked.createOrReplaceTempView("__mixing_ranked")
-    return sources.sparkSession.sql(
+    return ranked.sparkSession.sql(
         f"""
         with ordered as (
           select *, {limit}D * source_size as cap,
             row_number() over (order by {limit}D * source_size / __weight, __place) as turn,
             sum(source_size) over () - coalesce(sum({limit}D * source_size) over earlier, 0) as left_size,
             sum(__weight) over () - coalesce(sum(__weight) over earlier, 0) as left_weight
-          from __mixing_ranked
+          from {{ranked}}
           window earlier as (order by {limit}D * source_size / __weight, __place
                              rows between unbounded preceding and 1 preceding)),
         levels as (
           select *, min_by(left_size / left_weight, case when left_size / left_weight * __weight <= cap then turn end) over () as level
           from ordered)
         select source, source_size, coalesce(least(cap, level * __weight), cap) as target from levels
-        """
+        """,
+        ranked=ranked
     )
 
 
@@ -215,7 +215,7 @@ def mixed(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int
         ids, F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("copies").alias("__copies")
     )
     copies = taken.select("__id", turn, "__copies").where("__copies > 0")
-    rows = documents.select("*", ids, word_count(F.col("text")).alias("__size"), F.col("source").alias("__source"))
-    numbered = rows.select(*documents.columns, "__id", turn)
+    rows = documents.select(F.struct("*").alias("row"), ids, word_count(F.col("text")).alias("__size"), F.col("source").alias("__source"))
+    numbered = rows.select("row", "__id", turn)
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    return numbered.join(copies, ["__id", "__turn"]).select(*documents.columns, copy.alias("__copy")).drop("__copy")
+    return numbered.join(copies, ["__id", "__turn"]).select("row", copy.alias("__copy")).select("row.*")

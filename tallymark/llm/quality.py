@@ -19,6 +19,7 @@ from .common import with_column_from_texts
 
 SAMPLE_DOCUMENTS = 4_000
 SAMPLE_LINES = 200
+SAMPLE_BYTES = 40_000
 """Longer documents are scored like others, but not trained on."""
 
 _KINDS = 8
@@ -192,16 +193,18 @@ def held_out(doc_id: str = "doc_id"):
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> LineField:
     """Train on at most ``sample`` labelled documents that are not held out, chosen by a hash of doc_id.
 
-    Null labels and ids are left out; a doc_id that is labelled or stored more than once counts once.
+    Null labels and ids are left out; a doc_id that is labelled or stored more than once counts once, by its smallest label and text. Texts of
+    ``SAMPLE_LINES`` lines or more than ``SAMPLE_BYTES`` bytes are not learned from, so that the sample is bounded.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     whole = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(
-        F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < SAMPLE_LINES
+        (F.octet_length("text") <= SAMPLE_BYTES)
+        & (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < SAMPLE_LINES)
     )
     chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = whole.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").collect()
-    unique = sorted({row["doc_id"]: (row["text"], int(row["quality"] > 0)) for row in rows}.items())
-    return train([text for _, (text, _) in unique], [label for _, (_, label) in unique])
+    once = whole.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = sorted(once.collect(), key=lambda row: row["doc_id"])
+    return train([row["text"] for row in rows], [int(row["quality"] > 0) for row in rows])
 
 
 def with_quality(documents: DataFrame, field: LineField, name: str = "quality_score") -> DataFrame:

@@ -140,3 +140,18 @@ def test_labels_of_held_out_documents_are_never_read(spark, module):
         changed = some.selectExpr("doc_id", "text", "if(crc32(cast(doc_id as string)) % 4 = 2, 'xx', lang) as lang", "source", "n_chars")
         a, b = language.fit(some), language.fit(changed)
         assert a.languages == b.languages and np.array_equal(a.filters, b.filters)
+
+
+def test_number_signs_are_no_letters(make):
+    model = language.fit(make([(i, "the cat and the dog" if i % 2 else "der Hund und die Katze", "s", "en" if i % 2 else "de") for i in range(80)]))
+    names, scores = model.predict(["\u00bd \u2461 \u00b2", "\u2167 12", "_ 1", "\u00aa", None, ""])
+    assert names[:3] == ["und"] * 3 and names[4:] == ["und"] * 2 and scores[0] == 0
+    assert names[3] != "und"
+
+
+def test_repeated_documents_are_learned_from_once(make, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = [(i, "good clean line of words" if i % 2 else "xx xx xx!!!! ||| 99", "s", "en") for i in range(60)]
+    again = [(i, "other text " + str(i), "s", "en") for i in range(60)]
+    one, two = (quality.fit(make(some), labels).scores(["some clean line", "!!!"]) for some in (rows + again, again + rows[::-1]))
+    assert one == two

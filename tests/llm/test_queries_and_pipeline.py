@@ -80,3 +80,21 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     encoded = {r["doc_id"]: library.encode_ordinary(r["text"]) for r in before.collect()}
     assert all(r["ids"] == encoded[r["doc_id"]] and r["round_trip"] for r in after.collect())
     assert after.count() == before.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Clashing names, null and repeated ids, repeated rows, and no rows at all."""
+    good = spark.read.parquet(f"{DATA}/documents.parquet").limit(150)
+    plain = [(None, "a clean text without any id stands here and has some words", "en", "x", 5), (None, None, None, None, None)]
+    odd = good.unionByName(good.limit(10)).unionByName(spark.createDataFrame(plain, good.schema))
+    odd = odd.selectExpr("*", "7 as __id", "8 as __hash", "9 as __quality", "'q' as quality_score", "1 as row", "'z' as __size", "2 as __copy", "3 as language_name")
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        folder = str(tmp_path / name)
+        for stage, work in corpus_pipeline.STAGES:
+            work(spark, docs, DATA).write.parquet(f"{folder}/{stage}")
+            before, docs = docs, spark.read.parquet(f"{folder}/{stage}")
+            if stage != "tokens":
+                assert docs.columns == odd.columns
+                assert docs.where("__id <> 7 or __hash <> 8 or __quality <> 9 or quality_score <> 'q' or row <> 1 or __copy <> 2").count() == 0
+                assert docs.exceptAll(before.unionByName(before).unionByName(before)).count() == 0
+        assert (docs.count() > 50) == (name == "odd")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -18,20 +20,45 @@ TEXTS = ["", "Hello  world, it's 12345 o'clock!\n\n  Ünïcödé x y 漢字 
          "aaaaaaa bbbb abababab zzzzzzzzz", "Donaudampfschifffahrtsgesellschaft", "\x85\x1c\x1dq"]
 
 
-def test_bpe_equals_the_library(spark, make, odd_rows):
+def library_of_ranks():
     tiktoken = pytest.importorskip("tiktoken")
     with open(RANKS, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rows = [*odd_rows, *[(100 + i, t, "s", "en") for i, t in enumerate(TEXTS)]]
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("known_bytes", [0, bpe.KNOWN_BYTES])
+def test_bpe_equals_the_library(spark, make, odd_rows, monkeypatch, known_bytes):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", known_bytes)
+    library = library_of_ranks()
+    rng = random.Random(1)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöü漢") for _ in range(100_000))
+    rows = [*odd_rows, *[(100 + i, t, "s", "en") for i, t in enumerate([*TEXTS, letters, "one " + letters[:2_000] + " end"])]]
     found = bpe.encode_and_decode(make(rows), RANKS, public_tokenizers.PATTERN).collect()
-    assert len(found) == len(rows)
+    texts = {hashlib.md5((t or "").encode()).digest(): t or "" for _, t, *_ in rows}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, texts[bytes(r["text_md5"])]) for r in found) == sorted((d is None, d or 0, t or "") for d, t, *_ in rows)
     for r in found:
-        assert r["ids"] == library.encode_ordinary(r["text"])
-        assert bytes(r["decoded"]) == r["text"].encode()
+        text = texts[bytes(r["text_md5"])]
+        assert r["ids"] == library.encode_ordinary(text)
+        assert bytes(r["decoded"]) == text.encode()
     assert bpe.encode_and_decode(make([]), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_many_distinct_words(spark, make):
+    library = library_of_ranks()
+    texts = [" ".join(f"w{(i * 7_919 + j) * 2_654_435_761 % 10**7:x}" for j in range(1_000)) for i in range(60)]
+    found = bpe.encode_and_decode(make([(i, t, "s", "en") for i, t in enumerate(texts)]), RANKS, public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: r["ids"] for r in found} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_heap_merges_equal_the_library():
+    library = library_of_ranks()
+    rng = random.Random(2)
+    for size in (1, 2, 7, 60, 900):
+        word = "".join(rng.choice("aabcdeéß漢") for _ in range(size))
+        assert bpe.merge_long(word.encode(), library._mergeable_ranks) == library.encode_ordinary(word)
+
+
 def test_token_files_equal_the_library(spark, make, odd_rows):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(WORD_MODEL)
