@@ -1,7 +1,9 @@
 """From raw documents to token ids: quality, language, near duplicates, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; its result is written as Parquet and
-read again as the next one's ``docs``.
+read again as the next one's ``docs``. Null ids, repeated rows, empty tables and further columns of any name go through all stages: a
+row without text or letters goes at the language stage, repeated rows are near duplicates of each other, a row without id
+stays if no other row has its text, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import bpe, dedup, language, mixing, quality
-from tallymark.llm.common import table
+from tallymark.llm.common import table, unused
 from tallymark.session import materialised
 
 LEAST_QUALITY = 0.5
@@ -22,15 +24,15 @@ SIMILARITY_PERCENT = 80
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field holds to be good; those without text have the share of good documents as their score."""
     field = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.with_quality(docs, field, "__quality")
-    return scored.where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
+    name = unused("quality_score", docs.columns)
+    return quality.with_quality(docs, field, name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without a letter go."""
-    named = language.with_language(docs, language.fit(docs), "__language", "__score")
-    is_known = (F.col("__language") != language.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)
-    return named.where(is_known).select(*docs.columns)
+    name, score = unused("language_name", docs.columns), unused("language_score", docs.columns)
+    named = language.with_language(docs, language.fit(docs), name, score)
+    return named.where((F.col(name) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE)).drop(name, score)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN)
-    same = F.col("decoded") == F.encode("text", "UTF-8")
+    same = F.unhex(F.md5("decoded")) == F.col("text_md5")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
