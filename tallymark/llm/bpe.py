@@ -1,12 +1,13 @@
 """Byte-level BPE by Spark higher-order functions.
 
 A word is an array of token ids, at first one for each byte. A fold joins the neighbours of lowest rank (the rank of a pair is the id of
-what it joins to) until no pair has a rank. The ranks are a literal: hash buckets of pairs, because a Spark map is searched from its
-start. A word whose bytes are a token is that token at once.
+what it joins to) until no pair has a rank. The ranks are a constant of the plan: hash buckets of pairs, because a Spark map is searched from
+its start. A word whose bytes are a token is that token at once.
 
 Folding is dear and words repeat, so every distinct word of the corpus is folded once, and (word, ids) stays in a table. The most frequent words, as
-many as a bound of bytes allows, reach all tasks as one value; the words of a text that are not among them meet their ids in a join
+many as a bound of bytes allows, reach all tasks as one constant; the words of a text that are not among them meet their ids in a join
 on the word, and their text by its digest. Folded ids then take their places in the text, which has been looked up so far.
+Constants are one-row tables, read as scalars: they get into tasks like literals, but not into the text of every plan, which the driver keeps.
 Words of more than a kilobyte are folded by a heap in Python tasks: an array that is copied for every merge would make them quadratic.
 """
 
@@ -14,17 +15,16 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.session import materialised
 
-KNOWN_BYTES = 12 << 20
+KNOWN_BYTES = 8 << 20
 """Bound of the words (with their ids) that every task holds."""
 
 LONG_WORD_BYTES = 1_000
@@ -48,12 +48,18 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{spaces}").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
 
 
-def _literal(value, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def with_constant(rows: DataFrame, constant: DataFrame, name: str = "held") -> DataFrame:
+    """``rows`` with the one value of a one-row table as a column.
+
+    It is read once and held once by each task, if later expressions refer to it once: then Spark puts the scalar in its place, and
+    never into rows.
+    """
+    value = constant.columns[0]
+    return rows.sparkSession.sql(f"select *, (select first({value}) from {{constant}}) as {name} from {{rows}}", rows=rows, constant=constant)
 
 
 class Ranks:
-    """A rank file (base64 token and rank on each line) as literals; their size is bounded by that of the vocabulary."""
+    """A rank file (base64 token and rank on each line) as constants; their size is bounded by that of the vocabulary."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -71,12 +77,11 @@ class Ranks:
                     self.keys[at].append((a << _ID_BITS) | b)
                     self.values[at].append(rank)
 
-    def literal(self) -> Column:
-        """Keys and values of the pair ranks, in buckets; a plan holds this once."""
-        return F.struct(
-            _literal(self.keys, "array<array<bigint>>").alias("keys"), _literal(self.values, "array<array<int>>").alias("values"),
-            self.byte_ids().alias("bytes"),
-        )
+    def tables(self, spark: SparkSession) -> DataFrame:
+        """One row: keys and values of the pair ranks, in buckets, and the ids of single bytes."""
+        single = [self.ranks.get(bytes([b])) for b in range(256)]
+        kind = "tables struct<keys: array<array<bigint>>, values: array<array<int>>, bytes: array<int>>"
+        return materialised(spark.createDataFrame([((self.keys, self.values, single),)], kind), "ranks")
 
     @staticmethod
     def pair_ranks(tables: Column, lefts: Column, rights: Column) -> Column:
@@ -96,17 +101,18 @@ class Ranks:
         found = ((token.decode("utf-8", "ignore"), token, rank) for token, rank in self.ranks.items())
         return [(text, rank) for text, token, rank in found if text.encode() == token]
 
-    def byte_ids(self) -> Column:
-        return _literal([self.ranks.get(bytes([b])) for b in range(256)], "array<int>")
-
-    def pieces(self) -> Column:
-        """The bytes of each id, as ISO-8859-1 text; null for ids that are not used."""
+    def pieces(self, spark: SparkSession) -> DataFrame:
+        """One row: the bytes of each id, as ISO-8859-1 text; null for ids that are not used."""
         by_id = {rank: token.decode("latin-1") for token, rank in self.ranks.items()}
-        return _literal([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], "array<string>")
+        rows = [([by_id.get(i) for i in range(max(by_id, default=-1) + 1)],)]
+        return materialised(spark.createDataFrame(rows, "pieces array<string>"), "pieces")
 
 
-def fold_merges(word: Column, ranks: Ranks) -> Column:
-    """Ids of one word: of the pairs of lowest rank the first is joined, again and again, until no pair has a rank."""
+def fold_merges(word: Column, held: Column) -> Column:
+    """Ids of one word: of the pairs of lowest rank the first is joined, again and again, until no pair has a rank.
+
+    ``held`` are the tables of ``Ranks``.
+    """
     characters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
 
     def joined(tables: Column, state: Column, least: Column) -> Column:
@@ -114,7 +120,7 @@ def fold_merges(word: Column, ranks: Ranks) -> Column:
 
         def at(p: Column) -> Column:  # the pair is (p, p + 1), counted from 1
             before, after = F.get(parts, p - 2), F.get(parts, p + 1)
-            fresh = ranks.pair_ranks(tables, F.array(before, least), F.array(least, after))
+            fresh = Ranks.pair_ranks(tables, F.array(before, least), F.array(least, after))
             return F.struct(
                 F.concat(F.slice(parts, F.lit(1), p - 1), F.array(least), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
                 F.concat(
@@ -132,13 +138,13 @@ def fold_merges(word: Column, ranks: Ranks) -> Column:
             return _let(least, lambda r: F.when(r == _NONE, state).otherwise(joined(tables, state, r)))
 
         # the last id has no right neighbour: its pair holds a null and has no rank, so that there are as many ranks as parts
-        start = F.struct(ids.alias("parts"), ranks.pair_ranks(tables, ids, F.slice(ids, 2, F.size(ids))).alias("ranks"))
+        start = F.struct(ids.alias("parts"), Ranks.pair_ranks(tables, ids, F.slice(ids, 2, F.size(ids))).alias("ranks"))
         return F.aggregate(F.slice(ids, 2, F.size(ids)), start, step, lambda s: s["parts"])
 
     def folded(tables: Column) -> Column:
         return _let(F.transform(characters, lambda c: F.get(tables["bytes"], F.ascii(c))), lambda ids: fold(tables, ids))
 
-    return _let(ranks.literal(), folded)
+    return _let(held, folded)
 
 
 def merge_long(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
@@ -189,9 +195,9 @@ def folded_words(texts: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     parts = max(2 * spark.sparkContext.defaultParallelism, counted.count() // 50_000)
     spread = counted.repartition(int(parts), "word")  # folding costs far more than its few bytes show
     is_long = F.octet_length("word") > LONG_WORD_BYTES
-    short = spread.where(~is_long).join(whole.hint("broadcast"), "word", "left").select(
-        "word", "n", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(fold_merges(F.col("word"), ranks)).alias("ids")
-    )
+    ranked = with_constant(spread.where(~is_long).join(whole.hint("broadcast"), "word", "left"), ranks.tables(spark))
+    is_token = F.col("rank").isNotNull()
+    short = ranked.select("word", "n", F.when(is_token, F.array("rank")).otherwise(fold_merges(F.col("word"), F.col("held"))).alias("ids"))
     by_heap = _long_words(spark.sparkContext.broadcast(ranks.ranks))
     long = spread.where(is_long).mapInPandas(by_heap, "word string, n long, ids array<int>")
     return materialised(short.unionByName(long), "folded")
@@ -249,9 +255,7 @@ def encode(documents: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     known = materialised(known_words(folded), "known")
     rows = texts.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("text_md5"), _words(pattern).alias("words"))
     spark = documents.sparkSession
-    # the known words are a scalar: read once, held once by each task, no part of the plan; each query below refers to them once, so that
-    # Spark puts the scalar in its place and never into rows
-    with_known = spark.sql("select *, (select first(known) from {known}) as held from {rows}", rows=rows, known=known)
+    with_known = with_constant(rows, known)
     found_open = spark.sql(
         f"""
         select text_md5, get(transform(array(held), known ->
@@ -277,10 +281,9 @@ def encode(documents: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     return complete.mapInPandas(_assemble, "doc_id long, text_md5 binary, ids array<int>")
 
 
-def decode(ids: Column, ranks: Ranks) -> Column:
-    """The bytes that the ids stand for: their pieces one after the other."""
-    pieces = ranks.pieces()
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+def decode(ids: Column, held: Column) -> Column:
+    """The bytes that the ids stand for: their pieces (``held``) one after the other."""
+    return F.encode(F.array_join(_let(held, lambda pieces: F.transform(ids, lambda i: F.get(pieces, i))), ""), "ISO-8859-1")
 
 
 def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -289,4 +292,5 @@ def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str) -> Dat
     Repeated rows are all returned, other columns are ignored. Words and texts may be of any length.
     """
     ranks = Ranks(rank_path)
-    return encode(documents, ranks, pattern).withColumn("decoded", decode(F.col("ids"), ranks))
+    coded = with_constant(encode(documents, ranks, pattern), ranks.pieces(documents.sparkSession))
+    return coded.select("doc_id", "text_md5", "ids", decode(F.col("ids"), F.col("held")).alias("decoded"))
