@@ -5,9 +5,9 @@ what it joins to) until no pair has a rank. The ranks are a constant of the plan
 its start. A word whose bytes are a token is that token at once.
 
 Folding is dear and words repeat, so every distinct word of the corpus is folded once, and (word, ids) stays in a table. The most frequent words, as
-many as a bound of bytes allows, reach all tasks as one constant; the words of a text that are not among them meet their ids in a join
-on the word, and their text by its digest. Folded ids then take their places in the text, which has been looked up so far.
-Constants are one-row tables, read as scalars: they get into tasks like literals, but not into the text of every plan, which the driver keeps.
+many as a bound of bytes allows, reach all tasks; one pass over the texts looks them up, and lists the other words. Those meet their ids in a join
+on the word, and their row again by its number, where their ids take the places left open.
+Ranks and pieces are one-row tables, read as scalars: they get into tasks like literals, but not into the text of every plan, which the driver keeps.
 Words of more than a kilobyte are folded by a heap in Python tasks: an array that is copied for every merge would make them quadratic.
 """
 
@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Mapping
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +33,12 @@ KNOWN_BYTES = 8 << 20
 LONG_WORD_BYTES = 1_000
 _WORD_BYTES = 64  # what a word costs beside its letters
 _PAIR_BUCKETS = 1 << 15
-_WORD_BUCKETS = 1 << 15
 _ID_BITS = 20
 _NONE = 1 << 30
 _OPEN = -1  # stands for a word whose ids are still to come
-_SPACE_CHARACTERS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORDS_AT_ONCE = 1 << 18
+_WORDS_COUNTED = 1 << 18
+_IDS_IN_BATCH = 1 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,12 +46,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def java_pattern(pattern: str) -> str:
-    """The splitting pattern for Java, where ``\\s`` would only be ASCII white space."""
-    spaces = _SPACE_CHARACTERS
-    return pattern.replace(r"[^\s", f"[^{spaces}").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
-
-
 def with_constant(rows: DataFrame, constant: DataFrame, name: str = "held") -> DataFrame:
     """``rows`` with the one value of a one-row table as a column.
 
@@ -183,14 +181,42 @@ def _long_words(ranks):
     return work
 
 
-def _words(pattern: str) -> Column:
-    return F.regexp_extract_all("text", F.lit(java_pattern(pattern)), 0)
+def _words_of(pattern: regex.Pattern, text: str | None) -> Iterator[list[str]]:
+    """The words of a text, in lists of bounded length."""
+    if not text:
+        return
+    if len(text) <= _WORDS_AT_ONCE:
+        yield pattern.findall(text)
+        return
+    matches = pattern.finditer(text)
+    while words := [m[0] for m in islice(matches, _WORDS_AT_ONCE)]:
+        yield words
+
+
+def _counted(pattern: str):
+    def work(batches):
+        compiled, held = regex.compile(pattern), Counter()
+
+        def counts():
+            return pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": pd.Series(list(held.values()), dtype="int64")})
+
+        for frame in batches:
+            for text in frame["text"]:
+                for words in _words_of(compiled, text):
+                    held.update(words)
+                    if len(held) > _WORDS_COUNTED:
+                        yield counts()
+                        held.clear()
+        yield counts()
+
+    return work
 
 
 def folded_words(texts: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     """word, n, ids: every distinct word of the texts, folded once."""
     spark = texts.sparkSession
-    counted = materialised(texts.select(F.explode(_words(pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    of_tasks = texts.select("text").mapInPandas(_counted(pattern), "word string, n long")
+    counted = materialised(of_tasks.groupBy("word").agg(F.sum("n").alias("n")), "words")
     whole = spark.createDataFrame(pd.DataFrame(ranks.words(), columns=["word", "rank"]), "word string, rank int")
     parts = max(2 * spark.sparkContext.defaultParallelism, counted.count() // 50_000)
     spread = counted.repartition(int(parts), "word")  # folding costs far more than its few bytes show
@@ -203,8 +229,8 @@ def folded_words(texts: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     return materialised(short.unionByName(long), "folded")
 
 
-def known_words(folded: DataFrame) -> DataFrame:
-    """One row ``known``: the most frequent words within ``KNOWN_BYTES``, in hash buckets of (words, ids); counts are cut at powers of two."""
+def known_words(folded: DataFrame) -> dict[str, bytes]:
+    """Ids (32 bits each) of the most frequent words, within ``KNOWN_BYTES``; counts are cut at powers of two."""
     cost = F.octet_length("word") + 4 * F.size("ids") + _WORD_BYTES
     sizes = folded.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level"))
     least, total = 1 << 62, 0
@@ -213,71 +239,75 @@ def known_words(folded: DataFrame) -> DataFrame:
         if total > KNOWN_BYTES:
             break
         least = 1 << row["level"]
-    bucket = F.pmod(F.hash("word"), F.lit(_WORD_BUCKETS)).alias("bucket")
-    entry = F.struct("word", "ids")
-    full = folded.where(F.col("n") >= least).groupBy(bucket).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    every = folded.sparkSession.range(_WORD_BUCKETS).selectExpr("cast(id as int) as bucket")
-    by_bucket = every.join(full, "bucket", "left").select(
-        F.struct("bucket", F.col("entries.word").alias("words"), F.col("entries.ids").alias("ids")).alias("b")
-    )
-    return by_bucket.agg(F.sort_array(F.collect_list("b")).alias("known"))
+    frequent = folded.where(F.col("n") >= least).select("word", "ids").toPandas()
+    return {word: np.asarray(ids, "<i4").tobytes() for word, ids in zip(frequent["word"], frequent["ids"], strict=True)}
+
 
+def _looked_up(known, pattern: str):
+    """The ids of the known words of each text in their places, and the other words in order."""
 
-def _place_of(word: str) -> str:
-    """Where a word stands in its bucket of the known words, from 1; 0 if it is not known."""
-    return f"coalesce(cast(array_position(known[pmod(hash({word}), {_WORD_BUCKETS})].words, {word}) as int), 0)"
+    def work(batches):
+        compiled, get, absent = regex.compile(pattern), known.value.get, np.array([_OPEN], "<i4").tobytes()
+        done: dict[str, list] = {"doc_id": [], "text_md5": [], "ids": [], "open_words": []}
+        held = 0
+
+        def rows():
+            columns = {name: pd.Series(values, dtype=object) for name, values in done.items()}
+            return pd.DataFrame({**columns, "doc_id": pd.array(done["doc_id"], dtype="Int64")})
+
+        for frame in batches:
+            for doc_id, digest, text in zip(frame["doc_id"], frame["text_md5"], frame["text"], strict=True):
+                ids, late = [], []
+                for words in _words_of(compiled, text):
+                    found = [get(w, absent) for w in words]
+                    late += [w for w, x in zip(words, found, strict=True) if x is absent]
+                    ids.append(b"".join(found))
+                done["doc_id"].append(None if pd.isna(doc_id) else int(doc_id))
+                done["text_md5"].append(digest)
+                done["ids"].append(b"".join(ids))
+                done["open_words"].append(late)
+                held += len(done["ids"][-1]) // 4
+                if held > _IDS_IN_BATCH:
+                    yield rows()
+                    done, held = {name: [] for name in done}, 0
+        yield rows()
+
+    return work
 
 
 def _assemble(batches):
     """Put the ids of open words, in the order of their places, into the ids of a text."""
     for frame in batches:
         done = []
-        for ids, late in zip(frame["ids"], frame["late"], strict=True):
-            if late is None:
-                done.append(ids)
-                continue
-            ids = np.asarray(ids, np.int32)
+        for raw, late in zip(frame["ids"], frame["late"], strict=True):
+            ids = np.frombuffer(raw, "<i4")
             at = np.flatnonzero(ids == _OPEN)
-            if len(at) != len(late):
+            if len(at) != (0 if late is None else len(late)):
                 raise ValueError("a text has not got the ids of all its words")
-            pieces, begin = [], 0
-            for place, own in zip(at.tolist(), late, strict=True):
-                pieces += [ids[begin:place], own]
-                begin = place + 1
-            done.append(np.concatenate([*pieces, ids[begin:]]))
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "text_md5": frame["text_md5"], "ids": done})
+            if not len(at):
+                done.append(ids)
+                continue
+            sizes = np.ones(len(ids), np.int64)
+            sizes[at] = [len(own) for own in late]
+            full = np.repeat(ids, sizes)
+            full[np.repeat(ids == _OPEN, sizes)] = np.concatenate(late)
+            done.append(full)
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "text_md5": frame["text_md5"], "ids": pd.Series(done, dtype=object)})
 
 
 def encode(documents: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     """doc_id, text_md5, ids: the token ids of each whole text (null or empty: none)."""
+    spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     folded = folded_words(texts, ranks, pattern)
-    known = materialised(known_words(folded), "known")
-    rows = texts.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("text_md5"), _words(pattern).alias("words"))
-    spark = documents.sparkSession
-    with_known = with_constant(rows, known)
-    found_open = spark.sql(
-        f"""
-        select text_md5, get(transform(array(held), known ->
-          filter(transform(words, (w, i) -> struct(i as place, w as w)), x -> {_place_of('x.w')} = 0)), 0) as open_words from {{rows}}
-        """,
-        rows=with_known,
-    )
-    late = found_open.select("text_md5", F.explode("open_words").alias("x")).select("text_md5", "x.place", F.col("x.w").alias("word"))
+    known = spark.sparkContext.broadcast(known_words(folded))
+    rows = texts.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("text_md5"), "text")
+    looked_up = rows.mapInPandas(_looked_up(known, pattern), "doc_id long, text_md5 binary, ids binary, open_words array<string>")
+    coded = materialised(looked_up.withColumn("row", F.monotonically_increasing_id()), "coded")
+    late = coded.select("row", F.posexplode("open_words").alias("place", "word"))
     joined = late.join(folded.select("word", F.col("ids").alias("own")), "word")
-    # a set, because rows that repeat a text bring the same words
-    gathered = joined.groupBy("text_md5").agg(F.sort_array(F.collect_set(F.struct("place", "own"))).alias("l")).selectExpr(
-        "text_md5", "l.own as late"
-    )
-    looked_up = spark.sql(
-        f"""
-        select doc_id, text_md5, flatten(get(transform(array(held), known ->
-          transform(words, w -> coalesce(get(known[pmod(hash(w), {_WORD_BUCKETS})].ids, {_place_of('w')} - 1), array({_OPEN})))), 0)) as ids
-        from {{rows}}
-        """,
-        rows=with_known,
-    )
-    complete = looked_up.join(gathered.hint("merge"), "text_md5", "left").select("doc_id", "text_md5", "ids", "late")
+    gathered = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("l")).selectExpr("row", "l.own as late")
+    complete = coded.drop("open_words").join(gathered.hint("merge"), "row", "left").select("doc_id", "text_md5", "ids", "late")
     return complete.mapInPandas(_assemble, "doc_id long, text_md5 binary, ids array<int>")
 
 
