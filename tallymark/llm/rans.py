@@ -137,8 +137,10 @@ def _summed(symbols: int):
 
 
 def frequencies(counts: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
-    """Counts scaled to add up to ``2**bits``, at least 1 for every id that occurs."""
+    """Counts scaled to add up to ``2**bits``, at least 1 for every id that occurs; more ids than that are an error."""
     total = int(counts.sum())
+    if np.count_nonzero(counts) > 1 << bits:
+        raise ValueError(f"a table of {bits} bits holds no more than {1 << bits} distinct ids")
     scaled = np.where(counts > 0, np.maximum(1, counts * (1 << bits) // max(1, total)), 0).astype(np.int64)
     excess = int(scaled.sum()) - (1 << bits)
     order = np.argsort(-scaled, kind="stable")
@@ -304,16 +306,16 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
     )
     ordered.mapInPandas(_encode_partition(freq, kind, end_id), _BLOCK).write.parquet(f"{folder}/blocks")
     sizes = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks").select("part", "block", "n")
-    sizes.createOrReplaceTempView("__rans_sizes")
     spark.sql(
         """
         with parts as (
           select part, coalesce(sum(sum(n)) over (order by part rows between unbounded preceding and 1 preceding), 0) as before
-          from __rans_sizes group by part)
+          from {sizes} group by part)
         select part, block, before + coalesce(
             sum(n) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0) as start
-        from __rans_sizes join parts using (part)
-        """
+        from {sizes} join parts using (part)
+        """,
+        sizes=sizes,
     ).write.parquet(f"{folder}/index")
 
 

@@ -2,23 +2,30 @@
 
 A point of the tree is a group of equal texts and weighs its bytes. Each node is cut at the weighted median of its widest
 dimension, found by histograms that are refined around the median, until every leaf holds its share. Only histograms (nodes x bins)
-reach the driver; the tree becomes one CASE expression. Only DataFrame and SQL functions are used.
+reach the driver; the tree becomes one CASE expression. Groups that are heavy beside a leaf would make cuts uneven: they are put into
+leaves first, the heaviest first and each into the lightest leaf, and the tree fills up what is left of every leaf. Only DataFrame and SQL
+functions are used.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.operators.numbering import number_rows
 from tallymark.session import materialised
+from tallymark.sources.literal import literal_rows
+
+from .common import broadcast_if_light
 
 DIMENSIONS = ("source", "lang", "length", "doc_id")
 _BINS = 4096
 _COORDINATE_BITS, _TIE_BITS = 20, 31
-_PIECES = 32  # a group above 1/32 of a leaf is split into pieces by doc_id
+_PIECES = 32  # a group above 1/32 of a leaf is heavy
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
@@ -28,23 +35,23 @@ class Cut:
     key: int  # points up to this key go to the left
 
 
-def _code(text: str) -> str:
-    """SQL: the first six UTF-8 bytes as a number, in the order of the texts."""
-    return f"cast(conv(rpad(substr(hex(encode(coalesce({text}, ''), 'UTF-8')), 1, 12), 12, '0'), 16, 10) as double)"
+def _placed(rows: DataFrame, column: str) -> DataFrame:
+    """Replace a text by its place among all values it has, in the order of their bytes; null counts as empty."""
+    value = F.coalesce(F.col(column), F.lit(""))
+    places = number_rows(rows.select(value.alias(column)).distinct(), [column], "place")
+    return rows.withColumn(column, value).join(broadcast_if_light(places), column).drop(column).withColumnRenamed("place", column)
 
 
 def _points(sized: DataFrame) -> DataFrame:
-    """One row for each group (or piece of a large group): its bytes and one coordinate for each dimension."""
+    """One row for each group: its bytes and one coordinate for each dimension."""
     first = F.min(F.struct("doc_id", "source", "lang")).alias("first")
-    grouped = sized.groupBy("text_hash", "piece").agg(
-        F.sum("size").alias("bytes"), F.min("size").alias("length"), first
-    )
+    grouped = sized.groupBy("text_hash").agg(F.sum("size").alias("bytes"), F.min("size").alias("length"), first)
     raw = grouped.selectExpr(
-        "text_hash", "piece", "bytes", "ln(cast(length as double)) as length", "cast(first.doc_id as double) as doc_id",
-        f"{_code('first.source')} as source", f"{_code('first.lang')} as lang",
-        f"pmod(xxhash64(text_hash, piece), {1 << _TIE_BITS}L) as tie",
+        "text_hash", "bytes", "ln(cast(length as double)) as length", "cast(first.doc_id as double) as doc_id",
+        "first.source as source", "first.lang as lang", f"pmod(xxhash64(text_hash), {1 << _TIE_BITS}L) as tie",
     )
-    return materialised(raw, "points")
+    whole = materialised(raw, "points")
+    return materialised(_placed(_placed(whole, "source"), "lang"), "points")
 
 
 def _keys(points: DataFrame) -> DataFrame:
@@ -61,7 +68,7 @@ def _keys(points: DataFrame) -> DataFrame:
         place = F.floor((F.coalesce(F.col(d), F.lit(low)) - F.lit(low)) / F.lit(high - low) * steps)
         return (place * (1 << _TIE_BITS) + F.col("tie")).alias(d)
 
-    return points.select("text_hash", "piece", "bytes", *[key(d) for d in DIMENSIONS])
+    return points.select("text_hash", "bytes", *[key(d) for d in DIMENSIONS])
 
 
 def _leaf(tree: dict[tuple[int, int], Cut], node: tuple[int, int]) -> str:
@@ -74,8 +81,21 @@ def _leaf(tree: dict[tuple[int, int], Cut], node: tuple[int, int]) -> str:
     return f"case when {cut.dimension} <= {cut.key} then {below} else {above} end"
 
 
-def _split(points: DataFrame, shards: int) -> dict[tuple[int, int], Cut]:
-    """The cuts of a tree with ``shards`` leaves; node (a, b) holds the shards a to b - 1."""
+def _fill(pieces: list[tuple[int, int, int]], shards: int, total: int) -> tuple[list[tuple[int, int, int]], list[float]]:
+    """Shards for heavy pieces (text_hash, piece, bytes): the heaviest first, each into the lightest. Also what is left of every shard."""
+    held = [(0, shard) for shard in range(shards)]
+    homes = []
+    for text_hash, piece, weight in sorted(pieces, key=lambda p: (-p[2], p[0], p[1])):
+        load, shard = heapq.heappop(held)
+        homes.append((text_hash, piece, shard))
+        heapq.heappush(held, (load + weight, shard))
+    loads = {shard: load for load, shard in held}
+    return homes, [max(0.0, total / shards - loads[shard]) for shard in range(shards)]
+
+
+def _split(points: DataFrame, room: list[float]) -> dict[tuple[int, int], Cut]:
+    """The cuts of a tree whose leaves hold bytes in proportion to ``room``; node (a, b) holds the shards a to b - 1."""
+    shards = len(room)
     tree: dict[tuple[int, int], Cut] = {}
     level = [(0, shards)]
     while level := [node for node in level if node[1] - node[0] > 1]:
@@ -92,7 +112,8 @@ def _split(points: DataFrame, shards: int) -> dict[tuple[int, int], Cut]:
                 tree[a, b] = Cut(DIMENSIONS[0], 0)
                 continue
             widest = max(DIMENSIONS, key=lambda d: (row[f"high_{d}"] - row[f"low_{d}"]) >> _TIE_BITS)
-            share = row["bytes"] * (((a + b) // 2) - a) / (b - a)
+            own, both = sum(room[a : (a + b) // 2]), sum(room[a:b])
+            share = row["bytes"] * (own / both if both else 0.5)
             search[a, b] = [widest, row[f"low_{widest}"], row[f"high_{widest}"] + 1, share, row["bytes"]]
         while search:
             chosen = "case node " + " ".join(
@@ -123,7 +144,7 @@ def kd_shards(documents: DataFrame, shards: int | None = None, target_bytes: int
     """Put every document into one of ``shards`` shards of nearly equal bytes (or into enough of ``target_bytes`` each).
 
     Returns doc_id, size (UTF-8 bytes of the text, null none, plus 1), text_crc32, shard and slot (gapless from 0 in each
-    shard). Equal texts go to the same shard, unless together they are above 1/32 of a shard; such groups are split by doc_id.
+    shard). Equal texts go to the same shard; only those that together are above a whole shard are split, by doc_id.
     Null ids, sources and languages count as the smallest. Repeated rows each get a slot; an empty table gives no
     rows; shards stay empty where there are fewer documents than shards. Other columns are ignored.
     """
@@ -141,32 +162,37 @@ def kd_shards(documents: DataFrame, shards: int | None = None, target_bytes: int
     total = rows.agg(F.sum("size")).first()[0] or 0
     count = shards or max(1, -(-total // (target_bytes or 1 << 30)))
     most = max(1, total // (count * _PIECES))
-    large = (  # at most shards x 32 groups
-        rows.groupBy("text_hash").agg(F.sum("size").alias("group_bytes")).where(F.col("group_bytes") > most)
-        .select("text_hash", F.ceil(F.col("group_bytes") / most).alias("pieces"))
+    pieces = F.when(F.col("group_bytes") * count > total, F.ceil(F.col("group_bytes") / most)).otherwise(1).alias("pieces")
+    heavy = materialised(  # at most shards x 32 groups
+        rows.groupBy("text_hash").agg(F.sum("size").alias("group_bytes")).where(F.col("group_bytes") > most).select("text_hash", pieces),
+        "heavy",
     )
-    sized = rows.join(F.broadcast(large), "text_hash", "left").withColumn(
-        "piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0))
+    of_heavy = rows.join(F.broadcast(heavy), "text_hash").withColumn(
+        "piece", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.col("pieces"))
     )
-    points = _keys(_points(sized))
-    shard = F.expr(_leaf(_split(points, count), (0, count))).cast("int").alias("shard")
+    weights = of_heavy.groupBy("text_hash", "piece").agg(F.sum("size").alias("bytes")).collect()  # at most shards x 64
+    homes, room = _fill([(r["text_hash"], r["piece"], r["bytes"]) for r in weights], count, total)
+    at = literal_rows(documents.sparkSession, {"text_hash": "bigint", "piece": "bigint", "shard": "int"}, homes)
+    light = rows.join(F.broadcast(heavy), "text_hash", "left_anti")
+    points = _keys(_points(light))
+    shard = F.expr(_leaf(_split(points, room), (0, count))).cast("int").alias("shard")
+    columns = ["doc_id", "size", "text_crc32", "shard", "row", F.shiftright("row", _PARTITION_BITS).alias("part")]
     placed = materialised(
-        sized.join(points.select("text_hash", "piece", shard), ["text_hash", "piece"]).select(
-            "doc_id", "size", "text_crc32", "shard", "row", F.shiftright("row", _PARTITION_BITS).alias("part")
-        ),
+        light.join(points.select("text_hash", shard), "text_hash").select(*columns)
+        .unionByName(of_heavy.join(F.broadcast(at), ["text_hash", "piece"]).select(*columns)),
         "sharding",
     )
-    placed.createOrReplaceTempView("__kd_placed")
     return placed.sparkSession.sql(
         """
-        with counted as (select shard, part, count(*) as n from __kd_placed group by shard, part),
+        with counted as (select shard, part, count(*) as n from {placed} group by shard, part),
         offsets as (
           select shard, part,
             coalesce(sum(n) over (partition by shard order by part rows between unbounded preceding and 1 preceding), 0) as before
           from counted),
         numbered as (
-          select *, row_number() over (partition by shard, part order by row) - 1 as place from __kd_placed)
+          select *, row_number() over (partition by shard, part order by row) - 1 as place from {placed})
         select doc_id, size, text_crc32, shard, before + place as slot
         from numbered join offsets using (shard, part)
-        """
+        """,
+        placed=placed,
     )
