@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import all_of, listed, names, quoted
+from tallymark.functions.text import all_of, case, concat, filled, joined, listed, lit, names, python_list, quoted
 from tallymark.operators.hotkeys import hot_keys, key_counts
 from tallymark.operators.pairing import key_names, normalised_keys
 from tallymark.session import HOT_KEY_ROWS
@@ -18,6 +18,27 @@ def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return key_counts(rows, keys, "cnt").where("cnt > 1")
 
 
+def duplicate_message(rows: DataFrame, keys: Sequence[str], first: int = 5) -> DataFrame:
+    """One row: ``duplicate_groups``, ``surplus_rows`` (beyond one of each group) and a ``message`` with the ``first`` keys in ascending order.
+
+    NULL comes first. Every task keeps at most ``first`` keys, however many are duplicated; the others are counted. Rows without
+    duplicates, or no rows at all, give zeros.
+    """
+    repeated = duplicate_keys(rows, keys)
+    shown = concat(
+        lit("("), joined(", ", [f"coalesce(cast({quoted(k)} as string), 'NULL')" for k in keys]), lit(") x"), "cast(cnt as string)"
+    )
+    counts = repeated.selectExpr("count(1) as n", "coalesce(sum(cnt - 1), 0L) as surplus", "cast(null as array<string>) as texts")
+    entries = repeated.orderBy(*names(keys)).limit(first).selectExpr(f"struct({listed(keys)}) as at", f"{shown} as text")
+    sample = entries.selectExpr("0L as n", "0L as surplus", "transform(sort_array(collect_list(struct(at, text))), x -> x.text) as texts")
+    both = counts.unionByName(sample).selectExpr("sum(n) as n", "sum(surplus) as surplus", "max(texts) as texts")
+    more = case([(f"n > {int(first)}", filled("; and {more} more", more=f"(n - {int(first)})"))], "''")
+    found = concat(filled(f"{{n}} duplicate key group(s) on {python_list(keys)}: ", n="n"), "array_join(texts, '; ')", more)
+    return both.selectExpr(
+        "n as duplicate_groups", "surplus as surplus_rows", f"if(n = 0, 'no duplicate keys', {found}) as message"
+    )
+
+
 def duplicate_rows(
     rows: DataFrame, keys: Sequence[str], other: DataFrame | None = None, hot_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:

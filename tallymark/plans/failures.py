@@ -96,3 +96,32 @@ def failure_records(run: SuiteRun, table: str, max_rows: int | None = None) -> D
     ordered = records.orderBy(*order, "validation")
     kept = ordered if limit is None else ordered.limit(limit)
     return kept.select("layer", "validation", "failure_type", "row_destination", *names(columns), "highlight")
+
+
+def detail_records(run: SuiteRun, max_rows: int) -> DataFrame:
+    """The first ``max_rows`` failure records of every compared table over all its layers and checks, all tables in one plan.
+
+    Columns are the same for all tables: ``layer``, ``table``, ``validation``, ``failure_type``, ``row_destination``, ``key``, ``row`` (the
+    cells as JSON), ``highlight``, ``rank`` (from 1 in each table, in the order of ``failure_records``), ``total`` and ``left_out``: the
+    records of the table, and those that are not shown. Every task hands on at most ``max_rows`` records of a table; without a limit,
+    ``failure_records`` returns them all. A table without failures has no rows; a run without comparisons is an error.
+    """
+    layers, parts = list(run.pipeline.layers), []
+    for (layer, table, check), comparison in run.comparisons().items():
+        cells = ", ".join(f"{lit(c)}, {quoted(c)}" for c in comparison.columns)
+        parts.append(
+            comparison_records(comparison, layer, layers.index(layer)).selectExpr(
+                "layer", f"{lit(table)} as `table`", f"{lit(check)} as validation", "failure_type", "row_destination",
+                "array_join(_key, '|') as key", f"to_json(map({cells})) as `row`", "highlight", "_layer", "_kind", "_key",
+            )
+        )
+    if not parts:
+        raise ValueError("no comparison ran")
+    records = reduce(lambda a, b: a.unionByName(b), parts)
+    order = "_layer, _kind, _key, row_destination, validation, `row`"
+    first = records.selectExpr("*", f"row_number() over (partition by `table` order by {order}) as rank").where(f"rank <= {int(max_rows)}")
+    totals = records.groupBy("table").count().hint("broadcast")  # one row for each table
+    return first.join(totals, "table").selectExpr(
+        "layer", "`table`", "validation", "failure_type", "row_destination", "key", "`row`", "highlight", "rank",
+        "`count` as total", f"greatest(0L, `count` - {int(max_rows)}) as left_out",
+    )

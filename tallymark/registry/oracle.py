@@ -381,7 +381,7 @@ def _records(
     tag, n = check.tag + suffix_, len(own)
     label = f"{label}' as layer, '{validation}"
     cells = lambda row: ", ".join(
-        f"{row}{c}::varchar as {c}" if c in ["o_orderkey", *own] else f"null as {c}" for c in columns
+        f"{row}{c}::varchar as {c}" if c in [*check.keys, *own] else f"null as {c}" for c in columns
     )
     whole = ",".join([*check.keys, *own])
     differing = "concat_ws(',', " + ", ".join(f"case when d{i} then '{c}' end" for i, c in enumerate(own)) + ")"
@@ -423,6 +423,54 @@ FAILURE_RECORDS = (
 )
 
 
+def _detail_records(most: int) -> str:
+    """The first failure records of each table, with their number."""
+    records = {
+        "Customers": (
+            ["c_custkey"],
+            [
+                _records(C1, 0, _LABELS[0], ["c_custkey"], "direct_move_Validation"),
+                _records(C3, 2, _LABELS[2], ["c_custkey"], "data_integrity_Validation"),
+            ],
+        ),
+        "Orders": (
+            ["o_orderkey"],
+            [
+                _records(O1, 0, _LABELS[0], ["o_orderkey"], "direct_move_Validation"),
+                _records(O2, 1, _LABELS[1], ["o_orderkey"], "data_integrity_Validation"),
+                _records(O3, 2, _LABELS[2], ["o_orderkey"], "data_integrity_Validation"),
+                _records(O3, 2, _LABELS[2], ["o_orderkey"], "ColumnValues_Check", "_values", FACT_VALUES),
+            ],
+        ),
+    }
+    every = "\nunion all ".join(
+        f"select l, k, layer, validation, '{table}' as \"table\", failure_type, row_destination, {key[0]} as key, highlight from ("
+        + "\nunion all ".join(parts)
+        + ")"
+        for table, (key, parts) in records.items()
+    )
+    return (
+        'select layer, "table", validation, failure_type, row_destination, key, highlight, rank, total, '
+        f"greatest(0, total - {most}) as left_out from (select *, count(*) over (partition by \"table\") as total, "
+        'row_number() over (partition by "table" order by l, k, key, row_destination, validation) as rank '
+        f"from ({every})) where rank <= {most}"
+    )
+
+
+def _duplicate_message(name: str, rows: str, keys: Sequence[str], first: int = 5) -> str:
+    by = ", ".join(keys)
+    text = "'(' || " + " || ', ' || ".join(f"coalesce({k}::varchar, 'NULL')" for k in keys) + " || ') x' || n"
+    order = ", ".join(f"{k} nulls first" for k in keys)
+    return (
+        f"select '{name}' as table_name, count(*) as duplicate_groups, coalesce(sum(n - 1), 0)::bigint as surplus_rows, "
+        f"case when count(*) = 0 then 'no duplicate keys' else count(*) || ' duplicate key group(s) on {_quote(str(list(keys)))}: ' "
+        f"|| string_agg(text, '; ' order by place) filter (place <= {first}) "
+        f"|| case when count(*) > {first} then '; and ' || (count(*) - {first}) || ' more' else '' end end as message "
+        f"from (select *, {text} as text, row_number() over (order by {order}) as place "
+        f"from (select {by}, count(*) as n from {rows} group by {by}) where n > 1)"
+    )
+
+
 def _row_text(row: str, columns: Sequence[str]) -> str:
     def cell(c: str) -> str:
         value = f"{row}{c}::varchar" if c in NUMBERS | {"o_orderkey", "c_custkey"} else f"'''' || {row}{c} || ''''"
@@ -947,6 +995,22 @@ def oracle_sql() -> dict[str, str]:
         ),
         "count_check": with_([*stg, *c3], _both(O2.count(), C3.count())),
         "duplicate_check": with_([PS_ORDERS], _both(ITEMS.duplicate(), O1.duplicate())),
+        "duplicate_messages": with_(
+            [PS_ORDERS],
+            " union all ".join(
+                _duplicate_message(*table)
+                for table in (
+                    ("lineitem", "lineitem", ["l_orderkey", "l_linenumber"]),
+                    ("ps_orders", "ps_orders", ["o_orderkey"]),
+                    (
+                        "segments",
+                        "(select case when c_nationkey <> 3 then c_nationkey end as nation, c_mktsegment as segment from customer)",
+                        ["nation", "segment"],
+                    ),
+                    ("customer", "customer", ["c_custkey"]),
+                )
+            ),
+        ),
         "null_check": with_([PS_ORDERS], _drop_seq(O1.null())),
         "metadata_check": with_([PS_ORDERS], _both(metadata_missing, O1.count())),
         "constraint_check": with_(c3, _both(ITEMS.constraint(), C3.constraint())),
@@ -999,6 +1063,7 @@ def oracle_sql() -> dict[str, str]:
         "failure_records": with_(
             [*ALL_LAYERS, O1.cte(False), O2.cte(True), O3.cte(True), O3.cte(True, FACT_VALUES, "_values")], FAILURE_RECORDS
         ),
+        "detail_records_by_table": with_([*ALL_LAYERS, *COMPARISONS], _detail_records(40)),
         "findings": with_(_FINDING_CTES, f"select {FINDING_COLUMNS} from f"),
         "tickets": with_(_FINDING_CTES, TICKETS),
         "mapping_doc": with_(ALL_LAYERS, _mapping_doc()),

@@ -17,11 +17,12 @@ from tallymark.functions.text import aliased, quoted
 from tallymark.operators import loads
 from tallymark.operators.compare import Comparison, compare
 from tallymark.operators.defects import Defect, inject_defects, negative_count
+from tallymark.operators.duplicates import duplicate_message
 from tallymark.operators.foreign_keys import orphan_rows
 from tallymark.operators.reload import ReloadBroken, journal, reload_all
 from tallymark.plans import catalogue, checks, mapping, results
 from tallymark.plans.checks import CheckContext, check_results
-from tallymark.plans.failures import failure_records
+from tallymark.plans.failures import detail_records, failure_records
 from tallymark.plans.suite import SuiteRun, run_suite
 from tallymark.plans.tickets import FINDING_COLUMNS, findings, tickets
 from tallymark.registry import derive
@@ -213,6 +214,21 @@ def duplicate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return natural.unionByName(_results(_context(spark, sf_dir, L1, "Orders"), checks.DUPLICATE))
 
 
+@query
+def duplicate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The duplicated keys of three tables in one line each; customers of the same segment and nation repeat a null key, too."""
+    store = derive.store(spark, sf_dir)
+    segments = given(spark, sf_dir, "customer").selectExpr("if(c_nationkey = 3, null, c_nationkey) as nation", "c_mktsegment as segment")
+    tables = {
+        "lineitem": (given(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]),
+        "ps_orders": (store.table("prestaging", "ps_orders"), ["o_orderkey"]),
+        "segments": (segments, ["nation", "segment"]),
+        "customer": (given(spark, sf_dir, "customer"), ["c_custkey"]),
+    }
+    parts = [duplicate_message(rows, keys).selectExpr(f"'{name}' as table_name", "*") for name, (rows, keys) in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query
 def null_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(_context(spark, sf_dir, L1, "Orders"), checks.NULL)
@@ -438,6 +454,13 @@ def failure_records_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["failure_records"] = _QUERIES.pop("failure_records_orders")
 
 
+@query
+def detail_records_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty failure records of each table of the run, and how many there are."""
+    run = _suite(spark, sf_dir, keep_issues=True)
+    return detail_records(run, 40).drop("row").withColumn("highlight", F.concat_ws(",", "highlight"))
+
+
 @query
 def findings_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(_suite(spark, sf_dir, keep_issues=True)).select(*FINDING_COLUMNS)

@@ -204,3 +204,15 @@ def test_case_ids_are_unique():
     spec = PipelineSpec({"LayerOne": LayerSpec("LayerOne", "a", "b", tables), "LayerOther": LayerSpec("LayerOther", "a", "b", tables)})
     found = case_prefixes(spec)
     assert len(set(found.values())) == 6
+
+
+def test_duplicate_message_lists_few_of_many_keys(spark):
+    from tallymark.operators.duplicates import duplicate_message
+
+    many = spark.range(5_000).selectExpr("if(id = 7, null, id) as a", "'x' as b", "explode(array(1, 2)) as copy")
+    assert [tuple(r) for r in duplicate_message(many, ["a", "b"], 2).collect()] == [
+        (5_000, 5_000, "5000 duplicate key group(s) on ['a', 'b']: (NULL, x) x2; (0, x) x2; and 4998 more")
+    ]
+    few = many.where("a in (3, 4)")
+    assert duplicate_message(few, ["a"], 2).first()["message"] == "2 duplicate key group(s) on ['a']: (3) x2; (4) x2"
+    assert tuple(duplicate_message(many.where("false"), ["a"]).first()) == (0, 0, "no duplicate keys")

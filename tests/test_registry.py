@@ -94,3 +94,19 @@ def test_reports_leave_nothing_cached(spark):
     for name in ("failure_records", "findings", "tickets"):
         registered.queries()[name](spark, DATA).count()
         assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0, name
+
+
+def test_detail_records_with_any_limit(spark):
+    """The limit is kept in the tasks before the shuffle; a large one shows every record, as many as ``failure_records`` has."""
+    from tallymark.plans.failures import detail_records, failure_records
+    from tallymark.plans.suite import run_suite
+    from tallymark.registry import derive
+
+    run = run_suite(derive.store(spark, DATA), derive.pipeline(), keep_issues=True)
+    assert "WindowGroupLimit" in plan_of(detail_records(run, 3))
+    every = detail_records(run, 10**9).groupBy("table").agg({"rank": "max", "total": "max", "left_out": "max"}).collect()
+    for table, rows in ((r["table"], r) for r in every):
+        n = failure_records(run, table).count()
+        assert (rows["max(rank)"], rows["max(total)"], rows["max(left_out)"]) == (n, n, 0)
+    shown = {tuple(r) for r in detail_records(run, 3).groupBy("table", "left_out").count().collect()}
+    assert shown == {(r["table"], r["max(total)"] - 3, 3) for r in every}
