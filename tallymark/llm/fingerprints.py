@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.numbering import number_rows
 
-from .common import broadcast_if_small
-
 K, L = 2, 2
 BIN_BITS = 6
 ROWS_IN_BUCKET = 1_024
-_ALONE = r"฀-๿぀-ヿ㐀-䶿一-鿿"
+MOST_BUCKETS = 1 << 16
+"""Bound of the list of range starts, which every task holds (2 MB); larger tables get larger ranges."""
+
+_ALONE = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF"
 WORD = rf"[{_ALONE}]|[^\s{_ALONE}]+"
 _TUPLE_BITS = 48
 
@@ -106,36 +107,50 @@ def likeness(a: Column, b: Column, size: int = L) -> Column:
     return F.when(used == 0, 1.0).otherwise(F.pow(share, F.lit(1.0 / size)))
 
 
+def _place(bounds: Column, key: Column, steps: int) -> Column:
+    """Binary search: the number (from 0) of the last bound that is not above ``key``; 0 if all are."""
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
+
+    def step(at: Column, width: Column) -> Column:
+        following = F.get(bounds, at + width)
+        return F.when(following.isNotNull() & (following <= key), at + width).otherwise(at)
+
+    return F.aggregate(widths, F.lit(0), step)
+
+
 def in_ranges(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``__bucket``: ids are dealt into ranges of about a thousand rows. The first row of each range is
-    handed to the range above it as well (``__tail`` 1), so that each range finds its neighbours alone.
+    """``rows`` with ``__bucket``: in descending ``doc_id`` (null last), the rows are dealt into ranges of equal *number*, about a thousand
+    each and at most ``MOST_BUCKETS`` in all, wherever their ids lie. Rows that repeat an id are ordered by a hash of their text, so that they
+    are dealt as well; only rows that agree in both lie in one range. The first row of each range is handed to the range before it as well
+    (``__tail`` 1), so that each range finds its neighbours alone.
     """
-    ids = rows.select("doc_id")
-    limits = ids.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = limits["low"] or 0, limits["high"] or 0
-    width = max(1.0, (high - low + 1) / max(1, limits["n"] // ROWS_IN_BUCKET))
-    bucket = F.coalesce(
-        F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(-1)
-    ).cast("long")
-    heads = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head"))
-    placed = number_rows(heads.withColumn("down", -F.col("bucket")), ["down"], "place").drop("down")
-    n = placed.count()
-    before = placed.select(F.col("bucket").alias("to"), (F.col("place") % max(1, n) + 1).alias("place"))
-    handed = placed.select("head", "place").join(before, "place").select("head", "to")
-    tails = rows.join(broadcast_if_small(handed, n), F.col("doc_id").eqNullSafe(F.col("head")))
-    own = rows.select("*", bucket.alias("__bucket"), F.lit(0).alias("__tail"))
-    borrowed = tails.select(*rows.columns, F.col("to").alias("__bucket"), F.lit(1).alias("__tail"))
-    return own.unionByName(borrowed)
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("d"), F.xxhash64("text").alias("h"))
+    keys = rows.select(key.alias("__key"))
+    size = max(ROWS_IN_BUCKET, -(-keys.count() // MOST_BUCKETS))
+    first = number_rows(keys, ["__key"], "place", start=-1).where(F.col("place") % size == 0).select("__key").distinct()
+    bounds = first.agg(F.sort_array(F.collect_list("__key")).alias("bounds"))  # one row of at most MOST_BUCKETS keys
+    n = first.count()
+    held = rows.sparkSession.sql("select *, (select first(bounds) from {bounds}) as __held from {rows}", bounds=bounds, rows=rows.select("*", key.alias("__key")))
+
+    def places(found: Column) -> Column:
+        def own(at: Column) -> Column:
+            here = F.struct(at.alias("__bucket"), F.lit(0).alias("__tail"))
+            before = F.struct(F.pmod(at - 1, F.lit(max(1, n))).alias("__bucket"), F.lit(1).alias("__tail"))
+            return F.when(F.get(found, at) == F.col("__key"), F.array(here, before)).otherwise(F.array(here))
+
+        return _let(_place(found, F.col("__key"), max(1, n.bit_length())), own)
+
+    return held.select(*rows.columns, "__key", F.inline(_let(F.col("__held"), places)))
 
 
 def with_next(ranged: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``next_<column>`` of the row that follows in descending ``doc_id`` (null last); after the last comes the first.
 
-    Rows that repeat an id follow in the order of ``columns``.
+    Rows that repeat an id follow in the order of a hash of their text.
     """
-    window = Window.partitionBy("__bucket").orderBy("__tail", F.desc_nulls_last("doc_id"), *columns)
+    window = Window.partitionBy("__bucket").orderBy("__tail", "__key", *columns)
     followed = ranged.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
-    return followed.where("__tail = 0").drop("__bucket", "__tail")
+    return followed.where("__tail = 0").drop("__bucket", "__tail", "__key")
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:

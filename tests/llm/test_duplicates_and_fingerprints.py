@@ -138,3 +138,53 @@ def test_next_document_across_many_ranges(spark, monkeypatch):
     ordered = sorted(rows, reverse=True)
     expected = {d: ordered[(i + 1) % 50][1] for i, (d, _) in enumerate(ordered)}
     assert {r["doc_id"]: r["next_text"] for r in found} == expected
+
+
+def test_ranges_hold_equal_numbers_wherever_ids_lie(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_IN_BUCKET", 16)
+    rows = [(i, f"t{i}") for i in range(200)] + [(10**15, "far")] + [(None, f"none {i}") for i in range(90)] + [(-(2**63), f"same id {i}") for i in range(90)]
+    ranged = fingerprints.in_ranges(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in ranged.groupBy("__bucket").count().collect()]
+    assert len(sizes) == -(-len(rows) // 16) and max(sizes) <= 17
+    found = [(r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.with_next(ranged, ["text"]).collect()]
+    assert sorted(t for _, t, _ in found) == sorted(t for *_, t in found) == sorted(t for _, t in rows)  # one ring
+    of_id = {t: d for d, t in rows}
+    by_text = {t: of_id[following] for _, t, following in found}
+    assert by_text["far"] == 199 and [by_text[f"t{i}"] for i in range(1, 200)] == list(range(199))
+    assert by_text["t0"] == -(2**63) and sum(by_text[f"none {i}"] == 10**15 for i in range(90)) == 1
+    monkeypatch.setattr(fingerprints, "MOST_BUCKETS", 4)
+    assert fingerprints.in_ranges(spark.createDataFrame(rows, "doc_id long, text string")).select("__bucket").distinct().count() == 4
+
+
+def plain_fingerprint(text, k=2, size=2):
+    """Order MinHash spelled out, with the public hash of the engine (seed 42, chained over values)."""
+    xxhash = pytest.importorskip("xxhash")
+
+    def chained(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed)
+        return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+    long = lambda v: v.to_bytes(8, "little", signed=True)
+    words = [chained(w.encode()) for w in re.findall(fingerprints.WORD, text, re.ASCII)]
+    seen, bins = {}, {}
+    for p in range(len(words)):
+        g = chained(*map(long, words[p : p + k]))
+        n = seen[g] = seen.get(g, -1) + 1
+        g = g if n == 0 else chained(long(g), (n - 1).to_bytes(4, "little"))
+        bins.setdefault(g >> 58, []).append((g, p))
+    entries = []
+    for number, own in sorted(bins.items()):
+        value = chained(*(long(g) for _, g in sorted((p, g) for g, p in sorted(own)[:size])))
+        entries.append(((number << 48) | (value & ((1 << 48) - 1))) & ((1 << 64) - 1))
+    return "".join(f"{e:016X}" for e in entries)
+
+
+def test_fingerprint_equals_a_plain_order_minhash(spark):
+    rng = random.Random(8)
+    texts = ["", "one", "a b", "a a a a a b a a", "漢字 x กข あ", "\n tabs\tand  blanks "]
+    texts += [" ".join(f"w{rng.randrange(spread)}" for _ in range(rng.randrange(1, 400))) for spread in (3, 20, 500, 10**6) for _ in range(6)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = df.select("text", fingerprints.fingerprint_text(fingerprints.fingerprint(df["text"])).alias("f")).collect()
+    assert [r["f"] for r in found] == [plain_fingerprint(r["text"]) for r in found]
