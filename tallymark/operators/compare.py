@@ -83,9 +83,12 @@ class Comparison:
         return self._pair(self.source, self.target)
 
     def _pair(self, source: DataFrame, target: DataFrame) -> DataFrame:
+        return self._with_state(pair_by_key(source, target, self.keys, self.compare_columns))
+
+    def _with_state(self, paired: DataFrame) -> DataFrame:
         state = case([("n_target = 0", lit(SOURCE_ONLY)), ("n_source = 0", lit(TARGET_ONLY))], lit(BOTH))
         has_key = all_of(f"{quoted(name)} is not null" for name in key_names(self.keys))
-        return pair_by_key(source, target, self.keys, self.compare_columns).selectExpr(
+        return paired.selectExpr(
             "*", f"{state} as state", f"({has_key}) and (n_source > 1 or n_target > 1) as is_duplicate"
         )
 
@@ -173,6 +176,13 @@ class Comparison:
         """All rows of all duplicated keys on either side, with ``_side`` and ``_copies``."""
         return self.duplicates_on("source").unionByName(self.duplicates_on("target"), allowMissingColumns=True)
 
+    def _narrowed(self, columns: Sequence[str]) -> Comparison:
+        """The same comparison over some of the columns."""
+        source, target = (df.select(*names(columns)) for df in (self.source, self.target))
+        return type(self)(
+            source, target, self.keys, self.compare_columns, self.case_insensitive, self.exact_decimals, self.hot_rows
+        )
+
     def summary(self) -> DataFrame:
         """One row: differing cells and records, missing rows both ways, duplicate rows, and the verdict.
 
@@ -180,10 +190,7 @@ class Comparison:
         """
         needed = dict.fromkeys([*self.keys, *self.compare_columns])
         if self._kept is None and self._suspects is None and {*self.columns, *self.target_columns} - needed.keys():
-            source, target = (df.select(*names(needed)) for df in (self.source, self.target))
-            return compare(
-                source, target, self.keys, self.compare_columns, self.case_insensitive, self.exact_decimals, self.hot_rows
-            ).summary()
+            return self._narrowed(list(needed)).summary()
         copies = "if(n_source > 1, n_source, 0L) + if(n_target > 1, n_target, 0L)"
         counts = self.issues.selectExpr(
             "coalesce(sum(n_diffs), 0) as diffs",

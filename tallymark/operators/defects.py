@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from tallymark.functions.text import aliased, case, concat, joined, lit, quoted
+from tallymark.operators.sampling import hash_place, hash_thresholds
 
 NEGATIVE = "NEGATIVE: "
 
@@ -43,6 +44,21 @@ def inject_defects(rows: DataFrame, defects: Sequence[Defect]) -> DataFrame:
     return rows.selectExpr(*aliased({**changed, "_note": note}))
 
 
+def inject_exactly(rows: DataFrame, keys: Sequence[str], counts: Sequence[tuple[Defect, int]], seed: int = 0) -> DataFrame:
+    """Each defect in exactly so many rows, no row with two of them, whatever the size of the table.
+
+    The rows are picked by a hash of their keys; the defects' own predicates narrow nothing (see :func:`inject_defects` for those).
+    A table with fewer rows than defects gets those that come first.
+    """
+    ends = [sum(n for _, n in counts[: i + 1]) for i in range(len(counts))]
+    place, limits = hash_place(keys, seed), [0, *hash_thresholds(rows, keys, ends, seed)]
+    placed = [
+        replace(d, predicate=f"{place} >= {low} and {place} < {high}")
+        for (d, _), low, high in zip(counts, limits, limits[1:])
+    ]
+    return inject_defects(rows, placed)
+
+
 def negative_count(rows: DataFrame) -> DataFrame:
     """One row: all rows and those tagged negative."""
     return rows.selectExpr("count(1) as total", f"count_if(startswith(_note, {lit(NEGATIVE.strip())})) as negative")

@@ -96,6 +96,10 @@ class CheckContext:
                 self._comparisons[check].keep()
         return self._comparisons[check]
 
+    def adopt(self, other: CheckContext) -> None:
+        """Take over the comparisons that another context of the same table has run."""
+        self._comparisons.update(other._comparisons)
+
     def comparisons(self) -> list[str]:
         """The checks that have compared the table so far."""
         return list(self._comparisons)

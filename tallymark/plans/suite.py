@@ -5,17 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tallymark import fixed_values as fixed
 from tallymark.operators.compare import Comparison
 from tallymark.plans import checks
 from tallymark.plans.catalogue import CheckCase, cases
 from tallymark.plans.checks import RESULT_SCHEMA, RESULT_TYPES, CheckContext, check_results
+from tallymark.plans.observed import ObservedStore
 from tallymark.session import HOT_KEY_ROWS
 from tallymark.sources.literal import literal_rows
 from tallymark.sources.tables import TableStore
@@ -35,10 +36,17 @@ class SuiteRun:
     compared: dict[tuple[str, str], list[str]] = field(default_factory=dict)  # the checks that compared a table
 
     failed: set[tuple[str, str, str]] = field(default_factory=set)  # (layer, table, check) with status FAIL
+    measured: list[tuple[str, str, str, float, int | None]] = field(default_factory=list)
+    """Of a timed run: layer, table, check, seconds, and the rows it read."""
 
     def comparison(self, layer: str, table: str, check: str) -> Comparison:
         return self.contexts[layer, table].comparison(check)
 
+    def volumes(self, spark: SparkSession) -> DataFrame:
+        """One row for each check of a timed run: layer, table, validation, seconds, rows_read (after filters, before any aggregate)."""
+        kinds = {"layer": "string", "table": "string", "validation": "string", "seconds": "double", "rows_read": "bigint"}
+        return literal_rows(spark, kinds, self.measured)
+
     def comparisons(self) -> dict[tuple[str, str, str], Comparison]:
         return {(*at, check): self.comparison(*at, check) for at, found in self.compared.items() for check in found}
 
@@ -63,7 +71,10 @@ class _TableJob:
     problems: list[tuple[CheckCase, str]] = field(default_factory=list)
 
     def run(self) -> list[dict]:
-        """Result rows (one for each check). If the plan fails while it runs, its checks run one by one."""
+        """Result rows (one for each check). If the plan fails while it runs, its checks run one by one.
+
+        The checks share one job, so its time belongs to none of them alone: the first row carries it, the others have no duration.
+        """
         started = time.perf_counter()
         try:
             rows = self.plan.collect() if self.plan is not None else []
@@ -74,8 +85,26 @@ class _TableJob:
                     rows += check_results(self.ctx, [c.check], [c.seq]).collect()
                 except Exception as problem:
                     self.problems.append((c, _reason(problem)))
-        each = (time.perf_counter() - started) / max(1, len(rows))
-        return [{**row.asDict(), "duration": each} for row in rows]
+        seconds = time.perf_counter() - started
+        return [{**row.asDict(), "duration": None if i else seconds} for i, row in enumerate(rows)]
+
+    def run_each(self) -> tuple[list[dict], list[tuple[str, str, str, float, int | None]]]:
+        """Every check as a job of its own: result rows with its time, and what it read."""
+        rows, volumes = [], []
+        for c in self.items:
+            store = ObservedStore(self.ctx.store)
+            own = replace(self.ctx, store=store, _comparisons={})
+            started = time.perf_counter()
+            try:
+                found = check_results(own, [c.check], [c.seq]).collect()
+            except Exception as problem:
+                self.problems.append((c, _reason(problem)))
+                continue
+            seconds = time.perf_counter() - started
+            rows += [{**row.asDict(), "duration": seconds} for row in found]
+            volumes.append((c.layer, c.table, c.check, seconds, store.rows_read()))
+            self.ctx.adopt(own)
+        return rows, volumes
 
 
 def _reason(problem: Exception) -> str:
@@ -109,6 +138,7 @@ def run_suite(
     gate: Gate | None = None,
     hot_rows: int = HOT_KEY_ROWS,
     keep_issues: bool = False,
+    timed: bool = False,
 ) -> SuiteRun:
     """Run every check of the pipeline.
 
@@ -120,6 +150,9 @@ def run_suite(
 
     ``keep_issues``: every comparison writes its problem rows to shared storage, once; its verdict and all failure records, findings
     and tickets of this run are taken from there.
+
+    ``timed``: every check is a job of its own, with its own duration and the number of rows it read (``SuiteRun.volumes``). Tables are
+    then read once for each check; otherwise the checks of a table share their scans and only the table has a duration.
     """
     listed = cases(pipeline)
     outputs: list[DataFrame] = []
@@ -151,6 +184,11 @@ def run_suite(
         run.contexts[at] = ctx
 
     def judged(table: tuple[CheckContext, list[CheckCase]]) -> tuple[_TableJob, list[dict]]:
+        if timed:
+            job = _TableJob(*table)
+            rows, volumes = job.run_each()
+            run.measured.extend(volumes)
+            return job, rows
         job = _plan_table(*table)
         return job, job.run()
 

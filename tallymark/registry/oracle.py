@@ -819,6 +819,42 @@ select c_custkey,
                         case when c_custkey % 25 = 2 then 'lower-case name' end), '') as _note
 from customer"""
 
+_EXACT = (
+    "picked as (select *, row_number() over (order by substr(md5(c_custkey::varchar || '|7'), 1, 15), c_custkey) as r from customer)"
+)
+INJECT_EXACT = """
+select c_custkey, case when r <= 2 then '  ' || c_name || '  ' else c_name end as c_name,
+       case when r = 3 then 'not-an-address' else 'c' || c_custkey || '@example.com' end as email,
+       case when r in (7, 8) then substr(lpad(c_nationkey::varchar, 3, '0'), 1, 2) else lpad(c_nationkey::varchar, 3, '0') end as code,
+       case when r in (5, 6) then -abs(c_acctbal) - 1 else c_acctbal end as c_acctbal,
+       case when r = 4 then 'X' when r between 9 and 25 then lower(c_mktsegment) else c_mktsegment end as c_mktsegment,
+       case when r <= 2 then 'NEGATIVE: name has spaces' when r = 3 then 'NEGATIVE: address is not valid'
+            when r = 4 then 'NEGATIVE: segment is unknown' when r <= 6 then 'NEGATIVE: balance is negative'
+            when r <= 8 then 'NEGATIVE: code has not three digits' when r <= 25 then 'lower-case segment' end as _note
+from picked"""
+
+
+def _rows_read(layer: str, table: str, check: str) -> str:
+    """Rows that a check takes from its tables: both sides for counts and comparisons, the target for all others."""
+    names = {
+        (L1, "Customers"): ("customer", "ps_customer"), (L1, "Orders"): ("orders", "ps_orders"), (L2, "Orders"): ("ps_orders", "stg_orders"),
+        (L3, "Customers"): ("stg_customer", "dim_customer"), (L3, "Orders"): ("stg_orders", "fact_orders"),
+    }
+    source, target = names[layer, table]
+    source = f"{source} where \"IsValid\" = 1" if layer == L3 else source
+    everything = target
+    if (layer, table) == (L3, "Customers"):
+        target = everything = f'{target} where "IsCurrent" = 1'
+    if layer == L2:
+        target = f'{target} where "IsValid" = 1'
+    read = {
+        "Metadata_Validation": [], "Count_Validation": [source, everything], "Duplicate_Validation": [target], "Null_Validation": [target],
+        "Constraint_Validation": [target, target], "Transformation_Validation": [target], "ForeignKey_Check": [target, "dim_customer"],
+    }.get(check, [source, target])
+    counts = " + ".join(f"(select count(*) from {rows})" for rows in read) or "0"
+    return f"select '{layer}' as layer, '{table}' as \"table\", '{check}' as validation, ({counts})::bigint as rows_read"
+
+
 # ---- all ---------------------------------------------------------------------------------------------------------
 
 KNOWN = "known_customer as (select c_custkey from customer where c_custkey % 50 <> 0)"
@@ -1104,4 +1140,13 @@ def oracle_sql() -> dict[str, str]:
         "load_scd2": with_([CUSTOMER_VERSIONS, CHANGED], LOAD_SCD2),
         "load_fact": with_([DIM_CUSTOMER], LOAD_FACT),
         "inject_defects": INJECT_DEFECTS,
+        "inject_exact_numbers": with_([_EXACT], INJECT_EXACT),
+        "bucketed_diffs": with_(ORDERS_SENSITIVE, _cell_diffs()),
+        "check_volumes": with_(ALL_LAYERS, "\nunion all ".join(_rows_read(*at) for at in RUN_NAMES)),
+        "existence_verdicts": with_(FULL_RUN, f"select layer, \"table\", validation, status from ({_run(_EVERY)})"),
+        "restore_linked_tables": "select 'lineitem' as table_name, l_orderkey::bigint as row_key, l_extendedprice::double as amount from lineitem "
+        "union all select 'orders', o_orderkey, o_totalprice from orders union all select 'supplier', s_suppkey, s_acctbal from supplier "
+        "union all select 'customer', c_custkey, c_acctbal from customer "
+        "union all select 'refused: orders.o_custkey', o_custkey, count(*)::double from orders "
+        "where not exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 50 <> 0) group by o_custkey",
     }

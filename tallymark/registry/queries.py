@@ -15,8 +15,9 @@ from tallymark.functions.normalize import normalised
 from tallymark.functions.rules import broken
 from tallymark.functions.text import aliased, quoted
 from tallymark.operators import loads
+from tallymark.operators.bucketed import compare_bucketed, write_bucketed
 from tallymark.operators.compare import Comparison, compare
-from tallymark.operators.defects import Defect, inject_defects, negative_count
+from tallymark.operators.defects import Defect, inject_defects, inject_exactly, negative_count
 from tallymark.operators.duplicates import duplicate_message
 from tallymark.operators.foreign_keys import orphan_rows
 from tallymark.operators.reload import ReloadBroken, journal, reload_all
@@ -25,13 +26,14 @@ from tallymark.plans.checks import CheckContext, check_results
 from tallymark.plans.failures import detail_records, failure_records
 from tallymark.plans.suite import SuiteRun, run_suite
 from tallymark.plans.tickets import FINDING_COLUMNS, findings, tickets
+from tallymark.plans.verdicts import verdict
 from tallymark.registry import derive
 from tallymark.registry.derive import L1, L2, L3, ORDER_VALUES, given
 from tallymark.session import shared_folder
 from tallymark.sources.history import check_history, history, record_run
 from tallymark.sources.literal import literal_rows
 from tallymark.sources.metadata import column_profile
-from tallymark.sources.snapshot import restore_snapshot, write_snapshot
+from tallymark.sources.snapshot import Link, RestoreRefused, restore_linked, restore_snapshot, write_snapshot
 from tallymark.spec import ForeignKeySpec, LayerSpec, LookupSpec, RuleSpec, TableSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +96,39 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def restore_linked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four linked tables restored parents first, and the orphans for which a snapshot that lost customers is refused."""
+    root = shared_folder(spark, "snapshot")
+    tables = {name: given(spark, sf_dir, name) for name in ("lineitem", "orders", "supplier", "customer")}
+    links = [
+        Link("lineitem", "l_orderkey", "orders", "o_orderkey"),
+        Link("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+        Link("orders", "o_custkey", "customer", "c_custkey"),
+    ]
+    write_snapshot(tables, f"{root}/good")
+    write_snapshot({**tables, "customer": tables["customer"].where("c_custkey % 50 <> 0")}, f"{root}/bad")
+    restored = restore_linked(spark, f"{root}/good", list(tables), f"{root}/source", links)
+    shown = {
+        "lineitem": ("l_orderkey", "l_extendedprice"),
+        "orders": ("o_orderkey", "o_totalprice"),
+        "supplier": ("s_suppkey", "s_acctbal"),
+        "customer": ("c_custkey", "c_acctbal"),
+    }
+    parts = [
+        df.selectExpr(f"'{name}' as table_name", f"cast({shown[name][0]} as bigint) as row_key", f"cast({shown[name][1]} as double) as amount")
+        for name, df in restored.items()
+    ]
+    try:
+        restore_linked(spark, f"{root}/bad", list(tables), f"{root}/source", links)
+    except RestoreRefused as refused:
+        orphans = refused.orphans.selectExpr(
+            "concat('refused: ', child, '.', column) as table_name", "cast(key as bigint) as row_key", "cast(n_rows as double) as amount"
+        )
+        parts.append(orphans)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query
 def column_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derive.store(spark, sf_dir).columns("prestaging", "ps_orders")
@@ -125,6 +160,18 @@ def cell_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_comparison(spark, sf_dir).diffs()
 
 
+@query
+def bucketed_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of ``cell_diffs``, from two bucketed snapshots that meet without a shuffle."""
+    orders = given(spark, sf_dir, "orders")
+    root = shared_folder(spark, "bucketed")
+    mark = root.rsplit("-", 1)[1]
+    source, target = f"bucketed_source_{mark}", f"bucketed_target_{mark}"
+    write_bucketed(orders, source, ["o_orderkey"], 16, f"{root}/source")
+    write_bucketed(derive.orders_target(orders), target, ["o_orderkey"], 16, f"{root}/target")
+    return compare_bucketed(spark, source, target, ["o_orderkey"], ORDER_VALUES).diffs()
+
+
 @query
 def case_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that differ in case only, in ways that lower-casing does not see, and names that differ in more."""
@@ -424,10 +471,24 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a timed run in which one target lost a column, so that some of its checks cannot run."""
     store = derive.store(spark, sf_dir)
     store.register("prestaging", "ps_customer", store.table("prestaging", "ps_customer").drop("c_name"))
-    run = run_suite(store, derive.pipeline())
+    run = run_suite(store, derive.pipeline(), timed=True)
     return results.run_totals(run.results).drop("duration")
 
 
+@query
+def check_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that each check of a timed run has read."""
+    return _suite(spark, sf_dir, timed=True).volumes(spark).select("layer", "table", "validation", "rows_read")
+
+
+@query
+def existence_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every check of the run, each ended at the first problem."""
+    store, spec = derive.store(spark, sf_dir), derive.pipeline()
+    rows = [(c.layer, c.table, c.check, verdict(CheckContext.of(store, spec, c.layer, c.table), c.check)) for c in catalogue.cases(spec)]
+    return literal_rows(spark, {"layer": "string", "table": "string", "validation": "string", "status": "string"}, rows)
+
+
 @query
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs, the second one after a target lost a column and recorded twice: the history of every check."""
@@ -639,6 +700,23 @@ def inject_defects_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def inject_exact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six kinds of defects in 25 rows, of which 8 are negative, at every scale."""
+    rows = given(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "c_name", "concat('c', c_custkey, '@example.com') as email", "lpad(c_nationkey, 3, '0') as code", "c_acctbal", "c_mktsegment"
+    )
+    counts = [
+        (Defect("", "c_name", "concat('  ', c_name, '  ')", "name has spaces"), 2),
+        (Defect("", "email", "'not-an-address'", "address is not valid"), 1),
+        (Defect("", "c_mktsegment", "'X'", "segment is unknown"), 1),
+        (Defect("", "c_acctbal", "-abs(c_acctbal) - 1", "balance is negative"), 2),
+        (Defect("", "code", "substring(code, 1, 2)", "code has not three digits"), 2),
+        (Defect("", "c_mktsegment", "lower(c_mktsegment)", "lower-case segment", negative=False), 17),
+    ]
+    return inject_exactly(rows, ["c_custkey"], counts, seed=7)
+
+
 @query
 def negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negative_count(inject_defects_customer(spark, sf_dir)).selectExpr("negative as negative_rows")
