@@ -8,6 +8,7 @@ Every block has a checksum of its ids.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -31,8 +32,9 @@ TABLE_BITS = 20
 _LOW = np.uint64(1 << 31)
 _CACHED_WORDS = 2_000_000
 _TEXT_CHARACTERS = 4_000_000
-_LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-_LETTERS_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+_WORDS_AT_ONCE = 512
+_LETTERS_AND_SIGNS = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)$", re.MULTILINE)
+_LEAVE_SMALL_LETTERS = {"NFC", "Replace", "Lowercase"}  # normalisers that change no word of small Latin letters
 
 
 # ---- tokenizing --------------------------------------------------------------------------------------------------
@@ -61,21 +63,41 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _learn(self, words: list[str]) -> None:
-        """Lower-case letters-only words are encoded many at a time, and parted at the tokens that end a word."""
-        plain = [w for w in words if _LETTERS.fullmatch(w)]
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                raw, size = ids.tobytes(), self.kind.itemsize
-                ends = (cuts * size).tolist()
+        self.of_letters = self._for_letters(definition)
+
+    def _for_letters(self, definition: str):
+        """The same merges without the normaliser and the pattern, where neither changes or parts a word of small Latin letters."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        parts = json.loads(definition)
+        normalizer, splitter = parts["normalizer"] or {"type": "Sequence", "normalizers": []}, parts["pre_tokenizer"] or {}
+        steps = normalizer.get("normalizers", [normalizer])
+        leaves = all(
+            step["type"] in _LEAVE_SMALL_LETTERS and (step["type"] != "Replace" or step["pattern"] == {"Regex": r"\s+"}) for step in steps
+        )
+        of_bytes = [step["type"] for step in splitter.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        if not (leaves and of_bytes and r"[\p{L}]+" in str(splitter["pretokenizers"][0]["pattern"].get("Regex"))):
+            return self.library
+        plain = Tokenizer.from_str(definition)
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        return plain
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of small letters are encoded many at a time, and parted at the tokens that end a word."""
+        groups = [words[at : at + _WORDS_AT_ONCE] for at in range(0, len(words), _WORDS_AT_ONCE)]
+        coded = self.of_letters.encode_batch_fast([" ".join(some) for some in groups], add_special_tokens=False)
+        size = self.kind.itemsize
+        for some, found in zip(groups, coded, strict=True):
+            ids = np.array(found.ids, self.kind)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(ends) == len(some):
+                raw = ids.tobytes()
                 self.words.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
                 self._one_by_one(some)
-        self._one_by_one([w for w in words if not _LETTERS.fullmatch(w)])
 
     def _one_by_one(self, words: list[str]) -> None:
         for w, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -83,13 +105,12 @@ class WordTokenizer:
 
     def _learn_new(self, new: set[str]) -> None:
         """Latin letters with ASCII signs behind them are two pieces, and capitals are read as small letters, so the parts are learned."""
-        parts = {w: (m[1].lower(), m[2]) for w in new if (m := _LETTERS_AND_SIGNS.fullmatch(w))}
-        missing = new.difference(parts)
-        for core, signs in parts.values():
-            missing.add(core)
-            missing.add(signs)
-        self._learn(sorted(missing.difference(self.words)))
-        self.words.update((w, self.words[core] + self.words[signs]) for w, (core, signs) in parts.items())
+        known = self.words
+        parts = [(core, core.lower(), signs) for core, signs in _LETTERS_AND_SIGNS.findall("\n".join(new))]
+        self._learn_letters(list({small for _, small, _ in parts}.difference(known)))
+        others = {signs for _, _, signs in parts}.union(new.difference([core + signs for core, _, signs in parts]))
+        self._one_by_one(list(others.difference(known)))
+        known.update((core + signs, known[small] + known[signs]) for core, small, signs in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > _CACHED_WORDS:
