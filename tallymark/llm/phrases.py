@@ -3,13 +3,13 @@
 The words of a text stand, joined by single blanks, in one byte stream. Prefix sums of the polynomial of that stream modulo 2^64 give the
 fingerprint of any n-gram as the difference of two of them, times an inverse power of the base. Level by level, n = 1, 2, ...:
 
-1. every task fingerprints the n-grams whose two (n-1)-grams are frequent (no other can be), adds equal ones up, and shuffles only
-   (fingerprint, count);
-2. the frequent fingerprints become a bitmap of bounded size; a false positive only costs work.
+1. words are counted by their text; the most frequent ones, as many as a bound of bytes allows, are numbered;
+2. every task takes the n-grams whose two (n-1)-grams are frequent (no other can be), adds equal ones up, and shuffles only (numbers of
+   their words, count); an n-gram that holds a frequent word without a number goes as text;
+3. the fingerprints of the frequent n-grams become a bitmap of bounded size; a false positive only costs work.
 
-The last scan follows the occurrence pointers (stream and offset) of frequent fingerprints to their text. Occurrences of one fingerprint
-are compared word by word, so a collision is told apart, and the texts are counted again by themselves: the final counts do not
-depend on fingerprints, which can only have let too much through. Only texts of frequent phrases are ever materialised.
+Numbers and texts tell n-grams apart exactly: counts do not depend on fingerprints, which can only let too much through. Each level is
+its own result, so that no occurrence is looked up again, and texts of phrases are written once, behind the shuffle.
 """
 
 from __future__ import annotations
@@ -33,9 +33,13 @@ TOP = 2_000
 CHUNK_BYTES = 1 << 20
 KEPT_COUNTS = 2_000_000
 KEPT_TEXTS = 300_000
+KNOWN_BYTES = 16 << 20
+"""Bound of the numbered words that every task holds."""
+
 BITS_PER_KEY = 16
 MOST_BITS = 1 << 29
 _BLOCK_BITS = 16
+_WORD_BYTES = 64  # what a word costs beside its letters
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -45,6 +49,7 @@ _KIND[[0x20, 0x09]] = _BLANK
 _KIND[[*b".,;:!?", 10, 11, 12, 13]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_WORDS = re.compile(rb"[^\x20\x09.,;:!?\n-\r]+")
 _END_OF_WORD = re.compile(rb"[\x20\x09.,;:!?\n-\r]")
 _MORE_WORDS = re.compile(rb"(?:[\x20\x09.,;:!?\n-\r]+[^\x20\x09.,;:!?\n-\r]+){0,4}")
 
@@ -130,33 +135,25 @@ class Stream:
         value = (self.prefix[self.end[at + n - 1]] - self.prefix[start]) * self.down[start]
         return _mix(value + self.salt[at] * np.uint64(2 * n + 1) + np.uint64(n))
 
-    def frequent(self, n: int, maps: list[np.ndarray]) -> np.ndarray:
-        """Words that begin an n-gram which all bitmaps up to length n (or as many as there are) let through."""
-        alive = np.ones(self.words, bool)
+    def numbers(self, known: dict[str, dict[bytes, int]]) -> np.ndarray:
+        """The number of each word; -1 for words without one."""
+        words = self.bytes.tobytes().split(b" ")
+        gets = [known.get(name, {}).get for name in self.names]
+        return np.fromiter((gets[i](word, -1) for i, word in zip(self.lang.tolist(), words)), np.int64, self.words)
+
+    def frequent(self, n: int, maps: list[np.ndarray | None], alive: np.ndarray) -> np.ndarray:
+        """Words that begin an n-gram which all bitmaps up to length n (or as many as there are) let through; ``alive``: the words to look at."""
         for m in range(1, n + 1):
-            alive &= self.inside_pieces(m)
+            alive = alive & self.inside_pieces(m)
             if m > 1:
                 alive[:-1] &= before[1:]
                 alive[-1:] = False
-            if m <= len(maps):
+            if m <= len(maps) and maps[m - 1] is not None:
                 at = np.flatnonzero(alive)
                 alive[at] = in_bitmap(self.keys(at, m), maps[m - 1])
             before = alive.copy()
         return alive
 
-    def word_ids(self) -> np.ndarray:
-        """A number for each distinct word, exact: words with one fingerprint are compared byte by byte."""
-        _, first, ids = np.unique(self.keys(np.arange(self.words), 1), return_index=True, return_inverse=True)
-        model, length = first[ids], self.end - self.start
-        same = length == length[model]
-        place = np.arange(int(length[same].sum())) - np.repeat(np.cumsum(length[same]) - length[same], length[same])
-        here, there = (np.repeat(self.start[w], length[same]) + place for w in (np.flatnonzero(same), model[same]))
-        differing = np.concatenate((np.flatnonzero(~same), np.repeat(np.flatnonzero(same), length[same])[self.bytes[here] != self.bytes[there]]))
-        known: dict[bytes, int] = {}
-        for w in np.unique(differing):
-            ids[w] = known.setdefault(self.text(w, 1), len(first) + len(known))
-        return ids
-
     def text(self, word: int, n: int) -> bytes:
         return self.bytes[self.start[word] : self.end[word + n - 1]].tobytes()
 
@@ -169,6 +166,14 @@ def hash_of(lang: str) -> int:
     return value
 
 
+def key_of(lang: str, text: bytes, n: int, powers: Powers) -> int:
+    """The fingerprint of one phrase, as ``Stream.keys`` gives it, as a signed number."""
+    up, _ = powers.of(len(text))
+    value = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * up
+    salt = np.array([hash_of(lang)], np.uint64)
+    return int(_mix(value.sum(keepdims=True) + salt * np.uint64(2 * n + 1) + np.uint64(n)).view(np.int64)[0])
+
+
 def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(bits - 1)
     return keys & mask, (keys >> np.uint64(32)) & mask
@@ -188,39 +193,143 @@ def _texts(batches) -> Iterator[tuple[str, bytes]]:
                 yield lang, text.encode("utf-8", "surrogatepass")
 
 
-def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _word_counts(batches):
+    """The words of each language with their counts, and without a word the number of all of them."""
+    held: dict[str, Counter] = {}
+    totals = Counter()
+
+    def frame() -> pd.DataFrame:
+        rows = [(lang, word.decode("utf-8", "surrogatepass"), n) for lang, counts in held.items() for word, n in counts.items()]
+        rows += [(lang, None, n) for lang, n in totals.items()]
+        held.clear()
+        totals.clear()
+        return pd.DataFrame(rows, columns=["lang", "phrase", "n"])
+
+    for chunk in chunks(_texts(batches)):
+        for lang, text, own in chunk:
+            words = _WORDS.findall(text[:own].lower())
+            held.setdefault(lang, Counter()).update(words)
+            totals[lang] += len(words)
+        if sum(map(len, held.values())) > KEPT_TEXTS:
+            yield frame()
+    yield frame()
+
+
+def _packed(numbers: np.ndarray) -> np.ndarray:
+    """Columns of two word numbers (below 2^31) each; the last one may hold a single number."""
+    n = numbers.shape[1]
+    pairs = [(numbers[:, k] << 32) | (numbers[:, k + 1] if k + 1 < n else 0) for k in range(0, n, 2)]
+    return np.stack(pairs)
+
+
+def _added_up(columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows added up. Rows are brought together by a mix of their columns; where two mixes meet, a row may come twice, never wrongly."""
+    mixed = columns[0].view(np.uint64)
+    for column in columns[1:]:
+        mixed = mixed * _BASE + column.view(np.uint64)
+    order = np.argsort(mixed, kind="stable")
+    columns, counts = columns[:, order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], (columns[:, 1:] != columns[:, :-1]).any(axis=0)))) if len(counts) else np.zeros(0, np.int64)
+    return columns[:, first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _level(n: int, maps):
+def _numbered(words: list[tuple[str, bytes]]) -> dict[str, dict[bytes, int]]:
+    known: dict[str, dict[bytes, int]] = {}
+    for i, (lang, word) in enumerate(words):
+        known.setdefault(lang, {})[word] = i
+    return known
+
+
+def _columns(n: int) -> list[str]:
+    return [f"w{k}" for k in range(0, n, 2)]
+
+
+def _level(n: int, maps, words, complete: bool):
+    """n-grams by the numbers of their words, with counts. If not all frequent words have numbers, the other n-grams come as text."""
+
     def work(batches):
-        powers, held, size = Powers(), [], 0
+        powers, known, rest = Powers(), _numbered(words.value), Counter()
+        held, size = [], 0
 
-        def frame() -> pd.DataFrame:
-            keys, counts = _added_up(*(np.concatenate(part) for part in zip(*held, strict=True)))
-            return pd.DataFrame({"key": keys.view(np.int64), "n": counts})
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _added_up(np.concatenate([c for c, _ in held], axis=1), np.concatenate([c for _, c in held]))
+
+        def frame(columns, counts) -> pd.DataFrame:
+            return pd.DataFrame({**dict(zip(_columns(n), columns, strict=True)), "lang": None, "rest": None, "n": counts})
+
+        def texts() -> pd.DataFrame:
+            langs, found = [lang for lang, _ in rest], [text.decode("utf-8", "surrogatepass") for _, text in rest]
+            rows = pd.DataFrame({**{c: np.full(len(found), -1) for c in _columns(n)}, "lang": langs, "rest": found, "n": list(rest.values())})
+            rest.clear()
+            return rows
 
         for chunk in chunks(_texts(batches)):
             stream = Stream(chunk, powers)
-            at = np.flatnonzero(stream.frequent(n, maps.value) & stream.own)
-            keys, counts = np.unique(stream.keys(at, n), return_counts=True)
-            held.append((keys, counts))
-            size += len(keys)
+            numbers = stream.numbers(known)
+            alive = numbers >= 0 if complete else np.ones(stream.words, bool)
+            at = np.flatnonzero(stream.frequent(n, maps.value, alive) & stream.own)
+            own = numbers[at[:, None] + np.arange(n)]
+            whole = (own >= 0).all(axis=1)
+            for w in at[~whole].tolist():
+                rest[stream.names[stream.lang[w]], stream.text(w, n)] += 1
+            held.append(_added_up(_packed(own[whole]), np.ones(int(whole.sum()), np.int64)))
+            size += len(held[-1][1])
             if size > KEPT_COUNTS:
-                merged = _added_up(*(np.concatenate(part) for part in zip(*held, strict=True)))
-                held, size = [merged], len(merged[0])
+                held = [merged()]
+                size = len(held[0][1])
                 if size > KEPT_COUNTS // 2:
-                    yield frame()
+                    yield frame(*held[0])
                     held, size = [], 0
+            if len(rest) > KEPT_TEXTS:
+                yield texts()
         if held:
-            yield frame()
+            yield frame(*merged())
+        if rest:
+            yield texts()
 
     return work
 
 
+def _phrases(n: int, words):
+    """Texts of frequent n-grams, and their fingerprints."""
+
+    def work(batches):
+        powers = Powers()
+        for frame in batches:
+            rows = []
+            packed = np.stack([frame[c].to_numpy(np.int64) for c in _columns(n)])
+            for pairs, lang, rest, count in zip(packed.T.tolist(), frame["lang"], frame["rest"], frame["n"].tolist(), strict=True):
+                if pairs[0] >= 0:
+                    numbers = [half for pair in pairs for half in (pair >> 32, pair & 0xFFFFFFFF)][:n]
+                    lang, text = words.value[numbers[0]][0], b" ".join([words.value[i][1] for i in numbers])
+                else:
+                    text = rest.encode("utf-8", "surrogatepass")
+                rows.append((lang, n, text.decode("utf-8", "surrogatepass"), count, key_of(lang, text, n, powers)))
+            yield pd.DataFrame(rows, columns=["lang", "words", "phrase", "n", "key"])
+
+    return work
+
+
+def _word_keys(batches):
+    powers = Powers()
+    for frame in batches:
+        yield pd.DataFrame({"key": [key_of(lang, word.encode("utf-8", "surrogatepass"), 1, powers) for lang, word in zip(frame["lang"], frame["phrase"])]}, dtype="int64")
+
+
+def known_words(frequent: DataFrame) -> list[tuple[str, bytes]]:
+    """The most frequent words, within ``KNOWN_BYTES``; counts are cut at powers of two."""
+    cost = F.octet_length("phrase") + F.octet_length("lang") + _WORD_BYTES
+    sizes = frequent.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level"))
+    least, total = 1 << 62, 0
+    for row in sizes.collect():  # at most 64 rows
+        total += row["bytes"]
+        if total > KNOWN_BYTES:
+            break
+        least = 1 << row["level"]
+    found = frequent.where(F.col("n") >= least).select("lang", "phrase").toPandas()
+    return [(lang, word.encode("utf-8", "surrogatepass")) for lang, word in zip(found["lang"], found["phrase"], strict=True)]
+
+
 def _bitmap_block(key, columns):
     block = np.zeros(1 << _BLOCK_BITS, np.uint8)
     block[np.array(columns[0], np.int64)] = 1
@@ -242,41 +351,6 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _materialise(maps):
-    def work(batches):
-        powers, found, totals = Powers(), Counter(), Counter()
-
-        def frame() -> pd.DataFrame:
-            rows = [(lang, n, text.decode("utf-8", "surrogatepass"), count) for (lang, n, text), count in found.items()]
-            rows += [(lang, 0, None, count) for lang, count in totals.items()]
-            found.clear()
-            totals.clear()
-            return pd.DataFrame(rows, columns=["lang", "words", "phrase", "n"])
-
-        for chunk in chunks(_texts(batches)):
-            stream = Stream(chunk, powers)
-            for code, count in enumerate(np.bincount(stream.lang[stream.own], minlength=len(stream.names)).tolist()):
-                totals[stream.names[code]] += count
-            ids = stream.word_ids()
-            for n in range(1, len(maps.value) + 1):
-                at = np.flatnonzero(stream.frequent(n, maps.value) & stream.own)
-                _, first, group, count = np.unique(stream.keys(at, n), return_index=True, return_inverse=True, return_counts=True)
-                model = at[first[group]]
-                same = stream.lang[at] == stream.lang[model]
-                for k in range(n):
-                    same &= ids[at + k] == ids[model + k]
-                for w in at[~same]:
-                    found[stream.names[stream.lang[w]], n, stream.text(w, n)] += 1
-                count -= np.bincount(group[~same], minlength=len(count))
-                for w, c in zip(at[first].tolist(), count.tolist(), strict=True):
-                    found[stream.names[stream.lang[w]], n, stream.text(w, n)] += c
-            if len(found) > KEPT_TEXTS:
-                yield frame()
-        yield frame()
-
-    return work
-
-
 def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, words, phrase, n: every phrase of up to ``longest`` words that occurs ``least`` times in a language; and one row for each language
     with ``words`` 0, no phrase and the number of all its words.
@@ -286,15 +360,26 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
     are ignored. Texts of any length are read in parts of a megabyte that overlap by four words.
     """
     rows = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    maps: list[np.ndarray] = []
     context = documents.sparkSession.sparkContext
-    for n in range(1, longest + 1):
-        partial = rows.mapInPandas(_level(n, context.broadcast(list(maps))), "key long, n long")
-        counted = partial.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
-        maps.append(_bitmap(materialised(counted, f"fingerprints-{n}")))
-    texts = rows.mapInPandas(_materialise(context.broadcast(maps)), "lang string, words int, phrase string, n long")
-    counted = texts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return materialised(counted.where(f"words = 0 or n >= {least}"), "phrases")
+    counted = rows.mapInPandas(_word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    counted = materialised(counted.where(f"phrase is null or n >= {least}"), "phrases-1")
+    frequent = counted.where("phrase is not null")
+    numbered = known_words(frequent)
+    complete = len(numbered) == frequent.count()
+    words = context.broadcast(numbered)
+    maps: list[np.ndarray | None] = [None if complete else _bitmap(frequent.mapInPandas(_word_keys, "key long"))]
+    found = counted.selectExpr("lang", "if(phrase is null, 0, 1) as words", "phrase", "n")
+    for n in range(2, longest + 1):
+        names = _columns(n)
+        longs = ", ".join(f"{c} long" for c in names)
+        partial = rows.mapInPandas(_level(n, context.broadcast(list(maps)), words, complete), f"{longs}, lang string, rest string, n long")
+        grouped = partial.groupBy(*names, "lang", "rest").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        level = grouped.mapInPandas(_phrases(n, words), "lang string, words int, phrase string, n long, key long")
+        level = materialised(level, f"phrases-{n}")
+        found = found.unionByName(level.drop("key"))
+        if n < longest:
+            maps.append(_bitmap(level.select("key")))
+    return found
 
 
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:

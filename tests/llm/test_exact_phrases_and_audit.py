@@ -110,6 +110,32 @@ def test_phrases_survive_colliding_fingerprints(make, monkeypatch):
     assert sorted(tuple(r) for r in phrases.collocations(make(rows), least=4, top=50).collect()) == plain_collocations(rows, 4, 50)
 
 
+@pytest.mark.parametrize("known_bytes", [0, 250, 1 << 20])
+def test_collocations_with_words_that_have_no_number(make, odd_rows, monkeypatch, known_bytes):
+    monkeypatch.setattr(phrases, "KNOWN_BYTES", known_bytes)
+    monkeypatch.setattr(phrases, "KEPT_COUNTS", 5)
+    monkeypatch.setattr(phrases, "KEPT_TEXTS", 3)
+    rows = wordy_rows(7, 80) + odd_rows
+    found = phrases.collocations(make(rows), least=4, top=40).collect()
+    assert sorted(tuple(r) for r in found) == plain_collocations(rows, 4, 40)
+
+
+def test_tasks_hand_on_numbers_of_words_and_no_texts_of_phrases():
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    frame = phrases.pd.DataFrame({"lang": ["en", "de"], "text": ["a b a b. a b", "a b"]})
+    words = Held([("en", b"a"), ("en", b"b"), ("de", b"a"), ("de", b"b")])
+    parts = list(phrases._level(2, Held([None]), words, True)(iter([frame])))
+    assert sorted((r.w0 >> 32, r.w0 & 0xFFFFFFFF, r.n) for part in parts for r in part.itertuples()) == [(0, 1, 3), (1, 0, 1), (2, 3, 1)]
+    assert all(part["rest"].isna().all() for part in parts)
+    (texts,) = phrases._phrases(2, words)(iter(parts))
+    assert sorted(zip(texts["lang"], texts["phrase"], texts["n"])) == [("de", "a b", 1), ("en", "a b", 3), ("en", "b a", 1)]
+    stream = phrases.Stream([("en", b"a b", 3)], phrases.Powers())
+    assert phrases.key_of("en", b"a b", 2, phrases.Powers()) == stream.keys(np.array([0]), 2).view(np.int64)[0]
+
+
 def test_long_texts_are_cut_between_words():
     text = b"one two, three  " * 20
     parts = [own for chunk in phrases.chunks(iter([("en", text)])) for own in chunk]
