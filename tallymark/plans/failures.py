@@ -16,6 +16,7 @@ from tallymark.plans.suite import SuiteRun
 # failure types in the order of the report
 _DIFF, _MISSING_TARGET, _MISSING_SOURCE, _DUPLICATE = range(4)
 _PLACES = ("Source", "Target")
+_HEAP_ROWS = 100_000
 
 
 def key_texts(comparison: Comparison) -> str:
@@ -106,10 +107,10 @@ def detail_records(run: SuiteRun, max_rows: int) -> DataFrame:
     records of the table, and those that are not shown. Every task hands on at most ``max_rows`` records of a table; without a limit,
     ``failure_records`` returns them all. A table without failures has no rows; a run without comparisons is an error.
     """
-    layers, parts = list(run.pipeline.layers), []
+    layers, parts = list(run.pipeline.layers), {}
     for (layer, table, check), comparison in run.comparisons().items():
         cells = ", ".join(f"{lit(c)}, {quoted(c)}" for c in comparison.columns)
-        parts.append(
+        parts.setdefault(table, []).append(
             comparison_records(comparison, layer, layers.index(layer)).selectExpr(
                 "layer", f"{lit(table)} as `table`", f"{lit(check)} as validation", "failure_type", "row_destination",
                 "array_join(_key, '|') as key", f"to_json(map({cells})) as `row`", "highlight", "_layer", "_kind", "_key",
@@ -117,11 +118,15 @@ def detail_records(run: SuiteRun, max_rows: int) -> DataFrame:
         )
     if not parts:
         raise ValueError("no comparison ran")
-    records = reduce(lambda a, b: a.unionByName(b), parts)
-    order = "_layer, _kind, _key, row_destination, validation, `row`"
-    first = records.selectExpr("*", f"row_number() over (partition by `table` order by {order}) as rank").where(f"rank <= {int(max_rows)}")
-    totals = records.groupBy("table").count().hint("broadcast")  # one row for each table
-    return first.join(totals, "table").selectExpr(
+    of_tables = [reduce(lambda a, b: a.unionByName(b), found) for found in parts.values()]
+    order = ["_layer", "_kind", "_key", "row_destination", "validation", "`row`"]
+    # a limit behind an order is a heap of so many records in every task, where a window alone would sort all of them
+    few = int(max_rows) <= _HEAP_ROWS
+    first = reduce(lambda a, b: a.unionByName(b), [rows.orderBy(*order).limit(int(max_rows)) if few else rows for rows in of_tables])
+    ranked = first.selectExpr("*", f"row_number() over (partition by `table` order by {', '.join(order)}) as rank").where(f"rank <= {int(max_rows)}")
+    counted = reduce(lambda a, b: a.unionByName(b), [rows.select("table") for rows in of_tables])
+    totals = counted.groupBy("table").count().hint("broadcast")  # one row for each table
+    return ranked.join(totals, "table").selectExpr(
         "layer", "`table`", "validation", "failure_type", "row_destination", "key", "`row`", "highlight", "rank",
         "`count` as total", f"greatest(0L, `count` - {int(max_rows)}) as left_out",
     )

@@ -110,3 +110,13 @@ def test_detail_records_with_any_limit(spark):
         assert (rows["max(rank)"], rows["max(total)"], rows["max(left_out)"]) == (n, n, 0)
     shown = {tuple(r) for r in detail_records(run, 3).groupBy("table", "left_out").count().collect()}
     assert shown == {(r["table"], r["max(total)"] - 3, 3) for r in every}
+
+
+def test_few_detail_records_are_taken_without_sorting_all(spark):
+    from tallymark.plans.failures import detail_records
+    from tallymark.plans.suite import run_suite
+    from tallymark.registry import derive
+
+    run = run_suite(derive.store(spark, DATA), derive.pipeline(), keep_issues=True)
+    assert "TakeOrderedAndProject" in plan_of(detail_records(run, 3))
+    assert "TakeOrderedAndProject" not in plan_of(detail_records(run, 10**9))
