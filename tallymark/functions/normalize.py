@@ -134,9 +134,11 @@ def values_equal(
         return f"({both_null} or coalesce(abs({a} - {b}) < {TOLERANCE}, false))"
     if kinds & _NUMERIC:
         return both_null
+    # most texts are equal as they stand, or in lower case: those need neither stripping nor folding
+    same = f"{left} <=> {right} or " if isinstance(left_type, T.StringType) and isinstance(right_type, T.StringType) else ""
     if case_insensitive:
-        return f"({a} <=> {b} or {folded(a)} <=> {folded(b)})"
-    return f"{a} <=> {b}"
+        return f"({same}{a} <=> {b} or lower({a}) <=> lower({b}) or {folded(a)} <=> {folded(b)})"
+    return f"({same}{a} <=> {b})"
 
 
 def key_value(value: str, dtype: T.DataType, other: T.DataType | None = None) -> str:

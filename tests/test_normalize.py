@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import types as T
 
-from tallymark.functions.normalize import BLANK_TEXT, kind_of, key_value, normalised, values_equal
+from tallymark.functions.normalize import BLANK_TEXT, folded, kind_of, key_value, normalised, values_equal
 from tallymark.functions.rules import broken, register_rule, rule_names
 from tallymark.spec import RuleSpec
 
@@ -106,3 +106,16 @@ def test_rule_registry(spark):
     register_rule("starts_with", lambda value, dtype, setting: f"not startswith({value}, '{setting}')")
     assert "starts_with" in rule_names()
     assert breaks(spark, RuleSpec("v", "starts_with", "a"), ["ab", "ba", None]) == ["ba"]
+
+
+def test_equal_texts_are_not_folded():
+    text = T.StringType()
+    assert values_equal("a", text, "b", text, True).startswith("(a <=> b or ")
+    assert values_equal("a", text, "b", text).startswith("(a <=> b or ")
+    assert not values_equal("a", T.DoubleType(), "b", T.DoubleType()).startswith("(a <=> b")
+
+
+def test_texts_equal_in_lower_case_are_equal_when_folded(spark):
+    letters = spark.range(1, 0x110000).where("id not between 55296 and 57343").selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') as c")
+    assert letters.selectExpr("count(distinct c) as n").first()["n"] == 0x110000 - 1 - 2048
+    assert letters.where(f"lower(c) != c and not {folded('c')} <=> {folded('lower(c)')}").collect() == []
