@@ -35,7 +35,6 @@ _WORD_BYTES = 64  # what a word costs beside its letters
 _PAIR_BUCKETS = 1 << 15
 _ID_BITS = 20
 _NONE = 1 << 30
-_OPEN = -1  # stands for a word whose ids are still to come
 _WORDS_AT_ONCE = 1 << 18
 _WORDS_COUNTED = 1 << 18
 _IDS_IN_BATCH = 1 << 20
@@ -94,6 +93,10 @@ class Ranks:
 
         return F.zip_with(lefts, rights, rank)
 
+    def kind(self) -> str:
+        """How ids are kept: in two bytes if the largest number of two bytes, which stands for a word whose ids are still to come, is no id."""
+        return "<u2" if max(self.ranks.values(), default=0) < 0xFFFF else "<u4"
+
     def words(self) -> list[tuple[str, int]]:
         """The tokens that are whole texts: such a word is one token, whatever its merges would give."""
         found = ((token.decode("utf-8", "ignore"), token, rank) for token, rank in self.ranks.items())
@@ -229,8 +232,8 @@ def folded_words(texts: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     return materialised(short.unionByName(long), "folded")
 
 
-def known_words(folded: DataFrame) -> dict[str, bytes]:
-    """Ids (32 bits each) of the most frequent words, within ``KNOWN_BYTES``; counts are cut at powers of two."""
+def known_words(folded: DataFrame, kind: str) -> dict[str, bytes]:
+    """Ids (of ``Ranks.kind``) of the most frequent words, within ``KNOWN_BYTES``; counts are cut at powers of two."""
     cost = F.octet_length("word") + 4 * F.size("ids") + _WORD_BYTES
     sizes = folded.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level"))
     least, total = 1 << 62, 0
@@ -240,14 +243,14 @@ def known_words(folded: DataFrame) -> dict[str, bytes]:
             break
         least = 1 << row["level"]
     frequent = folded.where(F.col("n") >= least).select("word", "ids").toPandas()
-    return {word: np.asarray(ids, "<i4").tobytes() for word, ids in zip(frequent["word"], frequent["ids"], strict=True)}
+    return {word: np.asarray(ids).astype(kind).tobytes() for word, ids in zip(frequent["word"], frequent["ids"], strict=True)}
 
 
-def _looked_up(known, pattern: str):
+def _looked_up(known, pattern: str, kind: str):
     """The ids of the known words of each text in their places, and the other words in order."""
 
     def work(batches):
-        compiled, get, absent = regex.compile(pattern), known.value.get, np.array([_OPEN], "<i4").tobytes()
+        compiled, get, absent = regex.compile(pattern), known.value.get, _open(kind).tobytes()
         done: dict[str, list] = {"doc_id": [], "text_md5": [], "ids": [], "open_words": []}
         held = 0
 
@@ -266,7 +269,7 @@ def _looked_up(known, pattern: str):
                 done["text_md5"].append(digest)
                 done["ids"].append(b"".join(ids))
                 done["open_words"].append(late)
-                held += len(done["ids"][-1]) // 4
+                held += len(done["ids"][-1]) // len(absent)
                 if held > _IDS_IN_BATCH:
                     yield rows()
                     done, held = {name: [] for name in done}, 0
@@ -275,24 +278,31 @@ def _looked_up(known, pattern: str):
     return work
 
 
-def _assemble(batches):
+def _open(kind: str) -> np.generic:
+    """Stands for a word whose ids are still to come."""
+    return np.dtype(kind).type(np.iinfo(kind).max)
+
+
+def _assembled(kind: str):
     """Put the ids of open words, in the order of their places, into the ids of a text."""
-    for frame in batches:
-        done = []
-        for raw, late in zip(frame["ids"], frame["late"], strict=True):
-            ids = np.frombuffer(raw, "<i4")
-            at = np.flatnonzero(ids == _OPEN)
-            if len(at) != (0 if late is None else len(late)):
-                raise ValueError("a text has not got the ids of all its words")
-            if not len(at):
-                done.append(ids)
-                continue
-            sizes = np.ones(len(ids), np.int64)
-            sizes[at] = [len(own) for own in late]
-            full = np.repeat(ids, sizes)
-            full[np.repeat(ids == _OPEN, sizes)] = np.concatenate(late)
-            done.append(full)
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "text_md5": frame["text_md5"], "ids": pd.Series(done, dtype=object)})
+
+    def work(batches):
+        for frame in batches:
+            done = []
+            for raw, late in zip(frame["ids"], frame["late"], strict=True):
+                ids = np.frombuffer(raw, kind)
+                at = np.flatnonzero(ids == _open(kind))
+                if len(at) != (0 if late is None else len(late)):
+                    raise ValueError("a text has not got the ids of all its words")
+                sizes = np.ones(len(ids), np.int64)
+                sizes[at] = [len(own) for own in late] if len(at) else 0
+                full = np.repeat(ids.astype(np.int32), sizes)
+                if len(at):
+                    full[np.repeat(ids == _open(kind), sizes)] = np.concatenate(late)
+                done.append(full)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_md5": frame["text_md5"], "ids": pd.Series(done, dtype=object)})
+
+    return work
 
 
 def encode(documents: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
@@ -300,15 +310,15 @@ def encode(documents: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     folded = folded_words(texts, ranks, pattern)
-    known = spark.sparkContext.broadcast(known_words(folded))
+    known = spark.sparkContext.broadcast(known_words(folded, ranks.kind()))
     rows = texts.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("text_md5"), "text")
-    looked_up = rows.mapInPandas(_looked_up(known, pattern), "doc_id long, text_md5 binary, ids binary, open_words array<string>")
+    looked_up = rows.mapInPandas(_looked_up(known, pattern, ranks.kind()), "doc_id long, text_md5 binary, ids binary, open_words array<string>")
     coded = materialised(looked_up.withColumn("row", F.monotonically_increasing_id()), "coded")
     late = coded.select("row", F.posexplode("open_words").alias("place", "word"))
     joined = late.join(folded.select("word", F.col("ids").alias("own")), "word")
     gathered = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("l")).selectExpr("row", "l.own as late")
     complete = coded.drop("open_words").join(gathered.hint("merge"), "row", "left").select("doc_id", "text_md5", "ids", "late")
-    return complete.mapInPandas(_assemble, "doc_id long, text_md5 binary, ids array<int>")
+    return complete.mapInPandas(_assembled(ranks.kind()), "doc_id long, text_md5 binary, ids array<int>")
 
 
 def decode(ids: Column, held: Column) -> Column:

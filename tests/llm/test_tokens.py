@@ -51,6 +51,18 @@ def test_bpe_of_many_distinct_words(spark, make):
     assert {r["doc_id"]: r["ids"] for r in found} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
+def test_ids_take_two_bytes_where_they_fit(spark, make, tmp_path):
+    assert bpe.Ranks(RANKS).kind() == "<u2"
+    for last, kind in ((65_534, "<u2"), (65_535, "<u4")):
+        path = tmp_path / f"{last}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b if b < 255 else last}\n" for b in range(256)))
+        ranks = bpe.Ranks(str(path))
+        assert ranks.kind() == kind
+        texts = ["abc de", "\u00ff \u00e9t\u00e9", ""]
+        found = bpe.encode(make([(i, t, "s", "en") for i, t in enumerate(texts)]), ranks, public_tokenizers.PATTERN).collect()
+        assert {r["doc_id"]: r["ids"] for r in found} == {i: list(t.encode()) for i, t in enumerate(texts)}
+
+
 def test_heap_merges_equal_the_library():
     library = library_of_ranks()
     rng = random.Random(2)
