@@ -8,6 +8,10 @@ fingerprint of any n-gram as the difference of two of them, times an inverse pow
    their words, count); an n-gram that holds a frequent word without a number goes as text;
 3. the fingerprints of the frequent n-grams become a bitmap of bounded size; a false positive only costs work.
 
+Many n-grams of frequent parts are rare themselves, the more of them the more parts reach the fixed threshold. From n = 3 on, where that many
+occurrences are to be expected, they are screened before they are counted: their fingerprints are dealt into buckets, two bytes an occurrence,
+and only n-grams whose bucket has come to the threshold are counted. No frequent one can be in another bucket.
+
 Numbers and texts tell n-grams apart exactly: counts do not depend on fingerprints, which can only let too much through. Each level is
 its own result, so that no occurrence is looked up again, and texts of phrases are written once, behind the shuffle.
 """
@@ -38,6 +42,13 @@ KNOWN_BYTES = 16 << 20
 
 BITS_PER_KEY = 16
 MOST_BITS = 1 << 29
+SCREENED_FROM = 1_000_000
+"""Occurrences of frequent (n-1)-grams from which n-grams are screened before they are counted."""
+
+SCREEN_LOAD = 8
+"""Occurrences for each bucket of a screen, as far as ``MOST_BITS`` allows."""
+
+KEPT_PLACES = 2_000_000
 _BLOCK_BITS = 16
 _WORD_BYTES = 64  # what a word costs beside its letters
 
@@ -135,11 +146,14 @@ class Stream:
         value = (self.prefix[self.end[at + n - 1]] - self.prefix[start]) * self.down[start]
         return _mix(value + self.salt[at] * np.uint64(2 * n + 1) + np.uint64(n))
 
-    def numbers(self, known: dict[str, dict[bytes, int]]) -> np.ndarray:
-        """The number of each word; -1 for words without one."""
-        words = self.bytes.tobytes().split(b" ")
+    def numbers(self, known: dict[str, dict[bytes, int]], at: np.ndarray | None = None) -> np.ndarray:
+        """The number of each word, or of those ``at`` some places; -1 for words without one."""
+        raw = self.bytes.tobytes()
         gets = [known.get(name, {}).get for name in self.names]
-        return np.fromiter((gets[i](word, -1) for i, word in zip(self.lang.tolist(), words)), np.int64, self.words)
+        if at is None:
+            return np.fromiter((gets[i](word, -1) for i, word in zip(self.lang.tolist(), raw.split(b" "))), np.int64, self.words)
+        places = zip(self.lang[at].tolist(), self.start[at].tolist(), self.end[at].tolist(), strict=True)
+        return np.fromiter((gets[i](raw[a:b], -1) for i, a, b in places), np.int64, len(at))
 
     def frequent(self, n: int, maps: list[np.ndarray | None], alive: np.ndarray) -> np.ndarray:
         """Words that begin an n-gram which all bitmaps up to length n (or as many as there are) let through; ``alive``: the words to look at."""
@@ -186,6 +200,12 @@ def in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return found
 
 
+def _passes(keys: np.ndarray, screen: np.ndarray) -> np.ndarray:
+    """Which keys are in a bucket that has come to the threshold."""
+    place = keys & np.uint64(8 * len(screen) - 1)
+    return (screen[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 def _texts(batches) -> Iterator[tuple[str, bytes]]:
     for frame in batches:
         for lang, text in zip(frame["lang"], frame["text"], strict=True):
@@ -244,7 +264,38 @@ def _columns(n: int) -> list[str]:
     return [f"w{k}" for k in range(0, n, 2)]
 
 
-def _level(n: int, maps, words, complete: bool):
+def _buckets(n: int, maps, bits: int, least: int):
+    """The buckets of the n-grams whose parts are frequent, in blocks: one for each occurrence, but of one bucket not more than ``least`` at once,
+    which tell as much as all."""
+
+    def work(batches):
+        powers, held, size = Powers(), [], 0
+
+        def blocks() -> pd.DataFrame:
+            places = np.sort(np.concatenate(held))
+            new = np.ones(len(places), bool)
+            new[least:] = places[least:] != places[:-least]
+            places = places[new]
+            block = places >> np.uint32(_BLOCK_BITS)
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            inside = np.split((places & np.uint32((1 << _BLOCK_BITS) - 1)).astype("<u2"), first[1:])
+            return pd.DataFrame({"block": block[first].astype(np.int64), "bit": pd.Series([part.tobytes() for part in inside], dtype=object)})
+
+        for chunk in chunks(_texts(batches)):
+            stream = Stream(chunk, powers)
+            at = np.flatnonzero(stream.frequent(n, maps.value, np.ones(stream.words, bool)) & stream.own)
+            held.append((stream.keys(at, n) & np.uint64(bits - 1)).astype(np.uint32))
+            size += len(at)
+            if size > KEPT_PLACES:
+                yield blocks()
+                held, size = [], 0
+        if size:
+            yield blocks()
+
+    return work
+
+
+def _level(n: int, maps, words, complete: bool, screen=None):
     """n-grams by the numbers of their words, with counts. If not all frequent words have numbers, the other n-grams come as text."""
 
     def work(batches):
@@ -265,12 +316,20 @@ def _level(n: int, maps, words, complete: bool):
 
         for chunk in chunks(_texts(batches)):
             stream = Stream(chunk, powers)
-            numbers = stream.numbers(known)
-            alive = numbers >= 0 if complete else np.ones(stream.words, bool)
-            at = np.flatnonzero(stream.frequent(n, maps.value, alive) & stream.own)
+            if n == 2:  # nearly every word is looked at
+                numbers = stream.numbers(known)
+                alive = numbers >= 0 if complete else np.ones(stream.words, bool)
+                at = np.flatnonzero(stream.frequent(n, maps.value, alive) & stream.own)
+            else:
+                at = np.flatnonzero(stream.frequent(n, maps.value, np.ones(stream.words, bool)) & stream.own)
+                if screen is not None:
+                    at = at[_passes(stream.keys(at, n), screen.value)]
+                needed = np.unique(at[:, None] + np.arange(n))
+                numbers = np.full(stream.words, -1, np.int64)
+                numbers[needed] = stream.numbers(known, needed)
             own = numbers[at[:, None] + np.arange(n)]
             whole = (own >= 0).all(axis=1)
-            for w in at[~whole].tolist():
+            for w in [] if complete else at[~whole].tolist():  # if all frequent words have numbers, the others let a bitmap through by mistake
                 rest[stream.names[stream.lang[w]], stream.text(w, n)] += 1
             held.append(_added_up(_packed(own[whole]), np.ones(int(whole.sum()), np.int64)))
             size += len(held[-1][1])
@@ -344,13 +403,35 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
         F.explode(F.array(F.col("key").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(bits - 1)))).alias("place")
     ).distinct()
     placed = places.select(F.shiftright("place", _BLOCK_BITS).alias("block"), F.col("place").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("bit"))
+    return _of_blocks(placed, _bitmap_block, bits)
+
+
+def _of_blocks(placed: DataFrame, work, bits: int) -> np.ndarray:
     bitmap = np.zeros(bits // 8, np.uint8)
     size = (1 << _BLOCK_BITS) // 8
-    for row in map_groups(placed, ["block"], ["bit"], _bitmap_block, "block long, bits binary").toLocalIterator():
+    for row in map_groups(placed, ["block"], ["bit"], work, "block long, bits binary").toLocalIterator():
         bitmap[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return bitmap
 
 
+def _screen_block(least: int):
+    def work(key, columns):
+        counts = np.zeros(1 << _BLOCK_BITS, np.int64)
+        for part in columns[0]:
+            counts += np.bincount(np.frombuffer(part, "<u2"), minlength=len(counts))
+        yield key[0], np.packbits(counts >= least, bitorder="little").tobytes()
+
+    return work
+
+
+def _screen(rows: DataFrame, n: int, maps, occurrences: int, least: int) -> np.ndarray:
+    """A bit for each bucket of fingerprints: whether the n-grams in it, all together, come to ``least``. ``occurrences`` is about how many there
+    can be; a bucket gets ``SCREEN_LOAD`` of them, as long as the screen is within ``MOST_BITS`` (64 MB)."""
+    least = max(1, least)
+    bits = min(MOST_BITS, max(1 << _BLOCK_BITS, 1 << (occurrences // SCREEN_LOAD).bit_length()))
+    return _of_blocks(rows.mapInPandas(_buckets(n, maps, bits, least), "block long, bit binary"), _screen_block(least), bits)
+
+
 def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, words, phrase, n: every phrase of up to ``longest`` words that occurs ``least`` times in a language; and one row for each language
     with ``words`` 0, no phrase and the number of all its words.
@@ -372,7 +453,10 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
     for n in range(2, longest + 1):
         names = _columns(n)
         longs = ", ".join(f"{c} long" for c in names)
-        partial = rows.mapInPandas(_level(n, context.broadcast(list(maps)), words, complete), f"{longs}, lang string, rest string, n long")
+        shared, screen = context.broadcast(list(maps)), None
+        if n > 2 and (occurrences := level.agg(F.sum("n")).first()[0] or 0) >= SCREENED_FROM:
+            screen = context.broadcast(_screen(rows, n, shared, occurrences, least))
+        partial = rows.mapInPandas(_level(n, shared, words, complete, screen), f"{longs}, lang string, rest string, n long")
         grouped = partial.groupBy(*names, "lang", "rest").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         level = grouped.mapInPandas(_phrases(n, words), "lang string, words int, phrase string, n long, key long")
         level = materialised(level, f"phrases-{n}")

@@ -136,6 +136,42 @@ def test_tasks_hand_on_numbers_of_words_and_no_texts_of_phrases():
     assert phrases.key_of("en", b"a b", 2, phrases.Powers()) == stream.keys(np.array([0]), 2).view(np.int64)[0]
 
 
+@pytest.mark.parametrize("known_bytes", [250, 1 << 20])
+def test_collocations_of_screened_phrases(make, odd_rows, monkeypatch, known_bytes):
+    monkeypatch.setattr(phrases, "SCREENED_FROM", 0)
+    monkeypatch.setattr(phrases, "KEPT_PLACES", 7)
+    monkeypatch.setattr(phrases, "KNOWN_BYTES", known_bytes)
+    rows = wordy_rows(8, 120) + odd_rows
+    assert sorted(tuple(r) for r in phrases.collocations(make(rows), least=4, top=40).collect()) == plain_collocations(rows, 4, 40)
+
+
+def test_rare_phrases_of_frequent_parts_are_not_counted(make, monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(rng.choice([f"w{rng.randrange(40)}", "w1 w2 w3"]) for _ in range(40_000))
+    rows, real, handed_on = [(i, part, "s", "en") for i, part in enumerate([text[:100_000], text[100_000:]])], phrases._level, []
+
+    def counted(n, *arguments):
+        work, rows_of = real(n, *arguments), make([]).sparkSession.sparkContext.accumulator(0)
+        handed_on.append(rows_of)
+
+        def counting(batches):
+            for frame in work(batches):
+                rows_of.add(len(frame))
+                yield frame
+
+        return counting
+
+    monkeypatch.setattr(phrases, "_level", counted)
+    monkeypatch.setattr(phrases, "SCREENED_FROM", 1_000, raising=False)
+    found = {r["phrase"]: r["n"] for r in phrases.frequent_phrases(make(rows), least=12, longest=3).collect() if r["words"] == 3}
+    expected = Counter()
+    for _, part, *_ in rows:
+        words = part.split(" ")
+        expected.update(zip(words, words[1:], words[2:]))
+    assert found == {" ".join(p): n for p, n in expected.items() if n >= 12}
+    assert len(found) < handed_on[1].value < len(expected) / 5
+
+
 def test_long_texts_are_cut_between_words():
     text = b"one two, three  " * 20
     parts = [own for chunk in phrases.chunks(iter([("en", text)])) for own in chunk]
