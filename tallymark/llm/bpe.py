@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallymark.session import materialised
 
-KNOWN_BYTES = 8 << 20
+KNOWN_BYTES = 16 << 20
 """Bound of the words (with their ids) that every task holds."""
 
 LONG_WORD_BYTES = 1_000
@@ -174,12 +174,21 @@ def merge_long(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _long_words(ranks):
+def packed(ids: Column, kind: str) -> Column:
+    """An array of ids as bytes, two or four for each (``Ranks.kind``), the highest first; null if it holds a null."""
+    digits = 2 * np.dtype(kind).itemsize
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), "", "?"))
+
+
+def _highest_first(kind: str) -> np.dtype:
+    return np.dtype(kind).newbyteorder(">")
+
+
+def _long_words(ranks, kind: str):
     def work(batches):
         for frame in batches:
-            yield pd.DataFrame(
-                {"word": frame["word"], "n": frame["n"], "ids": [merge_long(w.encode("utf-8", "surrogatepass"), ranks.value) for w in frame["word"]]}
-            )
+            ids = [merge_long(w.encode("utf-8", "surrogatepass"), ranks.value) for w in frame["word"]]
+            yield pd.DataFrame({"word": frame["word"], "n": frame["n"], "ids": [np.array(own, _highest_first(kind)).tobytes() for own in ids]})
 
     return work
 
@@ -216,7 +225,7 @@ def _counted(pattern: str):
 
 
 def folded_words(texts: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
-    """word, n, ids: every distinct word of the texts, folded once."""
+    """word, n, ids (``packed``): every distinct word of the texts, folded once."""
     spark = texts.sparkSession
     of_tasks = texts.select("text").mapInPandas(_counted(pattern), "word string, n long")
     counted = materialised(of_tasks.groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -226,15 +235,16 @@ def folded_words(texts: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     is_long = F.octet_length("word") > LONG_WORD_BYTES
     ranked = with_constant(spread.where(~is_long).join(whole.hint("broadcast"), "word", "left"), ranks.tables(spark))
     is_token = F.col("rank").isNotNull()
-    short = ranked.select("word", "n", F.when(is_token, F.array("rank")).otherwise(fold_merges(F.col("word"), F.col("held"))).alias("ids"))
-    by_heap = _long_words(spark.sparkContext.broadcast(ranks.ranks))
-    long = spread.where(is_long).mapInPandas(by_heap, "word string, n long, ids array<int>")
+    ids = F.when(is_token, F.array("rank")).otherwise(fold_merges(F.col("word"), F.col("held")))
+    short = ranked.select("word", "n", packed(ids, ranks.kind()).alias("ids"))
+    by_heap = _long_words(spark.sparkContext.broadcast(ranks.ranks), ranks.kind())
+    long = spread.where(is_long).mapInPandas(by_heap, "word string, n long, ids binary")
     return materialised(short.unionByName(long), "folded")
 
 
 def known_words(folded: DataFrame, kind: str) -> dict[str, bytes]:
     """Ids (of ``Ranks.kind``) of the most frequent words, within ``KNOWN_BYTES``; counts are cut at powers of two."""
-    cost = F.octet_length("word") + 4 * F.size("ids") + _WORD_BYTES
+    cost = F.octet_length("word") + F.octet_length("ids") + _WORD_BYTES
     sizes = folded.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level"))
     least, total = 1 << 62, 0
     for row in sizes.collect():  # at most 64 rows
@@ -243,7 +253,7 @@ def known_words(folded: DataFrame, kind: str) -> dict[str, bytes]:
             break
         least = 1 << row["level"]
     frequent = folded.where(F.col("n") >= least).select("word", "ids").toPandas()
-    return {word: np.asarray(ids).astype(kind).tobytes() for word, ids in zip(frequent["word"], frequent["ids"], strict=True)}
+    return {word: np.frombuffer(ids, _highest_first(kind)).astype(kind).tobytes() for word, ids in zip(frequent["word"], frequent["ids"], strict=True)}
 
 
 def _looked_up(known, pattern: str, kind: str):
@@ -295,10 +305,10 @@ def _assembled(kind: str):
                 if len(at) != (0 if late is None else len(late)):
                     raise ValueError("a text has not got the ids of all its words")
                 sizes = np.ones(len(ids), np.int64)
-                sizes[at] = [len(own) for own in late] if len(at) else 0
+                sizes[at] = [len(own) // ids.itemsize for own in late] if len(at) else 0
                 full = np.repeat(ids.astype(np.int32), sizes)
                 if len(at):
-                    full[np.repeat(ids == _open(kind), sizes)] = np.concatenate(late)
+                    full[np.repeat(ids == _open(kind), sizes)] = np.frombuffer(b"".join(late), _highest_first(kind))
                 done.append(full)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "text_md5": frame["text_md5"], "ids": pd.Series(done, dtype=object)})
 
@@ -313,7 +323,7 @@ def encode(documents: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     known = spark.sparkContext.broadcast(known_words(folded, ranks.kind()))
     rows = texts.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("text_md5"), "text")
     looked_up = rows.mapInPandas(_looked_up(known, pattern, ranks.kind()), "doc_id long, text_md5 binary, ids binary, open_words array<string>")
-    coded = materialised(looked_up.withColumn("row", F.monotonically_increasing_id()), "coded")
+    coded = materialised(looked_up.withColumn("row", F.monotonically_increasing_id()), "coded", compression="zstd")
     late = coded.select("row", F.posexplode("open_words").alias("place", "word"))
     joined = late.join(folded.select("word", F.col("ids").alias("own")), "word")
     gathered = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("l")).selectExpr("row", "l.own as late")

@@ -34,11 +34,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, purpose: str = "table") -> DataFrame:
+def materialised(df: DataFrame, purpose: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in shared storage and read it back.
 
-    All later plans see the same rows, also after lost executors, and read only the columns they need.
+    All later plans see the same rows, also after lost executors, and read only the columns they need. ``compression`` is the codec, if not
+    that of the session.
     """
     folder = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -51,6 +51,16 @@ def test_bpe_of_many_distinct_words(spark, make):
     assert {r["doc_id"]: r["ids"] for r in found} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
+def test_ids_of_words_are_kept_in_bytes(spark, make):
+    ranks = bpe.Ranks(RANKS)
+    long = "ab" * bpe.LONG_WORD_BYTES
+    found = bpe.folded_words(make([(1, f"the Unzeitgem\u00e4\u00dfheit {long}", "s", "en")]), ranks, public_tokenizers.PATTERN).collect()
+    library = library_of_ranks()
+    assert {r["word"]: np.frombuffer(r["ids"], ">u2").tolist() for r in found} == {w: library.encode_ordinary(w) for w in ("the", " Unzeitgem\u00e4\u00dfheit", f" {long}")}
+    with_null = spark.sql("select array(1, 65534) as a, array(1, null) as b").select(bpe.packed(bpe.F.col("a"), "<u4"), bpe.packed(bpe.F.col("b"), "<u2"))
+    assert [x and bytes(x) for x in with_null.first()] == [b"\0\0\0\1\0\0\xff\xfe", None]
+
+
 def test_ids_take_two_bytes_where_they_fit(spark, make, tmp_path):
     assert bpe.Ranks(RANKS).kind() == "<u2"
     for last, kind in ((65_534, "<u2"), (65_535, "<u4")):
