@@ -147,7 +147,7 @@ def test_collocations_of_screened_phrases(make, odd_rows, monkeypatch, known_byt
 
 def test_rare_phrases_of_frequent_parts_are_not_counted(make, monkeypatch):
     rng = random.Random(3)
-    text = " ".join(rng.choice([f"w{rng.randrange(40)}", "w1 w2 w3"]) for _ in range(40_000))
+    text = " ".join(f"w{rng.randrange(30)}" if rng.random() < 0.95 else "w1 w2 w3" for _ in range(40_000))
     rows, real, handed_on = [(i, part, "s", "en") for i, part in enumerate([text[:100_000], text[100_000:]])], phrases._level, []
 
     def counted(n, *arguments):
@@ -169,7 +169,7 @@ def test_rare_phrases_of_frequent_parts_are_not_counted(make, monkeypatch):
         words = part.split(" ")
         expected.update(zip(words, words[1:], words[2:]))
     assert found == {" ".join(p): n for p, n in expected.items() if n >= 12}
-    assert len(found) < handed_on[1].value < len(expected) / 5
+    assert len(found) <= handed_on[1].value < len(expected) / 5
 
 
 def test_long_texts_are_cut_between_words():
