@@ -9,6 +9,7 @@ Every block has a checksum of its ids.
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import types
@@ -30,8 +31,8 @@ BLOCK_IDS = 64 * SEGMENT
 PARTITION_IDS = 4_000_000
 TABLE_BITS = 20
 _LOW = np.uint64(1 << 31)
-_CACHED_WORDS = 2_000_000
-_TEXT_CHARACTERS = 4_000_000
+_CACHED_WORDS = 300_000  # of each of two generations; about 250 bytes a word
+_TEXT_CHARACTERS = 1_000_000
 _WORDS_AT_ONCE = 512
 _LETTERS_AND_SIGNS = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)$", re.MULTILINE)
 _LEAVE_SMALL_LETTERS = {"NFC", "Replace", "Lowercase"}  # normalisers that change no word of small Latin letters
@@ -48,18 +49,20 @@ def _worker_cache() -> types.ModuleType:
 class WordTokenizer:
     """The library's ids of texts, looked up word by word.
 
-    The tokenizers this is for drop white space before they merge, and so never join what a blank or a line feed separates: the ids of a text are those of its words, and each word is encoded once.
+    The tokenizers this is for drop white space before they merge, and so never join what a blank or a line feed separates: the ids of a text are those of its words, which are kept in two generations: a full one becomes the older one, and what is met again moves on.
     Special tokens hold neither; with ``special_tokens`` one that stands in a text is its own id, as by the library's default, else it is read
     like other text.
     """
 
     def __init__(self, definition: str, kind: str, special_tokens: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = not special_tokens
         self.kind = np.dtype(kind)
         self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -114,9 +117,12 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > _CACHED_WORDS:
-            self.words = {"": b""}
+            self.words, self.older = {"": b""}, self.words
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.words)
+        met_again = new.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in met_again)
+        new -= met_again
         if new:
             self._learn_new(new)
         known = self.words.__getitem__
@@ -270,6 +276,7 @@ def _encode_partition(freq: np.ndarray, kind: str, pad: int):
     def work(batches):
         from pyspark import TaskContext
 
+        _worker_cache().__dict__.clear()  # this worker may have been one that tokenized
         part, block, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
         size = np.dtype(kind).itemsize
 

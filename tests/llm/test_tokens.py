@@ -115,6 +115,21 @@ def test_special_tokens_in_texts_have_the_ids_of_the_library(spark, make, odd_ro
     assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found), key=repr) == sorted(expected, key=repr)
 
 
+def test_kept_words_are_bounded_and_those_met_again_stay(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(WORD_MODEL)
+    monkeypatch.setattr(rans, "_CACHED_WORDS", 100)
+    with open(WORD_MODEL, encoding="utf-8") as file:
+        tokenizer = rans.WordTokenizer(file.read(), "<u2", special_tokens=True)
+    learned, learn = [], tokenizer._learn_new
+    monkeypatch.setattr(tokenizer, "_learn_new", lambda new: (learned.extend(new), learn(new)))
+    for i in range(20):
+        text = "often, " + " ".join(f"w{i}x{j}" for j in range(60))
+        assert np.frombuffer(tokenizer.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(tokenizer.words) + len(tokenizer.older) < 400
+    assert learned.count("often,") == 1
+
+
 def test_empty_token_files(spark, make):
     folder = shared_folder(spark, "rans-test")
     rans.write_tokens(make([]), folder, WORD_MODEL, end_id=1)
