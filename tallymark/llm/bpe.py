@@ -5,22 +5,25 @@ what it joins to) until no pair has a rank. The ranks are a constant of the plan
 its start. A word whose bytes are a token is that token at once.
 
 Folding is dear and words repeat, so every distinct word of the corpus is folded once, and (word, ids) stays in a table. The most frequent words, as
-many as a bound of bytes allows, reach all tasks; one pass over the texts looks them up, and lists the other words. Those meet their ids in a join
-on the word, and their row again by its number, where their ids take the places left open.
+many as a bound of bytes allows, reach all tasks; one pass over the texts looks them up, and lists the other words. Its rows are dealt by number, and
+stay where they are dealt: the other words are read from there, meet their ids in a join on the word, and come back to their row by its number, where
+their ids take the places left open.
 Ranks and pieces are one-row tables, read as scalars: they get into tasks like literals, but not into the text of every plan, which the driver keeps.
-Words of more than a kilobyte are folded by a heap in Python tasks: an array that is copied for every merge would make them quadratic.
+Words of more than a kilobyte are merged by a heap in the tasks that count: an array that is copied for every merge would make them quadratic.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +40,9 @@ _ID_BITS = 20
 _NONE = 1 << 30
 _WORDS_AT_ONCE = 1 << 18
 _WORDS_COUNTED = 1 << 18
+_COUNTS_IN_BATCH = 1 << 15
 _IDS_IN_BATCH = 1 << 20
+_ROWS_AT_ONCE = 1 << 10
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -184,15 +189,6 @@ def _highest_first(kind: str) -> np.dtype:
     return np.dtype(kind).newbyteorder(">")
 
 
-def _long_words(ranks, kind: str):
-    def work(batches):
-        for frame in batches:
-            ids = [merge_long(w.encode("utf-8", "surrogatepass"), ranks.value) for w in frame["word"]]
-            yield pd.DataFrame({"word": frame["word"], "n": frame["n"], "ids": [np.array(own, _highest_first(kind)).tobytes() for own in ids]})
-
-    return work
-
-
 def _words_of(pattern: regex.Pattern, text: str | None) -> Iterator[list[str]]:
     """The words of a text, in lists of bounded length."""
     if not text:
@@ -205,41 +201,50 @@ def _words_of(pattern: regex.Pattern, text: str | None) -> Iterator[list[str]]:
         yield words
 
 
-def _counted(pattern: str):
+def _counted(ranks, pattern: str, kind: str):
+    """Each task's words with their counts, and the ids of long ones."""
+
     def work(batches):
         compiled, held = regex.compile(pattern), Counter()
 
-        def counts():
-            return pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": pd.Series(list(held.values()), dtype="int64")})
+        def long_ids(word: str) -> bytes | None:
+            if len(word) <= LONG_WORD_BYTES // 4 or len(raw := word.encode("utf-8", "surrogatepass")) <= LONG_WORD_BYTES:
+                return None
+            return np.array(merge_long(raw, ranks.value), _highest_first(kind)).tobytes()
 
-        for frame in batches:
-            for text in frame["text"]:
-                for words in _words_of(compiled, text):
+        def counts():
+            while held:
+                some = [held.popitem() for _ in range(min(len(held), _COUNTS_IN_BATCH))]
+                words, n = zip(*some, strict=True)
+                columns = [pa.array(words, "string"), pa.array(n, "int64"), pa.array(map(long_ids, words), "binary")]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "long_ids"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                for words in _words_of(compiled, text.as_py()):
                     held.update(words)
                     if len(held) > _WORDS_COUNTED:
-                        yield counts()
-                        held.clear()
-        yield counts()
+                        yield from counts()
+        yield from counts()
 
     return work
 
 
 def folded_words(texts: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
-    """word, n, ids (``packed``): every distinct word of the texts, folded once."""
+    """word, n, ids (``packed``): every distinct word of the texts, folded once.
+
+    It is counted and folded in one plan, without a table or an exchange between. Long words have got their ids in the tasks that count.
+    """
     spark = texts.sparkSession
-    of_tasks = texts.select("text").mapInPandas(_counted(pattern), "word string, n long")
-    counted = materialised(of_tasks.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    work = _counted(spark.sparkContext.broadcast(ranks.ranks), pattern, ranks.kind())
+    of_tasks = texts.select("text").mapInArrow(work, "word string, n long, long_ids binary")
+    counted = of_tasks.groupBy("word", "long_ids").agg(F.sum("n").alias("n"))
     whole = spark.createDataFrame(pd.DataFrame(ranks.words(), columns=["word", "rank"]), "word string, rank int")
-    parts = max(2 * spark.sparkContext.defaultParallelism, counted.count() // 50_000)
-    spread = counted.repartition(int(parts), "word")  # folding costs far more than its few bytes show
-    is_long = F.octet_length("word") > LONG_WORD_BYTES
-    ranked = with_constant(spread.where(~is_long).join(whole.hint("broadcast"), "word", "left"), ranks.tables(spark))
+    ranked = with_constant(counted.join(whole.hint("broadcast"), "word", "left"), ranks.tables(spark))
     is_token = F.col("rank").isNotNull()
     ids = F.when(is_token, F.array("rank")).otherwise(fold_merges(F.col("word"), F.col("held")))
-    short = ranked.select("word", "n", packed(ids, ranks.kind()).alias("ids"))
-    by_heap = _long_words(spark.sparkContext.broadcast(ranks.ranks), ranks.kind())
-    long = spread.where(is_long).mapInPandas(by_heap, "word string, n long, ids binary")
-    return materialised(short.unionByName(long), "folded")
+    either = F.when(F.col("long_ids").isNotNull(), F.col("long_ids")).otherwise(packed(ids, ranks.kind()))
+    return materialised(ranked.select("word", "n", either.alias("ids")), "folded")
 
 
 def known_words(folded: DataFrame, kind: str) -> dict[str, bytes]:
@@ -256,30 +261,43 @@ def known_words(folded: DataFrame, kind: str) -> dict[str, bytes]:
     return {word: np.frombuffer(ids, _highest_first(kind)).astype(kind).tobytes() for word, ids in zip(frequent["word"], frequent["ids"], strict=True)}
 
 
+def squeezed(raw: bytes, kind: str) -> bytes:
+    """Ids as zlib packs them: all their lowest bytes, then the next, because high bytes repeat and low ones do not."""
+    return zlib.compress(np.frombuffer(raw, np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes(), 1)
+
+
+def unsqueezed(packed: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.frombuffer(planes.T.tobytes(), kind)
+
+
+_LOOKED_UP = "doc_id long, text_md5 binary, ids binary, open_words array<string>"
+
+
 def _looked_up(known, pattern: str, kind: str):
     """The ids of the known words of each text in their places, and the other words in order."""
 
     def work(batches):
         compiled, get, absent = regex.compile(pattern), known.value.get, _open(kind).tobytes()
-        done: dict[str, list] = {"doc_id": [], "text_md5": [], "ids": [], "open_words": []}
+        kinds = {"doc_id": pa.int64(), "text_md5": pa.binary(), "ids": pa.binary(), "open_words": pa.list_(pa.string())}
+        done: dict[str, list] = {name: [] for name in kinds}
         held = 0
 
         def rows():
-            columns = {name: pd.Series(values, dtype=object) for name, values in done.items()}
-            return pd.DataFrame({**columns, "doc_id": pd.array(done["doc_id"], dtype="Int64")})
+            return pa.RecordBatch.from_arrays([pa.array(done[name], of) for name, of in kinds.items()], names=list(kinds))
 
-        for frame in batches:
-            for doc_id, digest, text in zip(frame["doc_id"], frame["text_md5"], frame["text"], strict=True):
+        for batch in batches:
+            for doc_id, digest, text in zip(*(batch.column(name) for name in ("doc_id", "text_md5", "text")), strict=True):
                 ids, late = [], []
-                for words in _words_of(compiled, text):
+                for words in _words_of(compiled, text.as_py()):
                     found = [get(w, absent) for w in words]
                     late += [w for w, x in zip(words, found, strict=True) if x is absent]
                     ids.append(b"".join(found))
-                done["doc_id"].append(None if pd.isna(doc_id) else int(doc_id))
-                done["text_md5"].append(digest)
-                done["ids"].append(b"".join(ids))
+                done["doc_id"].append(doc_id.as_py())
+                done["text_md5"].append(digest.as_py())
+                done["ids"].append(squeezed(raw := b"".join(ids), kind))
                 done["open_words"].append(late)
-                held += len(done["ids"][-1]) // len(absent)
+                held += len(raw) // len(absent)
                 if held > _IDS_IN_BATCH:
                     yield rows()
                     done, held = {name: [] for name in done}, 0
@@ -288,6 +306,20 @@ def _looked_up(known, pattern: str, kind: str):
     return work
 
 
+def _late_words(batches):
+    """The open words of each row with their places.
+
+    All columns come in, though two are used: with fewer, Spark would prune them before the rows are dealt, and deal (and look up) twice.
+    """
+    for batch in batches:
+        lists = batch.column("open_words")
+        of_row, words = lists.value_parent_indices(), lists.flatten()
+        owner = of_row.to_numpy(zero_copy_only=False)
+        first = np.searchsorted(owner, owner)
+        place = np.arange(len(owner)) - first
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(of_row), pa.array(place, "int32"), words], names=["row", "place", "word"])
+
+
 def _open(kind: str) -> np.generic:
     """Stands for a word whose ids are still to come."""
     return np.dtype(kind).type(np.iinfo(kind).max)
@@ -297,10 +329,10 @@ def _assembled(kind: str):
     """Put the ids of open words, in the order of their places, into the ids of a text."""
 
     def work(batches):
-        for frame in batches:
+        for frame in (some.iloc[at : at + _ROWS_AT_ONCE].reset_index(drop=True) for some in batches for at in range(0, len(some), _ROWS_AT_ONCE)):
             done = []
-            for raw, late in zip(frame["ids"], frame["late"], strict=True):
-                ids = np.frombuffer(raw, kind)
+            for packed_ids, late in zip(frame["ids"], frame["late"], strict=True):
+                ids = unsqueezed(packed_ids, kind)
                 at = np.flatnonzero(ids == _open(kind))
                 if len(at) != (0 if late is None else len(late)):
                     raise ValueError("a text has not got the ids of all its words")
@@ -316,18 +348,24 @@ def _assembled(kind: str):
 
 
 def encode(documents: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
-    """doc_id, text_md5, ids: the token ids of each whole text (null or empty: none)."""
+    """doc_id, text_md5, ids: the token ids of each whole text (null or empty: none).
+
+    The texts are looked up when the result is asked for, once each time.
+    """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     folded = folded_words(texts, ranks, pattern)
     known = spark.sparkContext.broadcast(known_words(folded, ranks.kind()))
     rows = texts.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("text_md5"), "text")
-    looked_up = rows.mapInPandas(_looked_up(known, pattern, ranks.kind()), "doc_id long, text_md5 binary, ids binary, open_words array<string>")
-    coded = materialised(looked_up.withColumn("row", F.monotonically_increasing_id()), "coded", compression="zstd")
-    late = coded.select("row", F.posexplode("open_words").alias("place", "word"))
+    looked_up = rows.mapInArrow(_looked_up(known, pattern, ranks.kind()), _LOOKED_UP).withColumn("row", F.monotonically_increasing_id())
+    dealt = looked_up.repartition("row")  # one exchange, read by the late words and again by the join of the rows
+    late = dealt.mapInArrow(_late_words, "row long, place int, word string")
     joined = late.join(folded.select("word", F.col("ids").alias("own")), "word")
     gathered = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("l")).selectExpr("row", "l.own as late")
-    complete = coded.drop("open_words").join(gathered.hint("merge"), "row", "left").select("doc_id", "text_md5", "ids", "late")
+    complete = dealt.join(gathered.hint("merge"), "row", "left")
+    all_there = F.size("open_words") == F.coalesce(F.size("late"), F.lit(0))
+    lost = F.raise_error(F.lit("a text has not got the ids of all its words"))
+    complete = complete.select("doc_id", "text_md5", "ids", F.when(all_there, F.col("late")).otherwise(lost).alias("late"))
     return complete.mapInPandas(_assembled(ranks.kind()), "doc_id long, text_md5 binary, ids array<int>")
 
 

@@ -12,7 +12,7 @@ import pytest
 from llm_fixtures import make, odd_rows  # noqa: F401 - fixtures
 
 from tallymark.llm import bpe, queries, rans
-from tallymark.session import shared_folder
+from tallymark.session import materialised, shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,29 @@ def test_bpe_of_many_distinct_words(spark, make):
     assert {r["doc_id"]: r["ids"] for r in found} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
+def test_texts_are_looked_up_once_and_not_written_before_they_are_dealt(spark, make, monkeypatch, capsys):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 0)
+    written = []
+    monkeypatch.setattr(bpe, "materialised", lambda df, name, *more, **named: (written.append(name), materialised(df, name, *more, **named))[1])
+    library = library_of_ranks()
+    texts = ["Unzeitgem\u00e4\u00dfheit one Unzeitgem\u00e4\u00dfheit", "", "x" * (bpe.LONG_WORD_BYTES + 1)]
+    found = bpe.encode(make([(i, t, "s", "en") for i, t in enumerate(texts)]), bpe.Ranks(RANKS), public_tokenizers.PATTERN)
+    assert {r["doc_id"]: r["ids"] for r in found.collect()} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert sorted(written) == ["folded", "ranks"]
+    found.explain()
+    final = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_ids_are_dealt_packed(kind):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1_000):
+        raw = (50_000 * rng.random(n) ** 4).astype(kind).tobytes()
+        assert bpe.unsqueezed(bpe.squeezed(raw, kind), kind).tobytes() == raw
+    assert len(bpe.squeezed(raw, kind)) < 0.95 * len(raw)
+
+
 def test_ids_of_words_are_kept_in_bytes(spark, make):
     ranks = bpe.Ranks(RANKS)
     long = "ab" * bpe.LONG_WORD_BYTES
