@@ -14,6 +14,7 @@ import re
 import sys
 import types
 import zlib
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ BLOCK_IDS = 64 * SEGMENT
 PARTITION_IDS = 4_000_000
 TABLE_BITS = 20
 _LOW = np.uint64(1 << 31)
-_CACHED_WORDS = 300_000  # of each of two generations; about 250 bytes a word
-_TEXT_CHARACTERS = 1_000_000
+_CACHED_WORDS = 700_000  # of each of two generations; about 250 bytes a word
+_TEXT_CHARACTERS = 2_000_000
 _WORDS_AT_ONCE = 512
 _LETTERS_AND_SIGNS = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)$", re.MULTILINE)
 _LEAVE_SMALL_LETTERS = {"NFC", "Replace", "Lowercase"}  # normalisers that change no word of small Latin letters
@@ -109,20 +110,23 @@ class WordTokenizer:
     def _learn_new(self, new: set[str]) -> None:
         """Latin letters with ASCII signs behind them are two pieces, and capitals are read as small letters, so the parts are learned."""
         known = self.words
-        parts = [(core, core.lower(), signs) for core, signs in _LETTERS_AND_SIGNS.findall("\n".join(new))]
-        self._learn_letters(list({small for _, small, _ in parts}.difference(known)))
-        others = {signs for _, _, signs in parts}.union(new.difference([core + signs for core, _, signs in parts]))
-        self._one_by_one(list(others.difference(known)))
-        known.update((core + signs, known[small] + known[signs]) for core, small, signs in parts)
+        parts = [(core + signs, core.lower(), signs) for core, signs in _LETTERS_AND_SIGNS.findall("\n".join(new))]
+        if not parts:
+            self._one_by_one(list(new))
+            return
+        wholes, small, signs = zip(*parts, strict=True)
+        self._learn_letters(list(set(small).difference(known)))
+        self._one_by_one(list(new.difference(wholes).union(signs).difference(known)))
+        known.update(zip(wholes, map(add, map(known.__getitem__, small), map(known.__getitem__, signs)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > _CACHED_WORDS:
             self.words, self.older = {"": b""}, self.words
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.words)
-        met_again = new.intersection(self.older)
-        self.words.update((w, self.older[w]) for w in met_again)
-        new -= met_again
+        met_again = [w for w in new if w in self.older]  # intersection() would go through all older words
+        self.words.update(zip(met_again, map(self.older.__getitem__, met_again), strict=True))
+        new.difference_update(met_again)
         if new:
             self._learn_new(new)
         known = self.words.__getitem__

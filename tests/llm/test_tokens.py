@@ -153,6 +153,24 @@ def test_kept_words_are_bounded_and_those_met_again_stay(monkeypatch):
     assert learned.count("often,") == 1
 
 
+def test_older_words_are_looked_up_and_not_gone_through(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(WORD_MODEL)
+    monkeypatch.setattr(rans, "_CACHED_WORDS", 10)
+
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("every batch goes through all older words")
+
+    with open(WORD_MODEL, encoding="utf-8") as file:
+        tokenizer = rans.WordTokenizer(file.read(), "<u2", special_tokens=True)
+    first, second = " ".join(f"w{i} Wort{i}, Zahl" for i in range(40)), "w3 Wort7, new?! Zahl ... Zahl."
+    for text in (first, second):
+        assert np.frombuffer(tokenizer.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+        tokenizer.words = Older(tokenizer.words)
+    assert "w3" in tokenizer.words and "w4" not in tokenizer.words
+
+
 def test_empty_token_files(spark, make):
     folder = shared_folder(spark, "rans-test")
     rans.write_tokens(make([]), folder, WORD_MODEL, end_id=1)
