@@ -4,10 +4,12 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 
 from llm_fixtures import make, odd_rows  # noqa: F401 - fixtures
 
@@ -65,6 +67,34 @@ def test_texts_are_looked_up_once_and_not_written_before_they_are_dealt(spark, m
     assert "ReusedExchange" in final
 
 
+def test_rare_words_are_folded_where_they_stand(spark, make, odd_rows, monkeypatch, capsys):
+    """No text and no rare word is shuffled: only counts are, before the result is asked for."""
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 2_000)
+    monkeypatch.setattr(bpe, "LATE_SHARE", 1)
+    monkeypatch.setattr(bpe, "_WORDS_COUNTED", 50)
+    monkeypatch.setattr(bpe, "_PARTS_KEPT", 20)
+    monkeypatch.setattr(bpe, "_IDS_IN_BATCH", 300)
+    monkeypatch.setattr(bpe, "_ROWS_AT_ONCE", 3)
+    library = library_of_ranks()
+    rare = [" ".join(f"Unzeitgem\u00e4\u00df{(i * 13 + j) % 60}heit w{(i + j) * 7_919 % 10**5:x}," for j in range(20)) for i in range(30)]
+    odd = [" a b", "a b ", "a  b", "a\n b", "a \nb", "a\nb c\n", "a b\n", "a b\n", "\x85 x", "x\xa0y z", "it's 's 'll x", "long " + "xy" * bpe.LONG_WORD_BYTES + " end \u6f22\u5b57"]
+    rows = [*odd_rows, *[(100 + i, t, "s", "en") for i, t in enumerate([*TEXTS, *odd, *rare])]]
+    found = bpe.encode(make(rows).coalesce(1), bpe.Ranks(RANKS), public_tokenizers.PATTERN)
+    texts = {hashlib.md5((t or "").encode()).digest(): t or "" for _, t, *_ in rows}
+    ids = {bytes(r["text_md5"]): r["ids"] for r in found.collect()}
+    assert ids == {digest: library.encode_ordinary(t) for digest, t in texts.items()}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan and "RoundRobin" not in plan
+
+
+def test_words_of_parts_are_counted_as_those_of_texts(spark, make):
+    library = regex.compile(public_tokenizers.PATTERN)
+    texts = ["one two two, it's", "x\ny z\n", "x\ny z\n", "once\n", "a once\n", "b  c", " d e", "f g ", "h \ni", "", None, "j\u3000k l"]
+    counted = bpe.counted_words(make([(i, t, "s", "en") for i, t in enumerate(texts)]), bpe.Ranks(RANKS), public_tokenizers.PATTERN)
+    assert {r["word"]: r["n"] for r in counted.collect()} == Counter(w for t in texts for w in library.findall(t or ""))
+
+
 @pytest.mark.parametrize("kind", ["<u2", "<u4"])
 def test_ids_are_dealt_packed(kind):
     rng = np.random.default_rng(3)
